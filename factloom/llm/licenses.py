@@ -84,7 +84,7 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     most = max(bounds(len(g), dice)[1] for _, g in ready)
     body = F.regexp_replace(F.lower(text_of(docs, text)), r"[^\p{L}\p{N}\n]+", " ")
     joined = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
-    units = F.concat(F.transform(F.split(body, "\n"), F.trim), F.transform(F.split(body, "\n ?\n"), joined), F.array(joined(body)))
+    units = F.concat(F.transform(F.split(body, "\n"), lambda u: F.trim(u)), F.transform(F.split(body, "\n ?\n"), joined), F.array(joined(body)))
     # a unit has as many bigrams as blanks
     blanks = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
     short = F.filter(F.array_distinct(units), lambda u: (blanks(u) >= fewest) & (blanks(u) <= most))

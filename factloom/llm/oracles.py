@@ -1,3 +1,116 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Sharding (a heap), the tokenizers, media decoding and the Viterbi labelling are not among them; tests
+hold those against brute force, exact round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from factloom.llm import licenses, mixing, quality
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _class(characters: str) -> str:
+    """A bracket class of literal characters."""
+    return "".join(f"\\{c}" if c in "\\]^-[" else c for c in characters)
+
+
+def quality_sql() -> str:
+    ends, phrases = _quoted(quality.ENDINGS), _quoted("|".join(quality.BOILERPLATE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
+p AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, len(words) AS n FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+m AS (SELECT r, i, n, i <= n - 2 AND count(*) OVER (PARTITION BY r, a, b, c, i <= n - 2) > 1 AS many FROM p),
+q AS (SELECT r, many OR coalesce(lag(many) OVER o, false) OR coalesce(lag(many, 2) OVER o, false) AS inside FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, count(*) FILTER (inside) AS n_repeat_words FROM q GROUP BY r),
+l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM d),
+l1 AS (SELECT r, place, line, regexp_replace(line, '{_EDGES}', '', 'g') AS body, len(regexp_extract_all(line, '{_WORD}')) AS n, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS solid FROM l0),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY place) > 1 AS again FROM l1 WHERE n > 0),
+l3 AS (SELECT r, again, solid, again
+  OR length(regexp_replace(body, '[^{_class(quality.SEPARATORS)}]', '', 'g')) >= {quality.MAX_SEPARATORS}
+  OR (n >= {quality.SENTENCE_WORDS} AND strpos({ends}, right(body, 1)) = 0)
+  OR (n > 1 AND 100 * length(regexp_replace(body, {_quoted('[^' + _class(quality.PUNCTUATION) + ']')}, '', 'g')) > {quality.MAX_PUNCTUATION} * solid)
+  OR regexp_matches(translate(body, '{_UPPER}', '{_LOWER}'), {phrases}) AS fails FROM l2),
+ln AS (SELECT r, count(*) FILTER (again) AS dup, count(*) FILTER (fails) AS removed, coalesce(sum(solid) FILTER (fails), 0) AS lost FROM l3 GROUP BY r),
+s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^{_class(quality.SYMBOLS)}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed_lines, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost <= {quality.MAX_LOST} * word_chars AS kept, n_removed_lines FROM f
+"""
+
+
+def mixing_sql() -> str:
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
+    punctuation = _quoted(quality.PUNCTUATION)
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '{_WORD}')) AS BIGINT) AS size,
+  0.5::DOUBLE + CASE WHEN length(t) > 0 THEN length(translate(t, {punctuation}, ''))::DOUBLE / length(t) ELSE 0.0 END AS weight,
+  (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+s1 AS (SELECT *, ([{weights}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS w, {float(mixing.MOST)}::DOUBLE * source_size AS cap FROM s0),
+s2 AS (SELECT *, {mixing.SHARE}::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS budget, coalesce(sum(cap) OVER b, 0.0) AS capped,
+  sum(w) OVER () - coalesce(sum(w) OVER b, 0.0) AS open FROM s1 WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, (budget - capped) / open AS level FROM s2),
+s4 AS (SELECT (SELECT level FROM s3 WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1) AS level),
+plan AS (SELECT source, source_size, CASE WHEN s4.level IS NULL THEN cap ELSE least(cap, s4.level * w) END AS target FROM s3, s4),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM plan),
+o AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY -ln(k.u) / k.weight, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN ahead + size / 2.0 <= rest AND size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+"""
+
+
+def near_dedup_sql(words: int = 2, percent: int = 80) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, {shingle} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words} + 2)) AS i FROM d WHERE len(w) >= {words})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {words - 1})),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN n na ON na.doc_id = a.doc_id JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE 100 * least(na.n, nb.n) >= {percent} * greatest(na.n, nb.n) GROUP BY 1, 2),
+link AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= {percent} * (nx.n + ny.n - shared)),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+r AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def licenses_sql(dice: float = licenses.DICE) -> str:
+    rows = ", ".join(f"({i}, {_quoted(name)}, [{', '.join(_quoted(g) for g in grams)}])" for i, (name, grams) in enumerate(licenses.prepared()))
+    return f"""
+WITH t(no, license, grams) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS body FROM documents),
+u AS (SELECT DISTINCT r, trim(regexp_replace(unit, '[ \\n]+', ' ', 'g')) AS unit FROM (
+  SELECT r, unnest(string_split(body, chr(10))) AS unit FROM d UNION ALL SELECT r, unnest(string_split_regex(body, '\\n ?\\n')) FROM d UNION ALL SELECT r, body FROM d)),
+g0 AS (SELECT r, string_split(unit, ' ') AS w FROM u),
+g AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM g0 WHERE len(w) BETWEEN 2 AND 1000),
+m AS (SELECT r, license, max(2.0::DOUBLE * len(list_distinct(list_intersect(pairs, grams))) / (len(pairs) + len(grams))) AS dice FROM g, t
+  WHERE len(pairs) BETWEEN {dice / (2 - dice)}::DOUBLE * len(grams) AND {(2 - dice) / dice}::DOUBLE * len(grams) GROUP BY r, no, license, pairs),
+b AS (SELECT r, license, max(dice) AS dice FROM m WHERE dice >= {dice} GROUP BY r, license),
+a AS (SELECT r, arg_min(license, (-dice, license)) AS license, round(max(dice), 6) AS dice, string_agg(license, ',' ORDER BY dice DESC, license) AS licenses FROM b GROUP BY r)
+SELECT doc_id, license, a.dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN a USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_licenses": licenses_sql(),
+    "op7_near_dedup": near_dedup_sql(),
+    "op9_quality": quality_sql(),
+    "op10_mixing": mixing_sql(),
+}
