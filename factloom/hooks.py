@@ -6,9 +6,10 @@ defaults need no network: hashed bags of words, sentences as facts, word overlap
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,10 +47,9 @@ def hashing_embedder(dim: int = DIM) -> Callable[[Column], Column]:
 
 def pandas_embedder(dim: int = DIM) -> Callable[[Column], Column]:
     """The shape of a model-backed embedder: Arrow batches, the model loaded once for each task."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches):
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zlib
 
         import numpy as np
@@ -66,9 +66,6 @@ def pandas_embedder(dim: int = DIM) -> Callable[[Column], Column]:
                 out.append((v / n if n else v).tolist())
             yield pd.Series(out)
 
-    from collections.abc import Iterator
-
-    embed.func.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return embed
 
 

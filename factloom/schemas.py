@@ -1,19 +1,26 @@
-"""Schemas of stored tables and of the JSON documents that are read."""
+"""Schemas of stored tables and of the JSON documents that are read, as Spark schema strings."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+import re
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def fields(schema: str) -> list[str]:
+    """Column names of a schema written as text."""
+    return [part.strip().split(" ")[0] for part in re.sub(r"<[^<>]*>", "", _flat(schema)).split(",")]
 
 
-EPISODE = _schema("episode_id string, group_id string, name string, body string, source_description string, reference_time timestamp, created_at timestamp")
-FACT = _schema("fact_id string, group_id string, episode_name string, fact_text string, embedding array<float>, entity_names array<string>, valid_at timestamp, created_at timestamp, source_description string")
-ENTITY = _schema("entity_id string, group_id string, name string, created_at timestamp")
-EDGE = _schema("in_id string, out_id string")
-PASSAGE = _schema("passage_id string, collection string, doc_id string, text string, embedding array<float>, metadata map<string,string>, created_at timestamp")
+def _flat(schema: str) -> str:
+    while re.search(r"<[^<>]*<", schema):
+        schema = re.sub(r"<[^<>]*>", "", schema)
+    return schema
+
+
+EPISODE = ("episode_id string, group_id string, name string, body string, source_description string, reference_time timestamp, created_at timestamp")
+FACT = ("fact_id string, group_id string, episode_name string, fact_text string, embedding array<float>, entity_names array<string>, valid_at timestamp, created_at timestamp, source_description string")
+ENTITY = ("entity_id string, group_id string, name string, created_at timestamp")
+EDGE = ("in_id string, out_id string")
+PASSAGE = ("passage_id string, collection string, doc_id string, text string, embedding array<float>, metadata map<string,string>, created_at timestamp")
 
 TURN = "struct<speaker:string,text:string,timestamp:string>"
 EVENT = "struct<id:string,date:string,description:string,caused_by:array<string>>"
@@ -24,17 +31,16 @@ GROUND_TRUTH = (
     "retrieval_required:array<struct<info_type:string,description:string>>>"
 )
 SESSION = f"struct<session_id:int,date:string,datetime:string,turns:array<{TURN}>,summary:string,relevant_events:array<{EVENT}>,ground_truths:array<{GROUND_TRUTH}>>"
-DATASET = _schema(f"sessions array<{SESSION}>, summary string")
-EVENTS = _schema("id string, date string, description string, caused_by array<string>")
-QUERY = _schema(
+EVENTS = ("id string, date string, description string, caused_by array<string>")
+QUERY = (
     "id string, query string, type string, difficulty string, expected_answer string, required_context string, "
     "reasoning_steps string, relevant_sessions array<int>, is_cross_session boolean, source string"
 )
-PERSONA = _schema(
+PERSONA = (
     "user struct<name:string,age:int,occupation:string,location:string,traits:array<string>,hobbies:array<string>,interests:array<string>,conversation_topics:array<string>,backstory:string>,"
     "secondary_personas array<struct<name:string,relationship:string,traits:array<string>>>"
 )
-COST = _schema("timestamp double, setup string, model string, input_tokens long, output_tokens long, cost_usd double, call_type string")
+COST = ("timestamp double, setup string, model string, input_tokens long, output_tokens long, cost_usd double, call_type string")
 FACT_JSON = "array<struct<fact:string,fakta:string,entities:array<string>,entitas:array<string>,valid_at:string>>"
 RERANK_JSON = "array<struct<passage_id:int,score:double,reason:string>>"
-HIT = _schema("qid long, fact_id string, fact_text string, score double, entity_names array<string>")
+HIT = ("qid long, fact_id string, fact_text string, score double, entity_names array<string>")

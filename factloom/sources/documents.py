@@ -10,8 +10,9 @@ from factloom import schemas
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """One row for each session of a dataset document; entries that are no sessions are dropped."""
-    data = spark.read.schema(schemas.DATASET).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return data.select(F.explode("sessions").alias("s")).where("s.session_id IS NOT NULL").select("s.*")
+    # entries are read as text first, so that one bad entry does not spoil the list
+    data = spark.read.schema("sessions array<string>").option("multiLine", True).json(path)
+    return data.select(F.explode("sessions").alias("s")).select(F.from_json("s", schemas.SESSION).alias("s")).where("s.session_id IS NOT NULL").select("s.*")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
