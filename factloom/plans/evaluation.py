@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics
-from factloom.operators import reports
+from factloom.operators import evaluation, reports
 from factloom.operators.search import best, score_all
 from factloom.plans.registry import Registry, table
 
@@ -216,3 +216,59 @@ def judge_offline(spark, sf):
     from factloom.hooks import overlap_judge
 
     return pairs(spark, sf).select("doc_id", F.round(overlap_judge(F.col("answer"), F.col("text"), F.col("answer"))["score"], 6).alias("score"))
+
+
+@add("query_evaluation", RANKED + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s),
+t AS (SELECT qid, wanted, label, min(r) AS first FROM r WHERE r <= 10 GROUP BY 1, 2, 3),
+u AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM t),
+m AS (SELECT qid, wanted, max(CASE WHEN label = wanted THEN 1.0 ELSE 0.0 END) AS hit_rate, coalesce(1.0 / min(place) FILTER (label = wanted), 0.0) AS mrr FROM u GROUP BY 1, 2),
+w AS (SELECT CASE WHEN qid % 2 = 0 THEN 'multi_hop' ELSE 'inference' END AS type, CASE WHEN qid % 3 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, hit_rate, mrr FROM m)
+SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'overall' END AS grouping, coalesce(type, difficulty) AS value, count(*) AS n,
+  round(avg(hit_rate), 6) AS hit_rate, round(avg(mrr), 6) AS mrr FROM w GROUP BY GROUPING SETS ((), (type), (difficulty))""")
+def query_evaluation(spark, sf):
+    """Search, sessions in order, hit rate and rank of each query, summary by type and difficulty."""
+    top = best(ranked(spark, sf), 10, F.desc("score"), F.col("vec_id"))
+    sessions = top.groupBy("qid", F.col("label").alias("session_id")).agg(F.min("rank").alias("ord"))
+    queries = top.select("qid", F.array("wanted").alias("relevant_sessions")).distinct()
+    rows = evaluation.session_results(queries, sessions)
+    rows = rows.withColumns({"type": F.when(F.col("qid") % 2 == 0, "multi_hop").otherwise("inference"), "difficulty": F.when(F.col("qid") % 3 == 0, "easy").otherwise("hard"), "seconds": F.lit(0.0)})
+    return reports.eval_summary(rows).select("grouping", "value", "n", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+
+
+@add("context_lengths", """
+WITH r AS (SELECT user_id, event_type || event_id AS fact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events)
+SELECT user_id, CAST(sum(length(fact)) AS BIGINT) AS context_length, string_agg(fact, chr(10) ORDER BY rank) FILTER (rank <= 15) AS context FROM r GROUP BY user_id""")
+def context_lengths(spark, sf):
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.concat("event_type", F.col("event_id").cast("string")).alias("fact_text"), "event_id")
+    rows = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("event_id")))
+    return evaluation.context_lengths(rows).withColumnRenamed("qid", "user_id")
+
+
+@add("turn_metrics", f"""
+WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+m AS (SELECT conv_id, CASE WHEN before IS NULL THEN 0.0 ELSE CASE WHEN len({_tok('text')}) > 0 AND len(list_intersect({_tok('before')}, {_tok('text')}))::DOUBLE / len({_tok('text')}) > 0.5 THEN 1.0 ELSE 0.0 END END AS recall FROM t)
+SELECT conv_id AS session_id, count(*) AS n_turns, round(avg(recall), 6) AS mean_recall FROM m GROUP BY 1""")
+def turn_metrics(spark, sf):
+    """Each turn against the turn before it; a first turn needs nothing and counts as zero."""
+    from pyspark.sql.window import Window
+
+    c = table(spark, sf, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = c.select(F.col("conv_id").alias("session_id"), F.array_compact(F.array(before)).alias("retrieved"), F.array("text").alias("required"), before.isNotNull().alias("needed"))
+    out = reports.session_averages(evaluation.turn_metrics(rows), "recall")
+    return out.withColumn("mean_recall", F.round("mean_recall", 6))
+
+
+@add("rejudge", LINES + f"""
+, j AS (SELECT doc_id % 5 AS setup, CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE len(list_intersect({_tok('text')}, {_tok('answer')}))::DOUBLE / len({_tok('answer')}) END AS score FROM d)
+SELECT setup, round(avg(score), 6) AS mean_all, round(coalesce(avg(score) FILTER (score > 0), 0.0), 6) AS mean_positive_or_0 FROM j GROUP BY setup""")
+def rejudge(spark, sf):
+    """Stored contexts judged again; an empty context scores 0."""
+    from factloom.hooks import overlap_judge
+
+    rows = pairs(spark, sf).select((F.col("doc_id") % 5).alias("setup"), F.col("answer").alias("query"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("context"), F.col("answer").alias("expected_answer"))
+    out = reports.sufficiency_means(evaluation.judge_results(rows, overlap_judge), "score", "setup")
+    return out.select("setup", F.round("mean_all", 6).alias("mean_all"), F.round("mean_positive_or_0", 6).alias("mean_positive_or_0"))

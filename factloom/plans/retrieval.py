@@ -113,6 +113,19 @@ def fused_name_boost(spark, sf):
     return _scores(fused(*graph_parts(spark, sf, F.concat(F.lit("fact "), (F.col("fact_id") % 97).cast("string")))), "fact_text", "source")
 
 
+@add("temporal_search", FUSED.replace("{text}", "'fact ' || vec_id").replace("r <= 30", "r <= 60").replace("r <= 20", "r <= 40").split("SELECT qid, fact_text, round")[0] + """
+, y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_text) AS r, CAST(replace(fact_text, 'fact ', '') AS BIGINT) AS id FROM x),
+z AS (SELECT *, CASE WHEN id % 11 <> 0 THEN DATE '2024-01-01' + CAST(id % 30 AS INTEGER) END AS valid_at FROM y WHERE r <= 20)
+SELECT qid, fact_text, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM z WHERE valid_at IS NULL OR valid_at BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') WHERE rank <= 10""")
+def temporal_search(spark, sf):
+    """Graph search for twice the results, then the bounds."""
+    hits = fused(*graph_parts(spark, sf), limit=2 * LIMIT)
+    number = F.replace("fact_text", F.lit("fact "), F.lit("")).cast("long")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (number % 30).cast("int"))
+    hits = hits.withColumn("valid_at", F.when(number % 11 != 0, day))
+    return _scores(search.temporal(hits, LIMIT, F.lit("2024-01-25").cast("date"), F.lit("2024-01-05").cast("date")), "fact_text")
+
+
 @add("entity_resolve", """
 WITH p AS (SELECT doc_id AS qid, c_name, c_custkey FROM (SELECT doc_id, lower('ask ' || 'customer#' || lpad(CAST(doc_id % 40 AS VARCHAR), 9, '0') || ' of nation_1' || doc_id % 7) AS low FROM documents) d, customer WHERE contains(low, lower(c_name)) AND length(c_name) >= 2),
 n AS (SELECT qid, c_name AS name FROM p UNION ALL

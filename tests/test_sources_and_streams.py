@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import hooks, schemas
-from factloom.operators import agent, events, search, windows
+from factloom.operators import agent, evaluation, events, generation, search, windows
 from factloom.plans import retrieval
 from factloom.sources import documents, sessions, sinks
 from factloom.streaming import windows as streams
@@ -147,3 +147,19 @@ def test_stream_resumes(spark, tmp_path):
         streams.ingest(source(), lambda b, n: seen.extend(r.id for r in b.collect()), str(tmp_path / "state"))
         assert sorted(seen) == list(range(expected))
         rows.where("id >= 24").write.mode("overwrite").parquet(str(tmp_path / "in/b"))
+
+
+def test_generation_parts(spark):
+    days = generation.session_dates(spark, "2024-01-01", "2024-01-31", 10).collect()
+    assert [r.session_id for r in days] == list(range(1, 11)) and len({r.date for r in days}) == 10
+    assert days == sorted(days, key=lambda r: r.date) and all(8 <= r.ts.hour <= 21 and r.ts.date() == r.date for r in days)
+    assert days == generation.session_dates(spark, "2024-01-01", "2024-01-31", 10).collect()
+    p = spark.sql("select named_struct('name','A','age',3,'occupation','','location','x','traits',array('a'),'hobbies',array(),'interests',array('b'),'conversation_topics',array('c'),'backstory',null) as user")
+    assert generation.persona_problems(p).first().problems == ["occupation", "hobbies", "backstory"]
+
+
+def test_results_without_sessions(spark):
+    q = spark.createDataFrame([(1, [4]), (2, [5])], "qid long, relevant_sessions array<int>")
+    got = evaluation.session_results(q, spark.createDataFrame([(1, 9, 1), (1, 4, 2)], "qid long, session_id int, ord int")).collect()
+    assert {r.qid: (r.hit_rate, r.mrr, r.retrieved_sessions) for r in got} == {1: (1.0, 0.5, [9, 4]), 2: (0.0, 0.0, [])}
+    assert evaluation.of_session(q, 5).count() == 1 and evaluation.cross_session(q).count() == 0
