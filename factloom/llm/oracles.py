@@ -6,7 +6,7 @@ hold those against brute force, exact round trips or held-out accuracy.
 
 from __future__ import annotations
 
-from factloom.llm import licenses, mixing, quality
+from factloom.llm import licenses, mixing, pii, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -22,6 +22,54 @@ def _class(characters: str) -> str:
     return "".join(f"\\{c}" if c in "\\]^-[" else c for c in characters)
 
 
+#: The base patterns in plain form, and their tests, for RE2.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+){3}", f"regexp_full_match(value, '{pii.BYTE}(?:[.]{pii.BYTE}){{3}}')"),
+    "card": (
+        r"[0-9](?:[\x20-]?[0-9])+",
+        "length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(digits), k, 1) AS BIGINT)"
+        " ELSE CAST(substr(reverse(digits), k, 1) AS BIGINT) * 2 - CASE WHEN CAST(substr(reverse(digits), k, 1) AS BIGINT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
+}
+
+
+def _places(source: str, regex: str, columns: str = "r") -> str:
+    """(columns, start, value) of all matches: the pieces between matches give the places."""
+    return f"""SELECT {columns}, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, f[i] AS value
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT *, regexp_extract_all(t, '{regex}') AS f, string_split_regex(t, '{regex}') AS p FROM {source}))"""
+
+
+def pii_sql() -> str:
+    kinds = list(_KINDS)
+    base = " UNION ALL ".join(
+        f"SELECT r, {i} AS kind, start, start + length(value) AS stop, value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({_places('d', regex)})) WHERE {test}" for i, (regex, test) in enumerate(_KINDS.values())
+    )
+    names = [*kinds, "generalised", "removed"]
+    near = pii.NEAR
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({base}),
+x AS (SELECT t, any_value(r) AS r FROM d WHERE r IN (SELECT r FROM b) GROUP BY t),
+c AS (SELECT x.t, ({kinds})[b.kind + 1] || ':' || lower(value) AS entity, CASE WHEN start > {near} THEN regexp_replace(substr(t, start - {near} + 1, {near}), '^\\S+', '') ELSE substr(t, 1, start) END
+  || chr(10) || CASE WHEN length(substr(t, stop + 1, {near})) = {near} THEN regexp_replace(substr(t, stop + 1, {near}), '\\S+$', '') ELSE substr(t, stop + 1) END AS near FROM x JOIN b USING (r)),
+pair AS MATERIALIZED (SELECT DISTINCT t, entity, term FROM (SELECT t, entity, unnest(regexp_extract_all(lower(near), '\\p{{L}}+')) AS term FROM c) WHERE length(term) BETWEEN 4 AND 40),
+nc AS (SELECT entity, count(DISTINCT t)::DOUBLE AS n_c FROM c GROUP BY 1),
+j AS (SELECT entity, term, count(*)::DOUBLE AS n_ct FROM pair GROUP BY 1, 2 HAVING count(*) >= {pii.SUPPORT}),
+nt AS (SELECT term, count(DISTINCT t)::DOUBLE AS n_t FROM (SELECT t, unnest(list_distinct(regexp_extract_all(lower(t), '\\p{{L}}+'))) AS term FROM d) WHERE term IN (SELECT term FROM j) GROUP BY 1),
+n AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM d),
+risky AS (SELECT entity, term, share >= {pii.REMOVE} AS removed FROM (SELECT entity, term, ln(n_ct * n / (n_c * n_t)) / ln(n / n_c) AS share FROM j JOIN nc USING (entity) JOIN nt USING (term), n WHERE n_c < n) WHERE share >= {pii.GENERALISE}),
+risk AS (SELECT t, term, bool_or(removed) AS removed FROM pair JOIN risky USING (entity, term) GROUP BY 1, 2),
+w AS (SELECT d.r, d.t FROM d WHERE t IN (SELECT t FROM risk)),
+s AS (SELECT l.r, CASE WHEN removed THEN 5 ELSE 4 END AS kind, l.start, l.start + length(l.value) AS stop FROM ({_places('w', chr(92) + 'p{L}+', 'r, t')}) l JOIN risk ON risk.t = l.t AND risk.term = lower(l.value)
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = l.r AND b.start < l.start + length(l.value) AND l.start < b.stop)),
+a AS (SELECT r, kind, start, ({names})[kind + 1] || ':' || start || ':' || stop AS written FROM (SELECT r, kind, start, stop FROM b UNION ALL SELECT * FROM s)),
+g AS (SELECT r, {', '.join(f'count(*) FILTER (kind = {i}) AS n_{k}' for i, k in enumerate(kinds))}, string_agg(written, ',' ORDER BY kind, start) FILTER (kind < 4) AS base, string_agg(written, ',' ORDER BY kind, start) AS spans FROM a GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
 def quality_sql() -> str:
     ends, phrases = _quoted(quality.ENDINGS), _quoted("|".join(quality.BOILERPLATE))
     return f"""
@@ -109,6 +157,7 @@ SELECT doc_id, license, a.dice, coalesce(licenses, '') AS licenses FROM d LEFT J
 
 
 ORACLES: dict[str, str] = {
+    "op1_pii": pii_sql(),
     "op5_licenses": licenses_sql(),
     "op7_near_dedup": near_dedup_sql(),
     "op9_quality": quality_sql(),

@@ -119,6 +119,18 @@ def test_terms_that_reveal_are_sanitised(spark, corpus):
             assert r.clean == r.text
 
 
+def test_query_equals_sql(spark, corpus, tmp_path):
+    """The query over a table with awkward rows and with terms that reveal."""
+    from factloom.llm import oracles, queries
+    from tests.llm.test_quality_mixing_licenses import oracle, rows_of
+
+    rows = [*corpus, *(r for r in TEXTS if "\x00" not in (r[1] or "")), *((100 + i, t, "en", "z") for i, t in enumerate(HARD))]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(queries.op1_pii(spark, str(tmp_path)))
+    assert got == oracle(oracles.pii_sql(), rows)
+    assert any("removed:" in dict(r)["spans"] for r in got)
+
+
 def test_no_python_on_the_main_path(spark):
     found = pii.find_pii(table(spark)).withColumn("clean", pii.masked(pii.F.col("text")))
     plan = found._jdf.queryExecution().executedPlan().toString()
