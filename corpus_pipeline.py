@@ -31,9 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: five-word shingles, similarity of 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one document of each group: five-word shingles, similarity of 0.8 or more. Rows that
+    share an id stay or go together."""
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
