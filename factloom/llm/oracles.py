@@ -84,8 +84,8 @@ l1 AS (SELECT r, place, line, regexp_replace(line, '{_EDGES}', '', 'g') AS body,
 l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY place) > 1 AS again FROM l1 WHERE n > 0),
 l3 AS (SELECT r, again, solid, again
   OR length(regexp_replace(body, '[^{_class(quality.SEPARATORS)}]', '', 'g')) >= {quality.MAX_SEPARATORS}
-  OR (n >= {quality.SENTENCE_WORDS} AND strpos({ends}, right(body, 1)) = 0)
-  OR (n > 1 AND 100 * length(regexp_replace(body, {_quoted('[^' + _class(quality.PUNCTUATION) + ']')}, '', 'g')) > {quality.MAX_PUNCTUATION} * solid)
+  OR (n >= {quality.SENTENCE_WORDS} AND strpos({ends}, right(body, 1)) = 0 AND place < max(place) OVER (PARTITION BY r))
+  OR (n >= {quality.DENSE_WORDS} AND 100 * length(regexp_replace(body, {_quoted('[^' + _class(quality.PUNCTUATION) + ']')}, '', 'g')) > {quality.MAX_PUNCTUATION} * solid)
   OR regexp_matches(translate(body, '{_UPPER}', '{_LOWER}'), {phrases}) AS fails FROM l2),
 ln AS (SELECT r, count(*) FILTER (again) AS dup, count(*) FILTER (fails) AS removed, coalesce(sum(solid) FILTER (fails), 0) AS lost FROM l3 GROUP BY r),
 s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,

@@ -24,10 +24,10 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 #: A line with so many of these is a menu or a breadcrumb trail.
 SEPARATORS, MAX_SEPARATORS = "|»›•·", 3
-#: A line of so many words ends like a sentence ...
+#: A line of so many words ends like a sentence, unless it is the last, where the text may be cut off.
 SENTENCE_WORDS, ENDINGS = 12, ".!?:;\"')]»”’…"
-#: ... and ASCII punctuation makes up at most this many hundredths of its characters without spaces.
-MAX_PUNCTUATION = 15
+#: In a line of so many words, ASCII punctuation makes up at most so many hundredths of the characters without spaces.
+DENSE_WORDS, MAX_PUNCTUATION = 6, 15
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here",
     "subscribe to our", "sign up for", "enable javascript", "lorem ipsum", "share on facebook", "back to top",
@@ -42,16 +42,16 @@ _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def line_passes(line: str) -> bool:
-    """The rules for one line that holds a word."""
+def line_passes(line: str, last: bool = False) -> bool:
+    """The rules for one line that holds a word; ``last``: no line with a word follows."""
     body = line.strip(_SPACE)
     words = body.encode("utf-8", "surrogatepass").split()
     solid = sum(map(len, (w.decode("utf-8", "surrogatepass") for w in words)))
     if len(_SEPARATORS.findall(body)) >= MAX_SEPARATORS:
         return False
-    if len(words) >= SENTENCE_WORDS and body[-1] not in ENDINGS:
+    if len(words) >= SENTENCE_WORDS and body[-1] not in ENDINGS and not last:
         return False
-    if 100 * len(_PUNCTUATION.findall(body)) > MAX_PUNCTUATION * solid and len(words) > 1:
+    if len(words) >= DENSE_WORDS and 100 * len(_PUNCTUATION.findall(body)) > MAX_PUNCTUATION * solid:
         return False
     return not _BOILERPLATE.search(body.translate(_LOWER))
 
@@ -79,13 +79,15 @@ def judge(text: str) -> tuple[int, int, int, int, int, bool, bool, str, int]:
     words = text.encode("utf-8", "surrogatepass").split()
     chars = len(text) - sum(text.count(c) for c in _SPACE)
     dup, seen, left, removed, lost = 0, set(), [], 0, 0
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    end = max((i for i, line in enumerate(lines) if line.strip(_SPACE)), default=0)
+    for i, line in enumerate(lines):
         solid = len(line) - sum(line.count(c) for c in _SPACE)
         if solid:
             again = line in seen
             seen.add(line)
             dup += again
-            if again or not line_passes(line):
+            if again or not line_passes(line, i == end):
                 removed += 1
                 lost += solid
                 continue

@@ -43,18 +43,23 @@ def test_quality_counts_and_cleaning(spark):
         assert (r.n_dup_lines, r.n_repeat_words) == (dup, len(inside))
         assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
         if r.kept:
-            assert not r.base_failed and all(not words(x) or quality.line_passes(x) for x in r.clean_text.split("\n"))
+            assert not r.base_failed and all(not words(x) or quality.line_passes(x, True) for x in r.clean_text.split("\n"))
     assert quality.quality_rules(table(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize(
     ("line", "passes"),
-    [("Home | News | Sport | About", False), ("A plain sentence about the weather in the north.", True), ("Please Click Here for more.", False), ("one two three four five six seven eight nine ten eleven twelve", False), ("A heading without an end", True), ("buy!!! now!!! cheap!!! pills!!!", False), ("¿Qué pasó? ¡Nada!", True)],
+    [("Home | News | Sport | About", False), ("A plain sentence about the weather in the north.", True), ("Please Click Here for more.", False), ("one two three four five six seven eight nine ten eleven twelve", False), ("A heading without an end", True), ("buy!!! now!!! cheap!!! pills!!! here!!! today!!!", False), ("Of, it. No.", True), ("¿Qué pasó? ¡Nada!", True)],
 )
 def test_line_rules(line, passes):
     assert quality.line_passes(line) is passes
 
 
+def test_last_line_may_be_cut_off():
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    assert quality.line_passes(line, last=True) and not quality.line_passes(line)
+
+
 def test_clean_documents_are_kept(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     rows = quality.quality_rules(docs, keep=("doc_id", "quality"), cleaned=False).where("not base_failed").collect()
