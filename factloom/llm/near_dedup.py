@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,21 +120,15 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _union(root: list[int], i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = root[i]
-    return i
-
-
 def block_links(nodes: list[int], texts: list[str | None], groups: list[int], left: int, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
-    """Links that join components: of all pairs (``left`` < 0), or of the first ``left`` rows with the
-    others. ``groups``: rows of one group are already joined."""
+    """(node, root) of the rows that links join, the root being the smallest node: of all pairs
+    (``left`` < 0), or of the first ``left`` rows with the others. Rows of one of ``groups`` are
+    already joined; of such a group one row stands for all."""
     sets = shingle_sets(texts, words)
     table = signatures(sets)
     sizes = np.array([len(s) for s in sets])
     label = np.unique(np.array(groups), return_inverse=True)[1]
-    links = []
+    start = label.copy()
     for i in range(len(nodes) - 1 if left < 0 else left):
         rest = slice(i + 1 if left < 0 else left, None)
         near = (label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
@@ -145,9 +140,12 @@ def block_links(nodes: list[int], texts: list[str | None], groups: list[int], le
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                links.append((nodes[i], nodes[j]))
                 label[label == label[j]] = label[i]
-    return links
+    _, first = np.unique(start, return_index=True)
+    root: dict[int, int] = {}
+    for k in first.tolist():
+        root[label[k]] = min(nodes[k], root.get(label[k], nodes[k]))
+    return [(nodes[k], root[label[k]]) for k in first.tolist() if nodes[k] != root[label[k]]]
 
 
 def _kernel(words: int, percent: int, matches: int, sided: bool):
@@ -156,7 +154,8 @@ def _kernel(words: int, percent: int, matches: int, sided: bool):
         frame = frame.drop_duplicates(["node", "side"]).sort_values(["side", "node"]) if sided else frame.drop_duplicates("node").sort_values("node")
         left = int((frame["side"] == 0).sum()) if sided else -1
         groups = frame["component"].tolist() if sided else list(range(len(frame)))
-        return pd.DataFrame(block_links(frame["node"].tolist(), frame["text"].tolist(), groups, left, words, percent, matches), columns=["a", "b"])
+        links = pd.DataFrame(block_links(frame["node"].tolist(), frame["text"].tolist(), groups, left, words, percent, matches), columns=["a", "b"])
+        return links.assign(whole=not sided and len(frame) > 0 and bool(frame["whole"].iloc[0]))
 
     return run
 
@@ -167,7 +166,9 @@ def sketch(docs: DataFrame, keep: tuple[str, ...], text: str, words: int) -> Dat
     def make():
         def work(texts):
             sets = shingle_sets(texts, words)
-            return [len(s) for s in sets], [set_key(s) for s in sets], signatures(sets).tolist()
+            table = signatures(sets)
+            lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, COORDINATES, dtype=np.int32), table.ravel())
+            return [len(s) for s in sets], [set_key(s) for s in sets], lists
 
         return work
 
@@ -193,7 +194,6 @@ def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """One row for each document: id, n_shingles, component_id (smallest id of its component) and
     kept (it has that id). Linked: 100 * common shingles >= percent * all shingles of the two."""
-    spark = docs.sparkSession
     sketched = saved(sketch(docs, (id_col,), text, words), "sketch")
     id_type = sketched.schema[id_col].dataType
     classes = saved(
@@ -214,27 +214,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = F.pmod(spread, F.col("blocks"))
     many = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.col("members")) < PIVOTS)
-    blocks = members.select("node", "hood", "key", "text", F.explode(F.when(pivot, many).otherwise(F.array(own))).alias("block"))
-    links = saved(blocks.groupBy("hood", "block").applyInPandas(_kernel(words, percent, matches, False), "a long, b long"), "links")
-
+    # a neighbourhood of one block is settled by its task; only the others have components to join
+    whole = F.col("blocks") == 1
+    blocks = members.select("node", "hood", "key", "text", F.explode(F.when(pivot, many).otherwise(F.array(own))).alias("block"), whole.alias("whole"))
+    links = saved(blocks.groupBy("hood", "block").applyInPandas(_kernel(words, percent, matches, False), "a long, b long, whole boolean"), "links")
+    found = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        links = _residual(large, links, words, percent, matches)
-    found = connected_components(links)
+        found = found.unionByName(_residual(large, connected_components(links.where("NOT whole")), words, percent, matches))
     labels = classes.select("key", "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(first, "component").select("key", "component_id")
     out = sketched.select(id_col, "n_shingles", "key").join(labels, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id")).cast(id_type)
     forget(postings, hoods, members)
-    del spark
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
 
 
-def _residual(large: DataFrame, links: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
-    """Links with those of large neighbourhoods that blocks and pivots could not see."""
-    labels = connected_components(links)
-    rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _residual(large: DataFrame, labels: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
+    """``labels`` (node, component) of large neighbourhoods, joined by the links that blocks and
+    pivots could not see."""
+    rows = saved(large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     counts = rows.groupBy("hood", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("hood").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
     rows = rows.join(largest.select("hood", "main", (F.ceil((F.col("all") - F.col("most")) / BLOCK)).cast("long").alias("outer_blocks")), "hood")
@@ -245,5 +245,12 @@ def _residual(large: DataFrame, links: DataFrame, words: int, percent: int, matc
         "node", "hood", "component", "key", "text", F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("outer_blocks")).alias("outer"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block")
     )
     inside = rows.select("node", "hood", "component", "key", "text", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("outer_blocks") - 1)).alias("outer"), F.pmod(spread, F.col("blocks")).alias("block"))
-    more = outside.unionByName(inside).groupBy("hood", "outer", "block").applyInPandas(_kernel(words, percent, matches, True), "a long, b long")
-    return saved(links.unionByName(more), "links")
+    more = saved(outside.unionByName(inside).groupBy("hood", "outer", "block").applyInPandas(_kernel(words, percent, matches, True), "a long, b long, whole boolean"), "links")
+    if more.isEmpty():
+        return labels
+    # the new links join components, so only components are joined again
+    of = labels.select("node", "component")
+    joined = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    joined = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    nodes = of.unionByName(joined.join(of.select(F.col("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))

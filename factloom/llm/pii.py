@@ -127,9 +127,14 @@ def context_terms(text: Column, span: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", left, right)), F.lit(TERM), 0))
 
 
+def term_rows(texts: DataFrame) -> DataFrame:
+    """(key, term): the distinct lower-case terms of each row's text."""
+    return texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
+
+
 def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(term, n_t): number of distinct texts that hold each candidate term. One pass over all texts."""
-    terms = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
+    terms = term_rows(texts)
     if candidates.count() <= BROADCAST_TERMS:
         terms = terms.join(F.broadcast(candidates), "term", "left_semi")
     else:
@@ -152,16 +157,19 @@ def disclosures(exposed: DataFrame, texts: DataFrame, support: int = SUPPORT, th
         found.select("key", F.concat_ws(":", "span.kind", "span.value").alias("entity"), F.explode_outer(context_terms(F.col("text"), F.col("span"))).alias("term")).distinct(),
         "pii-pairs",
     )
+    n_c = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    total = float(texts.select("key").distinct().count())
     joint = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    joint = saved(joint, "pii-joint")
-    candidates = joint.select("term").distinct()
+    # the threshold says: n_t <= n_ct * (N / n_c) ** (1 - threshold). The exposed texts alone give a
+    # lower bound of n_t, which settles all common words before the pass over the corpus
+    some = term_rows(exposed.groupBy("key").agg(F.first("text").alias("text"))).groupBy("term").agg(F.count("*").alias("n_low"))
+    most = F.col("n_ct") * F.pow(F.lit(total) / F.col("n_c"), F.lit(1 - threshold)) * (1 + 1e-9)
+    joint = saved(joint.join(n_c, "entity").join(some, "term").where(F.col("n_low") <= most).drop("n_low"), "pii-joint")
     if joint.isEmpty():
         return joint.select(F.lit(None).cast(exposed.schema["key"].dataType).alias("key"), "term", F.lit(True).alias("removed"))
-    n_c = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n_t = saved(term_counts(texts, candidates), "pii-terms")
-    total = texts.select("key").distinct().count()
-    share = F.when(F.col("n_c") < total, F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_c")))
-    risky = joint.join(n_c, "entity").join(n_t, "term").withColumn("share", share).where(F.col("share") >= threshold)
+    n_t = saved(term_counts(texts, joint.select("term").distinct()), "pii-terms")
+    share = F.when(F.col("n_c") < total, F.log(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c")))
+    risky = joint.join(n_t, "term").withColumn("share", share).where(F.col("share") >= threshold)
     risky = saved(risky.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), "pii-risky")
     return pairs.join(risky, ["entity", "term"]).groupBy("key", "term").agg(F.max("removed").alias("removed"))
 
