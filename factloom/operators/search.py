@@ -43,6 +43,15 @@ def score_all(facts: DataFrame, queries: DataFrame, vector: str = "embedding") -
 
     ``facts`` may carry a ``norm`` column made at ingest; else it is computed once a fact.
     """
+    out = None
+    for part in query_blocks(queries):
+        pairs = _score(facts, part, vector)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _score(facts: DataFrame, queries: DataFrame, vector: str) -> DataFrame:
+    """:func:`score_all` for one block of queries."""
     if "norm" not in facts.columns:
         facts = facts.withColumn("norm", norm(F.col(vector)))
     asked = queries.select("qid", F.col(vector).alias("__q"), norm(F.col(vector)).alias("__qn"))
@@ -54,7 +63,7 @@ def top_k(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str =
     """Exact cosine top-k for each query; ties by ``key``. The vectors themselves are not returned."""
     out = None
     for part in query_blocks(queries):
-        hits = best(score_all(facts, part, vector).drop(vector).where("score IS NOT NULL"), k, F.desc("score"), F.col(key))
+        hits = best(_score(facts, part, vector).drop(vector).where("score IS NOT NULL"), k, F.desc("score"), F.col(key))
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -100,8 +109,12 @@ def above(hits: DataFrame, threshold: float) -> DataFrame:
 
 
 def two_stage(facts: DataFrame, queries: DataFrame, key: str, candidates: int, threshold: float, results: int, rerank: Column | None = None, vector: str = "embedding") -> DataFrame:
-    """Candidates by vector, then the threshold, then the best by ``rerank`` (default: the score)."""
+    """Candidates by vector, then the threshold, then the best by ``rerank`` (default: the score), which
+    may use further columns of ``queries``."""
     found = above(top_k(facts, queries, candidates, key, vector).withColumnRenamed("rank", "original_rank"), threshold)
+    further = [c for c in queries.columns if c not in ("qid", vector)]
+    if further:
+        found = found.join(queries.select("qid", *further), "qid")
     found = found.withColumn("rerank_score", F.col("score") if rerank is None else rerank)
     return best(found, results, F.desc("rerank_score"), F.col("original_rank"))
 

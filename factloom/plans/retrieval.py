@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from factloom.plans.registry import Registry, table
 add = Registry()
 
 N_QUERIES, LIMIT = 5, 10
+#: Rows that ask: a few for a quick look, and for the queries named ``..._whole`` all ids divisible by 100.
+FEW, WHOLE = f"vec_id < {N_QUERIES}", "vec_id % 100 = 0"
 
 SCORED = """
 WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id < 5),
@@ -26,8 +30,8 @@ def facts(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("fact_id"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("fact_text"), "embedding", F.array(F.concat(F.lit("Entity "), F.col("label").cast("string"))).alias("entity_names"), "label")
 
 
-def asked(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), "embedding", "label")
+def asked(spark, sf, which=FEW) -> DataFrame:
+    return table(spark, sf, "embeddings").where(which).select(F.col("vec_id").alias("qid"), "embedding", "label")
 
 
 def _scores(df: DataFrame, *columns: str) -> DataFrame:
@@ -36,8 +40,8 @@ def _scores(df: DataFrame, *columns: str) -> DataFrame:
 
 @add("topk_cosine", SCORED + """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
-def topk_cosine(spark, sf):
-    return _scores(search.top_k(facts(spark, sf), asked(spark, sf), LIMIT, "fact_id").withColumnRenamed("fact_id", "vec_id"), "vec_id")
+def topk_cosine(spark, sf, which=FEW):
+    return _scores(search.top_k(facts(spark, sf), asked(spark, sf, which), LIMIT, "fact_id").withColumnRenamed("fact_id", "vec_id"), "vec_id")
 
 
 @add("topk_cosine_blocks", """
@@ -52,8 +56,8 @@ def topk_cosine_blocks(spark, sf):
 
 @add("topk_cosine_threshold", SCORED + """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50 AND score >= 0.2""")
-def topk_cosine_threshold(spark, sf):
-    hits = search.top_k(facts(spark, sf), asked(spark, sf), FAIR.embedding_top_k, "fact_id").withColumnRenamed("fact_id", "vec_id")
+def topk_cosine_threshold(spark, sf, which=FEW):
+    hits = search.top_k(facts(spark, sf), asked(spark, sf, which), FAIR.embedding_top_k, "fact_id").withColumnRenamed("fact_id", "vec_id")
     return _scores(search.above(hits, 0.2), "vec_id")
 
 
@@ -61,11 +65,9 @@ def topk_cosine_threshold(spark, sf):
 , c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS original_rank FROM s),
 r AS (SELECT *, (CASE WHEN label = qlabel THEN 1.0 ELSE 0.0 END) AS rerank_score FROM c WHERE original_rank <= 50 AND score >= 0.1)
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, original_rank) AS rank FROM r) WHERE rank <= 10""")
-def two_stage_rerank(spark, sf):
-    q = asked(spark, sf)
-    wanted = q.select(F.struct("qid", "label").alias("p")).groupBy().agg(F.map_from_entries(F.collect_list("p")).alias("m"))
-    base = facts(spark, sf).crossJoin(F.broadcast(wanted))
-    out = search.two_stage(base, q.drop("label"), "fact_id", FAIR.embedding_top_k, 0.1, FAIR.rerank_top_k, F.when(F.try_element_at("m", F.col("qid")) == F.col("label"), 1.0).otherwise(0.0))
+def two_stage_rerank(spark, sf, which=FEW):
+    q = asked(spark, sf, which).withColumnRenamed("label", "wanted")
+    out = search.two_stage(facts(spark, sf), q, "fact_id", FAIR.embedding_top_k, 0.1, FAIR.rerank_top_k, F.when(F.col("wanted") == F.col("label"), 1.0).otherwise(0.0))
     return _scores(out.withColumnRenamed("fact_id", "vec_id"), "vec_id")
 
 
@@ -81,13 +83,13 @@ x AS (SELECT qid, fact_text, least(1.0, CASE WHEN nv > 0 AND k > 0 THEN greatest
 SELECT qid, fact_text, round(score, 6) AS score, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_text) AS rank FROM x) WHERE rank <= 10"""
 
 
-def graph_parts(spark, sf, text=None):
+def graph_parts(spark, sf, which=FEW, text=None):
     """Facts, edges, entities and queries with a text that names their entity."""
     f = facts(spark, sf)
     f = f if text is None else f.withColumn("fact_text", text)
     edges = f.select(F.col("fact_id").alias("in_id"), F.concat(F.lit("e"), F.col("label").cast("string")).alias("out_id"))
     entities = f.select(F.concat(F.lit("e"), F.col("label").cast("string")).alias("entity_id"), F.col("entity_names")[0].alias("name")).distinct()
-    q = asked(spark, sf).withColumn("text", F.concat(F.lit("What about ENTITY "), F.col("label").cast("string"), F.lit("?")))
+    q = asked(spark, sf, which).withColumn("text", F.concat(F.lit("What about ENTITY "), F.col("label").cast("string"), F.lit("?")))
     return f, edges, entities, q
 
 
@@ -103,23 +105,23 @@ def fused(f, edges, entities, q, limit=LIMIT):
 
 
 @add("fused_search", FUSED.replace("{text}", "'fact ' || vec_id"))
-def fused_search(spark, sf):
-    return _scores(fused(*graph_parts(spark, sf)), "fact_text", "source")
+def fused_search(spark, sf, which=FEW):
+    return _scores(fused(*graph_parts(spark, sf, which)), "fact_text", "source")
 
 
 @add("fused_name_boost", FUSED.replace("{text}", "'fact ' || vec_id % 97"))
-def fused_name_boost(spark, sf):
+def fused_name_boost(spark, sf, which=FEW):
     """Several facts share a text, so that rows of both legs meet."""
-    return _scores(fused(*graph_parts(spark, sf, F.concat(F.lit("fact "), (F.col("fact_id") % 97).cast("string")))), "fact_text", "source")
+    return _scores(fused(*graph_parts(spark, sf, which, F.concat(F.lit("fact "), (F.col("fact_id") % 97).cast("string")))), "fact_text", "source")
 
 
 @add("temporal_search", FUSED.replace("{text}", "'fact ' || vec_id").replace("r <= 30", "r <= 60").replace("r <= 20", "r <= 40").split("SELECT qid, fact_text, round")[0] + """
 , y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_text) AS r, CAST(replace(fact_text, 'fact ', '') AS BIGINT) AS id FROM x),
 z AS (SELECT *, CASE WHEN id % 11 <> 0 THEN DATE '2024-01-01' + CAST(id % 30 AS INTEGER) END AS valid_at FROM y WHERE r <= 20)
 SELECT qid, fact_text, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM z WHERE valid_at IS NULL OR valid_at BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') WHERE rank <= 10""")
-def temporal_search(spark, sf):
+def temporal_search(spark, sf, which=FEW):
     """Graph search for twice the results, then the bounds."""
-    hits = fused(*graph_parts(spark, sf), limit=2 * LIMIT)
+    hits = fused(*graph_parts(spark, sf, which), limit=2 * LIMIT)
     number = F.replace("fact_text", F.lit("fact "), F.lit("")).cast("long")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (number % 30).cast("int"))
     hits = hits.withColumn("valid_at", F.when(number % 11 != 0, day))
@@ -204,8 +206,8 @@ p AS (SELECT qid, 'passage ' || vec_id AS text, score, row_number() OVER (PARTIT
 n AS (SELECT qid, least(count(*), 15) AS n FROM g GROUP BY qid)
 SELECT qid, 'graph' AS source_type, '[FACT] ' || text AS content, round(score, 6) AS score, r AS ord FROM g WHERE r <= 15
 UNION ALL SELECT p.qid, 'passage', '[DETAIL] ' || text, round(score, 6), coalesce(n, 0) + r FROM p LEFT JOIN n USING (qid) WHERE r <= 5""")
-def hybrid_union(spark, sf):
-    q = asked(spark, sf)
+def hybrid_union(spark, sf, which=FEW):
+    q = asked(spark, sf, which)
     scored = search.score_all(facts(spark, sf), q.drop("label")).drop("embedding")
     own = q.select("qid", F.col("label").alias("wanted"))
     graph = search.best(scored.join(own, "qid").where("label = wanted"), 15, F.desc("score"), F.col("fact_id")).withColumn("text", F.col("fact_text"))
@@ -249,9 +251,9 @@ x AS (SELECT c.qid, c.vec_id, c.score, 1 AS leg, row_number() OVER (PARTITION BY
 a AS (SELECT qid, vec_id, score, leg, r FROM h UNION ALL SELECT qid, vec_id, score, leg, r FROM x WHERE r <= 20),
 d AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY leg, r) AS once FROM a)
 SELECT qid, vec_id, round(score, 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY leg, r, vec_id) AS ord FROM d WHERE once = 1) WHERE ord <= 15""")
-def agent_retrieve(spark, sf):
+def agent_retrieve(spark, sf, which=FEW):
     """Two legs a round: vector hits above the threshold, then the entities of the first hits."""
-    f, q = facts(spark, sf), asked(spark, sf)
+    f, q = facts(spark, sf), asked(spark, sf, which)
     scored = search.score_all(f, q.drop("label")).drop("embedding")
 
     def look(open_):
@@ -265,6 +267,15 @@ def agent_retrieve(spark, sf):
     return found.select("qid", F.col("fact_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
 
 
+def _whole(*names: str) -> None:
+    """The same searches for all rows whose id is divisible by 100, against all rows."""
+    for name in names:
+        add(f"{name}_whole", add.sql[name].replace(f"WHERE {FEW}", f"WHERE {WHOLE}"))(partial(add.queries[name], which=WHOLE))
+
+
+_whole("topk_cosine", "topk_cosine_threshold", "two_stage_rerank", "fused_search", "fused_name_boost", "temporal_search", "hybrid_union", "agent_retrieve")
+
+
 def saver(spark):
     """Checkpoints in the session's shared folder; a folder of our own only in a local session."""
     import tempfile
