@@ -21,3 +21,19 @@ def test_scores_of_more_queries_than_a_block(spark, sf, monkeypatch):
     blocks, given = search.query_blocks, []
     monkeypatch.setattr(search, "query_blocks", lambda queries: given.append(1) or blocks(queries, 2))
     assert search.score_all(e, q).select("qid", "vec_id").distinct().count() == q.count() * e.count() and given
+
+
+@pytest.mark.parametrize("name", ["session_hr_mrr", "embed_recall_at_k"])
+def test_evaluation_takes_every_hundredth_id(spark, sf, name):
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    assert {r.qid for r in catalog.QUERIES[f"{name}_whole"](spark, sf).select("qid").collect()} == ids
+
+
+def test_evaluation_searches_all_rows_but_the_query(spark, sf):
+    from factloom.plans import evaluation
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    rows = evaluation.ranked(spark, sf, whole=True)
+    assert rows.where("qid = vec_id").isEmpty() and {r["count"] for r in rows.groupBy("qid").count().collect()} == {n - 1}
+    total = [r.n for r in catalog.QUERIES["query_evaluation_whole"](spark, sf).where("grouping = 'overall'").collect()]
+    assert total == [rows.select("qid").distinct().count()]
