@@ -152,9 +152,9 @@ def order_graph(spark, sf):
 WITH n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part WHERE p_size <= 3),
 x AS (SELECT DISTINCT n.name, l_orderkey AS k FROM n JOIN part p ON lower(p.p_name) = n.low JOIN lineitem ON l_partkey = p.p_partkey)
 SELECT name, k AS fact_id, rank FROM (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY o_orderdate DESC, k) AS rank FROM x JOIN orders ON o_orderkey = k) WHERE rank <= 20""")
-def entity_facts(spark, sf):
+def entity_facts(spark, sf, which="p_size <= 3"):
     o, e, p = order_graph(spark, sf)
-    names = table(spark, sf, "part").where("p_size <= 3").select(F.upper("p_name").alias("u"), F.col("p_name").alias("name")).select("name")
+    names = table(spark, sf, "part").where(which).select(F.upper("p_name").alias("u"), F.col("p_name").alias("name")).select("name")
     return search.entity_facts(o, e, p, names).select("name", "fact_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -166,15 +166,20 @@ x AS (SELECT DISTINCT a.name, l_orderkey AS k FROM a JOIN e ON lower(e.p_name) =
 h AS (SELECT x.name, x.k, f.d, 'entity_expand' AS source FROM x JOIN f ON f.k = x.k
   UNION ALL SELECT a.name, f.k, f.d, 'entity_names' FROM a JOIN f ON list_contains(f.names, a.name) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.name = a.name))
 SELECT name, k AS fact_id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d DESC, k) AS rank FROM h) WHERE rank <= 20""")
-def entity_facts_fallback(spark, sf):
+def entity_facts_fallback(spark, sf, which="entity_id % 3 = 0"):
     _, e, p = order_graph(spark, sf)
     o = table(spark, sf, "orders")
     f = o.select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 5 == 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array("o_orderstatus")).alias("entity_names"))
     names = p.select("name").unionByName(o.select(F.col("o_orderpriority").alias("name"))).distinct()
-    out = search.entity_facts(f, e, p.where(F.col("entity_id") % 3 == 0), names, fallback="entity_names")
+    out = search.entity_facts(f, e, p.where(which), names, fallback="entity_names")
     return out.select("name", "fact_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
+# all parts are asked for, and all are entities; the priorities are the names without an entity
+add("entity_facts_whole", add.sql["entity_facts"].replace(" WHERE p_size <= 3", ""))(partial(entity_facts, which="true"))
+add("entity_facts_fallback_whole", add.sql["entity_facts_fallback"].replace(" WHERE p_partkey % 3 = 0", ""))(partial(entity_facts_fallback, which="true"))
+
+
 @add("semi_facts", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red')))")
 def semi_facts(spark, sf):
     _, e, p = order_graph(spark, sf)

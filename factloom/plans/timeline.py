@@ -66,6 +66,21 @@ def relevant_events(spark, sf):
     return ev.relevant_events(session_dates(spark, sf), events).select("session_id", "id")
 
 
+@add("relevant_events_whole", """
+WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, min(o_orderkey) AS session_id FROM orders GROUP BY 1),
+w AS (SELECT *, lag(date) OVER (ORDER BY date, session_id) AS previous FROM s),
+e AS (SELECT o_orderkey AS id, CAST(date_trunc('week', o_orderdate) AS DATE) AS day FROM orders),
+d AS (SELECT session_id, id FROM w JOIN e ON day <= date AND (previous IS NULL OR day > previous)),
+f AS (SELECT session_id, id FROM w JOIN e ON day <= date AND day >= date - 7 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = w.session_id))
+SELECT * FROM d UNION ALL SELECT * FROM f""")
+def relevant_events_whole(spark, sf):
+    """Every order is a session's and an event. Events are dated to their Monday, so that sessions later in the week have none of their own."""
+    o = table(spark, sf, "orders")
+    sessions = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_orderkey").alias("session_id"))
+    events = o.select(F.col("o_orderkey").alias("id"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"))
+    return ev.relevant_events(sessions, events).select("session_id", "id")
+
+
 @add("event_density", DERIVED + """
 , x AS (SELECT count(*) AS n, date_diff('day', min(day), max(day)) + 1 AS span, sum(len(causes)) AS c FROM e), y AS (SELECT count(DISTINCT conv_id) AS s FROM conversations)
 SELECT n AS n_events, s AS n_sessions, span AS span_days, round(n / span::DOUBLE, 6) AS events_per_day, round(s / span::DOUBLE, 6) AS sessions_per_day, round(n / s::DOUBLE, 6) AS events_per_session, round(c / n::DOUBLE, 6) AS mean_causes FROM x, y""")
@@ -101,6 +116,24 @@ def valid_continuation(spark, sf):
     return out.select("id", F.array_join("caused_by", ",").alias("causes"), "date")
 
 
+@add("valid_continuation_whole", """
+WITH r AS (SELECT event_id AS seq, 'E' || (event_id + 100) AS id, CAST(ts AS DATE) AS day, [CASE WHEN event_id % 5 = 0 THEN 'X' ELSE 'E' END || (event_id + 99), 'E' || (event_id + 101), 'E50'] AS causes FROM events),
+v AS (SELECT * FROM r WHERE seq > 20),
+c AS (SELECT seq, id, unnest(causes) AS cause, unnest(range(3)) AS i FROM v),
+k AS (SELECT id AS cause, min(s) AS s FROM (SELECT id, seq AS s FROM v UNION ALL SELECT 'E50', -1) GROUP BY 1),
+g AS (SELECT c.id, string_agg(c.cause, ',' ORDER BY i) AS causes FROM c JOIN k USING (cause) WHERE k.s < c.seq GROUP BY 1)
+SELECT v.id, coalesce(g.causes, '') AS causes, strftime(least(greatest(day, DATE '2024-01-05'), DATE '2024-01-20'), '%Y-%m-%d') AS date FROM v LEFT JOIN g USING (id)""")
+def valid_continuation_whole(spark, sf):
+    """All events; every fifth names a cause that does not exist."""
+    e = F.col("event_id")
+    name = lambda k, head="E": F.concat(F.lit(head), (e + k).cast("string"))
+    before = F.when(e % 5 == 0, name(99, "X")).otherwise(name(99))
+    new = table(spark, sf, "events").select(e.alias("seq"), name(100).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.array(before, name(101), F.lit("E50")).alias("caused_by"))
+    known = spark.range(1).select(F.lit("E50").alias("id"))
+    out = ev.valid_continuation(new, known, 120, F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    return out.select("id", F.array_join("caused_by", ",").alias("causes"), "date")
+
+
 @add("last5_events", "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 5")
 def last5_events(spark, sf):
     from factloom.operators.search import best

@@ -37,3 +37,15 @@ def test_evaluation_searches_all_rows_but_the_query(spark, sf):
     assert rows.where("qid = vec_id").isEmpty() and {r["count"] for r in rows.groupBy("qid").count().collect()} == {n - 1}
     total = [r.n for r in catalog.QUERIES["query_evaluation_whole"](spark, sf).where("grouping = 'overall'").collect()]
     assert total == [rows.select("qid").distinct().count()]
+
+
+def test_timelines_and_entities_lose_no_row(spark, sf):
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    seen = catalog.QUERIES["relevant_events_whole"](spark, sf)
+    assert seen.select("id").distinct().count() == read("orders").count()
+    assert seen.select("session_id").distinct().count() == read("orders").select(F.to_date("o_orderdate")).distinct().count()
+    assert catalog.QUERIES["valid_continuation_whole"](spark, sf).count() == read("events").where("event_id > 20").count()
+    sold = read("lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().join(read("part"), "p_partkey").select("p_name").distinct().count()
+    assert catalog.QUERIES["entity_facts_whole"](spark, sf).select("name").distinct().count() == sold
+    by_source = catalog.QUERIES["entity_facts_fallback_whole"](spark, sf).groupBy("source").agg(F.count_distinct("name").alias("n")).collect()
+    assert {r.source: r.n for r in by_source} == {"entity_expand": sold, "entity_names": read("orders").where("o_orderkey % 5 = 0").select("o_orderpriority").distinct().count()}
