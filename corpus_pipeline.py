@@ -26,7 +26,7 @@ def _documents(df: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes failed lines; documents that the rules reject go."""
-    judged = quality.quality_rules(docs, keep=("doc_id", "lang", "source"))
+    judged = quality.quality_rules(docs, keep=("doc_id", "lang", "source"), paragraphs=True)
     return _documents(judged.where("kept"), "clean_text")
 
 

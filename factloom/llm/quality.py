@@ -26,6 +26,8 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS, MAX_SEPARATORS = "|»›•·", 3
 #: A line of so many words ends like a sentence, unless it is the last, where the text may be cut off.
 SENTENCE_WORDS, ENDINGS = 12, ".!?:;\"')]»”’…"
+#: Unicode's sentence ends outside ASCII; with ``paragraphs`` they are endings, too.
+STOPS = ".!?…։؝؞؟۔؛܀܁܂߹।॥༎།၊။።፧፨᙮។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"
 #: In a line of so many words, ASCII punctuation makes up at most so many hundredths of the characters without spaces.
 DENSE_WORDS, MAX_PUNCTUATION = 6, 15
 BOILERPLATE = (
@@ -37,6 +39,7 @@ MAX_LOST = 40
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PUNCTUATION, _SYMBOLS, _SEPARATORS = (re.compile(f"[{re.escape(x)}]") for x in (PUNCTUATION, SYMBOLS, SEPARATORS))
+_STOP = re.compile(f"[{re.escape(STOPS)}](?:\\s|$)")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -56,6 +59,23 @@ def line_passes(line: str, last: bool = False) -> bool:
     return not _BOILERPLATE.search(body.translate(_LOWER))
 
 
+def spared_lines(lines: list[str], sound: list[bool], end: int) -> set[int]:
+    """Lines whose end is no ground to remove them: they end like a sentence of any script, or are
+    wrapped lines of a paragraph that does. The text's last paragraph may be cut off, if it holds a
+    sentence end anywhere. A paragraph ends at a line that is not ``sound``: blank, or failed."""
+    out: set[int] = set()
+    part: list[int] = []
+    for i in range(len(lines) + 1):
+        if i < len(lines) and sound[i]:
+            part.append(i)
+            continue
+        ends = [lines[k].rstrip(_SPACE)[-1] in ENDINGS + STOPS for k in part]
+        whole = bool(part) and (ends[-1] or (part[-1] == end and any(_STOP.search(lines[k]) for k in part)))
+        out.update(k for k, e in zip(part, ends, strict=True) if e or whole)
+        part = []
+    return out
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window found twice or more, first occurrences included."""
     n = len(words)
@@ -73,21 +93,27 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def judge(text: str) -> tuple[int, int, int, int, int, bool, bool, str, int]:
+def judge(text: str, paragraphs: bool = False) -> tuple[int, int, int, int, int, bool, bool, str, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, the text
-    without failed lines, and the number of lines removed."""
+    without failed lines, and the number of lines removed. With ``paragraphs`` the end of a wrapped
+    paragraph is judged instead of each line's, by the sentence ends of all scripts."""
     words = text.encode("utf-8", "surrogatepass").split()
     chars = len(text) - sum(text.count(c) for c in _SPACE)
     dup, seen, left, removed, lost = 0, set(), [], 0, 0
     lines = text.split("\n")
     end = max((i for i, line in enumerate(lines) if line.strip(_SPACE)), default=0)
+    spared = {end}
+    if paragraphs:
+        first = {}
+        sound = [bool(line.strip(_SPACE)) and first.setdefault(line, i) == i and line_passes(line, True) for i, line in enumerate(lines)]
+        spared |= spared_lines(lines, sound, end)
     for i, line in enumerate(lines):
         solid = len(line) - sum(line.count(c) for c in _SPACE)
         if solid:
             again = line in seen
             seen.add(line)
             dup += again
-            if again or not line_passes(line, i == end):
+            if again or not line_passes(line, i in spared):
                 removed += 1
                 lost += solid
                 continue
@@ -104,7 +130,7 @@ FIELDS = (
 )
 
 
-def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cleaned: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cleaned: bool = True, paragraphs: bool = False) -> DataFrame:
     """One row for each document: the ``keep`` columns, the counts and verdict of :func:`judge`,
     and, with ``cleaned``, the text without failed lines. A narrow map without a shuffle."""
     fields = [f for f in FIELDS if cleaned or f[0] != "clean_text"]
@@ -112,7 +138,7 @@ def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
 
     def make():
         def work(texts):
-            rows = [judge(t or "") for t in texts]
+            rows = [judge(t or "", paragraphs) for t in texts]
             return [[r[i] for r in rows] for i in at]
 
         return work
