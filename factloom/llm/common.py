@@ -66,10 +66,12 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``limit`` bytes of text, or one row."""
-    column, start, held = batch.column(text_at), 0, 0
-    lengths = pc.binary_length(column).to_pylist()
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES, also: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``limit`` bytes of text (and of a second column, ``also``), or one row."""
+    start, held = 0, 0
+    lengths = pc.binary_length(batch.column(text_at)).to_pylist()
+    if also is not None:
+        lengths = [(n or 0) + (m or 0) for n, m in zip(lengths, pc.binary_length(batch.column(also)).to_pylist(), strict=True)]
     for i, n in enumerate(lengths):
         n = n or 0
         if i > start and held + n > limit:

@@ -2,22 +2,26 @@
 
 1. Each whole text becomes the set of its word shingles and a MinHash signature. A coordinate of the
    signature packs ``ROWS`` minima, so that texts which only share a common passage or common words
-   seldom agree on one. Equal sets form a class; only one signature of a class goes on.
+   seldom agree on one. Equal sets form a class; one row of a class goes on.
 2. Classes are posted under each (coordinate, value). Values of one class alone are dropped. Of the
-   rest, in order of the length of their posting lists, each class keeps the shortest lists: two
-   classes that agree on ``MATCHES`` coordinates must share one of the first
-   ``COORDINATES - MATCHES + 1`` lists (prefix), so the longest lists are skipped and their
-   collisions are counted on the signatures themselves.
-3. Classes that meet in a list, directly or through others, form a neighbourhood, found by joining
-   each list to its first member, never as all pairs. Neighbourhoods are cut into blocks of bounded
-   size. Within a block, and against a few pivots which every block of the neighbourhood sees,
-   collisions are counted over whole signatures; pairs with ``MATCHES`` or more are confirmed on the
-   full shingle sets. Only links that join two components leave a task.
-4. If a neighbourhood of many blocks still has several components, the classes outside its largest
-   one meet all its other blocks. So no candidate is lost and none is emitted twice.
+   rest each class keeps its shortest lists: two classes that agree on ``MATCHES`` coordinates share
+   one of the first ``COORDINATES - MATCHES + 1`` (prefix); the longest lists are skipped, and what
+   collides there is counted when a pair has come up.
+3. Each list is merged by its head, its first class: (class, head) pairs come up, their collisions
+   are counted over all coordinates, pairs with ``MATCHES`` or more are candidates, and a candidate
+   is confirmed on the full shingle sets, made from the two whole texts. Only texts of candidates
+   are fetched.
+4. Lists whose classes are in one component by now are settled. In the others, classes outside the
+   list's main component meet the classes of all other components, and pairs that are new are counted
+   and confirmed likewise. So each pair of a kept list is confirmed, or is in one component anyway,
+   or falls short of ``MATCHES``; no list, candidate or partner is capped.
 
 At a similarity of exactly 0.8, two texts agree on a coordinate with chance 0.512; the chance that
-they agree on fewer than 9 of 48 is below 2e-6, and it falls steeply above 0.8.
+they agree on fewer than 9 of 48 is 7.5e-7, and it falls steeply above 0.8.
+
+The worst case of step 4 is a list of many classes that share ``MATCHES`` coordinates or more without
+being alike: its pairs grow with the product of its components. Packed coordinates and the prefix
+make such lists rare; the joins are plain equi-joins that adaptive execution can split.
 
 Cases: null and empty texts, or texts without words, have an empty set and link with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows fall into one class; a null id takes
@@ -30,18 +34,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import forget, map_texts, saved
+from factloom.llm.common import forget, map_texts, saved, slices
 from factloom.llm.components import connected_components
 
 COORDINATES, ROWS, MATCHES = 48, 3, 9
-#: Classes in a block, shingles in a block, and pivots of a neighbourhood of several blocks (about).
-BLOCK, BLOCK_SHINGLES, PIVOTS = 512, 2_000_000, 16
 
 _U = np.uint64
 _WORD, _STEP, _MIX1, _MIX2 = _U(0x100000001B3), _U(0x9E3779B97F4A7C15), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
@@ -120,46 +121,6 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def block_links(nodes: list[int], texts: list[str | None], groups: list[int], left: int, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
-    """(node, root) of the rows that links join, the root being the smallest node: of all pairs
-    (``left`` < 0), or of the first ``left`` rows with the others. Rows of one of ``groups`` are
-    already joined; of such a group one row stands for all."""
-    sets = shingle_sets(texts, words)
-    table = signatures(sets)
-    sizes = np.array([len(s) for s in sets])
-    label = np.unique(np.array(groups), return_inverse=True)[1]
-    start = label.copy()
-    for i in range(len(nodes) - 1 if left < 0 else left):
-        rest = slice(i + 1 if left < 0 else left, None)
-        near = (label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
-        found = np.flatnonzero(near) + rest.start
-        if len(found):
-            found = found[(table[found] == table[i]).sum(axis=1) >= matches]
-        for j in found.tolist():
-            if label[i] == label[j]:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                label[label == label[j]] = label[i]
-    _, first = np.unique(start, return_index=True)
-    root: dict[int, int] = {}
-    for k in first.tolist():
-        root[label[k]] = min(nodes[k], root.get(label[k], nodes[k]))
-    return [(nodes[k], root[label[k]]) for k in first.tolist() if nodes[k] != root[label[k]]]
-
-
-def _kernel(words: int, percent: int, matches: int, sided: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[[set_key(s) == k for s, k in zip(shingle_sets(frame["text"].tolist(), words), frame["key"], strict=True)]]
-        frame = frame.drop_duplicates(["node", "side"]).sort_values(["side", "node"]) if sided else frame.drop_duplicates("node").sort_values("node")
-        left = int((frame["side"] == 0).sum()) if sided else -1
-        groups = frame["component"].tolist() if sided else list(range(len(frame)))
-        links = pd.DataFrame(block_links(frame["node"].tolist(), frame["text"].tolist(), groups, left, words, percent, matches), columns=["a", "b"])
-        return links.assign(whole=not sided and len(frame) > 0 and bool(frame["whole"].iloc[0]))
-
-    return run
-
-
 def sketch(docs: DataFrame, keep: tuple[str, ...], text: str, words: int) -> DataFrame:
     """``keep``, n_shingles, key (hash of the set) and signature. A narrow map."""
 
@@ -191,66 +152,115 @@ def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return kept.select(F.col("list.value").alias("value"), "node")
 
 
+def candidates(pairs: DataFrame, classes: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b, collisions): pairs with ``matches`` equal coordinates and sizes that allow the similarity.
+
+    A value holds its coordinate's number, so equal coordinates are the common values."""
+    sides = classes.select("node", "n", "signature")
+    rows = pairs.join(sides.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
+    rows = rows.join(sides.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
+    rows = rows.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return rows.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("collisions")).where(F.col("collisions") >= matches)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity. ``texts``: node and whole text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2, also=3):
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                # a text is made into its set once in a slice
+                known = dict(zip(a, part.column(2).to_pylist(), strict=True)) | dict(zip(b, part.column(3).to_pylist(), strict=True))
+                sets = dict(zip(known, shingle_sets(list(known.values()), words), strict=True))
+                hit = []
+                for x, y in zip(a, b, strict=True):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    hit.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
+                yield part.filter(pa.array(hit, pa.bool_())).select([0, 1])
+
+    rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links; nodes without a link have no row."""
+    if labels is None:
+        return saved(connected_components(links), "labels")
+    # links join components, so only components are joined again
+    joined = labelled(labelled(links, labels, "a", "ca"), labels, "b", "cb")
+    roots = saved(connected_components(joined, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root")), "roots")
+    moved = labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = roots.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+    new = saved(moved.unionByName(fresh), "labels")
+    forget(labels, roots)
+    return new
+
+
+def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of a node column; a node without a label is its own."""
+    return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of one list and different components."""
+    rows = saved(labelled(postings, labels, "node", "component"), "members")
+    counts = rows.groupBy("value", "component").agg(F.count("*").alias("n"))
+    main = saved(counts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    mixed = saved(rows.join(main, "value"), "mixed-members")
+    outside = mixed.where("component <> main").select("value", F.col("node").alias("x"), F.col("component").alias("cx"))
+    pairs = outside.join(mixed.select("value", F.col("node").alias("y"), F.col("component").alias("cy")), "value").where("cx <> cy")
+    pairs = saved(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "crossing")
+    forget(rows, main, mixed)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """One row for each document: id, n_shingles, component_id (smallest id of its component) and
     kept (it has that id). Linked: 100 * common shingles >= percent * all shingles of the two."""
-    sketched = saved(sketch(docs, (id_col,), text, words), "sketch")
-    id_type = sketched.schema[id_col].dataType
-    classes = saved(
-        sketched.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()),
-        "classes",
-    )
+    body = docs.select(docs[id_col].alias("__id"), docs[text].cast("string").alias("__text")).withColumn("hash", F.xxhash64("__text"))
+    sketched = saved(sketch(body, ("__id", "hash"), "__text", words), "sketch")
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "hash"))
+    grouped = sketched.where("n_shingles > 0").groupBy("key").agg(F.min("__id").alias("first_id"), first.alias("source"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = saved(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     postings = saved(prefix_postings(classes, matches), "postings")
-    heads = postings.groupBy("value").agg(F.min("node").alias("head"))
-    hoods = saved(connected_components(postings.join(heads, "value").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()), "hoods")
-
-    sizes = hoods.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    sizes = sizes.select(F.col("component").alias("hood"), "members", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = hoods.select("node", F.col("component").alias("hood")).join(sizes, "hood").join(classes.select("node", "key", "first_id"), "node")
-    source = docs.select(docs[id_col].alias("first_id"), docs[text].cast("string").alias("text"))
-    members = saved(members.join(source, members["first_id"].eqNullSafe(source["first_id"])).select("node", "hood", "members", "blocks", "key", "text"), "members")
-
-    spread = F.xxhash64("node", F.lit(7))
-    own = F.pmod(spread, F.col("blocks"))
-    many = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(11)), F.col("members")) < PIVOTS)
-    # a neighbourhood of one block is settled by its task; only the others have components to join
-    whole = F.col("blocks") == 1
-    blocks = members.select("node", "hood", "key", "text", F.explode(F.when(pivot, many).otherwise(F.array(own))).alias("block"), whole.alias("whole"))
-    links = saved(blocks.groupBy("hood", "block").applyInPandas(_kernel(words, percent, matches, False), "a long, b long, whole boolean"), "links")
-    found = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        found = found.unionByName(_residual(large, connected_components(links.where("NOT whole")), words, percent, matches))
-    labels = classes.select("key", "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = labels.join(first, "component").select("key", "component_id")
-    out = sketched.select(id_col, "n_shingles", "key").join(labels, "key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id")).cast(id_type)
-    forget(postings, hoods, members)
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
-
-
-def _residual(large: DataFrame, labels: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
-    """``labels`` (node, component) of large neighbourhoods, joined by the links that blocks and
-    pivots could not see."""
-    rows = saved(large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    counts = rows.groupBy("hood", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("hood").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
-    rows = rows.join(largest.select("hood", "main", (F.ceil((F.col("all") - F.col("most")) / BLOCK)).cast("long").alias("outer_blocks")), "hood")
-    zero = F.lit(0).cast("long")
-    spread = F.xxhash64("node", F.lit(7))
-    # each class outside the largest component against every block of the neighbourhood
-    outside = rows.where("component <> main").select(
-        "node", "hood", "component", "key", "text", F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("outer_blocks")).alias("outer"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block")
-    )
-    inside = rows.select("node", "hood", "component", "key", "text", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("outer_blocks") - 1)).alias("outer"), F.pmod(spread, F.col("blocks")).alias("block"))
-    more = saved(outside.unionByName(inside).groupBy("hood", "outer", "block").applyInPandas(_kernel(words, percent, matches, True), "a long, b long, whole boolean"), "links")
-    if more.isEmpty():
-        return labels
-    # the new links join components, so only components are joined again
-    of = labels.select("node", "component")
-    joined = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    nodes = of.unionByName(joined.join(of.select(F.col("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
-    return nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    heads = saved(postings.groupBy("value").agg(F.min("node").alias("head")), "heads")
+    pairs = postings.join(heads, "value").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    found = saved(candidates(pairs, classes, percent, matches), "candidates")
+    forget(heads)
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """Whole texts of the classes in ``pairs``, one row a class."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = saved(classes.join(nodes, "node").select("node", F.col("source.__id").alias("want_id"), F.col("source.hash").alias("want_hash")), "wanted")
+        rows = body.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("__id").eqNullSafe(F.col("want_id")))
+        # repeated rows give a class's text more than once
+        texts = saved(rows.groupBy("node").agg(F.first("__text").alias("text")), "texts")
+        forget(wanted)
+        return texts
+
+    # the best head of each class first; what it joins need not be confirmed again
+    best = found.groupBy("a").agg(F.max_by("b", F.struct("collisions", -F.col("b"))).alias("b"))
+    texts = texts_of(found)
+    links = saved(confirmed(best, texts, words, percent), "links")
+    labels = extended(None, links)
+    rest = labelled(labelled(found.join(best, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+    more = saved(confirmed(rest, texts, words, percent), "links")
+    labels = extended(labels, more)
+    forget(links, more, texts)
+    cross = crossing(postings, labels)
+    new = saved(candidates(cross.join(found, ["a", "b"], "left_anti"), classes, percent, matches), "candidates")
+    if not new.isEmpty():
+        texts = texts_of(new)
+        more = saved(confirmed(new, texts, words, percent), "links")
+        labels = extended(labels, more)
+        forget(more, texts)
+    forget(postings, found, cross, new)
+
+    named = saved(labelled(classes.select("key", "node", "first_id"), labels, "node", "component"), "named")
+    first = saved(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "first")
+    named = named.join(first, "component").select("key", "component_id")
+    forget(classes, labels)
+    out = sketched.select("__id", "n_shingles", "key").join(named, "key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("__id")).otherwise(F.col("component_id")).cast(body.schema["__id"].dataType)
+    return out.select(F.col("__id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))

@@ -66,10 +66,8 @@ def test_near_copies_around_the_threshold(spark):
     assert result(near_dedup.near_duplicates(table(spark, rows), words=2)) == brute(rows, 2)
 
 
-def test_large_neighbourhoods_lose_no_link(spark, monkeypatch):
-    """Blocks of a few rows and few pivots: the residual search must find the rest."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+def test_large_neighbourhoods_lose_no_link(spark):
+    """Lists whose head is not alike all members: the crossing pairs must find the rest."""
     chance = random.Random(3)
     rows = variants(chance, 90, 50, 6) + variants(chance, 20, 40, 3, 1000)
     want = brute(rows, 2)
