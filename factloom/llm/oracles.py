@@ -140,17 +140,31 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id,
 
 
 def licenses_sql(dice: float = licenses.DICE) -> str:
-    rows = ", ".join(f"({i}, {_quoted(name)}, [{', '.join(_quoted(g) for g in grams)}])" for i, (name, grams) in enumerate(licenses.prepared()))
+    """Dice of bags, from the definition: bigrams are counted on both sides, and the smaller counts add up."""
+    low, high = f"{dice / (2 - dice)}::DOUBLE", f"{(2 - dice) / dice}::DOUBLE"
+    templates = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    plain = "trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
-WITH t(no, license, grams) AS (VALUES {rows}),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS body FROM documents),
-u AS (SELECT DISTINCT r, trim(regexp_replace(unit, '[ \\n]+', ' ', 'g')) AS unit FROM (
-  SELECT r, unnest(string_split(body, chr(10))) AS unit FROM d UNION ALL SELECT r, unnest(string_split_regex(body, '\\n ?\\n')) FROM d UNION ALL SELECT r, body FROM d)),
-g0 AS (SELECT r, string_split(unit, ' ') AS w FROM u),
-g AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM g0 WHERE len(w) BETWEEN 2 AND 1000),
-m AS (SELECT r, license, max(2.0::DOUBLE * len(list_distinct(list_intersect(pairs, grams))) / (len(pairs) + len(grams))) AS dice FROM g, t
-  WHERE len(pairs) BETWEEN {dice / (2 - dice)}::DOUBLE * len(grams) AND {(2 - dice) / dice}::DOUBLE * len(grams) GROUP BY r, no, license, pairs),
-b AS (SELECT r, license, max(dice) AS dice FROM m WHERE dice >= {dice} GROUP BY r, license),
+WITH t0(no, license, body) AS (VALUES {templates}),
+t1 AS (SELECT no, license, string_split({plain.format('lower(body)')}, ' ') AS w FROM t0),
+t2 AS MATERIALIZED (SELECT no, license, len(w) - 1 AS m, unnest({pairs}) AS g FROM t1),
+tg AS MATERIALIZED (SELECT no, any_value(license) AS license, any_value(m) AS m, g, count(*) AS c FROM t2 GROUP BY no, g),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS body FROM documents),
+l AS MATERIALIZED (SELECT r, body FROM d WHERE regexp_matches(body, {_quoted('|'.join(licenses.STEMS))})),
+p0 AS MATERIALIZED (SELECT r, unnest(range(len(p))) AS place, unnest(p) AS raw FROM (SELECT r, string_split_regex(body, '\n[ \t\r]*\n') AS p FROM l)),
+p1 AS (SELECT r, place, {plain.format('raw')} AS unit FROM p0),
+p2 AS (SELECT r, place, unit, string_split(unit, ' ') AS w FROM p1 WHERE contains(unit, ' ')),
+p3 AS (SELECT r, place, unit, unnest(list_distinct({pairs})) AS g FROM p2),
+p4 AS (SELECT r, place, unit, 2 * count(*) FILTER (g IN (SELECT g FROM tg)) >= count(*) AS licensed FROM p3 GROUP BY ALL),
+p5 AS (SELECT r, place, unit, licensed, row_number() OVER (PARTITION BY r ORDER BY place) - row_number() OVER (PARTITION BY r, licensed ORDER BY place) AS run FROM p4),
+u AS (SELECT DISTINCT r, unit FROM (
+  SELECT r, {plain.format('x')} AS unit FROM (SELECT r, unnest(string_split(body, chr(10))) AS x FROM l UNION ALL SELECT r, unnest(string_split_regex(raw, '[.!?]+[ \t\r\n]+')) FROM p0 UNION ALL SELECT r, raw FROM p0 UNION ALL SELECT r, body FROM l)
+  UNION ALL SELECT r, string_agg(unit, ' ' ORDER BY place) FROM p5 WHERE licensed GROUP BY r, run)),
+v AS MATERIALIZED (SELECT row_number() OVER () AS v, r, len(w) - 1 AS n, w FROM (SELECT r, string_split(unit, ' ') AS w FROM u) WHERE len(w) BETWEEN 2 AND 20000),
+vg AS (SELECT v, g, count(*) AS c FROM (SELECT v, unnest({pairs}) AS g FROM v) GROUP BY v, g),
+m AS (SELECT v, no, any_value(license) AS license, any_value(m) AS m, sum(least(vg.c, tg.c)) AS common FROM vg JOIN tg USING (g) GROUP BY v, no),
+b AS (SELECT r, license, max(2.0::DOUBLE * common / (n + m)) AS dice FROM m JOIN v USING (v) WHERE n BETWEEN {low} * m AND {high} * m AND 2.0::DOUBLE * common / (n + m) >= {dice} GROUP BY r, license),
 a AS (SELECT r, arg_min(license, (-dice, license)) AS license, round(max(dice), 6) AS dice, string_agg(license, ',' ORDER BY dice DESC, license) AS licenses FROM b GROUP BY r)
 SELECT doc_id, license, a.dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN a USING (r)
 """

@@ -132,6 +132,39 @@ def test_licenses_equal_sql(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_every_template_equals_itself(spark):
+    rows = [(i, t, "en", "s") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: {m.license: m.dice for m in r.matches} for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert len(licenses.TEMPLATES) > 30
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        assert got[i][name] == 1.0, name
+
+
+def test_licenses_inside_longer_texts(spark):
+    text = dict(licenses.whole_texts())
+    prose = "The river runs past the old mill.\nThe miller counts his sacks.\n\n" * 20
+    bsd = next(t for n, t in licenses.NOTICES if n == "BSD-3-Clause" and len(t) > 500)
+    rows = [
+        (1, prose + text["BSD-3-Clause"] + "\n\n" + prose, "en", "s"), (2, prose + text["GPL-2.0"] + "\n\n" + prose, "en", "s"), (3, bsd, "en", "s"),
+        (4, "Some words first. Released under the MIT License. Contact the author.", "en", "s"), (5, text["CC0-1.0"], "en", "s"), (6, text["LGPL-3.0"], "en", "s"),
+        (7, text["MIT"].replace("\n\n", "\n"), "en", "s"), (8, "Copyright law is a matter of taste. " * 300, "en", "s"), (9, prose + text["MIT"] + "\n\n" + prose + text["Apache-2.0"], "en", "s"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert {i: r.license for i, r in got.items()} == {1: "BSD-3-Clause", 2: "GPL-2.0", 3: "BSD-3-Clause", 4: "MIT", 5: "CC0-1.0", 6: "LGPL-3.0", 7: "MIT", 8: None, 9: "Apache-2.0"}
+    assert {m.license for m in got[9].matches} == {"MIT", "Apache-2.0"} and got[2].dice == 1.0
+
+
+def brute_dice(a, b):
+    a, b = Counter(licenses.bigrams(a)), Counter(licenses.bigrams(b))
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+def test_dice_counts_repeated_bigrams(spark):
+    (name, text), repeated = licenses.NOTICES[0], "Licensed under the Apache License Version 2.0 Licensed under the"
+    r = licenses.scan_licenses(table(spark, [(1, repeated, "en", "s")]), templates=((name, text),), dice=0.5).first()
+    assert math.isclose(r.dice, brute_dice(repeated, text))
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan_licenses(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
