@@ -6,8 +6,10 @@ A tile is the resized image as an NPY file; the difference hash compares neighbo
 grey tile.
 
 Cases: null media gives null results; bytes that are no supported image give null results too, with
-``error`` saying why; repeated rows get equal values; an empty table gives an empty table; other
-columns are not looked at. Heights and widths are only bounded by the bytes given.
+``error`` saying why (cut short, sizes beyond the bytes given, samples above the maximum, a maximum
+that is not 1 to 65535, channel masks in another order); repeated rows get equal values; an empty
+table gives an empty table; other columns are not looked at. Heights and widths are only bounded by
+the bytes given; resizing works in strips, so beside the samples it holds a fraction of them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.common import slices
+
 #: Row width of stored payloads: 64 pixels of 3 samples.
 WIDTH, SAMPLES = 64, 3
 UNIT = WIDTH * SAMPLES
+#: Samples that are widened at once.
+STRIP = 1 << 20
 
 
 def encode_ppm(image: np.ndarray) -> bytes:
@@ -52,6 +59,11 @@ def _netpbm(raw: bytes) -> np.ndarray:
         at = found.end()
     w, h, most = [*header, 1][:3]
     depth = 3 if kind in (3, 6) else 1
+    if not 0 < most < 65536:
+        raise ValueError("the maximum of Netpbm samples is not 1 to 65535")
+    # each sample takes a byte at least, or a bit; so no size is taken on trust
+    if w * h * depth > (8 if kind == 4 else 1) * len(raw):
+        raise ValueError("Netpbm samples are cut short")
     if kind == 1:
         values = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", raw[at:]), np.uint8)[: w * h] - 48
     elif kind < 4:
@@ -63,6 +75,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
         values = np.frombuffer(raw, ">u2" if most > 255 else np.uint8, w * h * depth, at + 1)
     if values.size != w * h * depth:
         raise ValueError("Netpbm samples are cut short")
+    if values.size and not 0 <= int(values.min()) <= int(values.max()) <= most:
+        raise ValueError("Netpbm samples exceed their maximum")
     if kind in (1, 4):
         values = (1 - values.astype(np.int64)) * 255  # a set bit is black
     elif most != 255:
@@ -75,6 +89,10 @@ def _bmp(raw: bytes) -> np.ndarray:
     bits, packed = struct.unpack_from("<HI", raw, 28)
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 and 32 bits")
+    if w <= 0:
+        raise ValueError("a BMP without columns")
+    if packed == 3 and (bits != 32 or struct.unpack_from("<III", raw, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("BMP channel masks in another order than blue, green, red")
     line, n = -(-w * bits // 32) * 4, abs(h)
     rows = np.frombuffer(raw, np.uint8, line * n, start).reshape(n, line)[:, : w * bits // 8]
     if h > 0:
@@ -95,24 +113,39 @@ def decode(raw: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each target pixel covers, fractions of pixels included."""
-    samples = image.reshape(image.shape[0], image.shape[1], -1)
+def _along(values: np.ndarray, size: int) -> np.ndarray:
+    """Means of ``size`` equal parts of the first axis, by differences of running sums, in strips."""
+    n, other = values.shape[0], values.shape[1:]
+    out, edge = np.empty((size, *other)), np.arange(size + 1) * n
+    step = max(1, STRIP // max(1, int(np.prod(other)) * -(-n // size)))
+    for i in range(0, size, step):
+        j = min(size, i + step)
+        low, high = edge[i] // size, -(-edge[j] // size)
+        whole = np.concatenate([np.zeros((1, *other)), np.cumsum(values[low:high], axis=0, dtype=np.float64)])
+        at, part = edge[i : j + 1] // size - low, (edge[i : j + 1] % size / size).reshape(-1, *[1] * len(other))
+        sums = whole[at] + part * (whole[np.minimum(at + 1, high - low)] - whole[at])
+        out[i:j] = np.diff(sums, axis=0) * (size / n)
+    return out
 
-    def along(values: np.ndarray, size: int) -> np.ndarray:
-        n = values.shape[0]
-        whole = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-        edge = np.arange(size + 1) * n
-        at, part = edge // size, (edge % size / size).reshape(-1, *[1] * (values.ndim - 1))
-        sums = whole[at] + part * (whole[np.minimum(at + 1, n)] - whole[at])
-        return np.diff(sums, axis=0) * (size / n)
 
-    small = along(along(samples, height).swapaxes(0, 1), width).swapaxes(0, 1)
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the area that each target pixel covers, fractions of pixels included. The longer axis
+    goes first, so what lies between is small."""
+    samples = image.reshape(image.shape[0], image.shape[1], -1)
+    if image.shape[0] >= image.shape[1]:
+        small = _along(_along(samples, height).swapaxes(0, 1), width).swapaxes(0, 1)
+    else:
+        small = _along(_along(samples.swapaxes(0, 1), width).swapaxes(0, 1), height)
     return np.clip(np.rint(np.round(small, 6)), 0, 255).astype(np.uint8).reshape((height, width) if image.ndim == 2 else (height, width, -1))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else ((image.astype(np.int64) @ np.array([299, 587, 114]) + 500) // 1000).astype(np.uint8)
+    if image.ndim == 2:
+        return image
+    pixels, out = image.reshape(-1, 3), np.empty(image.shape[0] * image.shape[1], np.uint8)
+    for i in range(0, len(out), STRIP):
+        out[i : i + STRIP] = (pixels[i : i + STRIP].astype(np.int64) @ np.array([299, 587, 114]) + 500) // 1000
+    return out.reshape(image.shape[:2])
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -154,20 +187,17 @@ def media_columns(table: DataFrame, media: str = "media", keep: tuple[str, ...]
             return (None,) * 6
         try:
             image = decode(raw)
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, OverflowError, struct.error, IndexError) as e:
             return *(None,) * 5, str(e)[:200]
         if not image.size:
             return *(None,) * 5, "an image without samples"
         return image.shape[0], image.shape[1], image.tobytes(), npy(area_resize(image, *tile)), difference_hash(image), None
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch, len(keep)):
                 rows = [one(raw) for raw in part.column(len(keep)).to_pylist()]
                 made = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
-
-

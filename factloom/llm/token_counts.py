@@ -5,6 +5,10 @@ Each slice of texts becomes its distinct pre-tokens, held as one ragged numpy ar
 and all pre-tokens apply theirs at once; rounds end when no pair has a rank. The symbols that
 survive are the tokens of the pre-token, and a text's count is the sum over its pre-tokens.
 
+A pre-token of more than ``LONG`` symbols (base64, unspaced script) is merged by itself, by the same
+rule: its pairs are filed by rank, the lowest rank is taken at all its places at once, and only the
+pairs beside them are looked up anew. So its time grows with its length, not with the square.
+
 The normaliser and the splitting pattern are read from the tokenizer file. Texts in ASCII and the
 Latin blocks are normalised and split here; other texts go through the tokenizer library's
 normaliser and splitter, whose Unicode tables are then the authority. Special strings inside a text
@@ -16,6 +20,7 @@ an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections import Counter
@@ -29,8 +34,10 @@ from factloom.llm.common import map_texts
 
 #: Code points below this have settled properties in all Unicode versions in use.
 SETTLED = 0x250
-#: Distinct pre-tokens a task remembers between slices; the memory forgets all when full.
-REMEMBERED = 1 << 18
+#: Distinct pre-tokens a task remembers between slices, up to so many letters; the memory forgets all when full.
+REMEMBERED, SHORT = 1 << 18, 64
+#: Symbols beyond which a pre-token is merged by itself.
+LONG = 512
 
 
 class RankMerger:
@@ -59,7 +66,8 @@ class RankMerger:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.specials = sorted(special, key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if special else None
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings; those of foreign scripts as byte symbols with a NUL before."""
@@ -73,17 +81,77 @@ class RankMerger:
         units = list(pretoken[1:]) if pretoken[0] == "\0" and len(pretoken) > 1 else [self.symbol[b] for b in pretoken.encode()]
         return [*(self.of_char[u] for u in units[:-1]), self.of_last[units[-1]]]
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges stands for none."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], len(self.keys))
+
+    def merge_long(self, row: list[int]) -> int:
+        """Number of symbols that survive in one long row."""
+        n, none = len(row), len(self.keys)
+        # the place behind the last has a symbol of no pair
+        symbol = np.array([*row, -1], np.int64)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        filed: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(places: np.ndarray, ranks: np.ndarray) -> None:
+            places, ranks = places[ranks < none], ranks[ranks < none]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for part, rank in zip(np.split(places, cuts), ranks[np.r_[0, cuts]].tolist() if len(ranks) else [], strict=False):
+                if rank not in filed:
+                    filed[rank] = []
+                    heapq.heappush(heap, rank)
+                filed[rank].append(part)
+
+        def rank_at(places: np.ndarray) -> np.ndarray:
+            right = symbol[after[places]]
+            return np.where(right < 0, none, self.ranks_of(symbol[places], np.maximum(right, 0)))
+
+        left = n
+        file(np.arange(n - 1), self.ranks_of(symbol[: n - 1], symbol[1:n]))
+        while heap:
+            rank = heapq.heappop(heap)
+            places = np.unique(np.concatenate(filed.pop(rank)))
+            places = places[symbol[places] >= 0]
+            places = places[rank_at(places) == rank]
+            if not len(places):
+                continue
+            # of overlapping places in a run (a a a) the first, third, ... apply, from the left
+            fresh = np.r_[True, after[places[:-1]] != places[1:]]
+            at = np.arange(len(places))
+            places = places[(at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0]
+            gone = after[places]
+            symbol[places] = self.made[rank]
+            symbol[gone] = -2
+            after[places] = after[gone]
+            before[after[places]] = places
+            left -= len(places)
+            near = before[places]
+            near = np.concatenate([places, near[near >= 0]])
+            # a place beside two merges may be filed twice; it is taken once
+            file(near, rank_at(near))
+        return left
+
     def merge(self, rows: list[list[int]]) -> np.ndarray:
         """Number of symbols that survive in each row."""
+        long = [i for i, r in enumerate(rows) if len(r) > LONG]
+        if long:
+            final = np.zeros(len(rows), np.int64)
+            short = [i for i, r in enumerate(rows) if len(r) <= LONG]
+            final[short] = self.merge([rows[i] for i in short])
+            final[long] = [self.merge_long(rows[i]) for i in long]
+            return final
         lengths = np.array([len(r) for r in rows], np.int64)
         flat = np.fromiter((s for r in rows for s in r), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(rows)), lengths)
         none = len(self.keys)
         final = lengths.copy()
         while len(flat) > 1:
-            keys = flat[:-1] * self.width + flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), none - 1)
-            rank = np.where((self.keys[at] == keys) & (owner[:-1] == owner[1:]), self.ranks[at], none)
+            rank = np.where(owner[:-1] == owner[1:], self.ranks_of(flat[:-1], flat[1:]), none)
             best = np.full(len(rows), none, np.int64)
             np.minimum.at(best, owner[:-1], rank)
             hit = (rank < none) & (rank == best[owner[:-1]])
@@ -115,7 +183,7 @@ def counter(path: str):
             text = text or ""
             sizes.append(len(text.encode("utf-8", "surrogatepass")))
             parts, n = [text], 0
-            if merger.special and "<|" in text:
+            if any(special in text for special in merger.specials):
                 n = len(merger.special.findall(text))
                 parts = merger.special.split(text)
             extra.append(n)
@@ -124,9 +192,10 @@ def counter(path: str):
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list({p for bag in bags for p in bag})
-        if new:
-            known.update(zip(new, merger.merge([merger.symbols(p) for p in new]).tolist(), strict=True))
-        return sizes, [n + sum(known[p] * k for p, k in bag.items()) for n, bag in zip(extra, bags, strict=True)]
+        here = dict(zip(new, merger.merge([merger.symbols(p) for p in new]).tolist(), strict=True)) if new else {}
+        counts = [n + sum((here[p] if p in here else known[p]) * k for p, k in bag.items()) for n, bag in zip(extra, bags, strict=True)]
+        known.update((p, n) for p, n in here.items() if len(p) <= SHORT)
+        return sizes, counts
 
     return work
 

@@ -80,3 +80,42 @@ def test_null_and_clashing_columns(spark):
 
     stored = table(spark).select("doc_id", media.text_media(F.col("text")).alias("media"), F.col("size").alias("height"))
     assert all(r.error is None for r in media.media_columns(stored).collect())
+
+
+def test_malformed_media_gives_an_error(spark, image):
+    import struct
+
+    bmp = media.encode_bmp(image)
+    masks = lambda r, g, b: struct.pack("<2sIHHI", b"BM", 0, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0) + struct.pack("<III", r, g, b) + bytes([1, 2, 3, 0])
+    bad = [
+        b"P5 99999999999999999999 1 255\n" + b"x" * 50, b"P5 4294967296 4294967296 255\n" + b"x" * 50, b"P2 1 1 255 99999999999999999999", b"P2 2 1 15 16 0", b"P2 1 1 255 -3", b"P5 1 1 0\nx", b"P5 1 1 70000\nxx",
+        b"P1 2 1 1 7", b"P6 1 1 100\n\xff\xff\xff", b"P5 " + b"9" * 5000, masks(0xFF, 0xFF00, 0xFF0000), bmp[:18] + struct.pack("<i", -7) + bmp[22:], bmp[:18] + struct.pack("<i", 2**31 - 1) + bmp[22:], bmp[:22] + struct.pack("<i", 0) + bmp[26:], bmp[:10] + b"\xff\xff\xff\xff" + bmp[14:],
+    ]
+    frame = spark.createDataFrame(list(enumerate(bad)), "doc_id long, media binary")
+    got = media.media_columns(frame).collect()
+    assert [r.doc_id for r in got if not r.error or r.samples is not None] == []
+    assert media.decode(masks(0xFF0000, 0xFF00, 0xFF)).tolist() == [[[3, 2, 1]]]
+
+
+def test_noise_never_fails():
+    import random
+    import struct
+
+    chance = random.Random(9)
+    for i in range(3000):
+        raw = bytearray(chance.choice([b"P1 ", b"P2 3 2 9 ", b"P3 1 1 255 ", b"P4 9 9\n", b"P5 2 2 255\n", b"P6 1 2 300\n", media.encode_bmp(np.zeros((3, 2, 3), np.uint8))]) + chance.randbytes(chance.randint(0, 60)))
+        for _ in range(chance.randint(0, 6)):
+            raw[chance.randrange(2, len(raw))] = chance.choice(b"0123456789 \n#\x00\xff")
+        try:
+            shape = media.decode(bytes(raw)).shape
+        except (ValueError, OverflowError, struct.error, IndexError):
+            continue
+        assert np.prod(shape) <= 8 * 256 * len(raw), i
+
+
+def test_resizing_in_strips(image, monkeypatch):
+    whole = [media.area_resize(image, 5, 3), media.area_resize(image[:1], 4, 4), media.area_resize(image[:, :2], 9, 9)]
+    hashed = media.grey(image)
+    monkeypatch.setattr(media, "STRIP", 16)
+    parts = [media.area_resize(image, 5, 3), media.area_resize(image[:1], 4, 4), media.area_resize(image[:, :2], 9, 9)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and (media.grey(image) == hashed).all()

@@ -89,3 +89,32 @@ def test_counts_equal_the_library(spark, sf):
 def test_empty_tables(spark):
     assert sentencepiece_codec.encode_texts(table(spark, []), PIECES).count() == 0
     assert token_counts.token_counts(table(spark, []), BPE).count() == 0
+
+
+def test_long_pretokens_equal_the_library():
+    import random
+    import time
+
+    library, count = Tokenizer.from_file(BPE), token_counts.counter(BPE)
+    chance = random.Random(5)
+    texts = ["a" * 3001, "ab" * 2000 + "a", "".join(chance.choices("abcdefgh", k=5000)), "".join(chance.choices("ACGT", k=20000)), "中文字" * 700, "x" * 513 + " short " + "y" * 512, "".join(chance.choices("etaoin", k=4000)) * 2]
+    assert count(texts)[1] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    word = "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.perf_counter()
+    (n,) = count([word])[1]
+    took = time.perf_counter() - start
+    assert n == len(library.encode(word, add_special_tokens=False).ids) and took < 20, took
+
+
+def test_special_strings_of_any_form(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({"id": 49999, "content": "[MARK]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["a[MARK]b [MARK]", "no mark", "[MARK]<|endoftext|>"]
+    library = Tokenizer.from_file(path)
+    assert token_counts.counter(path)(texts)[1] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
