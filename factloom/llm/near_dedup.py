@@ -11,17 +11,19 @@
    are counted over all coordinates, pairs with ``MATCHES`` or more are candidates, and a candidate
    is confirmed on the full shingle sets, made from the two whole texts. Only texts of candidates
    are fetched.
-4. Lists whose classes are in one component by now are settled. In the others, classes outside the
-   list's main component meet the classes of all other components, and pairs that are new are counted
-   and confirmed likewise. So each pair of a kept list is confirmed, or is in one component anyway,
+4. Lists whose classes are in one component by now are settled, as are lists of two. The others form
+   a neighbourhood around the component that has most of the list. Classes outside that component
+   meet all classes of the neighbourhood, in blocks of bounded size: collisions are counted over
+   signatures, pairs with ``MATCHES`` or more are confirmed on full sets, and only links that join two
+   components leave a task. So each pair of a kept list is confirmed, or is in one component anyway,
    or falls short of ``MATCHES``; no list, candidate or partner is capped.
 
 At a similarity of exactly 0.8, two texts agree on a coordinate with chance 0.512; the chance that
 they agree on fewer than 9 of 48 is 7.5e-7, and it falls steeply above 0.8.
 
-The worst case of step 4 is a list of many classes that share ``MATCHES`` coordinates or more without
-being alike: its pairs grow with the product of its components. Packed coordinates and the prefix
-make such lists rare; the joins are plain equi-joins that adaptive execution can split.
+The work of step 4 is the number of classes outside the main component times the number of classes of
+the neighbourhood. It is spread over blocks, but grows with the square of a group of texts of which
+many are not quite alike. Packed coordinates and the prefix keep such groups from forming by chance.
 
 Cases: null and empty texts, or texts without words, have an empty set and link with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows fall into one class; a null id takes
@@ -34,6 +36,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,8 @@ from factloom.llm.common import forget, map_texts, saved, slices
 from factloom.llm.components import connected_components
 
 COORDINATES, ROWS, MATCHES = 48, 3, 9
+#: Classes and shingles in a block of a neighbourhood (about).
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 _U = np.uint64
 _WORD, _STEP, _MIX1, _MIX2 = _U(0x100000001B3), _U(0x9E3779B97F4A7C15), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
@@ -202,17 +207,59 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of one list and different components."""
+def block_links(frame: pd.DataFrame, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links of the rows of side 0 with those of side 1 that join two components."""
+    frame = frame.sort_values(["side", "node"])
+    nodes, n, texts = frame["node"].tolist(), frame["n"].to_numpy(), frame["text"].tolist()
+    label = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+    table = np.stack(frame["signature"].to_numpy())
+    left = int((frame["side"] == 0).sum())
+    pairs = []
+    for i in range(left):
+        found = left + np.flatnonzero((label[left:] != label[i]) & (100 * np.minimum(n[left:], n[i]) >= percent * np.maximum(n[left:], n[i])))
+        found = found[(table[found] == table[i]).sum(axis=1) >= matches]
+        pairs += [(i, j) for j in found.tolist()]
+    busy = sorted({k for pair in pairs for k in pair})
+    sets = dict(zip(busy, shingle_sets([texts[k] for k in busy], words), strict=True))
+    out = []
+    for i, j in pairs:
+        if label[i] == label[j]:
+            continue
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            label[label == label[j]] = label[i]
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def neighbourhood_links(postings: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) between the components of lists that hold several."""
     rows = saved(labelled(postings, labels, "node", "component"), "members")
     counts = rows.groupBy("value", "component").agg(F.count("*").alias("n"))
-    main = saved(counts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
-    mixed = saved(rows.join(main, "value"), "mixed-members")
-    outside = mixed.where("component <> main").select("value", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = outside.join(mixed.select("value", F.col("node").alias("y"), F.col("component").alias("cy")), "value").where("cx <> cy")
-    pairs = saved(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "crossing")
-    forget(rows, main, mixed)
-    return pairs
+    # the one pair of a list of two was its head's
+    main = counts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("hood"), F.count("*").alias("parts"), F.sum("n").alias("length"))
+    main = saved(main.where("parts > 1 AND length > 2").select("value", "hood"), "mixed")
+    mixed = rows.join(main, "value").select("hood", "node", "component").distinct().join(classes.select("node", "n", "signature"), "node")
+    whole = saved(mixed.join(texts, "node"), "mixed-members")
+    outside = F.col("component") != F.col("hood")
+    parts = lambda count, shingles: F.ceil(F.greatest(F.lit(1), count / BLOCK, shingles / BLOCK_SHINGLES)).cast("long")
+    sizes = whole.groupBy("hood").agg(
+        parts(F.count("*"), F.sum("n")).alias("blocks"), parts(F.count_if(outside), F.sum(F.when(outside, F.col("n")).otherwise(0))).alias("outer_blocks")
+    )
+    sizes = saved(sizes, "sizes")
+    mixed = whole.join(sizes, "hood")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    columns = ("hood", "node", "component", "n", "signature", "text")
+    left = mixed.where(outside).select(*columns, F.lit(0).alias("side"), spread("outer_blocks", 13).alias("outer"), every("blocks").alias("block"))
+    right = mixed.select(*columns, F.lit(1).alias("side"), every("outer_blocks").alias("outer"), spread("blocks", 7).alias("block"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(frame, words, percent, matches), columns=["a", "b"])
+
+    links = saved(left.unionByName(right).groupBy("hood", "outer", "block").applyInPandas(run, "a long, b long"), "links")
+    forget(rows, main, whole, sizes)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
@@ -227,35 +274,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     heads = saved(postings.groupBy("value").agg(F.min("node").alias("head")), "heads")
     pairs = postings.join(heads, "value").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     found = saved(candidates(pairs, classes, percent, matches), "candidates")
-    forget(heads)
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """Whole texts of the classes in ``pairs``, one row a class."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = saved(classes.join(nodes, "node").select("node", F.col("source.__id").alias("want_id"), F.col("source.hash").alias("want_hash")), "wanted")
-        rows = body.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("__id").eqNullSafe(F.col("want_id")))
-        # repeated rows give a class's text more than once
-        texts = saved(rows.groupBy("node").agg(F.first("__text").alias("text")), "texts")
-        forget(wanted)
-        return texts
+    # whole texts of the classes that collide with others, one row a class
+    wanted = saved(classes.join(postings.select("node").distinct(), "node").select("node", F.col("source.__id").alias("want_id"), F.col("source.hash").alias("want_hash")), "wanted")
+    rows = body.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("__id").eqNullSafe(F.col("want_id")))
+    # repeated rows give a class's text more than once
+    texts = saved(rows.groupBy("node").agg(F.first("__text").alias("text")), "texts")
+    forget(heads, wanted)
 
     # the best head of each class first; what it joins need not be confirmed again
     best = found.groupBy("a").agg(F.max_by("b", F.struct("collisions", -F.col("b"))).alias("b"))
-    texts = texts_of(found)
     links = saved(confirmed(best, texts, words, percent), "links")
     labels = extended(None, links)
     rest = labelled(labelled(found.join(best, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
     more = saved(confirmed(rest, texts, words, percent), "links")
     labels = extended(labels, more)
-    forget(links, more, texts)
-    cross = crossing(postings, labels)
-    new = saved(candidates(cross.join(found, ["a", "b"], "left_anti"), classes, percent, matches), "candidates")
-    if not new.isEmpty():
-        texts = texts_of(new)
-        more = saved(confirmed(new, texts, words, percent), "links")
-        labels = extended(labels, more)
-        forget(more, texts)
-    forget(postings, found, cross, new)
+    across = neighbourhood_links(postings, labels, classes, texts, words, percent, matches)
+    labels = extended(labels, across)
+    forget(postings, found, texts, links, more, across)
 
     named = saved(labelled(classes.select("key", "node", "first_id"), labels, "node", "component"), "named")
     first = saved(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "first")
