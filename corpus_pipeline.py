@@ -25,8 +25,8 @@ def _documents(df: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes failed lines; documents that the rules reject go."""
-    judged = quality.quality_rules(docs, keep=("doc_id", "lang", "source"), paragraphs=True)
+    """Removes failed lines; documents that the rules reject go. A text is not bad for being short: one word is enough."""
+    judged = quality.quality_rules(docs, keep=("doc_id", "lang", "source"), min_words=1)
     return _documents(judged.where("kept"), "clean_text")
 
 

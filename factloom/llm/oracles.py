@@ -71,23 +71,31 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha25
 
 
 def quality_sql() -> str:
-    ends, phrases = _quoted(quality.ENDINGS), _quoted("|".join(quality.BOILERPLATE))
+    ends, phrases, marks = _quoted(quality.ENDINGS), _quoted("|".join(quality.BOILERPLATE)), _quoted(quality.ENDINGS + quality.STOPS)
+    stop = _quoted(f"[{_class(quality.STOPS)}](?:[\\x20\\x09-\\x0D]|$)")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
 p AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, len(words) AS n FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
 m AS (SELECT r, i, n, i <= n - 2 AND count(*) OVER (PARTITION BY r, a, b, c, i <= n - 2) > 1 AS many FROM p),
 q AS (SELECT r, many OR coalesce(lag(many) OVER o, false) OR coalesce(lag(many, 2) OVER o, false) AS inside FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),
 rep AS (SELECT r, count(*) FILTER (inside) AS n_repeat_words FROM q GROUP BY r),
 l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM d),
-l1 AS (SELECT r, place, line, regexp_replace(line, '{_EDGES}', '', 'g') AS body, len(regexp_extract_all(line, '{_WORD}')) AS n, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS solid FROM l0),
-l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY place) > 1 AS again FROM l1 WHERE n > 0),
-l3 AS (SELECT r, again, solid, again
-  OR length(regexp_replace(body, '[^{_class(quality.SEPARATORS)}]', '', 'g')) >= {quality.MAX_SEPARATORS}
-  OR (n >= {quality.SENTENCE_WORDS} AND strpos({ends}, right(body, 1)) = 0 AND place < max(place) OVER (PARTITION BY r))
-  OR (n >= {quality.DENSE_WORDS} AND 100 * length(regexp_replace(body, {_quoted('[^' + _class(quality.PUNCTUATION) + ']')}, '', 'g')) > {quality.MAX_PUNCTUATION} * solid)
-  OR regexp_matches(translate(body, '{_UPPER}', '{_LOWER}'), {phrases}) AS fails FROM l2),
-ln AS (SELECT r, count(*) FILTER (again) AS dup, count(*) FILTER (fails) AS removed, coalesce(sum(solid) FILTER (fails), 0) AS lost FROM l3 GROUP BY r),
+l1 AS MATERIALIZED (SELECT r, place, line, regexp_replace(line, '{_EDGES}', '', 'g') AS body, len(regexp_extract_all(line, '{_WORD}')) AS n, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS solid FROM l0),
+x0 AS (SELECT t, min(r) AS r FROM d GROUP BY t),
+x1 AS (SELECT r, place, body, n, coalesce(lag(words) OVER o, [])[-{quality.BESIDE}:] AS before, coalesce(lead(words) OVER o, [])[1:{quality.BESIDE}] AS after FROM (SELECT *, regexp_extract_all(body, '{_WORD}') AS words FROM l1) WHERE n > 0 AND r IN (SELECT r FROM x0) WINDOW o AS (PARTITION BY r ORDER BY place)),
+x2 AS (SELECT * FROM x1 WHERE n < {quality.SENTENCE_WORDS} QUALIFY row_number() OVER (PARTITION BY r, body ORDER BY place) = 1),
+common AS (SELECT body FROM x2 GROUP BY body HAVING count(*) >= {quality.COMMON_TEXTS} AND count(*) >= {quality.COMMON_SHARE}::DOUBLE * (SELECT count(*) FROM d) AND 2 * count(DISTINCT (before, after)) >= count(*)),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY place) > 1 AS again, place = max(place) OVER (PARTITION BY r) AS final,
+  length(regexp_replace(body, '[^{_class(quality.SEPARATORS)}]', '', 'g')) < {quality.MAX_SEPARATORS}
+  AND NOT (n >= {quality.DENSE_WORDS} AND 100 * length(regexp_replace(body, {_quoted('[^' + _class(quality.PUNCTUATION) + ']')}, '', 'g')) > {quality.MAX_PUNCTUATION} * solid)
+  AND NOT (n < {quality.SENTENCE_WORDS} AND body IN (SELECT body FROM common))
+  AND NOT regexp_matches(translate(body, '{_UPPER}', '{_LOWER}'), {phrases}) AS passes FROM l1 WHERE n > 0),
+l3 AS (SELECT *, passes AND NOT again AS sound, place - row_number() OVER (PARTITION BY r, passes AND NOT again ORDER BY place) AS run FROM l2),
+par AS (SELECT r, run, strpos({marks}, right(arg_max(body, place), 1)) > 0 OR (bool_or(final) AND bool_or(regexp_matches(body, {stop}))) AS whole FROM l3 WHERE sound GROUP BY r, run),
+l4 AS (SELECT l3.r, again, solid, again OR NOT passes OR (n >= {quality.SENTENCE_WORDS} AND strpos({ends}, right(body, 1)) = 0 AND NOT final AND NOT (sound AND (strpos({marks}, right(body, 1)) > 0 OR whole))) AS fails
+  FROM l3 LEFT JOIN par ON par.r = l3.r AND par.run = l3.run AND sound),
+ln AS (SELECT r, count(*) FILTER (again) AS dup, count(*) FILTER (fails) AS removed, coalesce(sum(solid) FILTER (fails), 0) AS lost FROM l4 GROUP BY r),
 s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^{_class(quality.SYMBOLS)}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed_lines, coalesce(lost, 0) AS lost

@@ -82,11 +82,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), cleaned=False)
 
 
-def op9_quality_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules as the pipeline has them; the SQL of ``op9_quality`` does not say them."""
-    return quality.quality_rules(documents(spark, sf_dir), cleaned=False, paragraphs=True)
-
-
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -102,6 +97,5 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
-    "op9_quality_paragraphs": op9_quality_paragraphs,
     "op10_mixing": op10_mixing,
 }
