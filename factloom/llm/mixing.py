@@ -7,13 +7,14 @@ their quality weight, until the rest of the budget is reached; the document at t
 that comes nearer.
 
 No row is shuffled. Keys are cut into ``BINS`` bins; sums by source and bin find the bin at the edge
-of each source; only that bin's rows are ordered, which gives one edge key for each source; then
-each row compares its key with the edge. A source with a third of all rows is therefore spread over
-all tasks. The table of sources is joined by Spark, which broadcasts it only below its size limit.
+of each source, and that bin is cut again until it holds few rows. Only those rows are ordered, which
+gives one edge key for each source; then each row compares its key with the edge. A source with a
+third of all rows is therefore spread over all tasks. The table of sources is joined by Spark, which
+broadcasts it only below its size limit.
 
 Cases: a null source is a source of its own, last in the order; a null or empty text has size 0 and
 gives nothing; a null id is a valid id; rows with equal id have equal keys and fall together, apart
-from at most one bin's edge; rows that are equal in every respect stand for each other; an empty
+from the row at the edge; rows that are equal in every respect stand for each other; an empty
 table gives an empty table; other columns are not looked at.
 """
 
@@ -23,17 +24,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import WORD, saved, text_of
+from factloom.llm.common import WORD, forget, saved, text_of
 from factloom.llm.quality import PUNCTUATION
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
-BINS = 1024
+#: Bins of each cut (a power of two), and rows of a source's edge bin that are ordered in one task (more only for equal keys).
+BINS, EDGE_ROWS = 1024, 50_000
 
 
 def document_weight(text: Column) -> Column:
-    """Quality weight from 0.5 to 1.5: the share of characters that are no ASCII punctuation."""
-    plain = F.length(F.translate(text, PUNCTUATION, ""))
-    return F.lit(0.5) + F.when(F.length(text) > 0, plain / F.length(text)).otherwise(0.0)
+    """Quality weight from 0.5 to 1.5, of measures that the quality rules use: the share of characters
+    that are no ASCII punctuation, times the share of lines that are no repetition, times the variety
+    of the words (distinct ones over three times the root of their number, 1 at most)."""
+    plain = F.coalesce(F.try_divide(F.length(F.translate(text, PUNCTUATION, "")), F.length(text)), F.lit(0.0))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    fresh = F.coalesce(F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)), F.lit(0.0))
+    words = F.regexp_extract_all(text, F.lit(WORD), 0)
+    variety = F.coalesce(F.try_divide(F.size(F.array_distinct(words)), 3 * F.sqrt(F.size(words))), F.lit(0.0))
+    return F.lit(0.5) + plain * fresh * F.least(F.lit(1.0), variety)
 
 
 def sampling_key(id_col: Column, weight: Column, seed: str = SEED) -> Column:
@@ -84,30 +92,54 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
             F.when(name.isNull(), "0").otherwise(F.concat(F.lit("1"), name)).alias("source_key"),
             F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
             key.alias("key"),
-            F.least(F.lit(BINS - 1), F.floor(F.lit(BINS) * (1 - F.exp(-key))).cast("int")).alias("bin"),
+            F.least(1 - F.exp(-key), F.lit(1 - 2.0**-53)).alias("u"),
         )
 
-    rows = saved(scored(docs, ()), "mix-rows") if not carry else None
-    lean = rows if rows is not None else saved(scored(docs, ()), "mix-rows")
-    bins = saved(lean.groupBy("source_key", "bin").agg(F.max("__source").alias("source"), F.sum("size").alias("words")), "mix-bins")
-    sources = bins.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("words").alias("source_size"))
-    plan = source_targets(sources)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # the bin where the words so far pass the rest
-    upto = F.sum("words").over(Window.partitionBy("source_key").orderBy("bin"))
-    edge = bins.select("source_key", "bin", "words", upto.alias("upto")).join(plan, "source_key")
-    edge = edge.where("upto - words <= rest and rest < upto").select("source_key", F.col("bin").alias("edge_bin"), (F.col("upto") - F.col("words")).alias("before"), "rest")
-    edge = saved(edge, "mix-edge")
-    inside = lean.join(edge, "source_key").where("bin = edge_bin")
+    lean = saved(scored(docs, ()), "mix-rows")
+    cut = lambda low, width: F.floor((F.col("u") - low) / width * BINS).cast("int")
+
+    def edges(rows: DataFrame, plan: DataFrame | None):
+        """Sums by bin, and the bin where the words so far pass the rest: its part of ``u`` and its rows."""
+        bins = rows.groupBy("source_key", "low", "width", "before", cut(F.col("low"), F.col("width")).alias("bin"))
+        bins = saved(bins.agg(F.max("__source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("n")), "mix-bins")
+        if plan is None:
+            plan = saved(planned(bins), "mix-plan")
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source_key").orderBy("bin"))
+        edge = bins.withColumn("upto", upto).join(plan.select("source_key", "rest"), "source_key").where("upto - words <= rest and rest < upto")
+        part = F.col("width") / BINS
+        edge = saved(edge.select("source_key", (F.col("low") + F.col("bin") * part).alias("low"), part.alias("width"), (F.col("upto") - F.col("words")).alias("before"), "n"), "mix-edge")
+        forget(bins)
+        return plan, edge
+
+    def planned(bins: DataFrame) -> DataFrame:
+        sources = bins.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("words").alias("source_size"))
+        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        return source_targets(sources).withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+
+    def inside(edge: DataFrame) -> DataFrame:
+        """Rows of the edge bins. Bounds are multiples of powers of two, so no row falls between two."""
+        rows = lean.join(edge.drop("n"), "source_key")
+        return rows.where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("width")))
+
+    zero = F.lit(0.0)
+    plan, edge = edges(lean.withColumns({"low": zero, "width": F.lit(1.0), "before": F.lit(0).cast("long")}), None)
+    # a bin of equal keys stays as it is: its width falls below what a double can tell apart
+    while not edge.where((F.col("n") > EDGE_ROWS) & (F.col("width") > 1e-13)).isEmpty():
+        fine = edge.where((F.col("n") <= EDGE_ROWS) | (F.col("width") <= 1e-13))
+        _, finer = edges(inside(edge.join(fine.select("source_key"), "source_key", "left_anti")), plan)
+        both = saved(fine.unionByName(finer), "mix-edge")
+        forget(edge, finer)
+        edge = both
     order = Window.partitionBy("source_key").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = inside.where("ahead + size / 2 <= rest").groupBy("source_key").agg(F.max(F.struct("key", "__id", "size")).alias("edge"))
-    plan = saved(plan.join(edge.select("source_key", "edge_bin"), "source_key", "left").join(last, "source_key", "left"), "mix-plan")
-
-    rows = rows if rows is not None else scored(docs, carry)
-    chosen = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & F.coalesce(F.struct("key", "__id", "size") <= F.col("edge"), F.lit(False)))
-    out = rows.join(plan, "source_key").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = inside(edge).withColumn("ahead", ahead).join(plan.select("source_key", "rest"), "source_key").where("ahead + size / 2 <= rest")
+    last = last.groupBy("source_key").agg(F.max(F.struct("key", "__id", "size")).alias("edge"))
+    final = saved(plan.join(edge.select("source_key", F.col("low").alias("edge_low")), "source_key", "left").join(last, "source_key", "left"), "mix-final")
+    forget(plan, edge)
+
+    chosen = (F.col("u") < F.col("edge_low")) | F.coalesce(F.struct("key", "__id", "size") <= F.col("edge"), F.lit(False))
+    rows = scored(docs, carry) if carry else lean
+    out = rows.join(final, "source_key").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
     return out.select(
         F.col("__id").alias(id_col),
         *[F.col(f"__carry_{c}").alias(c) for c in carry],

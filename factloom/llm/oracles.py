@@ -110,9 +110,10 @@ def mixing_sql() -> str:
     weights = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
     punctuation = _quoted(quality.PUNCTUATION)
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
 k AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '{_WORD}')) AS BIGINT) AS size,
-  0.5::DOUBLE + CASE WHEN length(t) > 0 THEN length(translate(t, {punctuation}, ''))::DOUBLE / length(t) ELSE 0.0 END AS weight,
+  0.5::DOUBLE + coalesce(length(translate(t, {punctuation}, ''))::DOUBLE / nullif(length(t), 0), 0.0) * coalesce(len(list_distinct(lines))::DOUBLE / nullif(len(lines), 0), 0.0)
+    * least(1.0, coalesce(len(list_distinct(words))::DOUBLE / nullif(3 * sqrt(len(words)), 0), 0.0)) AS weight,
   (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 s1 AS (SELECT *, ([{weights}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS w, {float(mixing.MOST)}::DOUBLE * source_size AS cap FROM s0),

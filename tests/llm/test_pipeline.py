@@ -66,8 +66,8 @@ def brute_copies(rows):
     def key(i, text):
         digits = hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13]
         u = (int(digits, 16) + 0.5) / 2**52
-        plain = sum(c not in quality.PUNCTUATION for c in text)
-        return -math.log(u) / (0.5 + (plain / len(text) if text else 0))
+        plain, lines, own = sum(c not in quality.PUNCTUATION for c in text), [x for x in text.split("\n") if words(x)], words(text)
+        return -math.log(u) / (0.5 + (plain / len(text) * (len(set(lines)) / len(lines)) * min(1.0, len(set(own)) / (3 * math.sqrt(len(own)))) if own else 0))
 
     out = []
     for s in total:

@@ -115,6 +115,15 @@ def test_quality_weight_favours(spark):
     assert left[False] > 1.3 * left[True]
 
 
+def test_edge_bins_are_cut_until_small(spark, monkeypatch):
+    rows = [(i, f"some words of prose {i} here " * (1 + i % 7), "en", "abc"[i % 3] if i % 5 else None) for i in range(2000)] + [(7, "twice the same", "en", "a")] * 300
+    want = rows_of(mixing.mix_sources(table(spark, rows)))
+    assert rows_of(mixing.mix_sources(table(spark, rows)).select("doc_id", "size", "source_size", "target", "taken")) == oracle(oracles.mixing_sql(), rows)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 8)
+    assert rows_of(mixing.mix_sources(table(spark, rows))) == want
+
+
 def test_empty_mix(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
