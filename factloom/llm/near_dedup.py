@@ -48,6 +48,9 @@ from factloom.llm.components import connected_components
 COORDINATES, ROWS, MATCHES = 48, 3, 9
 #: Classes and shingles in a block of a neighbourhood (about).
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Classes whose texts are fetched by broadcasting their ids and hashes (about 80 bytes each); more are
+#: fetched by a shuffle of the texts.
+BROADCAST_CLASSES = 1 << 20
 
 _U = np.uint64
 _WORD, _STEP, _MIX1, _MIX2 = _U(0x100000001B3), _U(0x9E3779B97F4A7C15), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
@@ -276,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = saved(candidates(pairs, classes, percent, matches), "candidates")
     # whole texts of the classes that collide with others, one row a class
     wanted = saved(classes.join(postings.select("node").distinct(), "node").select("node", F.col("source.__id").alias("want_id"), F.col("source.hash").alias("want_hash")), "wanted")
-    rows = body.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("__id").eqNullSafe(F.col("want_id")))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
+    rows = body.join(few, (F.col("hash") == F.col("want_hash")) & F.col("__id").eqNullSafe(F.col("want_id")))
     # repeated rows give a class's text more than once
     texts = saved(rows.groupBy("node").agg(F.first("__text").alias("text")), "texts")
     forget(heads, wanted)

@@ -43,6 +43,17 @@ def test_awkward_rows(spark):
         assert result(near_dedup.near_duplicates(table(spark), words=k)) == brute(TEXTS, k)
 
 
+def test_texts_fetched_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_CLASSES", 0)
+    assert result(near_dedup.near_duplicates(table(spark), words=2)) == brute(TEXTS, 2)
+
+
+def test_null_ids_with_and_without_equal_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "s")] * 4 + [(None, text + " x", "en", "s"), (5, text + " y", "en", "s"), (5, "another text of few words here", "en", "s"), (None, "alone and on its own", "en", "s")]
+    assert result(near_dedup.near_duplicates(table(spark, rows), words=2)) == brute(rows, 2)
+
+
 def test_a_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
