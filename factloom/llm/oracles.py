@@ -47,22 +47,25 @@ def pii_sql() -> str:
         f"SELECT r, {i} AS kind, start, start + length(value) AS stop, value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({_places('d', regex)})) WHERE {test}" for i, (regex, test) in enumerate(_KINDS.values())
     )
     names = [*kinds, "generalised", "removed"]
-    near = pii.NEAR
+    shared = "CASE kind WHEN 0 THEN regexp_replace(low, '^.*@', '') WHEN 1 THEN array_to_string(string_split(low, '.')[1:3], '.') WHEN 2 THEN left(digits, 6) ELSE left(digits, 5) END"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS MATERIALIZED ({base}),
-x AS (SELECT t, any_value(r) AS r FROM d WHERE r IN (SELECT r FROM b) GROUP BY t),
-c AS (SELECT x.t, ({kinds})[b.kind + 1] || ':' || lower(value) AS entity, CASE WHEN start > {near} THEN regexp_replace(substr(t, start - {near} + 1, {near}), '^\\S+', '') ELSE substr(t, 1, start) END
-  || chr(10) || CASE WHEN length(substr(t, stop + 1, {near})) = {near} THEN regexp_replace(substr(t, stop + 1, {near}), '\\S+$', '') ELSE substr(t, stop + 1) END AS near FROM x JOIN b USING (r)),
-pair AS MATERIALIZED (SELECT DISTINCT t, entity, term FROM (SELECT t, entity, unnest(regexp_extract_all(lower(near), '\\p{{L}}+')) AS term FROM c) WHERE length(term) BETWEEN 4 AND 40),
-nc AS (SELECT entity, count(DISTINCT t)::DOUBLE AS n_c FROM c GROUP BY 1),
-j AS (SELECT entity, term, count(*)::DOUBLE AS n_ct FROM pair GROUP BY 1, 2 HAVING count(*) >= {pii.SUPPORT}),
-nt AS (SELECT term, count(DISTINCT t)::DOUBLE AS n_t FROM (SELECT t, unnest(list_distinct(regexp_extract_all(lower(t), '\\p{{L}}+'))) AS term FROM d) WHERE term IN (SELECT term FROM j) GROUP BY 1),
+x AS MATERIALIZED (SELECT t, min(r) AS r FROM d WHERE r IN (SELECT r FROM b) GROUP BY t),
+y AS (SELECT t, any_value(r) AS r FROM d WHERE r NOT IN (SELECT r FROM b) GROUP BY t),
+v AS (SELECT r, kind, lower(value) AS low, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM b WHERE r IN (SELECT r FROM x)),
+e AS MATERIALIZED (SELECT DISTINCT r, unnest([({kinds})[kind + 1] || ':' || low, ({kinds})[kind + 1] || ' group:' || {shared}]) AS entity FROM v),
+g0 AS (SELECT r, start, stop, coalesce(max(stop) OVER (PARTITION BY r ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM b WHERE r IN (SELECT r FROM x)),
+g1 AS (SELECT r, since, start AS upto FROM g0 WHERE start >= since UNION ALL SELECT r, max(stop), 1000000000 FROM g0 GROUP BY r),
+o AS MATERIALIZED (SELECT DISTINCT r, term FROM (SELECT r, unnest(regexp_extract_all(lower(substr(t, since + 1, upto - since)), '{pii.TERM}')) AS term FROM g1 JOIN x USING (r)) WHERE length(term) >= {pii.LEAST_TERM}),
 n AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM d),
+nc AS (SELECT entity, count(*)::DOUBLE AS n_c FROM e GROUP BY 1 HAVING count(*) >= {pii.SUPPORT}),
+j AS MATERIALIZED (SELECT entity, term, count(*)::DOUBLE AS n_ct FROM e JOIN nc USING (entity) JOIN o USING (r) GROUP BY 1, 2 HAVING count(*) >= {pii.SUPPORT}),
+nt AS (SELECT term, count(*)::DOUBLE AS n_t FROM (SELECT term FROM o UNION ALL SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{pii.TERM}'))) FROM y) WHERE term IN (SELECT term FROM j) GROUP BY 1),
 risky AS (SELECT entity, term, share >= {pii.REMOVE} AS removed FROM (SELECT entity, term, ln(n_ct * n / (n_c * n_t)) / ln(n / n_c) AS share FROM j JOIN nc USING (entity) JOIN nt USING (term), n WHERE n_c < n) WHERE share >= {pii.GENERALISE}),
-risk AS (SELECT t, term, bool_or(removed) AS removed FROM pair JOIN risky USING (entity, term) GROUP BY 1, 2),
+risk AS MATERIALIZED (SELECT x.t, term, bool_or(removed) AS removed FROM e JOIN risky USING (entity) JOIN o USING (r, term) JOIN x USING (r) GROUP BY 1, 2),
 w AS (SELECT d.r, d.t FROM d WHERE t IN (SELECT t FROM risk)),
-s AS (SELECT l.r, CASE WHEN removed THEN 5 ELSE 4 END AS kind, l.start, l.start + length(l.value) AS stop FROM ({_places('w', chr(92) + 'p{L}+', 'r, t')}) l JOIN risk ON risk.t = l.t AND risk.term = lower(l.value)
+s AS (SELECT l.r, CASE WHEN removed THEN 5 ELSE 4 END AS kind, l.start, l.start + length(l.value) AS stop FROM ({_places('w', pii.TERM, 'r, t')}) l JOIN risk ON risk.t = l.t AND risk.term = lower(l.value)
   WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = l.r AND b.start < l.start + length(l.value) AND l.start < b.stop)),
 a AS (SELECT r, kind, start, ({names})[kind + 1] || ':' || start || ':' || stop AS written FROM (SELECT r, kind, start, stop FROM b UNION ALL SELECT * FROM s)),
 g AS (SELECT r, {', '.join(f'count(*) FILTER (kind = {i}) AS n_{k}' for i, k in enumerate(kinds))}, string_agg(written, ',' ORDER BY kind, start) FILTER (kind < 4) AS base, string_agg(written, ',' ORDER BY kind, start) AS spans FROM a GROUP BY r)

@@ -1,20 +1,24 @@
 """Personal data: patterns, and information-theoretic sanitisation of the words that reveal it.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Each found value is a
-protected entity. The words near it are its context, and the corpus tells how much they reveal: with
-N texts, of which n_c hold the entity, n_t the term, and n_ct the term in the entity's context, a
-term discloses the share
+protected entity, and so is what several values share: an e-mail domain, the first three parts of an
+IP address, a card's first six digits, a phone number's first five. The terms of a text that holds
+the entity, anywhere outside its found values, are the entity's context, and the corpus tells how
+much they reveal: with N texts, of which n_c hold the entity, n_t the term, and n_ct both, a term
+discloses the share
 
     PMI(entity; term) / IC(entity) = log(n_ct * N / (n_c * n_t)) / log(N / n_c)
 
 of the entity's information. In a text that holds the entity, terms that disclose ``GENERALISE`` or
-more are replaced by a class word, and terms that disclose ``REMOVE`` or more are removed. Terms with
-less than ``SUPPORT`` texts in the context are left alone: they are no evidence. Texts without a
-found value are never changed.
+more are replaced by their class (a number, a code, a name, a word), and terms that disclose ``REMOVE``
+or more are removed. A term that meets an entity in fewer than ``SUPPORT`` texts is left alone: it is
+no evidence. Texts without a found value are never changed.
 
-Everything is DataFrame functions. Context pairs are a fixed number for each found value, counts are
-aggregated before they are shuffled, and one pass over the corpus counts the terms that are
-candidates. Positions are code points, ends exclusive.
+Everything is DataFrame functions. Only hashes of texts, entities and terms are written to the shared
+folder, never the personal data. Terms are counted before they meet entities: one whose count in the
+texts with found values is too large for the threshold drops out, and so does one below the support.
+One pass over the corpus counts the candidates that are left. Positions are code points, ends
+exclusive.
 
 Cases: null and empty texts have no spans; repeated rows and equal texts get equal spans and count
 as one text in the statistics; with no found value, or no term with enough support, only the
@@ -29,15 +33,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import saved, text_of
+from factloom.llm.common import forget, saved, text_of
 
-GENERALISE, REMOVE, SUPPORT = 0.9, 0.99, 3
-#: Characters of context on either side of a found value.
-NEAR = 80
-#: A table of terms is broadcast up to this many rows of at most 40 letters; beyond it is joined by shuffle.
-BROADCAST_TERMS = 1 << 16
+GENERALISE, REMOVE, SUPPORT = 0.9, 0.99, 2
+#: A table of term hashes is broadcast up to this many rows; beyond it is joined by shuffle.
+BROADCAST_TERMS = 1 << 20
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"(?<!\p{L})\p{L}{4,40}(?!\p{L})"
+#: Letters and digits; terms of one character reveal nothing by themselves.
+TERM, LEAST_TERM = r"[\p{L}\p{N}]+", 2
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -117,61 +120,63 @@ def any_hint(text: Column) -> Column:
     return test
 
 
-def context_terms(text: Column, span: Column) -> Column:
-    """Distinct lower-case terms near a span, without words cut by the edge of the window."""
-    begin = F.greatest(F.lit(0), span["start"] - NEAR)
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", left, right)), F.lit(TERM), 0))
+def entities(spans: dict[str, Column]) -> Column:
+    """Distinct names of the values found, and of what values share."""
 
+    def named(kind: str) -> Column:
+        def both(s: Column) -> Column:
+            value = F.lower(s["value"])
+            shared = {"email": F.substring_index(value, "@", -1), "ip": F.substring_index(value, ".", 3), "card": F.left(_digits(value), F.lit(6)), "phone": F.left(_digits(value), F.lit(5))}[kind]
+            return F.array(F.concat(F.lit(f"{kind}:"), value), F.concat(F.lit(f"{kind} group:"), shared))
 
-def term_rows(texts: DataFrame) -> DataFrame:
-    """(key, term): the distinct lower-case terms of each row's text."""
-    return texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
+        return F.flatten(F.transform(spans[kind], both))
+
+    return F.array_distinct(F.concat(*map(named, KINDS)))
+
+
+def terms(text: Column) -> Column:
+    """Distinct lower-case terms."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)), lambda w: F.length(w) >= LEAST_TERM)
+
+
+def hashed(names: Column) -> Column:
+    return F.transform(names, lambda x: F.xxhash64(x))
 
 
 def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, n_t): number of distinct texts that hold each candidate term. One pass over all texts."""
-    terms = term_rows(texts)
-    if candidates.count() <= BROADCAST_TERMS:
-        terms = terms.join(F.broadcast(candidates), "term", "left_semi")
-    else:
-        terms = terms.join(candidates, "term", "left_semi")
-    return terms.groupBy("term", "key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
+    """(term, n_out): number of distinct ``texts`` (key, text) that hold each candidate term."""
+    found = texts.select("key", F.explode(hashed(terms(F.col("text")))).alias("term"))
+    few = F.broadcast(candidates) if candidates.count() <= BROADCAST_TERMS else candidates
+    return found.join(few, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_out"))
 
 
-def disclosures(exposed: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(key, term, removed): terms to sanitise in each exposed text.
+def disclosures(exposed: DataFrame, others: DataFrame, total: int, support: int = SUPPORT, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(key, term, removed): hashes of the terms to sanitise in each exposed text.
 
-    ``exposed``: key, text and one span array for each of KINDS; ``texts``: key and text of all rows.
+    ``exposed``: key, entities and terms (hashes), one row a text; ``others``: key and text of the rows
+    without a found value; ``total``: number of distinct texts.
     """
-
-    def valued(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-
-    values = F.concat(*map(valued, KINDS))
-    found = exposed.select("key", "text", F.explode(values).alias("span"))
-    pairs = saved(
-        found.select("key", F.concat_ws(":", "span.kind", "span.value").alias("entity"), F.explode_outer(context_terms(F.col("text"), F.col("span"))).alias("term")).distinct(),
-        "pii-pairs",
-    )
-    n_c = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    total = float(texts.select("key").distinct().count())
-    joint = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    # the threshold says: n_t <= n_ct * (N / n_c) ** (1 - threshold). The exposed texts alone give a
-    # lower bound of n_t, which settles all common words before the pass over the corpus
-    some = term_rows(exposed.groupBy("key").agg(F.first("text").alias("text"))).groupBy("term").agg(F.count("*").alias("n_low"))
-    most = F.col("n_ct") * F.pow(F.lit(total) / F.col("n_c"), F.lit(1 - threshold)) * (1 + 1e-9)
-    joint = saved(joint.join(n_c, "entity").join(some, "term").where(F.col("n_low") <= most).drop("n_low"), "pii-joint")
-    if joint.isEmpty():
-        return joint.select(F.lit(None).cast(exposed.schema["key"].dataType).alias("key"), "term", F.lit(True).alias("removed"))
-    n_t = saved(term_counts(texts, joint.select("term").distinct()), "pii-terms")
-    share = F.when(F.col("n_c") < total, F.log(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c")))
-    risky = joint.join(n_t, "term").withColumn("share", share).where(F.col("share") >= threshold)
-    risky = saved(risky.select("entity", "term", (F.col("share") >= REMOVE).alias("removed")), "pii-risky")
-    return pairs.join(risky, ["entity", "term"]).groupBy("key", "term").agg(F.max("removed").alias("removed"))
+    held = exposed.select("key", F.explode("entities").alias("entity"))
+    n_c = saved(held.groupBy("entity").agg(F.count("*").alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") < total)), "pii-entities")
+    said = exposed.select("key", F.explode("terms").alias("term"))
+    # the threshold says: n_t <= n_ct * (N / n_c) ** (1 - threshold), and n_ct is at most n_c and n_t's
+    # part in the exposed texts, n_low; what is common there needs no pass over the corpus
+    most = F.col("n_c") * F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1 - threshold)) * (1 + 1e-9)
+    highest = n_c.agg(F.max(most)).first()[0] or 0.0
+    n_low = saved(said.groupBy("term").agg(F.count("*").alias("n_low")).where((F.col("n_low") >= support) & (F.col("n_low") <= highest)), "pii-terms")
+    pairs = held.join(n_c, "entity").join(said.join(n_low, "term"), "key").where(F.col("n_low") <= most)
+    pairs = saved(pairs.select("key", "entity", "term", "n_c", "n_low"), "pii-pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_low").alias("n_low"))
+    reach = F.col("n_ct") * F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1 - threshold)) * (1 + 1e-9)
+    joint = saved(joint.where((F.col("n_ct") >= support) & (F.col("n_low") <= reach)), "pii-joint")
+    n_out = saved(term_counts(others, joint.select("term").distinct()), "pii-counts")
+    n_t = F.col("n_low") + F.coalesce("n_out", F.lit(0))
+    share = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * n_t)) / F.log(F.lit(float(total)) / F.col("n_c"))
+    risky = joint.join(n_out, "term", "left").withColumn("share", share).where(F.col("share") >= threshold)
+    risky = saved(risky.select("entity", "term", (F.col("share") >= remove).alias("removed")), "pii-risky")
+    out = saved(pairs.join(risky, ["entity", "term"]).groupBy("key", "term").agg(F.max("removed").alias("removed")), "pii-risk")
+    forget(n_c, n_low, pairs, joint, n_out, risky)
+    return out
 
 
 def _outside(spans: Column, base: list[str]) -> Column:
@@ -180,45 +185,70 @@ def _outside(spans: Column, base: list[str]) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def without(text: Column, spans: Column) -> Column:
+    """The text with each of the (overlapping) spans replaced by a blank."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        piece = F.when(span["start"] >= state["at"], F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["parts"], piece).alias("parts"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, start, step, lambda s: F.array_join(F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), " "))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row for each document: id, ``carry`` columns, text (null as empty), one array of spans
     (start, end, value) for each of KINDS, and generalised and removed, the spans of revealing terms."""
     names = {c: f"__carry_{i}" for i, c in enumerate(carry)}
     body = docs.select(docs[id_col].alias("__id"), *[docs[c].alias(n) for c, n in names.items()], text_of(docs, text).alias("text"))
     spans = base_spans(F.col("text"))
-    hit = F.size(F.concat(*spans.values())) > 0
+    hit = F.coalesce(any_hint(F.col("text")) & (F.size(F.concat(*spans.values())) > 0), F.lit(False))
+    key = F.xxhash64("text")
     # the texts with found values are a small part of a corpus; only they take part in joins
-    exposed = saved(body.where(any_hint(F.col("text"))).where(hit).withColumns(spans).withColumn("key", F.sha2("text", 256)), "pii-exposed")
-    texts = body.select(F.xxhash64("text").alias("key"), "text")
-    risk = disclosures(exposed.select("key", "text", *KINDS), texts)
-    pattern = lambda c: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
-    by_text = saved(
-        risk.groupBy("key").agg(F.sort_array(F.collect_set(F.when(~F.col("removed"), F.col("term")))).alias("soft"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("term")))).alias("hard")),
-        "pii-risk",
-    )
+    found = body.where(hit).withColumns({**spans, "key": key})
+    bare = without(F.col("text"), F.concat(*KINDS))
+    exposed = saved(found.select("key", hashed(entities({k: F.col(k) for k in KINDS})).alias("entities"), hashed(terms(bare)).alias("terms")).dropDuplicates(["key"]), "pii-exposed")
+    others = body.where(~hit).select(key.alias("key"), "text")
+    total = body.select(key.alias("key")).distinct().count()
+    risk = disclosures(exposed, others, total, support, generalise, remove)
+    # a text has a bounded number of terms
+    by_text = saved(risk.groupBy("key").agg(F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("soft"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("hard")), "pii-texts")
+    forget(exposed, risk)
     none = F.array().cast(SPANS)
-    joined = exposed.join(by_text, "key", "left")
-    terms = {
-        name: F.when(F.size(F.coalesce(words, F.array().cast("array<string>"))) > 0, _outside(matches(F.col("text"), pattern(F.col(words_name))), list(KINDS))).otherwise(none)
-        for name, words_name, words in (("generalised", "soft", F.col("soft")), ("removed", "hard", F.col("hard")))
+    chosen = {
+        name: F.when(F.size(F.coalesce(F.col(words), F.array())) > 0, _outside(matches(F.col("text"), F.lit(TERM), lambda v, w=words: F.array_contains(w, F.xxhash64(F.lower(v)))), list(KINDS))).otherwise(none)
+        for name, words in (("generalised", "soft"), ("removed", "hard"))
     }
     columns = ["__id", *names.values(), "text", *KINDS, "generalised", "removed"]
-    dirty = joined.withColumns(terms).select(*columns)
-    clean = body.where(~F.coalesce(any_hint(F.col("text")) & hit, F.lit(False))).withColumns({k: none for k in (*KINDS, "generalised", "removed")}).select(*columns)
+    dirty = found.join(by_text, "key", "left").withColumns(chosen).select(*columns)
+    clean = body.where(~hit).withColumns({k: none for k in (*KINDS, "generalised", "removed")}).select(*columns)
     out = clean.unionByName(dirty)
     return out.select(F.col("__id").alias(id_col), *[F.col(n).alias(c) for c, n in names.items()], *columns[1 + len(names) :])
 
 
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[WORD]", "removed": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": ""}
+#: Classes of generalised terms, by what the term looks like; the first that fits.
+CLASSES = ((r"^\p{N}+$", "[NUMBER]"), (r"\p{N}", "[CODE]"), (r"^\p{Lu}", "[NAME]"))
+
+
+def label(kind: str, value: Column) -> Column:
+    """What stands for a span in the clean text."""
+    if kind in LABELS:
+        return F.lit(LABELS[kind])
+    out = F.lit("[WORD]")
+    for regex, name in reversed(CLASSES):
+        out = F.when(F.rlike(value, F.lit(regex)), F.lit(name)).otherwise(out)
+    return out
 
 
 def masked(text: Column) -> Column:
     """The text with every span replaced by its label; of overlapping spans the first start gives the label."""
 
     def labelled(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(LABELS[kind]).alias("label")))
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(kind, s["value"]).alias("label")))
 
-    spans = F.array_sort(F.concat(*map(labelled, LABELS)))
+    spans = F.array_sort(F.concat(*map(labelled, (*KINDS, "generalised", "removed"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, span: Column) -> Column:
@@ -233,7 +263,6 @@ def masked(text: Column) -> Column:
 def span_digest(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, by kind as given, then start, joined by commas."""
 
-
     def written(kind: str) -> Column:
         return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+import regex
 
 from factloom.llm import pii
 from tests.llm.rows import TEXTS, ordered, table
@@ -71,36 +72,51 @@ def corpus():
     return rows
 
 
-def brute_terms(rows, near=pii.NEAR):
+TERM = regex.compile(r"[\p{L}\p{N}]{2,}")
+
+
+def shared(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": digits[:6], "phone": digits[:5]}[kind]
+
+
+def bare(text, spans):
+    """The text with blanks for the spans."""
+    at, parts = 0, []
+    for a, b in sorted(spans):
+        if a >= at:
+            parts.append(text[at:a])
+        at = max(at, b)
+    return " ".join([*parts, text[at:]])
+
+
+def brute_terms(rows):
     """The disclosure rule over a small corpus, text by text."""
     import math
 
     texts = sorted({t or "" for _, t, *_ in rows})
-    term = r"(?<![^\W\d_])[^\W\d_]{4,40}(?![^\W\d_])"
-    entities, context = {}, {}
-    for t in texts:
-        for kind, spans in zip(PLAIN, brute(t), strict=True):
-            for a, b in spans:
-                e = f"{kind}:{t[a:b].lower()}"
-                entities.setdefault(e, set()).add(t)
-                left, right = t[max(0, a - near) : a], t[b : b + near]
-                left = re.sub(r"^\S+", "", left) if a - near > 0 else left
-                right = re.sub(r"\S+$", "", right) if len(right) == near else right
-                for w in set(re.findall(term, (left + "\n" + right).lower())):
-                    context.setdefault((e, w), set()).add(t)
-    holds = {}
+    holders, holds = {}, {}
     for t in texts:
-        for w in set(re.findall(term, t.lower())):
+        spans = brute(t)
+        for kind, own in zip(PLAIN, spans, strict=True):
+            for a, b in own:
+                value = t[a:b].lower()
+                for e in (f"{kind}:{value}", f"{kind} group:{shared(kind, value)}"):
+                    holders.setdefault(e, set()).add(t)
+        for w in set(TERM.findall(bare(t, [x for own in spans for x in own]).lower())):
             holds.setdefault(w, set()).add(t)
-    out = {}
-    for (e, w), near_texts in context.items():
-        n_c, n = len(entities[e]), len(texts)
-        if len(near_texts) < pii.SUPPORT or n_c == n:
+    out, n = {}, len(texts)
+    for own in holders.values():
+        if len(own) < pii.SUPPORT or len(own) == n:
             continue
-        share = math.log(len(near_texts) * n / (n_c * len(holds[w]))) / math.log(n / n_c)
-        if share >= pii.GENERALISE:
-            for t in near_texts:
-                out.setdefault(t, {})[w] = max(out.get(t, {}).get(w, False), share >= pii.REMOVE)
+        for w, those in holds.items():
+            both = own & those
+            if len(both) < pii.SUPPORT:
+                continue
+            share = math.log(len(both) * n / (len(own) * len(those))) / math.log(n / len(own))
+            if share >= pii.GENERALISE:
+                for t in both:
+                    out.setdefault(t, {})[w] = max(out.get(t, {}).get(w, False), share >= pii.REMOVE)
     return out
 
 
@@ -111,14 +127,39 @@ def test_terms_that_reveal_are_sanitised(spark, corpus):
     for r in found:
         terms = want.get(r.text, {})
         for kind, removed in (("generalised", False), ("removed", True)):
-            assert {s.value.lower() for s in r[kind]} == {w for w, gone in terms.items() if gone is removed and not any(b.start <= r.text.lower().index(w) < b.end for b in r.email)}
+            assert {s.value.lower() for s in r[kind]} == {w for w, gone in terms.items() if gone is removed}
             assert all(r.text[s.start : s.end] == s.value for s in r[kind])
         if r.doc_id < 50:
-            assert "[EMAIL]" in r.clean and "quibblesworth" not in r.clean and "account" in r.clean
+            assert "[EMAIL]" in r.clean and "quibblesworth" not in r.clean and "account" in r.clean and "Entry" not in r.clean
         else:
             assert r.clean == r.text
 
 
+def test_far_short_and_mixed_terms_and_values_that_share_a_domain(spark):
+    """A project code stands far from the addresses, each of which is in one text only."""
+    filler = "the river runs past the old mill and the miller counts his sacks of grain. " * 20
+    rows = [(i, f"{filler} Project X7q is new. {filler} Write to p{i}@corp.example.com soon.", "en", "s") for i in range(4)]
+    rows += [(50 + i, f"{filler} number {i} soon new is project write to.", "en", "s") for i in range(60)]
+    want = brute_terms(rows)
+    assert all(set(terms) == {"x7q"} for terms in want.values()) and len(want) == 4
+    found = {r.doc_id: r for r in pii.find_pii(table(spark, rows)).withColumn("clean", pii.masked(pii.F.col("text"))).collect()}
+    assert all([s.value for s in found[i].removed] == ["X7q"] and "X7q" not in found[i].clean for i in range(4))
+    assert all(found[50 + i].clean == found[50 + i].text for i in range(60))
+
+
+def test_classes_of_generalised_terms(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("2024",), ("X7q",), ("Ada",), ("mill",)], "v string").select(pii.label("generalised", F.col("v")).alias("x")).collect()
+    assert [r.x for r in got] == ["[NUMBER]", "[CODE]", "[NAME]", "[WORD]"]
+
+
+def test_terms_counted_by_shuffle(spark, corpus, monkeypatch):
+    want = sorted(map(str, pii.find_pii(table(spark, corpus)).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, pii.find_pii(table(spark, corpus)).collect())) == want
+
+
 def test_query_equals_sql(spark, corpus, tmp_path):
     """The query over a table with awkward rows and with terms that reveal."""
     from factloom.llm import oracles, queries

@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import pytest
+import regex
 import sentencepiece
 
 import corpus_pipeline
@@ -40,16 +41,12 @@ def brute_pii(rows):
     risky = test_pii.brute_terms([r[:4] for r in rows])
     out = []
     for i, t, lang, s, _ in rows:
-        found = test_pii.brute(t)
-        spans = [(a, b, pii.LABELS[k]) for k, part in zip(pii.KINDS, found, strict=True) for a, b in part]
-        taken = [(a, b) for a, b, _ in spans]
-        terms = risky.get(t, {})
-        if terms:
-            import regex
-
-            for m in regex.finditer(r"(?<!\p{L})(?:%s)(?!\p{L})" % "|".join(sorted(terms)), t, regex.IGNORECASE):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
-                    spans.append((m.start(), m.end(), pii.LABELS["removed" if terms[m[0].lower()] else "generalised"]))
+        spans = [(a, b, pii.LABELS[k]) for k, part in zip(pii.KINDS, test_pii.brute(t), strict=True) for a, b in part]
+        taken, terms = [(a, b) for a, b, _ in spans], risky.get(t, {})
+        for m in regex.finditer(r"[\p{L}\p{N}]+", t):
+            if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in taken):
+                kind = next((name for shape, name in pii.CLASSES if regex.search(shape, m[0])), "[WORD]")
+                spans.append((m.start(), m.end(), "" if terms[m[0].lower()] else kind))
         at, parts = 0, []
         for a, b, label in sorted(spans):
             if a >= at:
