@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.shared import saved
+
 
 def causes(events: DataFrame, id_col: str = "id", caused_by: str = "caused_by") -> DataFrame:
     """Edge rows (id, position, cause), in the order of the list."""
@@ -63,14 +65,16 @@ def relevant_events(sessions: DataFrame, events: DataFrame, days: int = 7) -> Da
 
     The first session sees events up to its date, others those since the session before; a session
     without any sees those of the last ``days``. ``sessions``: session_id, date; ``events``: id, date.
-    The windows of sessions follow each other, so an event falls into one window: the range join is a
-    union of both sides ordered by date, where each event takes the next session.
+    Windows are cut into months, so that the interval join is an equi-join. Only the calendar is
+    ordered as a whole: its days are bounded, whatever the number of sessions.
     """
-    ordered = sessions.select("session_id", "date").withColumn("previous", F.lag("date").over(Window.orderBy("date", "session_id")))
-    # sessions are few beside events: an interval join on months keeps it an equi-join
-    spans = ordered.withColumn("low", F.coalesce("previous", F.lit("0001-01-01").cast("date")))
+    calendar = sessions.select("date").distinct().withColumn("earlier", F.lag("date").over(Window.orderBy("date")))
+    again = F.row_number().over(Window.partitionBy("date").orderBy("session_id")) > 1
+    ordered = sessions.select("session_id", "date").withColumn("again", again).join(calendar, "date")
+    spans = ordered.select("session_id", "date", F.when(F.col("again"), F.col("date")).otherwise(F.col("earlier")).alias("previous"))
     bounds = events.agg(F.min("date").alias("a"))
-    spans = spans.crossJoin(F.broadcast(bounds)).withColumn("low", F.when(F.col("previous").isNull(), F.least(F.col("a"), F.col("date"))).otherwise(F.col("low"))).drop("a")
+    low = F.when(F.col("previous").isNull(), F.least(F.col("a"), F.col("date"))).otherwise(F.col("previous"))
+    spans = spans.crossJoin(F.broadcast(bounds)).withColumn("low", low).drop("a")
     month = lambda d: F.trunc(d, "month")
     cells = spans.withColumn("month", F.explode(F.sequence(month(F.least("low", F.date_sub("date", days))), month("date"), F.expr("interval 1 month"))))
     pairs = cells.join(events.select("id", F.col("date").alias("day"), month("date").alias("month")), "month")
@@ -82,17 +86,24 @@ def relevant_events(sessions: DataFrame, events: DataFrame, days: int = 7) -> Da
     return rows.where(F.col("direct") | F.col("hit").isNull()).select("session_id", "id", "day")
 
 
-def ancestry(spark, events: DataFrame, id_col: str = "id", most: int = 100) -> DataFrame:
-    """(id, ancestor, depth): all causes of causes, at the least depth, by a recursive query."""
-    edges = causes(events.select(id_col, "caused_by"), id_col).select(F.col(id_col).cast("string").alias("id"), F.col("cause").cast("string").alias("cause")).distinct()
-    edges.createOrReplaceTempView("__cause_edges")
-    rows = spark.sql(
-        f"""WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT id, cause, 1 FROM __cause_edges
-              UNION ALL SELECT up.id, e.cause, up.depth + 1 FROM up JOIN __cause_edges e ON up.ancestor = e.id)
-            SELECT id, ancestor, min(depth) AS depth FROM up GROUP BY id, ancestor"""
-    )
-    return rows
+def ancestry(events: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, ancestor, depth): all causes of causes, at the least depth; chains of any length, and cycles.
+
+    Each round doubles the depth: a pair of a depth between m and 2 m is a pair of depth m exactly
+    followed by one of depth m at most. Pairs seen before are removed, so no path is walked twice, and
+    a round without pairs of its largest depth ends the search. Rounds are written tables.
+    """
+    edges = causes(events.select(id_col, "caused_by"), id_col).where("cause IS NOT NULL")
+    known = saved(edges.select(F.col(id_col).cast("string").alias("id"), F.col("cause").cast("string").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestry")
+    reach = 1
+    while not (last := known.where(F.col("depth") == reach)).isEmpty():
+        first = last.select("id", F.col("ancestor").alias("middle"))
+        then = known.select(F.col("id").alias("middle"), "ancestor", "depth")
+        new = first.join(then, "middle").groupBy("id", "ancestor").agg((F.min("depth") + reach).alias("depth"))
+        new = saved(new.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "ancestry")
+        known = known.unionByName(new)
+        reach *= 2
+    return known
 
 
 def density(events: DataFrame, sessions: DataFrame) -> DataFrame:

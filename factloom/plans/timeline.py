@@ -45,35 +45,17 @@ def standalone_events(spark, sf):
 u AS (SELECT event_id AS id, cause AS ancestor, 1 AS depth FROM g UNION ALL SELECT u.id, g.cause, u.depth + 1 FROM u JOIN g ON u.ancestor = g.event_id)
 SELECT CAST(id AS VARCHAR) AS id, CAST(ancestor AS VARCHAR) AS ancestor, min(depth) AS depth FROM u GROUP BY ALL""")
 def causal_ancestry(spark, sf):
-    return ev.ancestry(spark, timeline(spark, sf))
-
-
-def session_dates(spark, sf):
-    """Every third day with orders of one priority: gaps of more and of less than a week."""
-    days = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("date"), "o_orderkey").where("o_orderkey % 29 = 0")
-    return days.groupBy("date").agg(F.min("o_orderkey").alias("session_id"))
+    return ev.ancestry(timeline(spark, sf))
 
 
 @add("relevant_events", """
-WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, min(o_orderkey) AS session_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 29 = 0 GROUP BY 1),
-w AS (SELECT *, lag(date) OVER (ORDER BY date, session_id) AS previous FROM s),
-e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 0),
-d AS (SELECT session_id, id FROM w JOIN e ON day <= date AND (previous IS NULL OR day > previous)),
-f AS (SELECT session_id, id FROM w JOIN e ON day <= date AND day >= date - 7 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = w.session_id))
-SELECT * FROM d UNION ALL SELECT * FROM f""")
-def relevant_events(spark, sf):
-    events = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
-    return ev.relevant_events(session_dates(spark, sf), events).select("session_id", "id")
-
-
-@add("relevant_events_whole", """
 WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, min(o_orderkey) AS session_id FROM orders GROUP BY 1),
 w AS (SELECT *, lag(date) OVER (ORDER BY date, session_id) AS previous FROM s),
 e AS (SELECT o_orderkey AS id, CAST(date_trunc('week', o_orderdate) AS DATE) AS day FROM orders),
 d AS (SELECT session_id, id FROM w JOIN e ON day <= date AND (previous IS NULL OR day > previous)),
 f AS (SELECT session_id, id FROM w JOIN e ON day <= date AND day >= date - 7 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = w.session_id))
 SELECT * FROM d UNION ALL SELECT * FROM f""")
-def relevant_events_whole(spark, sf):
+def relevant_events(spark, sf):
     """Every order is a session's and an event. Events are dated to their Monday, so that sessions later in the week have none of their own."""
     o = table(spark, sf, "orders")
     sessions = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_orderkey").alias("session_id"))
@@ -101,29 +83,13 @@ def valid_events(spark, sf):
 
 
 @add("valid_continuation", """
-WITH r AS (SELECT event_id AS seq, 'E' || (event_id + 100) AS id, CAST(ts AS DATE) AS day, ['E' || (event_id + 99), 'E' || (event_id + 101), 'E50'] AS causes FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0),
-v AS (SELECT * FROM r WHERE seq > 20),
-c AS (SELECT seq, id, unnest(causes) AS cause, unnest(range(3)) AS i FROM v),
-k AS (SELECT id AS cause, min(s) AS s FROM (SELECT id, seq AS s FROM v UNION ALL SELECT 'E50', -1) GROUP BY 1),
-g AS (SELECT c.id, string_agg(c.cause, ',' ORDER BY i) AS causes FROM c JOIN k USING (cause) WHERE k.s < c.seq GROUP BY 1)
-SELECT v.id, coalesce(g.causes, '') AS causes, strftime(least(greatest(day, DATE '2024-01-05'), DATE '2024-01-20'), '%Y-%m-%d') AS date FROM v LEFT JOIN g USING (id)""")
-def valid_continuation(spark, sf):
-    e = F.col("event_id")
-    name = lambda k: F.concat(F.lit("E"), (e + k).cast("string"))
-    new = table(spark, sf, "events").where("event_id % 2 = 0 OR event_id % 3 = 0").select(e.alias("seq"), name(100).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.array(name(99), name(101), F.lit("E50")).alias("caused_by"))
-    known = spark.range(1).select(F.lit("E50").alias("id"))
-    out = ev.valid_continuation(new, known, 120, F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
-    return out.select("id", F.array_join("caused_by", ",").alias("causes"), "date")
-
-
-@add("valid_continuation_whole", """
 WITH r AS (SELECT event_id AS seq, 'E' || (event_id + 100) AS id, CAST(ts AS DATE) AS day, [CASE WHEN event_id % 5 = 0 THEN 'X' ELSE 'E' END || (event_id + 99), 'E' || (event_id + 101), 'E50'] AS causes FROM events),
 v AS (SELECT * FROM r WHERE seq > 20),
 c AS (SELECT seq, id, unnest(causes) AS cause, unnest(range(3)) AS i FROM v),
 k AS (SELECT id AS cause, min(s) AS s FROM (SELECT id, seq AS s FROM v UNION ALL SELECT 'E50', -1) GROUP BY 1),
 g AS (SELECT c.id, string_agg(c.cause, ',' ORDER BY i) AS causes FROM c JOIN k USING (cause) WHERE k.s < c.seq GROUP BY 1)
 SELECT v.id, coalesce(g.causes, '') AS causes, strftime(least(greatest(day, DATE '2024-01-05'), DATE '2024-01-20'), '%Y-%m-%d') AS date FROM v LEFT JOIN g USING (id)""")
-def valid_continuation_whole(spark, sf):
+def valid_continuation(spark, sf):
     """All events; every fifth names a cause that does not exist."""
     e = F.col("event_id")
     name = lambda k, head="E": F.concat(F.lit(head), (e + k).cast("string"))
