@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import overlap, tokens
+from factloom.functions.text import once, overlap, tokens
 
 
 def _pool(texts: Column) -> Column:
@@ -19,49 +19,50 @@ def _share(hits: Column, of: Column) -> Column:
     return F.size(hits).cast("double") / F.size(of)
 
 
+def _covered(words: Column, texts: Column, share: float) -> Column:
+    """Texts with more than ``share`` of their words among ``words``."""
+    return once(words, lambda w: F.filter(texts, lambda f: F.coalesce(overlap(w, tokens(f)) > share, F.lit(False))))
+
+
 def context_recall(retrieved: Column, required: Column) -> Column:
     """Required facts with more than half of their words retrieved. Nothing required: 1; nothing retrieved: 0."""
-    words = _pool(retrieved)
-    hits = F.filter(required, lambda f: F.coalesce(overlap(words, tokens(f)) > 0.5, F.lit(False)))
+    hits = _covered(_pool(retrieved), required, 0.5)
     return F.when(F.size(required) == 0, 1.0).when(F.size(retrieved) == 0, 0.0).otherwise(_share(hits, required))
 
 
 def context_precision(retrieved: Column, relevant: Column) -> Column:
     """Retrieved facts with more than 0.3 of their words relevant. An empty side: 0."""
-    words = _pool(relevant)
-    hits = F.filter(retrieved, lambda f: F.coalesce(overlap(words, tokens(f)) > 0.3, F.lit(False)))
+    hits = _covered(_pool(relevant), retrieved, 0.3)
     return F.when((F.size(retrieved) == 0) | (F.size(relevant) == 0), 0.0).otherwise(_share(hits, retrieved))
 
 
 def fact_coverage(context: Column, facts: Column) -> Column:
     """Non-empty facts with more than half of their words in the context. No facts: 1; no context: 0."""
-    words = tokens(context)
-    named = F.filter(facts, lambda f: f != "")
-    hits = F.filter(named, lambda f: F.coalesce(overlap(words, tokens(f)) > 0.5, F.lit(False)))
-    return F.when(F.size(facts) == 0, 1.0).when(F.coalesce(context, F.lit("")) == "", 0.0).when(F.size(named) == 0, 0.0).otherwise(_share(hits, named))
+    covered = once(F.filter(facts, lambda f: f != ""), lambda named: F.when(F.size(named) == 0, 0.0).otherwise(_share(_covered(tokens(context), named, 0.5), named)))
+    return F.when(F.size(facts) == 0, 1.0).when(F.coalesce(context, F.lit("")) == "", 0.0).otherwise(covered)
 
 
-def _matches(fact: Column, expected: Column) -> Column:
-    """Half or more of the expected words; an answer of blanks only is matched by any fact."""
-    wanted = tokens(expected)
+def _matches(fact: Column, wanted: Column) -> Column:
+    """Half or more of the wanted words; an answer of blanks only is matched by any fact."""
     return F.when(F.size(wanted) == 0, F.lit(True)).otherwise(overlap(tokens(fact), wanted) >= 0.5)
 
 
 def hit_rate(retrieved: Column, expected: Column) -> Column:
     """1 if a fact matches the expected answer. Empty answer or no facts: 0."""
-    return F.when((F.coalesce(expected, F.lit("")) == "") | (F.size(retrieved) == 0), 0.0).otherwise(F.exists(retrieved, lambda f: _matches(f, expected)).cast("double"))
+    hit = once(tokens(expected), lambda wanted: F.exists(retrieved, lambda f: _matches(f, wanted)).cast("double"))
+    return F.when((F.coalesce(expected, F.lit("")) == "") | (F.size(retrieved) == 0), 0.0).otherwise(hit)
 
 
 def reciprocal_rank(retrieved: Column, expected: Column) -> Column:
     """1 / rank of the first fact that matches, else 0."""
-    ranks = F.filter(F.transform(retrieved, lambda f, i: F.when(_matches(f, expected), i + 1)), lambda i: i.isNotNull())
-    return F.when(F.coalesce(expected, F.lit("")) == "", 0.0).otherwise(F.coalesce(F.lit(1.0) / F.array_min(ranks), F.lit(0.0)))
+    place = once(tokens(expected), lambda wanted: F.array_position(F.transform(retrieved, lambda f: _matches(f, wanted)), True))
+    return F.when(F.coalesce(expected, F.lit("")) == "", 0.0).otherwise(F.when(place > 0, F.lit(1.0) / place).otherwise(0.0))
 
 
 def temporal_recall(retrieved: Column, references: Column) -> Column:
     """References that some retrieved text holds, case aside. No references: 1; nothing retrieved: 0."""
     low = F.transform(retrieved, lambda t: F.lower(t))
-    hits = F.filter(references, lambda r: (r != "") & F.exists(low, lambda t: F.contains(t, F.lower(r))))
+    hits = once(low, lambda texts: F.filter(references, lambda r: (r != "") & once(F.lower(r), lambda x: F.exists(texts, lambda t: F.contains(t, x)))))
     return F.when(F.size(references) == 0, 1.0).when(F.size(retrieved) == 0, 0.0).otherwise(_share(hits, references))
 
 
@@ -81,17 +82,22 @@ def answer_f1(generated: Column, expected: Column) -> Column:
 def rank_agreement(predicted: Column, actual: Column) -> Column:
     """(Kendall's tau + 1) / 2 over common items; an item's last position counts.
 
-    Fewer than two items: 1; fewer than two common items: 0.5.
+    Fewer than two items: 1; fewer than two common items: 0.5. Items are placed once; a pair is
+    concordant if the later one of the predicted order is later in the actual order, too.
     """
     last = lambda items, x: F.size(items) - F.array_position(F.reverse(items), x)
-    common = F.array_intersect(predicted, actual)
-    places = F.transform(common, lambda x: F.struct(last(predicted, x).alias("p"), last(actual, x).alias("a")))
-    n = F.size(places)
-    concordant = F.aggregate(
-        places, F.lit(0.0), lambda s, x: s + F.size(F.filter(places, lambda y: (y["p"] > x["p"]) & (y["a"] > x["a"]))).cast("double")
-    )
-    pairs = (n * (n - 1)).cast("double") / 2
-    return F.when((F.size(predicted) < 2) | (F.size(actual) < 2), 1.0).when(n < 2, 0.5).otherwise((((2 * concordant - pairs) / pairs) + 1) / 2)
+    places = F.array_sort(F.transform(F.array_intersect(predicted, actual), lambda x: F.struct(last(predicted, x).alias("p"), last(actual, x).alias("a"))))
+    # the second places in the order of the first: concordant pairs are those that ascend
+    ordered = F.transform(places, lambda x: x["a"])
+
+    def tau(a: Column) -> Column:
+        n = F.size(a)
+        above = lambda x, i: F.size(F.filter(F.slice(a, i + 2, n), lambda y: y > x)).cast("double")
+        concordant = F.aggregate(F.transform(a, above), F.lit(0.0), lambda s, x: s + x)
+        pairs = (n * (n - 1)).cast("double") / 2
+        return F.when(n < 2, 0.5).otherwise((((2 * concordant - pairs) / pairs) + 1) / 2)
+
+    return F.when((F.size(predicted) < 2) | (F.size(actual) < 2), 1.0).otherwise(once(ordered, tau))
 
 
 def session_hit(retrieved: Column, relevant: Column) -> Column:

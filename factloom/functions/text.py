@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row: inside a lambda an expression is computed
+    again for every element, but the only element of an array is not."""
+    return F.transform(F.array(value), then)[0]
+
+
 def overlap(words: Column, wanted: Column) -> Column:
     """Share of ``wanted`` that ``words`` holds; null for no wanted words."""
     return F.try_divide(F.size(F.array_intersect(words, wanted)).cast("double"), F.size(wanted))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import once
+
 
 def _doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -31,7 +33,7 @@ def cosine_safe(a: Column, b: Column, epsilon: float = 1e-9) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector divided by its length; zero vectors stay."""
-    return F.transform(_doubles(v), lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(x))
+    return once(norm(v), lambda length: F.transform(_doubles(v), lambda x: F.when(length > 0, x / length).otherwise(x)))
 
 
 def masked_mean(tokens: Column, mask: Column, dim: int) -> Column:
