@@ -10,6 +10,7 @@ adds no fact, so the loop stops there and reports the rounds it would have made.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from factloom import config
 from factloom.functions.metrics import heuristic_sufficiency
 from factloom.functions.text import MULTI_HOP, classify_query, entity_candidates
+from factloom.shared import saved
 
 
 def plan_queries(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -42,7 +44,7 @@ def retrieve(
     min_facts: int = config.MIN_FACTS,
     max_facts: int = config.MAX_FACTS,
     max_iterations: int = config.MAX_ITERATIONS,
-    save: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(),
+    save: Callable[[DataFrame], DataFrame] = partial(saved, label="agent"),
 ) -> tuple[DataFrame, DataFrame]:
     """``search(queries)`` gives (qid, fact_id, score, rank); ``expand(state)`` gives the same shape
     for entities of the state's facts. Returns facts (qid, fact_id, score, ord) and one row for each

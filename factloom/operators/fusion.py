@@ -25,7 +25,8 @@ def fuse(vector: DataFrame, graph: DataFrame, names: DataFrame, limit: int) -> D
         F.count_if(~F.col("v")).alias("k"),
         F.min(F.when(F.col("v"), F.col("score"))).alias("low"),
         F.max(F.when(~F.col("v"), F.col("score"))).alias("high"),
-        F.min_by(F.when(F.col("v"), low(F.col("entity_names"))), F.when(F.col("v"), F.col("score"))).alias("names"),
+        # of rows with the lowest score, the first names in order
+        F.min(F.when(F.col("v"), F.struct("score", low(F.col("entity_names")).alias("names"))))["names"].alias("names"),
     )
     known = names.where(F.length("name") >= 2).groupBy("qid").agg(F.collect_set(F.lower("name")).alias("resolved"))
     shared = F.coalesce(F.arrays_overlap("names", "resolved"), F.lit(False))

@@ -1,9 +1,9 @@
 """Vector, entity and two-stage search over facts and passages.
 
 Queries are batched: every operator takes a table of queries. The query side is small by nature; it
-is broadcast only after its rows have been counted, and beyond the bound it goes in blocks. The
-window that keeps the best rows of each query runs partly before the shuffle (a group limit), so
-what is moved is a few rows for each query and task, not the scores of all facts.
+goes to the tasks in counted blocks. Vectors are scored by matrix products, a slice of facts with a
+block of queries, and each slice keeps its best rows for each query, so what is moved is a few rows for
+each query and slice, not the scores of all facts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from factloom.functions.vectors import cosine, norm
 
 #: Queries broadcast at once: 4096 vectors of 768 floats are 12 MB.
 QUERY_BLOCK = 4096
+#: Scores held at once by a task: 32 MB, and as much again to find the best.
+SCORES = 4 << 20
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[DataFrame]:
@@ -39,63 +41,77 @@ def best(hits: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "
 
 
 def score_all(facts: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Every query against every fact: the fact's columns, qid and score.
+    """Every query against every fact: the fact's columns, qid and score. For evaluations that rank
+    all facts; searches take :func:`top_k`.
 
     ``facts`` may carry a ``norm`` column made at ingest; else it is computed once a fact.
     """
     out = None
+    if "norm" not in facts.columns:
+        facts = facts.withColumn("norm", norm(F.col(vector)))
     for part in query_blocks(queries):
-        pairs = _score(facts, part, vector)
+        asked = part.select("qid", F.col(vector).alias("__q"), norm(F.col(vector)).alias("__qn"))
+        pairs = facts.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col("__q"), F.col(vector), F.col("__qn"), F.col("norm"))).drop("__q", "__qn", "norm")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def _score(facts: DataFrame, queries: DataFrame, vector: str) -> DataFrame:
-    """:func:`score_all` for one block of queries."""
-    if "norm" not in facts.columns:
-        facts = facts.withColumn("norm", norm(F.col(vector)))
+def score_pairs(pairs: DataFrame, facts: DataFrame, queries: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """``pairs`` (qid, ``key``) with their score, null where a vector is missing, zero or of another size."""
     asked = queries.select("qid", F.col(vector).alias("__q"), norm(F.col(vector)).alias("__qn"))
-    pairs = facts.crossJoin(F.broadcast(asked))
-    return pairs.withColumn("score", cosine(F.col("__q"), F.col(vector), F.col("__qn"), F.col("norm"))).drop("__q", "__qn", "norm")
+    known = facts.select(key, F.col(vector).alias("__f"), norm(F.col(vector)).alias("__fn"))
+    rows = pairs.join(known, key).join(asked, "qid")
+    return rows.withColumn("score", cosine(F.col("__q"), F.col("__f"), F.col("__qn"), F.col("__fn"))).drop("__q", "__qn", "__f", "__fn")
 
 
 def top_k(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """Exact cosine top-k for each query; ties by ``key``. The vectors themselves are not returned."""
-    out = None
-    for part in query_blocks(queries):
-        hits = best(_score(facts, part, vector).drop(vector).where("score IS NOT NULL"), k, F.desc("score"), F.col(key))
-        out = hits if out is None else out.unionByName(hits)
+    """Exact cosine top-k for each query: the facts' columns but the vector, qid, score and rank; ties
+    by ``key``, which is unique. Vectors that are null, zero or of another size have no score."""
+    hits = top_k_blocks(facts, queries, k, key, vector)
+    further = [c for c in facts.columns if c not in (key, vector)]
+    return hits.join(facts.select(key, *further), key) if further else hits
+
+
+def _unit_rows(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors by dimension, without null and zero vectors."""
+    by_size: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            by_size.setdefault(len(v), []).append(i)
+    out = {}
+    for size, places in by_size.items():
+        block = np.stack([vectors[i] for i in places]).astype(np.float64)
+        lengths = np.linalg.norm(block, axis=1)
+        good = lengths > 0
+        if good.any():
+            out[size] = np.array(places)[good], block[good] / lengths[good][:, None]
     return out
 
 
 def top_k_blocks(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """The same by matrix products: each Arrow batch of facts keeps its best ``k`` for each query, then
-    a window keeps the best of all. For many queries. Returns qid, ``key``, score and rank."""
+    """qid, ``key``, score and rank of the exact top-k: each slice of an Arrow batch keeps its best ``k``
+    for each query, then a window, which runs partly before the shuffle, keeps the best of all."""
     out = None
     for part in query_blocks(queries):
         rows = part.select("qid", vector).toPandas()
-        ids = rows["qid"].to_numpy()
-        matrix = np.stack(rows[vector].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
-        lengths = np.linalg.norm(matrix, axis=1)
-        held = facts.sparkSession.sparkContext.broadcast((ids, matrix / np.where(lengths > 0, lengths, 1)[:, None]))
+        held = facts.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _unit_rows(rows[vector].tolist())))
 
         def run(batches, held=held):
-            qids, unit = held.value
+            qids, asked = held.value
             for frame in batches:
-                frame = frame[[v is not None and len(v) == unit.shape[1] for v in frame[vector]]]
-                if not len(frame) or not len(qids):
-                    continue
-                block = np.stack(frame[vector].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(block, axis=1)
-                frame, block = frame[size > 0], block[size > 0] / size[size > 0][:, None]
-                if not len(frame):
-                    continue
-                scores = unit @ block.T
                 keys = frame[key].to_numpy()
-                # all rows that tie with the k-th stay, so the window decides ties by key
-                bar = -np.partition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, min(k, scores.shape[1]) - 1]
-                q, f = np.nonzero(scores >= bar[:, None] - 1e-12)
-                yield pd.DataFrame({"qid": qids[q], key: keys[f], "score": scores[q, f]})
+                for size, (places, block) in _unit_rows(frame[vector].tolist()).items():
+                    if size not in asked:
+                        continue
+                    asking, unit = asked[size]
+                    step = max(1, SCORES // len(asking))
+                    for i in range(0, len(block), step):
+                        scores = unit @ block[i : i + step].T
+                        n = min(k, scores.shape[1])
+                        # all rows that tie with the k-th stay, so the window decides ties by key
+                        bar = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+                        q, f = np.nonzero(scores >= bar[:, None] - 1e-12)
+                        yield pd.DataFrame({"qid": qids[asking[q]], key: keys[places[i + f]], "score": scores[q, f]})
 
         kinds = f"qid {part.schema['qid'].dataType.simpleString()}, {key} {facts.schema[key].dataType.simpleString()}, score double"
         hits = best(facts.select(key, vector).mapInPandas(run, kinds), k, F.desc("score"), F.col(key))
@@ -134,19 +150,30 @@ def rerank_scores(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     return found.withColumn("rerank_score", score).drop("scores")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct character n-grams of a text; shorter texts have none."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
 def resolve_entities(queries: DataFrame, entities: DataFrame, text: str = "text", limit: int = 25) -> DataFrame:
     """Entities whose name, of two characters or more, is part of the query: (qid, entity_id, name).
 
-    The text test has no key to join on; the smaller side is broadcast in blocks, and at most
-    ``limit`` names of a query stay, in order of name.
+    Joined by a key: each name goes under its rarest 3-gram of those that the queries hold (names of
+    two characters under themselves), a name with a 3-gram that no query holds cannot match, and the
+    name is then looked for in the queries under its gram. At most ``limit`` names of a query stay, in
+    order of name.
     """
-    named = entities.where(F.length("name") >= 2)
-    out = None
-    for part in query_blocks(queries.select("qid", F.lower(text).alias("__low"))):
-        pairs = named.join(F.broadcast(part), F.contains("__low", F.lower("name")))
-        hits = best(pairs.select("qid", "entity_id", "name"), limit, F.col("name"), F.col("entity_id")).drop("rank")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    asked = queries.select("qid", F.lower(text).alias("__low"))
+    named = entities.where(F.length("name") >= 2).select("entity_id", "name", F.lower("name").alias("__name"))
+    grams = asked.select("qid", "__low", F.explode(F.concat(_grams(F.col("__low"), 3), _grams(F.col("__low"), 2))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("__name") > 2, _grams(F.col("__name"), 3)).otherwise(F.array("__name"))
+    names = named.select("__name").distinct().select("__name", F.size(own).alias("size"), F.explode(own).alias("gram"))
+    keyed = names.join(often, "gram").groupBy("__name").agg(F.first("size").alias("size"), F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest"))
+    keyed = keyed.where("found = size").select("__name", F.col("rarest.gram").alias("gram"))
+    pairs = grams.join(keyed, "gram").where(F.contains("__low", F.col("__name"))).select("qid", "__name")
+    return best(pairs.join(named, "__name").select("qid", "entity_id", "name"), limit, F.col("name"), F.col("entity_id")).drop("rank")
 
 
 def facts_of_entities(facts: DataFrame, edges: DataFrame, matched: DataFrame, key: str = "fact_id") -> DataFrame:
@@ -177,6 +204,21 @@ def entity_facts(facts: DataFrame, edges: DataFrame, entities: DataFrame, names:
     return best(hits.withColumn("score", F.lit(1.0)), limit, F.desc(created), F.col(key), by="name")
 
 
+def graph_search(facts: DataFrame, edges: DataFrame, entities: DataFrame, queries: DataFrame, limit: int, key: str = "fact_id", vector: str = "embedding") -> DataFrame:
+    """Vector leg, entity leg and their fusion: qid, fact_text, score, source and rank.
+
+    The entity leg scores only the facts that are linked to an entity of the query.
+    """
+    from factloom.operators import fusion
+
+    matched = resolve_entities(queries, entities)
+    near = top_k(facts, queries, fusion.vector_fetch(limit), key, vector)
+    linked = query_entity_facts(edges, matched).select("qid", F.col("in_id").alias(key))
+    graph = score_pairs(linked, facts, queries, key, vector).where("score IS NOT NULL")
+    graph = best(graph, fusion.graph_fetch(limit), F.desc("score"), F.col(key)).join(facts.select(key, "fact_text", "entity_names"), key)
+    return fusion.fuse(near, graph, matched.select("qid", "name"), limit)
+
+
 def temporal(hits: DataFrame, n: int, before: Column | None, after: Column | None, valid_at: str = "valid_at") -> DataFrame:
     """The first ``n`` of ranked hits within inclusive bounds; hits without a time pass.
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics
 from factloom.operators import evaluation, reports
-from factloom.operators.search import best, score_all
+from factloom.operators.search import best, score_all, top_k
 from factloom.plans.registry import Registry, table
 
 add = Registry()
@@ -93,23 +91,26 @@ def kendall_tau(spark, sf):
 
 
 RANKED = """
-WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id < 20),
-s AS (SELECT q.qid, q.label AS wanted, f.vec_id, f.label, list_cosine_similarity(q.v, f.embedding::DOUBLE[]) AS score FROM q, embeddings f WHERE f.vec_id >= 20)"""
+WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.qid, q.label AS wanted, f.vec_id, f.label, list_cosine_similarity(q.v, f.embedding::DOUBLE[]) AS score FROM q, embeddings f WHERE f.vec_id <> q.qid)"""
+
+
+def asking(spark, sf):
+    """Every row whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("wanted"))
 
 
-WHOLE = RANKED.replace("vec_id < 20", "vec_id % 100 = 0").replace("f.vec_id >= 20", "f.vec_id <> q.qid")
-assert WHOLE.count("% 100 = 0") == WHOLE.count("<> q.qid") == 1
+def nearest(spark, sf, k=10):
+    """The first ``k`` rows of each query, itself left out."""
+    q = asking(spark, sf)
+    hits = top_k(table(spark, sf, "embeddings"), q.drop("wanted"), k + 1, "vec_id").where("vec_id <> qid").drop("rank")
+    return best(hits, k, F.desc("score"), F.col("vec_id")).join(q.select("qid", "wanted"), "qid")
 
 
-def ranked(spark, sf, whole=False):
-    """Scores of each query; ``whole``: every row whose id is divisible by 100, against all but itself."""
-    if whole:
-        e = table(spark, sf, "embeddings")
-        q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("wanted"))
-        return score_all(e, q.drop("wanted")).drop("embedding").where("vec_id <> qid").join(q.select("qid", "wanted"), "qid")
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("wanted"))
-    return score_all(e.where("vec_id >= 20"), q.drop("wanted")).drop("embedding").join(F.broadcast(q.select("qid", "wanted")), "qid")
+def ranked(spark, sf):
+    """Scores of each query with all rows but itself."""
+    q = asking(spark, sf)
+    return score_all(table(spark, sf, "embeddings"), q.drop("wanted")).drop("embedding").where("vec_id <> qid").join(q.select("qid", "wanted"), "qid")
 
 
 @add("session_hr_mrr", RANKED + """
@@ -119,9 +120,9 @@ u AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FRO
 h AS (SELECT qid, min(r) FILTER (label = wanted) AS raw FROM r WHERE r <= 10 GROUP BY qid)
 SELECT u.qid, max(CASE WHEN label = wanted THEN 1.0 ELSE 0.0 END) AS hit, round(coalesce(1.0 / min(place) FILTER (label = wanted), 0.0), 6) AS rr_distinct, round(coalesce(1.0 / any_value(raw), 0.0), 6) AS rr_raw
 FROM u JOIN h USING (qid) GROUP BY u.qid""")
-def session_hr_mrr(spark, sf, whole=False):
+def session_hr_mrr(spark, sf):
     """Labels as sessions: is the query's own label among the first ten hits, and where?"""
-    top = best(ranked(spark, sf, whole), 10, F.desc("score"), F.col("vec_id"))
+    top = nearest(spark, sf)
     lists = top.groupBy("qid", "wanted").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda r: r["label"]).alias("sessions"))
     relevant = F.array("wanted")
     return lists.select(
@@ -136,8 +137,8 @@ def session_hr_mrr(spark, sf, whole=False):
 , r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id DESC) AS r FROM s)
 SELECT qid, round(coalesce(1.0 / min(r) FILTER (label = wanted), 0.0), 6) AS mrr, round(count(*) FILTER (label = wanted AND r <= 5)::DOUBLE / count(*) FILTER (label = wanted), 6) AS recall_at_5,
   round(count(*) FILTER (label = wanted AND r <= 10)::DOUBLE / count(*) FILTER (label = wanted), 6) AS recall_at_10 FROM r GROUP BY qid HAVING count(*) FILTER (label = wanted) > 0""")
-def embed_recall_at_k(spark, sf, whole=False):
-    rows = ranked(spark, sf, whole).withColumnRenamed("vec_id", "doc")
+def embed_recall_at_k(spark, sf):
+    rows = ranked(spark, sf).withColumnRenamed("vec_id", "doc")
     out = reports.embedding_ranking(rows.select("qid", "doc", "score"), rows.where("label = wanted").select("qid", "doc"))
     return out.select("qid", *[F.round(c, 6).alias(c) for c in ("mrr", "recall_at_5", "recall_at_10")])
 
@@ -237,9 +238,9 @@ m AS (SELECT qid, wanted, max(CASE WHEN label = wanted THEN 1.0 ELSE 0.0 END) AS
 w AS (SELECT CASE WHEN qid % 2 = 0 THEN 'multi_hop' ELSE 'inference' END AS type, CASE WHEN qid % 3 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, hit_rate, mrr FROM m)
 SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'overall' END AS grouping, coalesce(type, difficulty) AS value, count(*) AS n,
   round(avg(hit_rate), 6) AS hit_rate, round(avg(mrr), 6) AS mrr FROM w GROUP BY GROUPING SETS ((), (type), (difficulty))""")
-def query_evaluation(spark, sf, whole=False):
+def query_evaluation(spark, sf):
     """Search, sessions in order, hit rate and rank of each query, summary by type and difficulty."""
-    top = best(ranked(spark, sf, whole), 10, F.desc("score"), F.col("vec_id"))
+    top = nearest(spark, sf)
     sessions = top.groupBy("qid", F.col("label").alias("session_id")).agg(F.min("rank").alias("ord"))
     queries = top.select("qid", F.array("wanted").alias("relevant_sessions")).distinct()
     rows = evaluation.session_results(queries, sessions)
@@ -247,10 +248,6 @@ def query_evaluation(spark, sf, whole=False):
     return reports.eval_summary(rows).select("grouping", "value", "n", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
-for _name in ("session_hr_mrr", "embed_recall_at_k", "query_evaluation"):
-    add(f"{_name}_whole", add.sql[_name].replace(RANKED, WHOLE))(partial(add.queries[_name], whole=True))
-
-
 @add("context_lengths", """
 WITH r AS (SELECT user_id, event_type || event_id AS fact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events)
 SELECT user_id, CAST(sum(length(fact)) AS BIGINT) AS context_length, string_agg(fact, chr(10) ORDER BY rank) FILTER (rank <= 15) AS context FROM r GROUP BY user_id""")

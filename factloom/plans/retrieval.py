@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +13,12 @@ from factloom.plans.registry import Registry, table
 
 add = Registry()
 
-N_QUERIES, LIMIT = 5, 10
-#: Rows that ask: a few for a quick look, and for the queries named ``..._whole`` all ids divisible by 100.
-FEW, WHOLE = f"vec_id < {N_QUERIES}", "vec_id % 100 = 0"
+LIMIT = 10
+#: Rows that ask: all ids divisible by 100, against all rows.
+ASKING = "vec_id % 100 = 0"
 
 SCORED = """
-WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 100 = 0),
 f AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 s AS (SELECT q.qid, q.label AS qlabel, f.vec_id, f.label, list_cosine_similarity(q.v, f.v) AS score FROM q, f)"""
 
@@ -30,8 +28,8 @@ def facts(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("fact_id"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("fact_text"), "embedding", F.array(F.concat(F.lit("Entity "), F.col("label").cast("string"))).alias("entity_names"), "label")
 
 
-def asked(spark, sf, which=FEW) -> DataFrame:
-    return table(spark, sf, "embeddings").where(which).select(F.col("vec_id").alias("qid"), "embedding", "label")
+def asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").where(ASKING).select(F.col("vec_id").alias("qid"), "embedding", "label")
 
 
 def _scores(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,8 +38,8 @@ def _scores(df: DataFrame, *columns: str) -> DataFrame:
 
 @add("topk_cosine", SCORED + """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
-def topk_cosine(spark, sf, which=FEW):
-    return _scores(search.top_k(facts(spark, sf), asked(spark, sf, which), LIMIT, "fact_id").withColumnRenamed("fact_id", "vec_id"), "vec_id")
+def topk_cosine(spark, sf):
+    return _scores(search.top_k(facts(spark, sf), asked(spark, sf), LIMIT, "fact_id").withColumnRenamed("fact_id", "vec_id"), "vec_id")
 
 
 @add("topk_cosine_blocks", """
@@ -56,8 +54,8 @@ def topk_cosine_blocks(spark, sf):
 
 @add("topk_cosine_threshold", SCORED + """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50 AND score >= 0.2""")
-def topk_cosine_threshold(spark, sf, which=FEW):
-    hits = search.top_k(facts(spark, sf), asked(spark, sf, which), FAIR.embedding_top_k, "fact_id").withColumnRenamed("fact_id", "vec_id")
+def topk_cosine_threshold(spark, sf):
+    hits = search.top_k(facts(spark, sf), asked(spark, sf), FAIR.embedding_top_k, "fact_id").withColumnRenamed("fact_id", "vec_id")
     return _scores(search.above(hits, 0.2), "vec_id")
 
 
@@ -65,8 +63,8 @@ def topk_cosine_threshold(spark, sf, which=FEW):
 , c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS original_rank FROM s),
 r AS (SELECT *, (CASE WHEN label = qlabel THEN 1.0 ELSE 0.0 END) AS rerank_score FROM c WHERE original_rank <= 50 AND score >= 0.1)
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, original_rank) AS rank FROM r) WHERE rank <= 10""")
-def two_stage_rerank(spark, sf, which=FEW):
-    q = asked(spark, sf, which).withColumnRenamed("label", "wanted")
+def two_stage_rerank(spark, sf):
+    q = asked(spark, sf).withColumnRenamed("label", "wanted")
     out = search.two_stage(facts(spark, sf), q, "fact_id", FAIR.embedding_top_k, 0.1, FAIR.rerank_top_k, F.when(F.col("wanted") == F.col("label"), 1.0).otherwise(0.0))
     return _scores(out.withColumnRenamed("fact_id", "vec_id"), "vec_id")
 
@@ -83,45 +81,34 @@ x AS (SELECT qid, fact_text, least(1.0, CASE WHEN nv > 0 AND k > 0 THEN greatest
 SELECT qid, fact_text, round(score, 6) AS score, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_text) AS rank FROM x) WHERE rank <= 10"""
 
 
-def graph_parts(spark, sf, which=FEW, text=None):
+def graph_parts(spark, sf, text=None):
     """Facts, edges, entities and queries with a text that names their entity."""
     f = facts(spark, sf)
     f = f if text is None else f.withColumn("fact_text", text)
     edges = f.select(F.col("fact_id").alias("in_id"), F.concat(F.lit("e"), F.col("label").cast("string")).alias("out_id"))
     entities = f.select(F.concat(F.lit("e"), F.col("label").cast("string")).alias("entity_id"), F.col("entity_names")[0].alias("name")).distinct()
-    q = asked(spark, sf, which).withColumn("text", F.concat(F.lit("What about ENTITY "), F.col("label").cast("string"), F.lit("?")))
+    q = asked(spark, sf).withColumn("text", F.concat(F.lit("What about ENTITY "), F.col("label").cast("string"), F.lit("?")))
     return f, edges, entities, q
 
 
-def fused(f, edges, entities, q, limit=LIMIT):
-    """Graph search: vector leg, entity leg, fusion."""
-    matched = search.resolve_entities(q, entities)
-    vector = search.top_k(f, q, fusion.vector_fetch(limit), "fact_id")
-    linked = search.query_entity_facts(edges, matched)
-    scored = search.score_all(f, q).drop("embedding")
-    graph = scored.join(linked, (scored["qid"] == linked["qid"]) & (scored["fact_id"] == linked["in_id"]), "left_semi")
-    graph = search.best(graph, fusion.graph_fetch(limit), F.desc("score"), F.col("fact_id"))
-    return fusion.fuse(vector, graph, matched.select("qid", "name"), limit)
-
-
 @add("fused_search", FUSED.replace("{text}", "'fact ' || vec_id"))
-def fused_search(spark, sf, which=FEW):
-    return _scores(fused(*graph_parts(spark, sf, which)), "fact_text", "source")
+def fused_search(spark, sf):
+    return _scores(search.graph_search(*graph_parts(spark, sf), LIMIT), "fact_text", "source")
 
 
 @add("fused_name_boost", FUSED.replace("{text}", "'fact ' || vec_id % 97"))
-def fused_name_boost(spark, sf, which=FEW):
+def fused_name_boost(spark, sf):
     """Several facts share a text, so that rows of both legs meet."""
-    return _scores(fused(*graph_parts(spark, sf, which, F.concat(F.lit("fact "), (F.col("fact_id") % 97).cast("string")))), "fact_text", "source")
+    return _scores(search.graph_search(*graph_parts(spark, sf, F.concat(F.lit("fact "), (F.col("fact_id") % 97).cast("string"))), LIMIT), "fact_text", "source")
 
 
 @add("temporal_search", FUSED.replace("{text}", "'fact ' || vec_id").replace("r <= 30", "r <= 60").replace("r <= 20", "r <= 40").split("SELECT qid, fact_text, round")[0] + """
 , y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_text) AS r, CAST(replace(fact_text, 'fact ', '') AS BIGINT) AS id FROM x),
 z AS (SELECT *, CASE WHEN id % 11 <> 0 THEN DATE '2024-01-01' + CAST(id % 30 AS INTEGER) END AS valid_at FROM y WHERE r <= 20)
 SELECT qid, fact_text, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM z WHERE valid_at IS NULL OR valid_at BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') WHERE rank <= 10""")
-def temporal_search(spark, sf, which=FEW):
+def temporal_search(spark, sf):
     """Graph search for twice the results, then the bounds."""
-    hits = fused(*graph_parts(spark, sf, which), limit=2 * LIMIT)
+    hits = search.graph_search(*graph_parts(spark, sf), 2 * LIMIT)
     number = F.replace("fact_text", F.lit("fact "), F.lit("")).cast("long")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (number % 30).cast("int"))
     hits = hits.withColumn("valid_at", F.when(number % 11 != 0, day))
@@ -149,37 +136,33 @@ def order_graph(spark, sf):
 
 
 @add("entity_facts", """
-WITH n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part WHERE p_size <= 3),
+WITH n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part),
 x AS (SELECT DISTINCT n.name, l_orderkey AS k FROM n JOIN part p ON lower(p.p_name) = n.low JOIN lineitem ON l_partkey = p.p_partkey)
 SELECT name, k AS fact_id, rank FROM (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY o_orderdate DESC, k) AS rank FROM x JOIN orders ON o_orderkey = k) WHERE rank <= 20""")
-def entity_facts(spark, sf, which="p_size <= 3"):
+def entity_facts(spark, sf):
     o, e, p = order_graph(spark, sf)
-    names = table(spark, sf, "part").where(which).select(F.upper("p_name").alias("u"), F.col("p_name").alias("name")).select("name")
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name"))
     return search.entity_facts(o, e, p, names).select("name", "fact_id", F.col("rank").cast("long").alias("rank"))
 
 
 @add("entity_facts_fallback", """
 WITH f AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 5 = 0 THEN [o_orderpriority, o_orderstatus] ELSE [o_orderstatus] END AS names FROM orders),
-e AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0),
+e AS (SELECT p_partkey, p_name FROM part),
 a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT o_orderpriority FROM orders),
 x AS (SELECT DISTINCT a.name, l_orderkey AS k FROM a JOIN e ON lower(e.p_name) = lower(a.name) JOIN lineitem ON l_partkey = e.p_partkey),
 h AS (SELECT x.name, x.k, f.d, 'entity_expand' AS source FROM x JOIN f ON f.k = x.k
   UNION ALL SELECT a.name, f.k, f.d, 'entity_names' FROM a JOIN f ON list_contains(f.names, a.name) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.name = a.name))
 SELECT name, k AS fact_id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d DESC, k) AS rank FROM h) WHERE rank <= 20""")
-def entity_facts_fallback(spark, sf, which="entity_id % 3 = 0"):
+def entity_facts_fallback(spark, sf):
+    """All parts are asked for; order priorities are the names without an entity."""
     _, e, p = order_graph(spark, sf)
     o = table(spark, sf, "orders")
     f = o.select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 5 == 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array("o_orderstatus")).alias("entity_names"))
     names = p.select("name").unionByName(o.select(F.col("o_orderpriority").alias("name"))).distinct()
-    out = search.entity_facts(f, e, p.where(which), names, fallback="entity_names")
+    out = search.entity_facts(f, e, p, names, fallback="entity_names")
     return out.select("name", "fact_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
-# all parts are asked for, and all are entities; the priorities are the names without an entity
-add("entity_facts_whole", add.sql["entity_facts"].replace(" WHERE p_size <= 3", ""))(partial(entity_facts, which="true"))
-add("entity_facts_fallback_whole", add.sql["entity_facts_fallback"].replace(" WHERE p_partkey % 3 = 0", ""))(partial(entity_facts_fallback, which="true"))
-
-
 @add("semi_facts", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red')))")
 def semi_facts(spark, sf):
     _, e, p = order_graph(spark, sf)
@@ -211,12 +194,11 @@ p AS (SELECT qid, 'passage ' || vec_id AS text, score, row_number() OVER (PARTIT
 n AS (SELECT qid, least(count(*), 15) AS n FROM g GROUP BY qid)
 SELECT qid, 'graph' AS source_type, '[FACT] ' || text AS content, round(score, 6) AS score, r AS ord FROM g WHERE r <= 15
 UNION ALL SELECT p.qid, 'passage', '[DETAIL] ' || text, round(score, 6), coalesce(n, 0) + r FROM p LEFT JOIN n USING (qid) WHERE r <= 5""")
-def hybrid_union(spark, sf, which=FEW):
-    q = asked(spark, sf, which)
-    scored = search.score_all(facts(spark, sf), q.drop("label")).drop("embedding")
-    own = q.select("qid", F.col("label").alias("wanted"))
-    graph = search.best(scored.join(own, "qid").where("label = wanted"), 15, F.desc("score"), F.col("fact_id")).withColumn("text", F.col("fact_text"))
-    passages = search.best(scored, DIRECT.rerank_top_k, F.desc("score"), F.col("fact_id")).withColumn("text", F.concat(F.lit("passage "), F.col("fact_id").cast("string")))
+def hybrid_union(spark, sf):
+    f, q = facts(spark, sf), asked(spark, sf)
+    linked = q.select("qid", "label").join(f.select("fact_id", "label"), "label").select("qid", "fact_id")
+    graph = search.best(search.score_pairs(linked, f, q, "fact_id").where("score IS NOT NULL"), 15, F.desc("score"), F.col("fact_id")).join(f.select("fact_id", F.col("fact_text").alias("text")), "fact_id")
+    passages = search.top_k(f.select("fact_id", "embedding"), q, DIRECT.rerank_top_k, "fact_id").withColumn("text", F.concat(F.lit("passage "), F.col("fact_id").cast("string")))
     return fusion.hybrid(graph, passages).withColumn("score", F.round("score", 6))
 
 
@@ -256,43 +238,22 @@ x AS (SELECT c.qid, c.vec_id, c.score, 1 AS leg, row_number() OVER (PARTITION BY
 a AS (SELECT qid, vec_id, score, leg, r FROM h UNION ALL SELECT qid, vec_id, score, leg, r FROM x WHERE r <= 20),
 d AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY leg, r) AS once FROM a)
 SELECT qid, vec_id, round(score, 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY leg, r, vec_id) AS ord FROM d WHERE once = 1) WHERE ord <= 15""")
-def agent_retrieve(spark, sf, which=FEW):
+def agent_retrieve(spark, sf):
     """Two legs a round: vector hits above the threshold, then the entities of the first hits."""
-    f, q = facts(spark, sf), asked(spark, sf, which)
-    scored = search.score_all(f, q.drop("label")).drop("embedding")
+    f, q = facts(spark, sf), asked(spark, sf)
 
     def look(open_):
-        return search.best(scored.join(open_.select("qid"), "qid", "left_semi"), 10, F.desc("score"), F.col("fact_id"))
+        return search.top_k(f.select("fact_id", "embedding"), q.join(open_.select("qid"), "qid", "left_semi"), 10, "fact_id")
 
     def expand(state):
         labels = state.where("leg = 0 AND rank <= 3").join(f.select("fact_id", "label"), "fact_id").select("qid", "label").distinct()
-        return search.best(scored.join(labels, ["qid", "label"]), 20, F.desc("score"), F.col("fact_id"))
+        linked = labels.join(f.select("fact_id", "label"), "label").select("qid", "fact_id")
+        return search.best(search.score_pairs(linked, f, q, "fact_id").where("score IS NOT NULL"), 20, F.desc("score"), F.col("fact_id"))
 
-    found, _ = agent.retrieve(q, look, expand, threshold=0.1, save=saver(spark))
+    found, _ = agent.retrieve(q, look, expand, threshold=0.1)
     return found.select("qid", F.col("fact_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
 
 
-def _whole(*names: str) -> None:
-    """The same searches for all rows whose id is divisible by 100, against all rows."""
-    for name in names:
-        add(f"{name}_whole", add.sql[name].replace(f"WHERE {FEW}", f"WHERE {WHOLE}"))(partial(add.queries[name], which=WHOLE))
-
-
-_whole("topk_cosine", "topk_cosine_threshold", "two_stage_rerank", "fused_search", "fused_name_boost", "temporal_search", "hybrid_union", "agent_retrieve")
-
-
-def saver(spark):
-    """Checkpoints in the session's shared folder; a folder of our own only in a local session."""
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="factloom-"))
-    return lambda df: df.checkpoint()
-
-
 def _classify_sql() -> str:
     from factloom.functions.text import QUERY_CLASSES
 

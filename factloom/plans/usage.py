@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import reports, windows
 from factloom.plans.registry import Registry, table
+from factloom.shared import scratch_dir
 from factloom.streaming import windows as streams
 
 add = Registry()
@@ -98,17 +98,9 @@ def hook_metrics(spark, sf):
 EVENTS = "{}/events.parque[t]"
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared one; a local folder only in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='factloom-')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf: str, make, mode: str = "append") -> DataFrame:
     """Run a stream over ``events`` to its end and return what it wrote."""
-    folder = stream_folder(spark)
+    folder = f"{scratch_dir(spark)}/factloom/stream-{uuid.uuid4().hex}"
     source = streams.read_stream(spark, EVENTS.format(sf), table(spark, sf, "events").schema)
     streams.run_available(make(source), f"{folder}/out", f"{folder}/state", mode)
     return spark.read.parquet(f"{folder}/out")
@@ -148,7 +140,7 @@ def stream_sessions(spark, sf):
 @add("stream_ingest", "SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events GROUP BY 1")
 def stream_ingest(spark, sf):
     """Micro-batches appended under their number, so a batch given again replaces itself."""
-    folder = stream_folder(spark)
+    folder = f"{scratch_dir(spark)}/factloom/stream-{uuid.uuid4().hex}"
     source = streams.read_stream(spark, EVENTS.format(sf), table(spark, sf, "events").schema)
     streams.ingest(source, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/out")

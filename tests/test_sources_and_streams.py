@@ -99,18 +99,56 @@ def test_plans(spark, sf):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
-    assert "BroadcastNestedLoopJoin" in plan(retrieval.topk_cosine(spark, sf)) and "WindowGroupLimit" in plan(retrieval.topk_cosine(spark, sf))
+    assert "NestedLoop" not in plan(retrieval.topk_cosine(spark, sf)) and "WindowGroupLimit" in plan(retrieval.topk_cosine(spark, sf))
     assert "LeftSemi" in plan(retrieval.semi_facts(spark, sf)) and "LeftAnti" in plan(retrieval.anti_facts(spark, sf))
     pushed = plan(retrieval.anti_facts(spark, sf))
     assert "EqualTo(o_orderstatus,P)" in pushed and "o_totalprice" not in pushed
 
 
-def test_blocks_equal_expressions(spark):
-    rows = [(i, [float((i * 7) % 5), float(i % 3), 1.0]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, None), (42, [1.0])]
+@pytest.mark.parametrize("scores", [1, 30, 1 << 22])
+def test_blocks_equal_expressions(spark, monkeypatch, scores):
+    monkeypatch.setattr(search, "SCORES", scores)
+    rows = [(i, [float((i * 7) % 5), float(i % 3), 1.0]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, None), (42, [1.0]), (43, [2.0]), (44, [])]
     f = spark.createDataFrame(rows, "fact_id long, embedding array<float>")
-    q = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(6)], "qid long, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(6)] + [(6, None), (7, [0.0, 0.0, 0.0]), (8, [-3.0]), (9, [])], "qid long, embedding array<float>")
     take = lambda df: sorted((r.qid, r.fact_id, round(r.score, 9), r["rank"]) for r in df.select("qid", "fact_id", "score", "rank").collect())
-    assert take(search.top_k(f, q, 7, "fact_id")) == take(search.top_k_blocks(f, q, 7, "fact_id"))
+    want = take(search.best(search.score_all(f, q).where("score IS NOT NULL"), 7, F.desc("score"), F.col("fact_id")))
+    assert take(search.top_k(f, q, 7, "fact_id")) == take(search.top_k_blocks(f, q, 7, "fact_id")) == want
+    assert {r[0] for r in want} == {0, 1, 2, 3, 4, 5, 8}
+    pairs = f.select("fact_id").crossJoin(q.select("qid"))
+    scored = search.score_pairs(pairs, f, q, "fact_id").where("score IS NOT NULL")
+    assert take(search.best(scored, 7, F.desc("score"), F.col("fact_id"))) == want
+
+
+def test_entities_by_grams_equal_substrings(spark):
+    names = ["Budi", "budi", "a", "Al", "Bu", "", "Budi Santoso", "toko buku", "ko", "Ée", "x%_", None, "bukubuku", "Ani", "Budi"]
+    texts = ["Kapan Budi Santoso ke TOKO BUKU?", "ani dan al", "bu", "", None, "x%_y", "bukubukubuku", "éE", "b"]
+    entities = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(names)], "entity_id string, name string")
+    queries = spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+    want = sorted((i, f"e{k}", n) for i, t in enumerate(texts) for k, n in enumerate(names) if n and len(n) >= 2 and n.lower() in (t or "").lower())
+    assert sorted((r.qid, r.entity_id, r.name) for r in search.resolve_entities(queries, entities).collect()) == want
+    two = search.resolve_entities(queries, entities, limit=2)
+    assert sorted((r.qid, r.name) for r in two.collect() if r.qid == 0) == [(0, "Bu"), (0, "Budi")]
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_ancestry_of_long_chains_and_cycles(spark):
+    chain = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(1000)]
+    loops = [("x", ["y"]), ("y", ["x"]), ("z", ["z", "x"]), ("d", ["b", "e"]), ("b", ["a", "a"]), ("e", ["b"]), ("n", None), ("m", [None, "missing"])]
+    rows = {(r.id, r.ancestor): r.depth for r in events.ancestry(spark.createDataFrame(chain + loops, "id string, caused_by array<string>")).collect()}
+    assert {k: d for k, d in rows.items() if k[0][0] != "c"} == {
+        ("x", "y"): 1, ("x", "x"): 2, ("y", "x"): 1, ("y", "y"): 2, ("z", "z"): 1, ("z", "x"): 1, ("z", "y"): 2, ("d", "b"): 1, ("d", "e"): 1, ("d", "a"): 2, ("b", "a"): 1, ("e", "b"): 1, ("e", "a"): 2, ("m", "missing"): 1
+    }
+    assert all(rows[f"c{i}", f"c{k}"] == i - k for i in (1, 64, 65, 999) for k in range(i)) and sum(k[0][0] == "c" for k in rows) == 999 * 500
+    assert events.ancestry(spark.createDataFrame([], "id string, caused_by array<string>")).count() == 0
+
+
+def test_session_windows_of_one_day(spark):
+    s = spark.createDataFrame([(1, datetime.date(2024, 1, 5)), (2, datetime.date(2024, 1, 5)), (3, datetime.date(2024, 1, 20))], "session_id long, date date")
+    e = spark.createDataFrame([(10, datetime.date(2023, 12, 1)), (11, datetime.date(2024, 1, 5)), (12, datetime.date(2024, 1, 12)), (13, datetime.date(2024, 2, 1))], "id long, date date")
+    # the second session of a day has no new day, so it sees the last week
+    assert sorted((r.session_id, r.id) for r in events.relevant_events(s, e).collect()) == [(1, 10), (1, 11), (2, 11), (3, 12)]
 
 
 def test_query_blocks_cover_all(spark):
@@ -123,7 +161,7 @@ def test_agent_stops(spark):
     hits = spark.createDataFrame([(1, f"f{i}", 0.9 - i / 100, i + 1) for i in range(20)] + [(2, "g", 0.8, 1)], "qid long, fact_id string, score double, rank int")
     planned = agent.plan_queries(q).collect()
     assert [(r.query_type, r.multi_hop) for r in planned] == [("causal", True), ("factual", False)] and "Budi" in planned[0].entities
-    found, report = agent.retrieve(q, lambda o: hits.join(o.select("qid"), "qid", "left_semi"), save=retrieval.saver(spark))
+    found, report = agent.retrieve(q, lambda o: hits.join(o.select("qid"), "qid", "left_semi"))
     assert found.where("qid = 1").count() == 15
     got = {r.qid: (r.n_facts, r.iterations, r.confidence) for r in report.collect()}
     assert got == {1: (15, 1, 1.0), 2: (1, 5, 0.8)}
