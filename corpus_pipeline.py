@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import mixing, near_dedup, pii, quality, sentencepiece_codec
-from factloom.llm.common import scratch_dir
+from factloom.llm.common import forget, scratch, scratch_dir
 from factloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -70,11 +70,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = f"{scratch_dir(spark)}/factloom/stage-{i}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{scratch_dir(spark)}/factloom/stage-{i}-{uuid.uuid4().hex}"
+        # what a stage saved on its way goes as soon as its result is written, and so does its input
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if i:
+            forget(before)
+        docs = before = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

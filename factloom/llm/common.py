@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from factloom.shared import forget, saved, scratch, scratch_dir
+
+__all__ = ["documents", "forget", "map_texts", "saved", "scratch", "scratch_dir", "slices", "text_of"]
+
 #: A word of the document contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,43 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir`` of the session.
-
-    A folder of our own is made only where the setting is absent and the session is local (tests);
-    on a cluster without the setting this fails rather than write to one machine's disk.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage in a way that survives lost executors, and computes ``df`` once however often
-    the result is used.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/factloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`saved` that no later step reads."""
-    for table in tables:
-        spark = table.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for parent in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))

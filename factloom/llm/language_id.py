@@ -5,9 +5,11 @@ leaves the languages that were seen in that script; each of them scores the word
 n-grams (naive Bayes); Viterbi over the words of a text, with a penalty for each change of language,
 labels spans. A document's language is the one with most letters in its spans.
 
-Training reads labelled rows only, at most about ``MAX_TRAINING_ROWS`` of them: beyond that number
-rows are kept by a hash of their text, each with the same chance. The model is a table of
-``BUCKETS`` rows for each language, so what is broadcast does not grow with the corpus.
+Training reads labelled rows only, each distinct text of a language once, at most about
+``MAX_TRAINING_ROWS`` of them: each language has an equal share of that number, and beyond its share
+texts are kept by their hash. So small languages are learned whole, and a text that fills the corpus
+counts once. Of more than ``MAX_LANGUAGES`` labels those with most texts are learned. The model is a
+table of ``BUCKETS`` rows for each language, so what is broadcast does not grow with the corpus.
 
 Cases: null texts and texts without letters are ``und`` with score 0 and have no spans; rows with a
 null language do not train; if no row trains, all texts are ``und``; ties go to the language first
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 from factloom.llm.common import map_texts
 
-#: Documented bound of the training sample.
-MAX_TRAINING_ROWS = 20_000
+#: Documented bounds of the training sample: texts, and languages.
+MAX_TRAINING_ROWS, MAX_LANGUAGES = 20_000, 100
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 SWITCH_PENALTY = 12.0
@@ -148,12 +150,20 @@ def count_batches(batches):
         yield pd.DataFrame({"lang": lang, "bucket": np.where(at < BUCKETS, at, BUCKETS - 1 - at), "n": table[at]})
 
 
+def training_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """(lang, text): distinct texts of each language up to its share of ``max_rows``, chosen by hash."""
+    rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].cast("string").alias("text")).dropna()
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not sizes:
+        return rows
+    share = max(1, max_rows // len(sizes))
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], (1 << 20) if r["n"] <= share else int((1 << 20) * share / r["n"]))])
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(limits, "lang"), F.lit(0))).dropDuplicates(["lang", "text"])
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Learn from rows with a text and a language; see the module for the bound ``max_rows``."""
-    rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].cast("string").alias("text")).dropna()
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    rows = training_rows(labelled, text, lang, max_rows)
     sums = rows.mapInPandas(count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     table = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))

@@ -65,3 +65,48 @@ def test_sample_bound(spark):
     rows = [(i, f"text number {i} about nothing", "en", "s") for i in range(400)]
     model = language_id.train(table(spark, rows), max_rows=100)
     assert model.languages == ["en"]
+
+
+def test_small_languages_and_hot_texts(spark):
+    """A language of few texts is learned whole, a text that fills the table counts once, rare labels beyond the bound go."""
+    rows = [(i, f"english text number {i} about nothing", "en", "s") for i in range(3000)] + [(9000 + i, "one hot text", "de", "s") for i in range(2000)]
+    rows += [(5000 + i, t, "ru", "s") for i, t in enumerate(RUSSIAN)]
+    got = [(r.lang, r.text) for r in language_id.training_rows(table(spark, rows), max_rows=300).collect()]
+    count = {k: sum(lang == k for lang, _ in got) for k in ("en", "de", "ru")}
+    assert count["ru"] == 2 and count["de"] == 1 and 50 < count["en"] < 160 and len(set(got)) == len(got)
+    most = language_id.training_rows(table(spark, rows), max_languages=2).select("lang").distinct().collect()
+    assert {r.lang for r in most} == {"en", "ru"}
+
+
+def test_word_scores_and_scripts_equal_plain_python(spark):
+    """Bucket counts, naive Bayes scores and candidates by script, word by word."""
+    rows = [(i, t, lang, "s") for lang, texts in (("en", ENGLISH), ("de", GERMAN), ("ru", RUSSIAN)) for i, t in enumerate(texts)]
+    model = language_id.train(table(spark, rows))
+    mask = (1 << 64) - 1
+
+    def buckets(word):
+        codes, out = [2, *(ord(c) for c in word.lower()), 3], []
+        for n in language_id.ORDERS:
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for k, c in enumerate(codes[i : i + n]):
+                    h = (h * 0x100000001B3 + c + k + 1) & mask
+                out.append((h * 0x9E3779B97F4A7C15 & mask) >> 47)
+        return out
+
+    counts = np.zeros((language_id.BUCKETS, 3))
+    scripts = {}
+    for _, t, lang, _ in rows:
+        for word in "".join(c if c.isalpha() else " " for c in t).split():
+            k = model.languages.index(lang)
+            scripts.setdefault("cyrillic" if ord(word[0]) > 0x400 else "latin", set()).add(k)
+            np.add.at(counts[:, k], buckets(word), 1)
+    chance = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * language_id.BUCKETS))
+    for word in ("house", "Haus", "дом", "zebra"):
+        allowed = scripts["cyrillic" if ord(word[0]) > 0x400 else "latin"]
+        score = chance[buckets(word)].sum(axis=0) / len(language_id.ORDERS)
+        want = max(sorted(allowed), key=lambda k: score[k])
+        assert language_id.predict(model, [word])[0] == [model.languages[want]]
+        words = language_id.split_words([word])
+        bucket, _ = language_id.grams(words)
+        assert sorted(bucket.tolist()) == sorted(buckets(word)) and np.abs(model.scores[bucket].sum(axis=0) / len(language_id.ORDERS) - score).max() < 1e-3

@@ -59,3 +59,21 @@ def test_hot_group_is_numbered_in_parts(spark):
 
 def test_empty_table(spark):
     assert sharding.assign_shards(table(spark, [])).count() == 0
+
+
+def test_loads_equal_brute_force(spark):
+    """Where every group is large enough to be a unit of its own, loads are those of plain scheduling."""
+    import random
+
+    chance = random.Random(4)
+    rows = [(i, "x" * chance.choice([3, 17, 40, 41, 90, 200, 333]) + str(chance.randrange(25)), "en", "s") for i in range(300)]
+    groups = defaultdict(int)
+    for _, t, *_ in rows:
+        groups[t] += len(t) + 1
+    want = [0] * 5
+    for size in sorted(groups.values(), reverse=True):
+        want[want.index(min(want))] += size
+    load = defaultdict(int)
+    for r in sharding.assign_shards(table(spark, rows), shards=5, units=1 << 20).collect():
+        load[r.shard] += r["size"]
+    assert sorted(load.values()) == sorted(want)
