@@ -41,6 +41,8 @@ BROADCAST_TERMS = 1 << 20
 KINDS = ("email", "ip", "card", "phone")
 #: Letters and digits; terms of one character reveal nothing by themselves.
 TERM, LEAST_TERM = r"[\p{L}\p{N}]+", 2
+#: Matches that are placed in one go.
+CHUNK = 512
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -93,18 +95,29 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def matches(text: Column, regex: Column, valid=lambda value: F.lit(True)) -> Column:
-    """Spans of the non-overlapping matches that are valid: the pieces between matches give the places."""
+    """Spans of the non-overlapping matches that are valid: the pieces between matches give the places.
+
+    An array that grows by one is copied each time, so matches go by chunks, each from its own start."""
     pairs = F.arrays_zip(F.split(text, regex, -1).alias("piece"), F.regexp_extract_all(text, regex, 0).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    length = lambda pair: F.length(pair["piece"]) + F.coalesce(F.length(pair["value"]), F.lit(0))
+
+    def spans(chunk: Column, begin: Column) -> Column:
+        def step(state: Column, pair: Column) -> Column:
+            at, value = state["at"] + F.length(pair["piece"]), pair["value"]
+            end = state["at"] + length(pair)
+            span = F.array(F.struct(at.alias("start"), end.alias("end"), value.alias("value")))
+            return F.struct(end.alias("at"), F.when(value.isNotNull() & valid(value), F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), F.array().cast(SPANS).alias("found")), step, lambda state: state["found"])
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["piece"])
-        value = pair["value"]
-        end = begin + F.coalesce(F.length(value), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value")))
-        return F.struct(end.alias("at"), F.when(value.isNotNull() & valid(value), F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def chunked(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda total, pair: total + length(pair)))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda found, n: F.concat(found, F.array(F.element_at(found, -1) + n)))
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("pairs"), F.slice(begins, F.lit(1), F.size(chunks)).alias("begin")), lambda c: spans(c["pairs"], c["begin"])))
 
-    return F.aggregate(pairs, start, step, lambda state: state["found"])
+    # one evaluation of the pairs: they are the only element of an array
+    return F.transform(F.array(pairs), lambda p: F.when(F.size(p) <= CHUNK, spans(p, F.lit(0))).otherwise(chunked(p)))[0]
 
 
 def base_spans(text: Column) -> dict[str, Column]:

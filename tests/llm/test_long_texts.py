@@ -14,7 +14,7 @@ LONG = [
     (1, " ".join("".join(CHANCE.choices(LETTERS, k=CHANCE.randint(2, 9))) for _ in range(300_000)), "en", "a"),
     (2, "".join(CHANCE.choices(LETTERS, k=1_000_000)), "en", "a"),
     (3, "7" * 1_000_000, "de", "b"),
-    (4, "1." * 300_000 + "@" * 1000 + "a@b.c" * 1000, "de", "b"),
+    (4, "1." * 20_000 + "@" * 1000 + "a@b.c" * 1000, "de", "b"),
     (5, "\n".join(f"{PROSE} {i}" for i in range(20_000)), None, None),
     (6, "中文" * 300_000, "en", "b"),
     (7, PROSE, "en", "a"),

@@ -45,6 +45,13 @@ def test_base_spans_equal_plain_patterns(spark):
     assert got == ordered((i, t or "", *brute(t)) for i, t, *_ in rows)
 
 
+def test_more_matches_than_a_chunk(spark, monkeypatch):
+    rows = [(i, "10.0.0.1 é a@b.cc, " * n, "en", "z") for i, n in enumerate((1, 3, 4, 5, 700))]
+    monkeypatch.setattr(pii, "CHUNK", 4)
+    for r in pii.find_pii(table(spark, rows)).collect():
+        assert [[(s.start, s.end) for s in r[k]] for k in pii.KINDS] == brute(rows[r.doc_id][1])
+
+
 def test_base_spans_over_a_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = pii.find_pii(docs).select("doc_id", pii.span_digest(pii.KINDS).alias("d")).collect()
