@@ -45,8 +45,13 @@ class Setup:
         return asdict(self)
 
 
+#: Models by stack and role.
+MODELS = {
+    "gemini": {"embedding": "gemini-embedding-001", "main": "gemini-2.5-flash", "judge": "gemini-2.5-pro"},
+    "gemma": {"embedding": "google/embeddinggemma-300m", "main": "google/gemma-3-27b-it", "judge": "gemini-2.5-pro"},
+}
 SETUPS = {
-    f"{kind}_{stack}": Setup(f"{kind} {stack}", kind, stack, FAIR if (kind, stack) == ("vanilla", "gemini") else DIRECT)
+    f"{kind}_{stack}": Setup(f"{kind} {stack}", kind, stack, FAIR if (kind, stack) == ("vanilla", "gemini") else DIRECT, models=MODELS[stack])
     for kind in ("vanilla", "agentic", "hybrid")
     for stack in ("gemini", "gemma")
 }
@@ -56,6 +61,10 @@ def setups_by_type(rag_type: str) -> list[Setup]:
     return [s for s in SETUPS.values() if s.rag_type == rag_type]
 
 
+def setups_by_stack(model_stack: str) -> list[Setup]:
+    return [s for s in SETUPS.values() if s.model_stack == model_stack]
+
+
 @dataclass(frozen=True)
 class Rate:
     """Requests and tokens a minute, requests a day (None: no bound)."""

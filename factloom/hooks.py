@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.config import next_backoff
 from factloom.functions import metrics
-from factloom.functions.text import entity_candidates, overlap, tokens
+from factloom.functions.text import entity_candidates, overlap, strip_fence, tokens
+from factloom.schemas import JUDGE_JSON
 
 DIM = 64
 
@@ -84,3 +86,54 @@ def overlap_judge(query: Column, context: Column, expected: Column) -> Column:
     """Sufficiency of a context: no context 0, no expected answer 0.5, else the share of the answer's words."""
     score = F.when(F.coalesce(context, F.lit("")) == "", 0.0).when(F.coalesce(expected, F.lit("")) == "", 0.5).otherwise(metrics.sufficiency(context, expected))
     return F.struct(score.alias("score"), F.coalesce(overlap(tokens(context), tokens(query)), F.lit(0.0)).alias("relevance"))
+
+
+def judged_reply(reply: Column, context: Column, expected: Column) -> Column:
+    """A judge's JSON reply as score and sub-scores; no context 0, no expected answer 0.5; a reply that
+    cannot be read falls back to the share of the answer's words in the context."""
+    parsed = F.from_json(strip_fence(reply), JUDGE_JSON)
+    read = F.coalesce(F.try_parse_json(strip_fence(reply)).isNotNull() & parsed.isNotNull(), F.lit(False))
+    none = F.coalesce(context, F.lit("")) == ""
+    asked = read & ~none & (F.coalesce(expected, F.lit("")) != "")
+    score = F.when(none, 0.0).when(F.coalesce(expected, F.lit("")) == "", 0.5).when(read, F.coalesce(parsed["score"], F.lit(0.0))).otherwise(metrics.sufficiency(context, expected))
+    parts = [F.when(asked, F.coalesce(parsed[c], F.lit(0.0))).alias(c) for c in ("information_presence", "completeness", "temporal_info", "no_contradiction")]
+    return F.struct(score.alias("score"), F.when(asked, "llm_judge").otherwise("simple").alias("method"), *parts)
+
+
+def prefixed(embed: Callable[[Column], Column], prefix: str) -> Callable[[Column], Column]:
+    """An embedder of models that want a word before each text, such as ``query: `` or ``passage: ``."""
+    return lambda text: embed(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
+
+
+def generator(call: Callable[[list[str]], list[str]], retries: int = 3, delay: float = 1.0) -> Callable[[Column], Column]:
+    """A text model as a column function: Arrow batches, calls repeated after an error with a growing
+    pause; what still fails is null, so that the caller's fallback applies."""
+
+    @F.pandas_udf(T.StringType())
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import time
+
+        for prompts in batches:
+            pause, out = 0.0, None
+            for _ in range(retries):
+                try:
+                    out = call(prompts.tolist())
+                    break
+                except Exception:
+                    pause = next_backoff(max(pause, delay), True, False)
+                    time.sleep(pause)
+            yield pd.Series(out if out is not None else [None] * len(prompts), dtype="object")
+
+    return generate
+
+
+def sufficiency_hook(queries: DataFrame, facts: DataFrame, generate: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A ``sufficiency`` of the agent: the query's text and its facts in order go to a text model."""
+
+    def ask(state: DataFrame) -> DataFrame:
+        rows = state.join(facts.select("fact_id", "fact_text"), "fact_id")
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("round", "leg", "rank", "fact_text"))), lambda r: F.concat(F.lit("- "), r["fact_text"]))
+        prompt = rows.groupBy("qid").agg(F.array_join(texts, "\n").alias("facts")).join(queries.select("qid", "text"), "qid")
+        return prompt.select("qid", generate(F.concat_ws("\n", "text", "facts")).alias("reply"))
+
+    return ask

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.config import JUDGED_FACTS, STORED_SESSIONS
 from factloom.functions import metrics
+from factloom.functions.text import overlap, tokens
 
 
 def metric_bundle(retrieved: Column, required: Column, relevant: Column, expected: Column, context: Column) -> dict[str, Column]:
@@ -63,3 +65,32 @@ def of_session(queries: DataFrame, session: int) -> DataFrame:
 
 def cross_session(queries: DataFrame) -> DataFrame:
     return queries.where(F.size("relevant_sessions") > 1)
+
+
+def of_kind(queries: DataFrame, type: str | None = None, difficulty: str | None = None) -> DataFrame:
+    """Queries of a type, of a difficulty, or of both."""
+    for column, value in (("type", type), ("difficulty", difficulty)):
+        if value is not None:
+            queries = queries.where(F.col(column) == value)
+    return queries
+
+
+def turn_evaluation(turns: DataFrame, asking: str = "user", results: int = 3) -> DataFrame:
+    """Every asking turn as a query over the turns stored before it in its session, scored by all text
+    metrics against the turn that answers it.
+
+    ``turns``: session_id, turn, speaker, text. Visibility is as of the turn; the earlier turns are
+    ranked by the share of the query's words they hold, the newest first among equals. One row for
+    each asking turn that has an answer.
+    """
+    order = Window.partitionBy("session_id").orderBy("turn")
+    asked = turns.withColumn("expected", F.lead("text").over(order)).where((F.col("speaker") == asking) & F.col("expected").isNotNull())
+    asked = asked.select("session_id", F.col("turn").alias("asked"), F.col("text").alias("query"), "expected")
+    seen = asked.join(turns.select("session_id", "turn", "text"), "session_id").where(F.col("turn") < F.col("asked"))
+    seen = seen.withColumn("score", F.coalesce(overlap(tokens(F.col("text")), tokens(F.col("query"))), F.lit(0.0)))
+    first = F.row_number().over(Window.partitionBy("session_id", "asked").orderBy(F.desc("score"), F.desc("turn")))
+    hits = seen.withColumn("rank", first).where(F.col("rank") <= results)
+    lists = hits.groupBy("session_id", "asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("retrieved"))
+    rows = asked.join(lists, ["session_id", "asked"], "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
+    required = F.array("expected")
+    return rows.withColumns(metric_bundle(F.col("retrieved"), required, required, F.col("expected"), F.array_join("retrieved", "\n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.config import GRAPH_BOOST, HYBRID_PASSAGES, NAME_BOOST
+from factloom.config import GRAPH_BOOST, HYBRID_PASSAGES, JUDGED_FACTS, NAME_BOOST
 from factloom.operators.search import best
 
 
@@ -61,6 +61,12 @@ def hybrid(graph: DataFrame, passages: DataFrame, limit: int | None = None, supp
     return out if limit is None else out.where(F.col("ord") <= limit)
 
 
+def cached_hybrid(cache: DataFrame, passages: DataFrame, facts: int = JUDGED_FACTS, supplement: int = HYBRID_PASSAGES) -> DataFrame:
+    """Hybrid results from the facts of an earlier run: ``cache``: qid, facts (texts in order), scores."""
+    rows = cache.select("qid", F.posexplode(F.arrays_zip("facts", "scores")).alias("place", "fact")).where(F.col("place") < facts)
+    return hybrid(rows.select("qid", F.col("fact.facts").alias("text"), F.col("fact.scores").alias("score"), (F.col("place") + 1).alias("rank")), passages, supplement=supplement)
+
+
 def context(hits: DataFrame, text: str = "content", order: str = "ord", separator: str = "\n") -> DataFrame:
     """(qid, context): the texts of each query in order. A query has a bounded number of results."""
     rows = F.array_sort(F.collect_list(F.struct(order, text)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.hooks import sentence_extractor
+
 PERSONA_FIELDS = ("name", "age", "occupation", "location", "traits", "hobbies", "interests", "conversation_topics", "backstory")
 
 
@@ -38,3 +42,21 @@ def enough_turns(dialogues: DataFrame, least: int, turns: str = "turns") -> Data
 def opening(turns: DataFrame, n: int = 10) -> DataFrame:
     """The first turns of each session, for a summary hook."""
     return turns.where(F.col("turn") < n)
+
+
+#: Dates that a turn names: ISO days, and days with the month in words.
+DATES = r"\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}"
+
+
+def ground_truth(turns: DataFrame, extract: Callable[[Column], Column] = sentence_extractor, confidence: float = 1.0) -> DataFrame:
+    """Truth of each turn (session_id, turn, speaker, text) by an extractor hook: facts, entities, dates
+    that the text names, and whether earlier turns are needed (it asks, or it names nothing itself)."""
+    facts = extract(F.col("text"))
+    rows = turns.select("session_id", F.col("turn").alias("turn_id"), "speaker", "text", facts.alias("found"))
+    return rows.select(
+        "session_id", "turn_id", "speaker",
+        F.transform("found", lambda f: F.struct(f["fact"].alias("fact"), F.lit(confidence).alias("confidence"), F.when(F.col("speaker") == "user", "user").otherwise("other").alias("category"))).alias("factual"),
+        F.array_distinct(F.flatten(F.transform("found", lambda f: f["entities"]))).alias("entities_mentioned"),
+        F.regexp_extract_all("text", F.lit(DATES), 0).alias("temporal_references"),
+        (F.contains("text", F.lit("?")) | (F.size("found") == 0)).alias("retrieval_required"),
+    )

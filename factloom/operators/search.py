@@ -135,19 +135,38 @@ def two_stage(facts: DataFrame, queries: DataFrame, key: str, candidates: int, t
     return best(found, results, F.desc("rerank_score"), F.col("original_rank"))
 
 
-def rerank_scores(candidates: DataFrame, replies: DataFrame) -> DataFrame:
-    """Scores of candidates (qid, position from 0) from a reranker's JSON reply for each query.
+def rerank_prompt(candidates: DataFrame, text: str = "text", batch: int = 10, longest: int = 500) -> DataFrame:
+    """(qid, batch, passages): numbered passages of each call to a reranker, from 0 in each batch of
+    ``batch``, long ones cut. ``candidates``: qid, position from 0, text."""
+    shown = F.when(F.length(text) > longest, F.concat(F.left(text, F.lit(longest)), F.lit("..."))).otherwise(F.col(text))
+    place = F.col("position") % batch
+    rows = candidates.select("qid", F.floor(F.col("position") / batch).alias("batch"), F.struct(place.alias("place"), F.concat(F.lit("["), place.cast("string"), F.lit("] "), shown).alias("line")).alias("row"))
+    return rows.groupBy("qid", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"]), "\n").alias("passages"))
 
-    A candidate that the reply leaves out scores 0.5; an unreadable reply gives 1 - 0.05 * position.
+
+def rerank_scores(candidates: DataFrame, replies: DataFrame, batch: int = 10) -> DataFrame:
+    """Scores of candidates (qid, position from 0) from a reranker's JSON replies.
+
+    ``replies``: qid and reply, with ``batch`` (positions count from 0 in each batch of ``batch``) and
+    ``failed`` where there are such. A candidate that the reply leaves out scores 0.5; an unreadable
+    reply gives 1 - 0.05 * place; a call that failed otherwise 0.5; a single candidate 1.
     """
     from factloom.functions.text import strip_fence
     from factloom.schemas import RERANK_JSON
 
-    parsed = replies.select("qid", F.from_json(strip_fence(F.col("reply")), RERANK_JSON).alias("scores"))
-    given = F.filter("scores", lambda s: s["passage_id"] == F.col("position"))
-    found = candidates.join(parsed, "qid", "left")
-    score = F.when(F.col("scores").isNull(), 1.0 - F.col("position") * 0.05).otherwise(F.coalesce(F.try_element_at(given, F.lit(1))["score"], F.lit(0.5)))
-    return found.withColumn("rerank_score", score).drop("scores")
+    calls = replies if "batch" in replies.columns else replies.withColumn("batch", F.lit(0).cast("long"))
+    calls = calls if "failed" in calls.columns else calls.withColumn("failed", F.lit(False))
+    parsed = calls.select("qid", "batch", "failed", F.from_json(strip_fence(F.col("reply")), RERANK_JSON).alias("scores"))
+    whole = F.lit(batch) if "batch" in replies.columns else F.lit(1 << 30)
+    rows = candidates.withColumns({"batch": F.floor(F.col("position") / whole), "__place": F.col("position") % whole})
+    alone = candidates.groupBy("qid").agg((F.count("*") == 1).alias("__alone"))
+    given = F.filter("scores", lambda s: s["passage_id"] == F.col("__place"))
+    found = rows.join(parsed, ["qid", "batch"], "left").join(alone, "qid")
+    score = (
+        F.when(F.col("__alone"), 1.0).when(F.col("failed"), 0.5).when(F.col("scores").isNull(), 1.0 - F.col("__place") * 0.05)
+        .otherwise(F.coalesce(F.try_element_at(given, F.lit(1))["score"], F.lit(0.5)))
+    )
+    return found.withColumn("rerank_score", score).drop("scores", "failed", "batch", "__place", "__alone")
 
 
 def _grams(text: Column, size: int) -> Column:

@@ -33,7 +33,12 @@ def _tok(x: str) -> str:
     return TOKENS.format(x)
 
 
+SQL_OF: dict[str, str] = {}
+
+
 def _metric(name: str, sql: str, value):
+    SQL_OF[name] = sql
+
     @add(name, f"{LINES} SELECT doc_id, round({sql}, 6) AS {name} FROM d")
     def query(spark, sf):
         return pairs(spark, sf).select("doc_id", F.round(value(), 6).alias(name))
@@ -284,3 +289,49 @@ def rejudge(spark, sf):
     rows = pairs(spark, sf).select((F.col("doc_id") % 5).alias("setup"), F.col("answer").alias("query"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("context"), F.col("answer").alias("expected_answer"))
     out = reports.sufficiency_means(evaluation.judge_results(rows, overlap_judge), "score", "setup")
     return out.select("setup", F.round("mean_all", 6).alias("mean_all"), F.round("mean_positive_or_0", 6).alias("mean_positive_or_0"))
+
+
+BUNDLE = {"context_recall": "context_recall", "context_precision": "context_precision", "fact_coverage": "fact_coverage", "hit_rate": "hit_rate", "mrr": "mrr", "sufficiency": "sufficiency_simple"}
+
+
+@add("turn_evaluation", f"""
+WITH c AS (SELECT conv_id AS session_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+q AS (SELECT session_id, turn AS asked, text AS query, answer FROM c WHERE role = 'user' AND answer IS NOT NULL),
+k AS (SELECT q.session_id, asked, c.turn, c.text, coalesce(len(list_intersect({_tok('c.text')}, {_tok('query')}))::DOUBLE / nullif(len({_tok('query')}), 0), 0.0) AS score FROM q JOIN c ON c.session_id = q.session_id AND c.turn < asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, asked ORDER BY score DESC, turn DESC) AS rank FROM k),
+g AS (SELECT session_id, asked, list(text ORDER BY rank) AS lines FROM r WHERE rank <= 3 GROUP BY 1, 2),
+d AS (SELECT q.session_id, asked, coalesce(lines, CAST([] AS VARCHAR[])) AS lines, [answer] AS wanted, answer, coalesce(array_to_string(lines, chr(10)), '') AS text FROM q LEFT JOIN g USING (session_id, asked)),
+m AS (SELECT session_id, {', '.join(f"{SQL_OF[sql]} AS {name}" for name, sql in BUNDLE.items())} FROM d)
+SELECT session_id, count(*) AS n_turns, {', '.join(f'round(avg({name}), 6) AS mean_{name}' for name in BUNDLE)} FROM m GROUP BY ROLLUP (session_id)""")
+def turn_evaluation(spark, sf):
+    """User turns as queries over what was said before, scored against the turn that follows; means of
+    each session, and over all in the row without a session."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), "text")
+    rows = evaluation.turn_evaluation(turns)
+    each = reports.session_averages(rows, *BUNDLE)
+    every = reports.overall_averages(rows, *BUNDLE).withColumn("session_id", F.lit(None).cast("long"))
+    out = each.unionByName(every, allowMissingColumns=True)
+    return out.select("session_id", "n_turns", *[F.round(f"mean_{n}", 6).alias(f"mean_{n}") for n in BUNDLE])
+
+
+@add("judge_reply", LINES + f"""
+SELECT doc_id, round(CASE WHEN doc_id % 11 = 0 THEN 0.0 WHEN doc_id % 13 = 0 THEN 0.5 WHEN doc_id % 4 < 2 THEN (doc_id % 10) / 10.0 WHEN doc_id % 4 = 2 THEN 0.0
+    ELSE CASE WHEN len({_tok('answer')}) = 0 THEN 0.0 ELSE len(list_intersect({_tok('text')}, {_tok('answer')}))::DOUBLE / len({_tok('answer')}) END END, 6) AS score,
+  CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 4 = 3 THEN 'simple' ELSE 'llm_judge' END AS method,
+  CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 THEN 0.25 ELSE 0.0 END AS completeness FROM d""")
+def judge_reply(spark, sf):
+    """Replies in JSON, fenced, without a score, or unreadable; some without a context or an answer."""
+    from factloom.hooks import judged_reply
+
+    i, score = F.col("doc_id"), F.concat(F.lit('{"score": '), (F.col("doc_id") % 10 / 10.0).cast("string"), F.lit("}"))
+    reply = F.when(i % 4 == 0, score).when(i % 4 == 1, F.concat(F.lit("```json\n"), score, F.lit("\n```"))).when(i % 4 == 2, '{"completeness": 0.25, "reasoning": "x"}').otherwise("no json")
+    rows = pairs(spark, sf).withColumn("j", judged_reply(reply, F.when(i % 11 != 0, F.col("text")), F.when(i % 13 != 0, F.col("answer"))))
+    return rows.select("doc_id", F.round("j.score", 6).alias("score"), "j.method", "j.completeness")
+
+
+@add("queries_of_kind", QUERYSET + " SELECT type, difficulty, count(*) AS n FROM q WHERE type = 'multi_hop' OR difficulty = 'easy' GROUP BY ALL")
+def queries_of_kind(spark, sf):
+    """Queries of a type, and easy ones of the other types."""
+    q = queryset(spark, sf)
+    hops, easy = evaluation.of_kind(q, type="multi_hop"), evaluation.of_kind(q, difficulty="easy").where("type <> 'multi_hop'")
+    return hops.unionByName(easy).groupBy("type", "difficulty").agg(F.count("*").alias("n"))

@@ -150,6 +150,65 @@ def rerank_fallback(spark, sf):
     return rerank_scores(p, replies).select("qid", "position", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@add("rerank_batches", """
+WITH p AS (SELECT event_id // 26 AS qid, CAST(event_id % 26 AS INTEGER) AS position FROM events WHERE event_id // 26 % 7 > 0 OR event_id % 26 = 0),
+b AS (SELECT *, position // 10 AS batch, position % 10 AS place, (qid + position // 10) % 5 AS kind FROM p)
+SELECT qid, position, round(CASE WHEN qid % 7 = 0 THEN 1.0 WHEN kind = 1 THEN 0.5 WHEN kind = 0 THEN 1.0 - place * 0.05 WHEN place % 2 = 0 THEN place / 10.0 ELSE 0.5 END, 6) AS rerank_score FROM b""")
+def rerank_batches(spark, sf):
+    """Calls of ten candidates: some fail, some replies cannot be read, some queries have one candidate."""
+    from factloom.operators.search import rerank_scores
+
+    i = F.col("event_id")
+    p = table(spark, sf, "events").select(F.floor(i / 26).alias("qid"), (i % 26).cast("int").alias("position")).where("qid % 7 > 0 OR position = 0")
+    kind = (F.col("qid") + F.col("batch")) % 5
+    scores = F.to_json(F.array(*[F.struct(F.lit(k).alias("passage_id"), F.lit(k / 10).alias("score")) for k in range(0, 10, 2)]))
+    calls = p.select("qid", F.floor(F.col("position") / 10).alias("batch")).distinct()
+    calls = calls.select("qid", "batch", F.when(kind == 0, "not json").when(kind > 1, scores).alias("reply"), (kind == 1).alias("failed"))
+    return rerank_scores(p, calls).select("qid", "position", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@add("passage_admin", """
+WITH p AS (SELECT doc_id, source AS collection FROM documents)
+SELECT collection, count(*) AS n, count(*) FILTER (doc_id = 7) AS wanted FROM p WHERE collection <> (SELECT min(collection) FROM p) GROUP BY collection""")
+def passage_admin(spark, sf):
+    """Passages of all collections but one that is deleted, and one read by its id."""
+    d = table(spark, sf, "documents")
+    rows = sinks.passages(d.select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    gone = d.agg(F.min("source")).first()[0]
+    left = sinks.clear_collection(rows, gone)
+    owner = d.where("doc_id = 7").select("source").first()[0]
+    one = sinks.passage(left, owner, "7").groupBy("collection").agg(F.count("*").alias("wanted"))
+    return sinks.collection_counts(left).join(one, "collection", "left").select("collection", "n", F.coalesce("wanted", F.lit(0)).alias("wanted"))
+
+
+@add("metadata_merge", """
+SELECT conv_id, turn, 'b' AS b, CASE WHEN turn % 2 = 0 THEN role ELSE 'old' END AS speaker FROM conversations""")
+def metadata_merge(spark, sf):
+    c = table(spark, sf, "conversations")
+    new = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("speaker"), "role"))
+    m = sinks.merged_metadata(F.create_map(F.lit("speaker"), F.lit("old"), F.lit("b"), F.lit("b")), new)
+    return c.select("conv_id", "turn", m["b"].alias("b"), m["speaker"].alias("speaker"))
+
+
+@add("stored_ids", r"""
+SELECT doc_id, left(regexp_replace(source || '_' || lang || ' é-' || doc_id, '[^a-zA-Z0-9_]', '_', 'g'), 180) AS entity_id, source || '/' || left(regexp_replace(lang || '.é ' || doc_id, '[^\p{L}\p{N}_-]', '_', 'g'), 180) AS passage_id,
+  'google/' || lang AS hosted FROM documents""")
+def stored_ids(spark, sf):
+    d, i = table(spark, sf, "documents"), F.col("doc_id").cast("string")
+    return d.select(
+        "doc_id", tx.entity_id(F.col("source"), F.concat("lang", F.lit(" é-"), i)).alias("entity_id"), tx.passage_id(F.col("source"), F.concat("lang", F.lit(".é "), i)).alias("passage_id"), tx.hosted_model(F.col("lang")).alias("hosted")
+    )
+
+
+@add("ground_truth", r"""
+SELECT conv_id AS session_id, turn AS turn_id, contains(text, '?') OR NOT regexp_matches(text, '\S') AS retrieval_required, CAST(len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}')) AS INTEGER) AS n_dates FROM conversations""")
+def ground_truth(spark, sf):
+    from factloom.operators import generation
+
+    out = generation.ground_truth(turns(spark, sf))
+    return out.select("session_id", "turn_id", "retrieval_required", F.size("temporal_references").alias("n_dates"))
+
+
 @add("cumulative_summary", """
 SELECT conv_id AS session_id, turn, string_agg(role || ':' || length(text), ' / ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM conversations""")
 def cumulative_summary(spark, sf):

@@ -239,6 +239,10 @@ a AS (SELECT qid, vec_id, score, leg, r FROM h UNION ALL SELECT qid, vec_id, sco
 d AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY leg, r) AS once FROM a)
 SELECT qid, vec_id, round(score, 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY leg, r, vec_id) AS ord FROM d WHERE once = 1) WHERE ord <= 15""")
 def agent_retrieve(spark, sf):
+    return looped(spark, sf)[0].select("qid", F.col("fact_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
+def looped(spark, sf):
     """Two legs a round: vector hits above the threshold, then the entities of the first hits."""
     f, q = facts(spark, sf), asked(spark, sf)
 
@@ -250,8 +254,47 @@ def agent_retrieve(spark, sf):
         linked = labels.join(f.select("fact_id", "label"), "label").select("qid", "fact_id")
         return search.best(search.score_pairs(linked, f, q, "fact_id").where("score IS NOT NULL"), 20, F.desc("score"), F.col("fact_id"))
 
-    found, _ = agent.retrieve(q, look, expand, threshold=0.1)
-    return found.select("qid", F.col("fact_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+    return agent.retrieve(q, look, expand, threshold=0.1)
+
+
+@add("agent_report", add.sql["agent_retrieve"].split("SELECT qid, vec_id, round")[0] + """
+, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY leg, r, vec_id) AS ord FROM d WHERE once = 1),
+n AS (SELECT qid, count(*) AS n, count(*) FILTER (score > 0.7) AS high, avg(score) AS mean FROM o WHERE ord <= 15 GROUP BY qid),
+k AS (SELECT *, n >= 15 OR (n >= 5 AND (high >= 5 OR (n >= 10 AND mean > 0.6))) AS done FROM n)
+SELECT qid, n AS n_facts, CASE WHEN done THEN 1 ELSE 5 END AS iterations, round(CASE WHEN n >= 15 THEN 1.0 WHEN done THEN least(1.0, high / 5.0 * mean) ELSE 0.8 END, 6) AS confidence FROM k""")
+def agent_report(spark, sf):
+    return looped(spark, sf)[1].select("qid", "n_facts", "iterations", F.round("confidence", 6).alias("confidence"))
+
+
+@add("cached_hybrid", SCORED + """
+, r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s)
+SELECT qid, 'graph' AS source_type, '[FACT] fact ' || vec_id AS content, round(score, 6) AS score, r AS ord FROM r WHERE r <= 15
+UNION ALL SELECT qid, 'passage', '[DETAIL] passage ' || vec_id, round(score, 6), 15 + r FROM r WHERE r <= 5""")
+def cached_hybrid(spark, sf):
+    """Facts of an earlier run, kept as lists, and fresh passages."""
+    hits = search.top_k(facts(spark, sf).select("fact_id", "embedding"), asked(spark, sf), 20, "fact_id")
+    named = lambda kind: F.concat(F.lit(f"{kind} "), F.col("fact_id").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", named("fact").alias("text"), "score")))
+    cache = hits.groupBy("qid").agg(F.transform(rows, lambda r: r["text"]).alias("facts"), F.transform(rows, lambda r: r["score"]).alias("scores"))
+    return fusion.cached_hybrid(cache, hits.withColumn("text", named("passage"))).withColumn("score", F.round("score", 6))
+
+
+@add("vector_functions", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 50 = 7 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[] END AS w, vec_id % 3 = 0 AS odd FROM embeddings),
+n AS (SELECT *, list_dot_product(v, w) AS d, sqrt(list_dot_product(v, v)) AS a, sqrt(list_dot_product(w, w)) AS b FROM e)
+SELECT vec_id, round(d, 4) AS dot, round(a, 4) AS norm, round(CASE WHEN b > 0 THEN d / (a * b) END, 4) AS cosine, round(d / (a * b + 1e-9), 4) AS cosine_safe, round(CASE WHEN b > 0 THEN w[1] / b ELSE 0.0 END, 4) AS unit_first,
+  round(CASE WHEN odd THEN (v[1] + w[1]) / 2 ELSE v[1] END, 4) AS mean_first FROM n""")
+def vector_functions(spark, sf):
+    """Each vector against itself, some against a zero vector; the mean of both, or of the first alone."""
+    from factloom.functions import vectors
+
+    e, i = table(spark, sf, "embeddings"), F.col("vec_id")
+    rows = e.select("vec_id", F.col("embedding").alias("v"), F.transform("embedding", lambda x: F.when(i % 50 == 7, F.lit(0.0)).otherwise(x.cast("double"))).alias("w"))
+    v, w = F.col("v"), F.col("w")
+    both = F.array(F.transform(v, lambda x: x.cast("double")), w)
+    mean = vectors.masked_mean(both, F.array(F.lit(1.0), F.when(i % 3 == 0, 1.0).otherwise(0.0)), 64)
+    found = {"dot": vectors.dot(v, w), "norm": vectors.norm(v), "cosine": vectors.cosine(v, w), "cosine_safe": vectors.cosine_safe(v, w), "unit_first": vectors.unit(w)[0], "mean_first": mean[0]}
+    return rows.select("vec_id", *[F.round(c, 4).alias(n) for n, c in found.items()])
 
 
 def _classify_sql() -> str:

@@ -145,3 +145,15 @@ def stream_ingest(spark, sf):
     streams.ingest(source, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/out")
     return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+
+
+@add("client_costs", """
+WITH u AS (SELECT event_id, (['gemini-2.5-flash', 'gemini-2.5-flash-lite', 'gemini-2.5-pro', 'google/gemma-3-27b-it', 'other'])[1 + event_id % 5] AS model FROM events)
+SELECT model, count(*) AS n, round(sum(CASE model WHEN 'gemini-2.5-flash' THEN event_id * 0.075 + 100 * 0.3 WHEN 'gemini-2.5-flash-lite' THEN event_id * 0.05 + 100 * 0.2 WHEN 'gemini-2.5-pro' THEN event_id * 1.25 + 100 * 10.0
+  WHEN 'google/gemma-3-27b-it' THEN event_id * 0.0952 + 100 * 0.16 ELSE 0 END / 1000000), 6) AS cost FROM u GROUP BY model""")
+def client_costs(spark, sf):
+    from factloom.functions.usage import CLIENT_PRICES, client_cost_usd
+
+    models = F.array(*map(F.lit, (*CLIENT_PRICES, "other")))
+    u = table(spark, sf, "events").withColumn("model", F.element_at(models, (F.col("event_id") % 5 + 1).cast("int")))
+    return u.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum(client_cost_usd(F.col("model"), F.col("event_id"), F.lit(100))), 6).alias("cost"))

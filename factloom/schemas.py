@@ -44,3 +44,4 @@ COST = ("timestamp double, setup string, model string, input_tokens long, output
 FACT_JSON = "array<struct<fact:string,fakta:string,entities:array<string>,entitas:array<string>,valid_at:string>>"
 RERANK_JSON = "array<struct<passage_id:int,score:double,reason:string>>"
 HIT = ("qid long, fact_id string, fact_text string, score double, entity_names array<string>")
+JUDGE_JSON = ("score double, information_presence double, completeness double, temporal_info double, no_contradiction double, reasoning string, missing_info array<string>")

@@ -100,3 +100,29 @@ def first_turns(turns: DataFrame, limit: int) -> DataFrame:
 
 def newest(rows: DataFrame, n: int, order: str, by: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__n") <= n).drop("__n")
+
+
+def clear_collection(passages: DataFrame, collection: str) -> DataFrame:
+    """What stays of the passages when a collection is deleted."""
+    return passages.where(~F.col("collection").eqNullSafe(collection))
+
+
+def passage(passages: DataFrame, collection: str, doc_id: str) -> DataFrame:
+    """The passage of a collection by the id of its document."""
+    return passages.where(F.col("passage_id") == passage_id(F.lit(collection), F.lit(doc_id)))
+
+
+def collection_counts(passages: DataFrame) -> DataFrame:
+    return passages.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def purge(**tables: DataFrame) -> dict[str, DataFrame]:
+    """Empty versions of tables, to be written in place of them."""
+    return {name: df.where(F.lit(False)) for name, df in tables.items()}
+
+
+def merged_metadata(old: Column, new: Column) -> Column:
+    """Metadata maps, the new one's entries before the old one's."""
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(old, none), lambda k, _: ~F.map_contains_key(F.coalesce(new, none), k))
+    return F.map_concat(kept, F.coalesce(new, none))
