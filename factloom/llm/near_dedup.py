@@ -36,7 +36,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +51,8 @@ BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: fetched by a shuffle of the texts.
 BROADCAST_CLASSES = 1 << 20
 
+PASS = 2 << 20
+
 _U = np.uint64
 _WORD, _STEP, _MIX1, _MIX2 = _U(0x100000001B3), _U(0x9E3779B97F4A7C15), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -68,7 +69,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text, all texts in one pass."""
+    """Sorted distinct 64-bit hashes of the shingles of each text, many texts in one pass: up to ``PASS``
+    letters together, since a letter takes some fifty bytes on its way."""
+    half, letters = len(texts) // 2, 0
+    for t in texts:
+        letters += len(t or "")
+        if letters > PASS and half:
+            return shingle_sets(texts[:half], words) + shingle_sets(texts[half:], words)
     raws = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     flat = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
     edges = np.flatnonzero(np.diff(np.r_[False, ~_BLANK[flat], False]))
@@ -141,7 +148,7 @@ def sketch(docs: DataFrame, keep: tuple[str, ...], text: str, words: int) -> Dat
 
         return work
 
-    return map_texts(docs, keep, text, [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("signature", T.ArrayType(T.LongType()))], make)
+    return map_texts(docs, keep, text, [("n_shingles", T.LongType()), ("key", T.BinaryType()), ("signature", T.ArrayType(T.LongType()))], make, 2 * PASS)
 
 
 def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -176,7 +183,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2, also=3):
+            for part in slices(batch, 2, 2 * PASS, also=3):
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 # a text is made into its set once in a slice
                 known = dict(zip(a, part.column(2).to_pylist(), strict=True)) | dict(zip(b, part.column(3).to_pylist(), strict=True))
@@ -210,20 +217,20 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def block_links(frame: pd.DataFrame, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
+def block_links(rows: pa.Table, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
     """Links of the rows of side 0 with those of side 1 that join two components."""
-    frame = frame.sort_values(["side", "node"])
-    nodes, n, texts = frame["node"].tolist(), frame["n"].to_numpy(), frame["text"].tolist()
-    label = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
-    table = np.stack(frame["signature"].to_numpy())
-    left = int((frame["side"] == 0).sum())
+    rows = rows.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
+    nodes, n, texts = rows["node"].to_pylist(), rows["n"].to_numpy(), rows["text"]
+    label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    table = rows["signature"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+    left = int((rows["side"].to_numpy() == 0).sum())
     pairs = []
     for i in range(left):
         found = left + np.flatnonzero((label[left:] != label[i]) & (100 * np.minimum(n[left:], n[i]) >= percent * np.maximum(n[left:], n[i])))
         found = found[(table[found] == table[i]).sum(axis=1) >= matches]
         pairs += [(i, j) for j in found.tolist()]
     busy = sorted({k for pair in pairs for k in pair})
-    sets = dict(zip(busy, shingle_sets([texts[k] for k in busy], words), strict=True))
+    sets = dict(zip(busy, shingle_sets([texts[k].as_py() for k in busy], words), strict=True))
     out = []
     for i, j in pairs:
         if label[i] == label[j]:
@@ -257,10 +264,11 @@ def neighbourhood_links(postings: DataFrame, labels: DataFrame, classes: DataFra
     left = mixed.where(outside).select(*columns, F.lit(0).alias("side"), spread("outer_blocks", 13).alias("outer"), every("blocks").alias("block"))
     right = mixed.select(*columns, F.lit(1).alias("side"), every("outer_blocks").alias("outer"), spread("blocks", 7).alias("block"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(frame, words, percent, matches), columns=["a", "b"])
+    def run(rows: pa.Table) -> pa.Table:
+        found = block_links(rows, words, percent, matches)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = saved(left.unionByName(right).groupBy("hood", "outer", "block").applyInPandas(run, "a long, b long"), "links")
+    links = saved(left.unionByName(right).groupBy("hood", "outer", "block").applyInArrow(run, "a long, b long"), "links")
     forget(rows, main, whole, sizes)
     return links
 
