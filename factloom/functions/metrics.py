@@ -73,10 +73,12 @@ def sufficiency(context: Column, answer: Column) -> Column:
 
 def answer_f1(generated: Column, expected: Column) -> Column:
     """F1 of word sets. No generated answer: 0; no expected answer: 0.5."""
-    a, b = tokens(generated), tokens(expected)
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    f1 = F.coalesce(F.try_divide(2 * common, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
-    return F.when(F.coalesce(generated, F.lit("")) == "", 0.0).when(F.coalesce(expected, F.lit("")) == "", 0.5).otherwise(f1)
+    def f1(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a, b)).cast("double")
+        return F.coalesce(F.try_divide(2 * common, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
+
+    both = once(tokens(generated), lambda a: once(tokens(expected), lambda b: f1(a, b)))
+    return F.when(F.coalesce(generated, F.lit("")) == "", 0.0).when(F.coalesce(expected, F.lit("")) == "", 0.5).otherwise(both)
 
 
 def rank_agreement(predicted: Column, actual: Column) -> Column:

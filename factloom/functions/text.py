@@ -33,7 +33,7 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def overlap(words: Column, wanted: Column) -> Column:
     """Share of ``wanted`` that ``words`` holds; null for no wanted words."""
-    return F.try_divide(F.size(F.array_intersect(words, wanted)).cast("double"), F.size(wanted))
+    return once(wanted, lambda own: F.try_divide(F.size(F.array_intersect(words, own)).cast("double"), F.size(own)))
 
 
 def classify_query(text: Column) -> Column:
