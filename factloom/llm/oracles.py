@@ -182,10 +182,25 @@ SELECT doc_id, license, a.dice, coalesce(licenses, '') AS licenses FROM d LEFT J
 """
 
 
+def lexical_search_sql(k: int = 50) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    terms = rf"regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS nd, CAST(sum(len(terms)) AS BIGINT) AS nt FROM d),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+p AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+t AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // nt))))) AS BIGINT) AS score FROM t JOIN f USING (term) JOIN q USING (term), c GROUP BY item_id, r)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""
+
+
 ORACLES: dict[str, str] = {
     "op1_pii": pii_sql(),
     "op5_licenses": licenses_sql(),
     "op7_near_dedup": near_dedup_sql(),
     "op9_quality": quality_sql(),
     "op10_mixing": mixing_sql(),
+    "op11_lexical_search": lexical_search_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts
+from factloom.llm import language_id, lexical_search, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts
 from factloom.llm.common import documents, text_of
 
 
@@ -87,6 +87,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -98,4 +102,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
 }
