@@ -196,6 +196,37 @@ s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000
 SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""
 
 
+def conversation_repair_sql() -> str:
+    """The DP row by row: a cell is eight digits of cost and the edits, so that the least string is the answer."""
+    crc = """xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda acc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(acc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+    more = lambda cell, cost, edit: f"lpad(CAST(CAST(left({cell}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({cell}, 9) || '{edit}'"
+    stay = lambda cell, when: f"CASE WHEN NOT gone AND {when} THEN {more(cell, 'cut', 'K')} END"
+    role = lambda cell: f"CASE WHEN NOT gone THEN {more(cell, '2 + cut', 'R')} END"
+    entered = ", ".join(f"{stay(c, chr(39).join(('r = ', 'u', '')))}, {role(c)}" for c in "nsa")
+    least = f"""{more('n', 3, 'D')} AS n, least({more('s', 3, 'D')}, {stay('n', "r = 's'")}) AS s, least({more('u', 3, 'D')}, {entered}) AS u, least({more('a', 3, 'D')}, {stay('u', "r = 'a'")}, {role('u')}) AS a"""
+    closed = f"n, s, least(u, {more('n', 2, 'I')}, {more('s', 2, 'I')}, {more('a', 2, 'I')}) AS u, least(a, {more('u', 2, 'I')}) AS a"
+    return rf"""
+WITH RECURSIVE c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c1 AS (SELECT *, {crc} % 20 AS fate FROM c0),
+c2 AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c1),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM c2),
+c4 AS (SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM c3),
+w AS MATERIALIZED (SELECT conv_id, turn, i, role, text, left(role, 1) AS r, blank, again AND NOT blank AS dup, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+  left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM c4),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, CAST(sum(cut) AS BIGINT) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM w GROUP BY conv_id),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '00000000' AS n, CAST(NULL AS VARCHAR) AS s, '00000002I' AS u, '00000004II' AS a FROM g
+  UNION ALL
+  SELECT conv_id, i, {closed} FROM (SELECT conv_id, i, {closed} FROM (SELECT conv_id, i, {closed} FROM (SELECT dp.conv_id, w.i, {least} FROM dp JOIN w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.i = dp.i + 1)))),
+e AS (SELECT g.*, CAST(left(least(n, a), 8) AS BIGINT) AS cost, substr(least(n, a), 9) AS audit FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.i = g.rows),
+p AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM e),
+q AS (SELECT conv_id, p, substr(audit, p, 1) AS edit, length(replace(substr(audit, 1, p), 'I', '')) AS i, length(replace(substr(audit, 1, p), 'D', '')) AS k FROM p),
+z AS (SELECT q.*, w.role, w.text, bool_or(k = 1 AND edit = 'K' AND w.r = 's') OVER (PARTITION BY q.conv_id) AS led FROM q LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM q.conv_id AND w.i = q.i),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE WHEN (k + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM z WHERE edit <> 'D' GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op1_pii": pii_sql(),
     "op5_licenses": licenses_sql(),
@@ -203,4 +234,5 @@ ORACLES: dict[str, str] = {
     "op9_quality": quality_sql(),
     "op10_mixing": mixing_sql(),
     "op11_lexical_search": lexical_search_sql(),
+    "op12_conversation_repair": conversation_repair_sql(),
 }

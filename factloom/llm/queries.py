@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, lexical_search, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts
+from factloom.llm import conversation_repair, language_id, lexical_search, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts
 from factloom.llm.common import documents, text_of
 
 
@@ -91,6 +91,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -103,4 +108,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
