@@ -227,6 +227,36 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+def url_filters_sql() -> str:
+    from factloom.llm.url_filters import RULES
+
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    upper = "".join(map(chr, range(65, 91)))
+    host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}')"
+    path = lambda u: f"regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    node = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+    beside = f"regexp_extract({path('url')}, '(?s)^(.*/)', 1)"
+    site = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
+    return rf"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {rules}),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+named AS (SELECT url, CASE WHEN lower(left(tag, 5)) = '<link' THEN CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|''[^'']*\bcanonical\b[^'']*''|canonical\b)')
+    THEN concat(regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1), regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2), regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)) END
+  WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^''">]*)', 1) END AS target FROM tags),
+trimmed AS (SELECT url, replace(trim(target), '&amp;', '&') AS t FROM named WHERE target IS NOT NULL),
+links AS (SELECT url, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+  WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '/') THEN {site} || t ELSE {site} || CASE WHEN {beside} = '' THEN '/' ELSE {beside} END || t END AS target FROM trimmed),
+e AS MATERIALIZED (SELECT DISTINCT {node('url')} AS a, {node('target')} AS b FROM links),
+both_ways AS MATERIALIZED (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+comp AS (SELECT a AS node, least(min(b), a) AS component FROM reach GROUP BY a),
+ruled AS (SELECT node, component, (SELECT max_by(v, (length(h || p), v = 'allow')) FROM rules WHERE ({host("'://' || node")} = h OR ends_with({host("'://' || node")}, '.' || h)) AND starts_with({path("'://' || node")}, p)) AS v FROM comp),
+spread AS (SELECT component, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM ruled GROUP BY component),
+u AS (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce({path('url')}, '') AS path, {node('url')} AS node FROM pages),
+r AS (SELECT u.*, (SELECT max_by((h || p, v), (length(h || p), v = 'allow')) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM u)
+SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], spread.v, 'allow') AS verdict, component FROM r LEFT JOIN comp USING (node) LEFT JOIN spread USING (component)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_pii": pii_sql(),
     "op5_licenses": licenses_sql(),
@@ -235,4 +265,5 @@ ORACLES: dict[str, str] = {
     "op10_mixing": mixing_sql(),
     "op11_lexical_search": lexical_search_sql(),
     "op12_conversation_repair": conversation_repair_sql(),
+    "op13_url_filters": url_filters_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import conversation_repair, language_id, lexical_search, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts
+from factloom.llm import conversation_repair, language_id, lexical_search, licenses, media, mixing, near_dedup, pii, quality, sentencepiece_codec, sharding, token_counts, url_filters
 from factloom.llm.common import documents, text_of
 
 
@@ -96,6 +96,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows)
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(url_filters.RULES), "host string, path string, verdict string")
+    return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -109,4 +114,5 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_url_filters": op13_url_filters,
 }
