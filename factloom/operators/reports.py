@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions.usage import cost_usd
+from factloom.operators import search
 
 QUERY_TYPES = ("factual_recall", "inference", "multi_hop", "temporal_reasoning", "counterfactual")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -89,14 +89,17 @@ def hook_metrics(log: DataFrame) -> DataFrame:
     return log.groupBy("hook").agg(F.count("*").alias("requests"), F.sum("texts").alias("texts"), F.count_if("failed").alias("errors"), F.avg("seconds").alias("mean_seconds"))
 
 
-def embedding_ranking(pairs: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """mrr and recall at each cut for each query. ``pairs``: qid, doc, score; ``relevant``: qid, doc.
+def embedding_ranking(facts: DataFrame, queries: DataFrame, relevant: DataFrame, key: str, vector: str = "embedding", cuts: tuple[int, ...] = (5, 10), **settings) -> DataFrame:
+    """mrr and recall at each cut for each query that has relevant rows, over all facts but the query's own.
 
-    Of equal scores the higher document number comes first.
-    """
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("doc"))
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).join(relevant.withColumn("good", F.lit(True)), ["qid", "doc"])
+    ``relevant``: qid, ``key``. Of equal scores the higher key comes first. The best relevant row's rank is
+    counted and recalls come from the top; no list of all facts is sorted."""
+    top = search.top_k_blocks(facts, queries, max(cuts), key, vector, later_first=True, others=True, **settings)
+    scored = search.score_pairs(relevant, facts, queries, key, vector).where("score IS NOT NULL")
+    # scores of expressions and of products meet after rounding
+    first = scored.withColumn("score", F.round("score", 12)).groupBy("qid").agg(F.max(F.struct("score", key)).alias("best")).select("qid", F.col(f"best.{key}").alias(key), "best.score")
+    ranks = search.rank_counts(facts, queries, first, key, vector, later_first=True, others=True, **settings).select("qid", F.col("rank").alias("first"))
+    hits = top.join(relevant, ["qid", key], "left_semi").groupBy("qid").agg(*[F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in cuts])
     n = relevant.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = ranked.groupBy("qid").agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in cuts])
-    out = n.join(hits, "qid", "left")
+    out = n.join(ranks, "qid", "left").join(hits, "qid", "left")
     return out.select("qid", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), *[(F.coalesce(F.col(f"in_{k}"), F.lit(0)).cast("double") / F.col("n")).alias(f"recall_at_{k}") for k in cuts])

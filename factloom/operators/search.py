@@ -1,27 +1,24 @@
 """Vector, entity and two-stage search over facts and passages.
 
-Queries are batched: every operator takes a table of queries. The query side is small by nature; it
-goes to the tasks in counted blocks. Vectors are scored by matrix products, a slice of facts with a
-block of queries, and each slice keeps its best rows for each query, so what is moved is a few rows for
-each query and slice, not the scores of all facts.
+Queries are batched: every operator takes a table of queries. Vectors are scored by matrix products, a
+slice of facts with a block of queries, and each slice keeps its best rows for each query, so what is
+moved is a few rows for each query and slice, not the scores of all facts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions.vectors import cosine, norm
+from factloom.operators.products import CELL, FEW, SCORES, Above, Best, fields, product
 
-#: Queries broadcast at once: 4096 vectors of 768 floats are 12 MB.
-QUERY_BLOCK = 4096
-#: Scores held at once by a task: 32 MB, and as much again to find the best.
-SCORES = 4 << 20
+#: Queries that go to the tasks whole.
+QUERY_BLOCK = FEW
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[DataFrame]:
@@ -41,8 +38,8 @@ def best(hits: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "
 
 
 def score_all(facts: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Every query against every fact: the fact's columns, qid and score. For evaluations that rank
-    all facts; searches take :func:`top_k`.
+    """Every query against every fact as rows: the fact's columns, qid and score. A table of this size is
+    for checks on small data only; searches take :func:`top_k`, evaluations :func:`rank_counts`.
 
     ``facts`` may carry a ``norm`` column made at ingest; else it is computed once a fact.
     """
@@ -72,51 +69,30 @@ def top_k(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str =
     return hits.join(facts.select(key, *further), key) if further else hits
 
 
-def _unit_rows(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Places and unit vectors by dimension, without null and zero vectors."""
-    by_size: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        if v is not None and len(v):
-            by_size.setdefault(len(v), []).append(i)
-    out = {}
-    for size, places in by_size.items():
-        block = np.stack([vectors[i] for i in places]).astype(np.float64)
-        lengths = np.linalg.norm(block, axis=1)
-        good = lengths > 0
-        if good.any():
-            out[size] = np.array(places)[good], block[good] / lengths[good][:, None]
-    return out
+def top_k_blocks(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", later_first: bool = False, others: bool = False, few: int = QUERY_BLOCK, cell: int = CELL) -> DataFrame:
+    """qid, ``key``, score and rank of the exact top-k. Queries up to ``few`` (counted) go to the facts'
+    tasks; more meet the facts in cells (see :mod:`factloom.operators.products`). A task or cell keeps its
+    best ``k`` for each query, then a window, which runs partly before the shuffle, keeps the best of all.
 
+    Ties by ``key``, with ``later_first`` the highest first; with ``others`` a query never meets the row
+    of its own id."""
+    settings = (key, vector, SCORES, others)
+    kinds = fields(("qid", queries.schema["qid"].dataType), (key, facts.schema[key].dataType), ("score", T.DoubleType()))
+    hits = product(facts, queries.select("qid", vector), key, vector, lambda asked: Best(asked, *settings, k=k, later_first=later_first), kinds, few, cell)
+    return best(hits, k, F.desc("score"), F.desc(key) if later_first else F.col(key))
 
-def top_k_blocks(facts: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """qid, ``key``, score and rank of the exact top-k: each slice of an Arrow batch keeps its best ``k``
-    for each query, then a window, which runs partly before the shuffle, keeps the best of all."""
-    out = None
-    for part in query_blocks(queries):
-        rows = part.select("qid", vector).toPandas()
-        held = facts.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _unit_rows(rows[vector].tolist())))
-
-        def run(batches, held=held):
-            qids, asked = held.value
-            for frame in batches:
-                keys = frame[key].to_numpy()
-                for size, (places, block) in _unit_rows(frame[vector].tolist()).items():
-                    if size not in asked:
-                        continue
-                    asking, unit = asked[size]
-                    step = max(1, SCORES // len(asking))
-                    for i in range(0, len(block), step):
-                        scores = unit @ block[i : i + step].T
-                        n = min(k, scores.shape[1])
-                        # all rows that tie with the k-th stay, so the window decides ties by key
-                        bar = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-                        q, f = np.nonzero(scores >= bar[:, None] - 1e-12)
-                        yield pd.DataFrame({"qid": qids[asking[q]], key: keys[places[i + f]], "score": scores[q, f]})
-
-        kinds = f"qid {part.schema['qid'].dataType.simpleString()}, {key} {facts.schema[key].dataType.simpleString()}, score double"
-        hits = best(facts.select(key, vector).mapInPandas(run, kinds), k, F.desc("score"), F.col(key))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+
+def rank_counts(facts: DataFrame, queries: DataFrame, marks: DataFrame, key: str, vector: str = "embedding", later_first: bool = False, others: bool = False, few: int = QUERY_BLOCK, cell: int = CELL) -> DataFrame:
+    """The rank among all facts of marked rows: qid, ``key``, rank. ``marks``: qid, ``key``, score.
+
+    Ranks are counted, not sorted: each task or cell says how many of its facts lie above each mark, and
+    the sums are the ranks. The work is marks times facts; what moves is a number for each mark and task."""
+    named = marks.select("qid", F.col(key).alias("mark_key"), F.col("score").alias("mark_score"))
+    asked = queries.select("qid", vector).join(named, "qid")
+    kinds = fields(("qid", queries.schema["qid"].dataType), ("mark_key", marks.schema[key].dataType), ("above", T.LongType()))
+    settings = (key, vector, SCORES, others)
+    counts = product(facts, asked, key, vector, lambda rows: Above(rows, *settings, later_first=later_first), kinds, few, cell)
+    return counts.groupBy("qid", F.col("mark_key").alias(key)).agg((F.sum("above") + 1).alias("rank"))
 
 
 def above(hits: DataFrame, threshold: float) -> DataFrame:

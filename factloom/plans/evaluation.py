@@ -143,8 +143,10 @@ def session_hr_mrr(spark, sf):
 SELECT qid, round(coalesce(1.0 / min(r) FILTER (label = wanted), 0.0), 6) AS mrr, round(count(*) FILTER (label = wanted AND r <= 5)::DOUBLE / count(*) FILTER (label = wanted), 6) AS recall_at_5,
   round(count(*) FILTER (label = wanted AND r <= 10)::DOUBLE / count(*) FILTER (label = wanted), 6) AS recall_at_10 FROM r GROUP BY qid HAVING count(*) FILTER (label = wanted) > 0""")
 def embed_recall_at_k(spark, sf):
-    rows = ranked(spark, sf).withColumnRenamed("vec_id", "doc")
-    out = reports.embedding_ranking(rows.select("qid", "doc", "score"), rows.where("label = wanted").select("qid", "doc"))
+    """Rows of the query's label are relevant, itself left out."""
+    e, q = table(spark, sf, "embeddings"), asking(spark, sf)
+    relevant = q.select("qid", F.col("wanted").alias("label")).join(e.select("vec_id", "label"), "label").where("vec_id <> qid").select("qid", "vec_id")
+    out = reports.embedding_ranking(e, q, relevant, "vec_id")
     return out.select("qid", *[F.round(c, 6).alias(c) for c in ("mrr", "recall_at_5", "recall_at_10")])
 
 
