@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.config import DIRECT, FAIR
 from factloom.functions.text import classify_query, entity_candidates
-from factloom.operators import agent, fusion, search
+from factloom.operators import agent, fusion, search, vector_index
 from factloom.operators.windows import utc
 from factloom.plans.registry import Registry, table
 
@@ -52,6 +52,13 @@ def topk_cosine_blocks(spark, sf):
     return _scores(search.top_k_blocks(e, queries, LIMIT, "vec_id"), "vec_id")
 
 
+@add("topk_index", add.sql["topk_cosine"])
+def topk_index(spark, sf):
+    """The same search by the pivot index, which skips rings that cannot hold a better row."""
+    index = vector_index.build(table(spark, sf, "embeddings"), "vec_id", ring_rows=128)
+    return _scores(vector_index.search_index(index, asked(spark, sf), LIMIT)[0], "vec_id")
+
+
 @add("topk_cosine_threshold", SCORED + """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 50 AND score >= 0.2""")
 def topk_cosine_threshold(spark, sf):
