@@ -13,13 +13,16 @@ third of all rows is therefore spread over all tasks. The table of sources is jo
 broadcasts it only below its size limit.
 
 Cases: a null source is a source of its own, last in the order; a null or empty text has size 0 and
-gives nothing; a null id is a valid id; rows with equal id have equal keys and fall together, apart
-from the row at the edge; rows that are equal in every respect stand for each other; an empty
-table gives an empty table; other columns are not looked at.
+gives nothing; a null id is a valid id; rows with equal id, text and source have equal keys and fall
+together, but for those at the edge, of which as many are taken as come nearest to the target (which of
+them is open: they stand for each other); an empty table gives an empty table; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +31,7 @@ from factloom.llm.common import WORD, forget, saved, text_of
 from factloom.llm.quality import PUNCTUATION
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix"
-#: Bins of each cut (a power of two), and rows of a source's edge bin that are ordered in one task (more only for equal keys).
+#: Bins of each cut (a power of two), and rows of a source's edge bin that are ordered in one task.
 BINS, EDGE_ROWS = 1024, 50_000
 
 
@@ -130,19 +133,50 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
         both = saved(fine.unionByName(finer), "mix-edge")
         forget(edge, finer)
         edge = both
+    # equal rows are one row here, with their number
+    triples = inside(edge).groupBy("source_key", "before", "key", "__id", "size").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("source_key").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = inside(edge).withColumn("ahead", ahead).join(plan.select("source_key", "rest"), "source_key").where("ahead + size / 2 <= rest")
-    last = last.groupBy("source_key").agg(F.max(F.struct("key", "__id", "size")).alias("edge"))
+    ahead = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))
+    last = triples.withColumn("ahead", ahead).join(plan.select("source_key", "rest"), "source_key").where("ahead + size / 2 <= rest")
+    fit = F.when(F.col("size") == 0, F.col("copies")).otherwise(F.floor((F.col("rest") - F.col("ahead")) / F.col("size") + 0.5)).cast("long")
+    last = last.groupBy("source_key").agg(F.max(F.struct("key", "__id", "size", F.least("copies", fit).alias("take"), "copies")).alias("last"))
+    last = last.select("source_key", F.struct("last.key", "last.__id", "last.size").alias("edge"), "last.take", "last.copies")
     final = saved(plan.join(edge.select("source_key", F.col("low").alias("edge_low")), "source_key", "left").join(last, "source_key", "left"), "mix-final")
     forget(plan, edge)
 
-    chosen = (F.col("u") < F.col("edge_low")) | F.coalesce(F.struct("key", "__id", "size") <= F.col("edge"), F.lit(False))
+    place = F.struct("key", "__id", "size")
+    cut_copies = F.coalesce((F.col("take") < F.col("copies")) & (place == F.col("edge")), F.lit(False))
+    chosen = (F.col("u") < F.col("edge_low")) | F.coalesce(place <= F.col("edge"), F.lit(False))
     rows = scored(docs, carry) if carry else lean
     out = rows.join(final, "source_key").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    cut_sources = final.where("take < copies")
+    if not cut_sources.isEmpty():
+        out = out.where(~cut_copies).unionByName(_first_copies(_edge_rows(docs, cut_sources, id_col, source, lambda d: scored(d, carry)).join(final, "source_key").where(cut_copies)))
     return out.select(
         F.col("__id").alias(id_col),
         *[F.col(f"__carry_{c}").alias(c) for c in carry],
         "size", "source_size", "target", "epochs", "chosen",
         (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"),
     )
+
+
+def _edge_rows(docs: DataFrame, cut_sources: DataFrame, id_col: str, source: str, scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scored rows that have the source and the id of an edge; only these are scored again."""
+    wanted = cut_sources.select(F.substring("source_key", 2, 1 << 30).alias("__name"), (F.col("source_key") == "0").alias("__none"), F.col("edge.__id").alias("__edge_id"))
+    name = docs[source].cast("string")
+    return scored(docs.join(wanted, docs[id_col].eqNullSafe(F.col("__edge_id")) & (F.coalesce(name, F.lit("")) == F.col("__name")) & (name.isNull() == F.col("__none")), "left_semi"))
+
+
+def _first_copies(copies: DataFrame) -> DataFrame:
+    """Equal rows at the edge of a source, of which ``take`` are chosen.
+
+    The rows are written with a number. Parts of about ``EDGE_ROWS`` take their share of the number to
+    take by prefix sums of their sizes, so no task orders more than a part."""
+    parts = F.ceil(F.col("copies") / EDGE_ROWS)
+    held = saved(copies.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.pmod(F.xxhash64("__row"), parts)), "mix-copies")
+    sizes = held.groupBy("source_key", "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("source_key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = saved(sizes.select("source_key", "__part", before.alias("__before")), "mix-parts")
+    place = F.row_number().over(Window.partitionBy("source_key", "__part").orderBy("__row"))
+    numbered = held.join(sizes, ["source_key", "__part"]).withColumn("chosen", F.col("__before") + place <= F.col("take"))
+    return numbered.drop("__row", "__part", "__before")

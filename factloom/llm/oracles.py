@@ -163,7 +163,7 @@ t1 AS (SELECT no, license, string_split({plain.format('lower(body)')}, ' ') AS w
 t2 AS MATERIALIZED (SELECT no, license, len(w) - 1 AS m, unnest({pairs}) AS g FROM t1),
 tg AS MATERIALIZED (SELECT no, any_value(license) AS license, any_value(m) AS m, g, count(*) AS c FROM t2 GROUP BY no, g),
 d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS body FROM documents),
-l AS MATERIALIZED (SELECT r, body FROM d WHERE regexp_matches(body, {_quoted('|'.join(licenses.STEMS))})),
+l AS MATERIALIZED (SELECT r, body FROM d),
 p0 AS MATERIALIZED (SELECT r, unnest(range(len(p))) AS place, unnest(p) AS raw FROM (SELECT r, string_split_regex(body, '\n[ \t\r]*\n') AS p FROM l)),
 p1 AS (SELECT r, place, {plain.format('raw')} AS unit FROM p0),
 p2 AS (SELECT r, place, unit, string_split(unit, ' ') AS w FROM p1 WHERE contains(unit, ' ')),
@@ -173,7 +173,7 @@ p5 AS (SELECT r, place, unit, licensed, row_number() OVER (PARTITION BY r ORDER
 u AS (SELECT DISTINCT r, unit FROM (
   SELECT r, {plain.format('x')} AS unit FROM (SELECT r, unnest(string_split(body, chr(10))) AS x FROM l UNION ALL SELECT r, unnest(string_split_regex(raw, '[.!?]+[ \t\r\n]+')) FROM p0 UNION ALL SELECT r, raw FROM p0 UNION ALL SELECT r, body FROM l)
   UNION ALL SELECT r, string_agg(unit, ' ' ORDER BY place) FROM p5 WHERE licensed GROUP BY r, run)),
-v AS MATERIALIZED (SELECT row_number() OVER () AS v, r, len(w) - 1 AS n, w FROM (SELECT r, string_split(unit, ' ') AS w FROM u) WHERE len(w) BETWEEN 2 AND 20000),
+v AS MATERIALIZED (SELECT row_number() OVER () AS v, r, len(w) - 1 AS n, w FROM (SELECT r, string_split(unit, ' ') AS w FROM u) WHERE len(w) > 1),
 vg AS (SELECT v, g, count(*) AS c FROM (SELECT v, unnest({pairs}) AS g FROM v) GROUP BY v, g),
 m AS (SELECT v, no, any_value(license) AS license, any_value(m) AS m, sum(least(vg.c, tg.c)) AS common FROM vg JOIN tg USING (g) GROUP BY v, no),
 b AS (SELECT r, license, max(2.0::DOUBLE * common / (n + m)) AS dice FROM m JOIN v USING (v) WHERE n BETWEEN {low} * m AND {high} * m AND 2.0::DOUBLE * common / (n + m) >= {dice} GROUP BY r, license),

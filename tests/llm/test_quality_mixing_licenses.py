@@ -1,8 +1,10 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import licenses, mixing, oracles, quality
 from tests.llm.rows import TEXTS, table, words
@@ -124,6 +126,32 @@ def test_edge_bins_are_cut_until_small(spark, monkeypatch):
     assert rows_of(mixing.mix_sources(table(spark, rows))) == want
 
 
+@pytest.mark.parametrize("same_id", [7, None])
+def test_equal_rows_at_the_edge_are_split(spark, monkeypatch, same_id):
+    """A source of equal rows comes within a row of its target, and its rows are ordered in parts."""
+    ten = "one two three four five six seven eight nine {}"
+    rows = [(i, ten.format(i), "en", s) for s in ("a", "b") for i in range(1000)] + [(same_id, ten.format("x"), "en", "c")] * 1000
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 64)
+    for carry in ((), ("text", "source", "n_chars")):
+        mixed = mixing.mix_sources(table(spark, rows), carry=carry)
+        got = mixed.groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+        assert sum(r.n for r in got) == 3000 and sum(r["size"] for r in got) == 30_000
+        assert all(abs(r.taken - r.target) <= 10 for r in got), got
+    assert rows_of(mixed.select("doc_id", "size", "source_size", "target", "taken")) == oracle(oracles.mixing_sql(), rows)
+
+
+def test_equal_rows_in_a_hot_source_reach_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 64)
+    seen = []
+    plain = mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda df, label: seen.append((label, plain(df, label))) or seen[-1][1])
+    rows = [(None, "a b c", "en", "hot")] * 900 + [(i, "d e f", "en", s) for i, s in enumerate("xyzx" * 20)]
+    mixed = mixing.mix_sources(table(spark, rows))
+    assert mixed.count() == len(rows)
+    parts = dict(seen)["mix-copies"].groupBy("__part").count().collect()
+    assert len(parts) == 15 and max(r["count"] for r in parts) < 120
+
+
 def test_empty_mix(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
@@ -174,6 +202,34 @@ def test_dice_counts_repeated_bigrams(spark):
     assert math.isclose(r.dice, brute_dice(repeated, text))
 
 
+def test_no_near_match_is_lost(spark):
+    """Templates with any one word replaced score what the definition says."""
+    assert licenses.scan_licenses(table(spark, [(1, "Shared under CC BY-NC 4.0.", "en", "s")])).first().dice == pytest.approx(10 / 12)
+    rows, want = [], {}
+    for name, text in licenses.NOTICES:
+        plain = re.sub(r"[\W_]+", " ", text.lower()).split()
+        for at in range(0, len(plain), max(1, len(plain) // 12)):
+            near = " ".join([*plain[:at], "zebra", *plain[at + 1 :]])
+            if brute_dice(near, text) >= licenses.DICE:
+                want[len(rows)] = (name, brute_dice(near, text))
+            rows.append((len(rows), near, "en", "s"))
+    for name, text in licenses.whole_texts():
+        plain = re.sub(r"[\W_]+", " ", text.lower()).split()
+        near = " ".join("zebra" if i % 11 == 5 else w for i, w in enumerate(plain))
+        want[len(rows)] = (name, brute_dice(near, text))
+        rows.append((len(rows), near, "en", "s"))
+    got = {r.doc_id: {m.license: m.dice for m in r.matches} for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert len(want) > 100 and all(math.isclose(d, want[i][1]) or d > want[i][1] for i in want for d in [got[i].get(want[i][0], 0.0)])
+
+
+def test_telling_words_leave_too_little():
+    """Without a telling word, no template keeps enough bigrams."""
+    words_ = set(licenses.telling_words())
+    for _, own in licenses.prepared():
+        kept = [g for g in own if not words_ & set(g.split())]
+        assert len(kept) < licenses.bounds(len(own), licenses.DICE)[0]
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan_licenses(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
