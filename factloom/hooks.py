@@ -77,6 +77,54 @@ def sentence_extractor(body: Column) -> Column:
     return F.transform(parts, lambda s: F.struct(s.alias("fact"), F.array_distinct(F.transform(entity_candidates(s), lambda w: F.regexp_replace(w, r"[\p{P}\p{S}]+$", ""))).alias("entities")))
 
 
+@F.udtf(returnType="fact string, entities array<string>")
+class FactTable:
+    """:func:`sentence_extractor` as a table function, to be joined laterally: facts come one by one, so a long
+    body never makes one large array. A model that reads a body in parts has this shape."""
+
+    def __init__(self) -> None:
+        import re
+        import unicodedata
+
+        self.parts, self.words = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+"), re.compile(r"\s+")
+        self.kind = unicodedata.category
+
+    def eval(self, body: str):
+        start = 0
+        for cut in [*self.parts.finditer(body or ""), None]:
+            fact = (body or "")[start : cut.start() if cut else None].strip(" ")
+            start = cut.end() if cut else start
+            if fact:
+                names = [w for w in self.words.split(fact) if len(w) > 2 and self.kind(w[0]) == "Lu"]
+                yield fact, list(dict.fromkeys(self._plain(w) for w in names))
+
+    def _plain(self, word: str) -> str:
+        while word and self.kind(word[-1])[0] in "PS":
+            word = word[:-1]
+        return word
+
+
+def facts_laterally(rows: DataFrame, body: str, table=FactTable) -> DataFrame:
+    """Rows with a fact of their body each, by a table function: the columns of ``rows``, fact and entities."""
+    return rows.lateralJoin(table(F.col(body).outer()))
+
+
+def overlap_model() -> Callable[[list[str]], list[str]]:
+    """A model for :func:`factloom.operators.reranking.rerank` that needs no network: the share of the query's
+    words in each numbered passage of a prompt, as JSON."""
+    import json
+    import re
+
+    words = lambda text: set(text.lower().split())
+
+    def reply(prompt: str) -> str:
+        query, *passages = re.split(r"\n\[\d+\] ", prompt.removeprefix("Query: "))
+        wanted = words(query)
+        return json.dumps([{"passage_id": i, "score": len(wanted & words(p)) / len(wanted) if wanted else 0.0} for i, p in enumerate(passages)])
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
 def overlap_reranker(query: Column, passage: Column) -> Column:
     """Share of the query's words in the passage."""
     return F.coalesce(overlap(tokens(passage), tokens(query)), F.lit(0.0))

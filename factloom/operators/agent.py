@@ -4,14 +4,16 @@ Each round searches, drops hits below the threshold, keeps each fact once in ord
 and expands the first entities of queries that need more than one hop or name an entity. Facts found
 by expansion pass without the threshold. A sufficiency hook (a model's reply for each query) may end a
 query's search or name what is missing, which the next round looks for as well. A round is one plan
-over all open queries; state is a written table between rounds. Without a hook nothing changes once a
-round adds no fact, so the loop stops there and reports the rounds it would have made.
+over all open queries; state is a written table between rounds. A query that is closed stays closed: its
+facts and its report are those of that round, and no later round searches or asks for it. Without a hook
+nothing changes once a round adds no fact, so the loop stops there and reports the rounds it would have
+made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +78,10 @@ def retrieve(
     sufficient, confidence."""
     columns = ("qid", "fact_id", "score", "rank", "round", "leg")
     state: DataFrame | None = None
-    rounds, open_, before = None, queries, {}
+    open_, before = queries, None
     hints: DataFrame | None = None
+    closed_states: list[DataFrame] = []
+    reports: list[DataFrame] = []
 
     def leg(hits: DataFrame, i: int, number: int) -> DataFrame:
         return hits.select("qid", "fact_id", "score", F.col("rank").cast("long").alias("rank"), F.lit(i).alias("round"), F.lit(number).alias("leg"))
@@ -91,14 +95,14 @@ def retrieve(
         if hints is not None:
             refined = open_.drop("text").join(hints, "qid")
             hits = hits.unionByName(leg(found(refined), i, 1))
-        merged = _merge(state.select(*columns) if state is not None else hits.limit(0), hits, max_facts)
+        merged = _merge(state if state is not None else hits.limit(0), hits, max_facts)
         if expand is not None:
             more = leg(expand(merged), i, 2)
             merged = _merge(merged.select(*columns), more.join(open_.select("qid"), "qid", "left_semi"), max_facts)
         state = save(merged.select(*columns))
         n = state.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.7).alias("high"), F.avg("score").alias("mean"))
         enough, confidence = heuristic_sufficiency(F.col("n"), F.col("high"), F.col("mean"))
-        n = queries.select("qid").join(n, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        n = open_.select("qid").join(n, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         if sufficiency is not None:
             asked = state.join(n.where((F.col("n") >= min_facts) & (F.col("n") < max_facts)).select("qid"), "qid", "left_semi")
             replies = save(sufficiency(asked).select("qid", "reply"))
@@ -107,25 +111,25 @@ def retrieve(
             confidence = F.when(F.col("n") < min_facts, 0.0).when(enough, 0.9).otherwise(0.5)
             hints = replies.select("qid", missing_hint(F.col("reply")).alias("text")).where("text <> ''")
         done = F.when(F.col("n") >= max_facts, True).when(F.col("n") < min_facts, False).otherwise(enough)
-        n = n.select("qid", "n", F.coalesce(done, F.lit(False)).alias("done"), F.when(F.col("n") >= max_facts, 1.0).otherwise(F.coalesce(confidence, F.lit(0.0))).alias("confidence"), F.lit(i).alias("at"))
-        n = save(n)
-        rounds = n if rounds is None else rounds.unionByName(n)
-        total = n.agg(F.count_if("done"), F.sum("n")).first()
-        if total[0] == n.count() or (before == tuple(total) and (hints is None or hints.isEmpty())):
+        n = save(n.select("qid", "n", F.coalesce(done, F.lit(False)).alias("done"), F.when(F.col("n") >= max_facts, 1.0).otherwise(F.coalesce(confidence, F.lit(0.0))).alias("confidence"), F.lit(i).alias("at")))
+        closed = n.where("done")
+        # what is closed stays as it is: it is neither searched nor asked again
+        reports.append(closed.select("qid", F.col("n").alias("n_facts"), F.col("at").alias("iterations"), "confidence"))
+        closed_states.append(state.join(closed.select("qid"), "qid", "left_semi"))
+        left = n.where("NOT done").select("qid")
+        state, open_ = state.join(left, "qid", "left_semi"), open_.join(left, "qid", "left_semi")
+        if hints is not None:
+            hints = hints.join(left, "qid", "left_semi")
+        total = n.agg(F.count_if("done"), F.count("*"), F.coalesce(F.sum(F.when(~F.col("done"), F.col("n"))), F.lit(0))).first()
+        if total[0] == total[1] or (total[0] == 0 and before == tuple(total) and (hints is None or hints.isEmpty())):
             break
-        before = tuple(total)
-        open_ = queries.join(n.where("done").select("qid"), "qid", "left_anti")
-    first = rounds.where("done").groupBy("qid").agg(F.min_by(F.struct("n", "confidence", "at"), "at").alias("s"))
-    last = rounds.groupBy("qid").agg(F.max_by("n", "at").alias("n"))
-    report = last.join(first, "qid", "left").select(
-        "qid",
-        F.col("n").alias("n_facts"),
-        F.coalesce("s.at", F.lit(max_iterations)).alias("iterations"),
-        F.lit(True).alias("sufficient"),
-        F.coalesce("s.confidence", F.lit(0.8)).alias("confidence"),
-    )
+        # of the next round, nothing closes and nothing is added: then all further rounds are the same
+        before = (0, total[1] - total[0], total[2])
+    still = n.where("NOT done").select("qid", F.col("n").alias("n_facts"), F.lit(max_iterations).alias("iterations"), F.lit(0.8).alias("confidence"))
+    report = reduce(DataFrame.unionByName, reports, still).select("qid", "n_facts", "iterations", F.lit(True).alias("sufficient"), "confidence")
     order = Window.partitionBy("qid").orderBy("round", "leg", "rank", "fact_id")
-    return state.select("qid", "fact_id", "score", F.row_number().over(order).alias("ord")), report
+    facts = reduce(DataFrame.unionByName, closed_states, state)
+    return facts.select("qid", "fact_id", "score", F.row_number().over(order).alias("ord")), report
 
 
 def retrieve_for_turns(turns: DataFrame, search: Callable[[DataFrame], DataFrame], **settings) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom import config
 from factloom.config import JUDGED_FACTS, STORED_SESSIONS
 from factloom.functions import metrics
-from factloom.functions.text import overlap, tokens
+from factloom.functions.text import tokens
+from factloom.operators import agent
+from factloom.operators.history import history_search
 
 
 def metric_bundle(retrieved: Column, required: Column, relevant: Column, expected: Column, context: Column) -> dict[str, Column]:
@@ -75,22 +78,27 @@ def of_kind(queries: DataFrame, type: str | None = None, difficulty: str | None
     return queries
 
 
-def turn_evaluation(turns: DataFrame, asking: str = "user", results: int = 3) -> DataFrame:
-    """Every asking turn as a query over the turns stored before it in its session, scored by all text
-    metrics against the turn that answers it.
+def turn_evaluation(turns: DataFrame, asking: str = "user", results: int = 3, sufficiency: Callable[[DataFrame], DataFrame] | None = None, max_iterations: int = config.MAX_ITERATIONS) -> DataFrame:
+    """Every asking turn as a query of the agent loop over the turns stored before it in its session, scored
+    by all text metrics against the turn that answers it.
 
     ``turns``: session_id, turn, speaker, text. Visibility is as of the turn; the earlier turns are
-    ranked by the share of the query's words they hold, the newest first among equals. One row for
-    each asking turn that has an answer.
-    """
+    ranked by the share of the query's words they hold, the newest first among equals, and the loop keeps
+    the first ``results`` that its rounds find. One row for each asking turn that has an answer."""
     order = Window.partitionBy("session_id").orderBy("turn")
     asked = turns.withColumn("expected", F.lead("text").over(order)).where((F.col("speaker") == asking) & F.col("expected").isNotNull())
-    asked = asked.select("session_id", F.col("turn").alias("asked"), F.col("text").alias("query"), "expected")
-    seen = asked.join(turns.select("session_id", "turn", "text"), "session_id").where(F.col("turn") < F.col("asked"))
-    seen = seen.withColumn("score", F.coalesce(overlap(tokens(F.col("text")), tokens(F.col("query"))), F.lit(0.0)))
-    first = F.row_number().over(Window.partitionBy("session_id", "asked").orderBy(F.desc("score"), F.desc("turn")))
-    hits = seen.withColumn("rank", first).where(F.col("rank") <= results)
-    lists = hits.groupBy("session_id", "asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("retrieved"))
-    rows = asked.join(lists, ["session_id", "asked"], "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
+    qid = F.concat_ws("/", F.coalesce(F.col("session_id").cast("string"), F.lit("")), "turn")
+    asked = asked.select(qid.alias("qid"), "session_id", F.col("turn").alias("asked"), F.col("text").alias("query"), "expected")
+    stored = turns.select("session_id", "turn", tokens(F.col("text")).alias("words"))
+
+    def search(open_: DataFrame) -> DataFrame:
+        hits = history_search(stored, open_.select("session_id", "asked", tokens(F.col("text")).alias("words")), results)
+        return hits.join(open_.select("session_id", "asked", "qid"), ["session_id", "asked"]).select("qid", F.col("turn").alias("fact_id"), "score", "rank")
+
+    queries = asked.select("qid", "session_id", "asked", F.col("query").alias("text"))
+    found, _ = agent.retrieve(queries, search, threshold=0.0, min_facts=1, max_facts=results, max_iterations=max_iterations, sufficiency=sufficiency)
+    hits = found.join(asked.select("qid", "session_id", "asked"), "qid").join(turns.select("session_id", F.col("turn").alias("fact_id"), "text"), ["session_id", "fact_id"])
+    lists = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]).alias("retrieved"))
+    rows = asked.join(lists, "qid", "left").drop("qid").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
     required = F.array("expected")
     return rows.withColumns(metric_bundle(F.col("retrieved"), required, required, F.col("expected"), F.array_join("retrieved", "\n")))

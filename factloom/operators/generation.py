@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.hooks import sentence_extractor
 
-PERSONA_FIELDS = ("name", "age", "occupation", "location", "traits", "hobbies", "interests", "conversation_topics", "backstory")
+#: Fields that a persona has to have; hobbies and backstory may be missing.
+PERSONA_FIELDS = ("name", "age", "occupation", "location", "traits", "interests", "conversation_topics")
 
 
 def session_dates(spark: SparkSession, start: str, end: str, n: int, seed: int = 0) -> DataFrame:

@@ -237,14 +237,12 @@ def session_of_facts(facts: DataFrame, episodes: DataFrame, limit: int = 15) ->
     return named.withColumn("session_id", session_number(F.col("episode_name"))).where("session_id IS NOT NULL").groupBy("qid", "session_id").agg(F.min("rank").alias("ord"))
 
 
-def session_of_texts(facts: DataFrame, stored: DataFrame, limit: int = 15) -> DataFrame:
-    """The same for facts without an episode name, by looking their text up in stored facts."""
+def session_of_texts(facts: DataFrame, stored: DataFrame, limit: int = 15, **settings) -> DataFrame:
+    """The same for facts without an episode name, by looking their text up in stored facts: one pass of the
+    stored texts for all needles (see :mod:`factloom.operators.needles`)."""
     from factloom.functions.text import needle, session_number
+    from factloom.operators.needles import least_holding
 
-    asked = facts.where((F.col("rank") <= limit) & (needle(F.col("fact_text")) != "")).select("qid", "rank", needle(F.col("fact_text")).alias("needle"))
-    out = None
-    for part in query_blocks(asked):
-        pairs = stored.join(F.broadcast(part), F.contains(stored["fact_text"], F.col("needle")))
-        hits = pairs.groupBy("qid", "rank").agg(F.min("episode_name").alias("episode_name"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.withColumn("session_id", session_number(F.col("episode_name"))).where("session_id IS NOT NULL").groupBy("qid", "session_id").agg(F.min("rank").alias("ord"))
+    asked = facts.where(F.col("rank") <= limit).select("qid", "rank", needle(F.col("fact_text")).alias("needle"))
+    hits = asked.join(least_holding(stored, asked, "fact_text", "episode_name", **settings), "needle")
+    return hits.withColumn("session_id", session_number(F.col("episode_name"))).where("session_id IS NOT NULL").groupBy("qid", "session_id").agg(F.min("rank").alias("ord"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions import metrics
-from factloom.operators import evaluation, reports
-from factloom.operators.search import best, score_all, top_k
+from factloom.operators import agreement, evaluation, reports
+from factloom.operators.search import best, score_all, session_of_texts, top_k
 from factloom.plans.registry import Registry, table
 
 add = Registry()
@@ -89,10 +90,9 @@ t AS (SELECT x.c, sum(CASE WHEN (y.a > x.a) = (y.p > x.p) THEN 1 ELSE -1 END) AS
 SELECT n.c AS o_custkey, round(CASE WHEN n < 2 THEN 1.0 ELSE (s / (n * (n - 1) / 2.0) + 1) / 2 END, 6) AS agreement FROM n LEFT JOIN t USING (c)""")
 def kendall_tau(spark, sf):
     """Order of a customer's orders by price against their order by date."""
-    o = table(spark, sf, "orders")
-    by = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(c, "o_orderkey"))), lambda r: r["o_orderkey"])
-    rows = o.groupBy("o_custkey").agg(by("o_totalprice").alias("predicted"), by("o_orderdate").alias("actual"))
-    return rows.select("o_custkey", F.round(metrics.rank_agreement(F.col("predicted"), F.col("actual")), 6).alias("agreement"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    places = lambda c: o.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy(c, "o_orderkey"))).select("o_custkey", "o_orderkey", "place")
+    return agreement.rank_agreement(places("o_totalprice"), places("o_orderdate"), "o_custkey", "o_orderkey", "place").select("o_custkey", F.round("agreement", 6).alias("agreement"))
 
 
 RANKED = """
@@ -259,8 +259,6 @@ def query_evaluation(spark, sf):
 WITH r AS (SELECT user_id, event_type || event_id AS fact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events)
 SELECT user_id, CAST(sum(length(fact)) AS BIGINT) AS context_length, string_agg(fact, chr(10) ORDER BY rank) FILTER (rank <= 15) AS context FROM r GROUP BY user_id""")
 def context_lengths(spark, sf):
-    from pyspark.sql.window import Window
-
     e = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.concat("event_type", F.col("event_id").cast("string")).alias("fact_text"), "event_id")
     rows = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("event_id")))
     return evaluation.context_lengths(rows).withColumnRenamed("qid", "user_id")
@@ -272,8 +270,6 @@ m AS (SELECT conv_id, CASE WHEN before IS NULL THEN 0.0 ELSE CASE WHEN len({_tok
 SELECT conv_id AS session_id, count(*) AS n_turns, round(avg(recall), 6) AS mean_recall FROM m GROUP BY 1""")
 def turn_metrics(spark, sf):
     """Each turn against the turn before it; a first turn needs nothing and counts as zero."""
-    from pyspark.sql.window import Window
-
     c = table(spark, sf, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = c.select(F.col("conv_id").alias("session_id"), F.array_compact(F.array(before)).alias("retrieved"), F.array("text").alias("required"), before.isNotNull().alias("needed"))
@@ -337,3 +333,14 @@ def queries_of_kind(spark, sf):
     q = queryset(spark, sf)
     hops, easy = evaluation.of_kind(q, type="multi_hop"), evaluation.of_kind(q, difficulty="easy").where("type <> 'multi_hop'")
     return hops.unionByName(easy).groupBy("type", "difficulty").agg(F.count("*").alias("n"))
+
+
+@add("fact_sessions", """
+WITH n AS (SELECT item_id AS qid, left(replace(text, '"', ''), 120) AS needle FROM benchmark),
+h AS (SELECT qid, min('session_' || doc_id % 37) AS episode FROM n JOIN documents ON contains(text, needle) AND needle <> '' GROUP BY qid)
+SELECT qid, CAST(regexp_extract(episode, '[0-9]+') AS BIGINT) AS session_id, 1 AS ord FROM h""")
+def fact_sessions(spark, sf):
+    """Benchmark passages as facts of unknown origin, looked up in all documents by their text."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.lit(1).alias("rank"), F.col("text").alias("fact_text"))
+    stored = table(spark, sf, "documents").select(F.col("text").alias("fact_text"), F.concat(F.lit("session_"), (F.col("doc_id") % 37).cast("string")).alias("episode_name"))
+    return session_of_texts(asked, stored).select("qid", F.col("session_id").cast("long").alias("session_id"), "ord")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions import text as tx
 from factloom.operators.events import redistribute
@@ -12,6 +15,8 @@ from factloom.sources import sessions, sinks
 
 add = Registry()
 
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
+
 
 def turns(spark, sf):
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), "text")
@@ -57,11 +62,13 @@ def entity_upsert(spark, sf):
 
 
 @add("passage_upsert", """
-WITH o AS (SELECT doc_id, 'old' AS version FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, 'new' AS version FROM documents WHERE doc_id % 2 = 0)
+WITH o AS (SELECT doc_id, 'old' AS version FROM documents), n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, 'new' AS version FROM documents WHERE doc_id % 2 = 0)
 SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id) UNION ALL SELECT * FROM n""")
 def passage_upsert(spark, sf):
+    """All documents are stored; new versions of some come in, and some that were not there."""
     d = table(spark, sf, "documents").select("doc_id")
-    return sinks.upsert(d.where("doc_id % 3 <> 0").withColumn("version", F.lit("old")), d.where("doc_id % 2 = 0").withColumn("version", F.lit("new")), "doc_id")
+    new = d.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), F.lit("new").alias("version"))
+    return sinks.upsert(d.withColumn("version", F.lit("old")), new, "doc_id")
 
 
 @add("group_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer")
@@ -151,7 +158,7 @@ def rerank_fallback(spark, sf):
 
 
 @add("rerank_batches", """
-WITH p AS (SELECT event_id // 26 AS qid, CAST(event_id % 26 AS INTEGER) AS position FROM events WHERE event_id // 26 % 7 > 0 OR event_id % 26 = 0),
+WITH p AS (SELECT CASE WHEN event_id // 26 % 7 > 0 THEN event_id // 26 ELSE -7 * event_id - 7 END AS qid, CAST(CASE WHEN event_id // 26 % 7 > 0 THEN event_id % 26 ELSE 0 END AS INTEGER) AS position FROM events),
 b AS (SELECT *, position // 10 AS batch, position % 10 AS place, (qid + position // 10) % 5 AS kind FROM p)
 SELECT qid, position, round(CASE WHEN qid % 7 = 0 THEN 1.0 WHEN kind = 1 THEN 0.5 WHEN kind = 0 THEN 1.0 - place * 0.05 WHEN place % 2 = 0 THEN place / 10.0 ELSE 0.5 END, 6) AS rerank_score FROM b""")
 def rerank_batches(spark, sf):
@@ -159,7 +166,8 @@ def rerank_batches(spark, sf):
     from factloom.operators.search import rerank_scores
 
     i = F.col("event_id")
-    p = table(spark, sf, "events").select(F.floor(i / 26).alias("qid"), (i % 26).cast("int").alias("position")).where("qid % 7 > 0 OR position = 0")
+    many = F.floor(i / 26) % 7 > 0
+    p = table(spark, sf, "events").select(F.when(many, F.floor(i / 26)).otherwise(-7 * i - 7).alias("qid"), F.when(many, i % 26).otherwise(0).cast("int").alias("position"))
     kind = (F.col("qid") + F.col("batch")) % 5
     scores = F.to_json(F.array(*[F.struct(F.lit(k).alias("passage_id"), F.lit(k / 10).alias("score")) for k in range(0, 10, 2)]))
     calls = p.select("qid", F.floor(F.col("position") / 10).alias("batch")).distinct()
@@ -200,13 +208,111 @@ def stored_ids(spark, sf):
     )
 
 
-@add("ground_truth", r"""
-SELECT conv_id AS session_id, turn AS turn_id, contains(text, '?') OR NOT regexp_matches(text, '\S') AS retrieval_required, CAST(len(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}')) AS INTEGER) AS n_dates FROM conversations""")
+SENTENCES = r"""
+s AS (SELECT conv_id, turn, unnest(range(len(p))) AS i, trim(unnest(p)) AS fact FROM (SELECT conv_id, turn, string_split_regex(regexp_replace(text, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(10), 'g'), '\n+') AS p FROM conversations)),
+f AS (SELECT conv_id, turn, i, fact, list_transform(list_filter(string_split_regex(fact, '\s+'), lambda w: regexp_matches(w, '^\p{Lu}') AND length(w) > 2), lambda w: regexp_replace(w, '[\p{P}\p{S}]+$', '')) AS names FROM s WHERE fact <> '')"""
+
+
+@add("ground_truth", "WITH " + SENTENCES + r""",
+n AS (SELECT conv_id, turn, string_agg(name, '|' ORDER BY i, k) AS entities FROM (SELECT conv_id, turn, name, min(i) AS i, arg_min(k, (i, k)) AS k FROM (SELECT conv_id, turn, i, unnest(names) AS name, unnest(range(len(names))) AS k FROM f) GROUP BY ALL) GROUP BY conv_id, turn),
+g AS (SELECT conv_id, turn, string_agg(fact, '|' ORDER BY i) AS facts, count(*) AS n FROM f GROUP BY conv_id, turn)
+SELECT c.conv_id AS session_id, c.turn AS turn_id, coalesce(facts, '') AS facts, coalesce(entities, '') AS entities, array_to_string(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}'), '|') AS dates,
+  CASE role WHEN 'user' THEN 'user' ELSE 'other' END AS category, contains(text, '?') OR coalesce(g.n, 0) = 0 AS retrieval_required FROM conversations c LEFT JOIN g USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)""")
 def ground_truth(spark, sf):
+    """Facts, entities and dates of each turn, and whether it needs earlier ones."""
     from factloom.operators import generation
 
-    out = generation.ground_truth(turns(spark, sf))
-    return out.select("session_id", "turn_id", "retrieval_required", F.size("temporal_references").alias("n_dates"))
+    out = generation.ground_truth(turns(spark, sf).withColumn("category", F.when(F.col("speaker") == "user", "user").otherwise("other")))
+    joined = lambda c: F.array_join(c, "|")
+    facts = joined(F.transform("factual", lambda f: f["fact"]))
+    return out.select("session_id", "turn_id", facts.alias("facts"), joined(F.col("entities_mentioned")).alias("entities"), joined(F.col("temporal_references")).alias("dates"), F.when(F.col("speaker") == "user", "user").otherwise("other").alias("category"), "retrieval_required")
+
+
+@add("lateral_facts", "WITH " + SENTENCES + """
+SELECT conv_id AS session_id, turn, fact, array_to_string(list_sort(list_distinct(names)), '|') AS entities FROM f""")
+def lateral_facts(spark, sf):
+    """The extractor as a table function: a row for each fact of each turn."""
+    from factloom.hooks import facts_laterally
+
+    rows = facts_laterally(turns(spark, sf), "text")
+    return rows.select("session_id", "turn", "fact", F.array_join(F.array_sort("entities"), "|").alias("entities"))
+
+
+@add("rerank_model", """
+WITH c AS (SELECT conv_id AS qid, turn, text, first_value(text) OVER o AS query, row_number() OVER o - 2 AS position FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT qid, position, count(*) OVER (PARTITION BY qid) AS n, {query} AS wanted, {text} AS held FROM c WHERE position >= 0),
+s AS (SELECT qid, position, CASE WHEN n = 1 THEN 1.0 ELSE coalesce(len(list_intersect(wanted, held))::DOUBLE / nullif(len(wanted), 0), 0.0) END AS score FROM p)
+SELECT qid, position, round(score, 6) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, position) AS rank FROM s) WHERE rank <= 5""".replace("{query}", WORDS.format("query")).replace("{text}", WORDS.format("CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END")))
+def rerank_model(spark, sf):
+    """The later turns of a conversation as candidates for its first one, by the model that counts words."""
+    from factloom.hooks import overlap_model
+    from factloom.operators.reranking import rerank
+
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 2
+    rows = turns(spark, sf).withColumn("position", place).select(F.col("session_id").alias("qid"), "position", "text")
+    out = rerank(rows.where("position >= 0"), rows.where("position = -1").select("qid", F.col("text").alias("query")), overlap_model, 5)
+    return out.select("qid", F.col("position").cast("long").alias("position"), F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@add("persona_problems", """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'age,traits' WHEN c_custkey % 7 = 0 THEN 'occupation' ELSE '' END AS problems FROM customer""")
+def persona_problems(spark, sf):
+    """Customers as personas, some without an age and traits, some with an empty occupation; none has hobbies."""
+    from factloom.operators import generation
+
+    i, some = F.col("c_custkey"), F.array(F.lit("x"))
+    lacking = i % 5 == 0
+    user = F.struct(
+        F.col("c_name").alias("name"), F.when(~lacking, 30).alias("age"), F.when((i % 7 == 0) & ~lacking, "").otherwise("clerk").alias("occupation"), F.lit("here").alias("location"),
+        F.when(lacking, F.array().cast("array<string>")).otherwise(some).alias("traits"), F.array().cast("array<string>").alias("hobbies"), some.alias("interests"), some.alias("conversation_topics"), F.lit(None).cast("string").alias("backstory"),
+    )
+    return generation.persona_problems(table(spark, sf, "customer").select("c_custkey", user.alias("user"))).select("c_custkey", F.array_join("problems", ",").alias("problems"))
+
+
+@add("enough_turns", """
+WITH s AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, role FROM conversations)
+SELECT conv_id, count(*) AS n FROM s WHERE line <> '' GROUP BY conv_id HAVING count(*) >= 6""")
+def enough_turns(spark, sf):
+    """Scripts of whole conversations, a line a turn, parsed again; those with six turns or more stay."""
+    from factloom.operators import generation
+
+    c = table(spark, sf, "conversations").withColumn("line", F.explode(F.split("text", "\n"))).where("line <> ''")
+    scripts = c.groupBy("conv_id").agg(F.array_join(F.collect_list(F.concat(F.lit("User: "), "line")), "\n").alias("script"))
+    return generation.enough_turns(scripts.select("conv_id", tx.dialogue_turns(F.col("script")).alias("turns")), 6).select("conv_id", F.size("turns").cast("long").alias("n"))
+
+
+@add("opening_turns", "SELECT conv_id AS session_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters, max(turn) AS last FROM conversations WHERE turn < 10 GROUP BY conv_id")
+def opening_turns(spark, sf):
+    """What a summary hook is shown of each session: the first ten turns are the feature."""
+    from factloom.operators import generation
+
+    return generation.opening(turns(spark, sf)).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max("turn").alias("last"))
+
+
+@add("stream_graph", r"""
+WITH s AS (SELECT conv_id, turn, trim(x) AS fact FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n+')) AS x FROM conversations)),
+f AS (SELECT DISTINCT conv_id, turn, fact FROM s WHERE fact <> ''),
+p AS (SELECT conv_id, count(*) AS n_passages FROM conversations GROUP BY 1)
+SELECT p.conv_id AS session_id, n_passages, count(fact) AS n_facts, count(fact) AS n_edges, count(DISTINCT substr(fact, 1, 1)) AS n_entities FROM p LEFT JOIN f USING (conv_id) GROUP BY ALL""")
+def stream_graph(spark, sf):
+    """Turns as a stream into all tables at once, a batch at a time; then read as one graph."""
+    from factloom.shared import scratch_dir
+    from factloom.streaming import commits
+
+    folder = f"{scratch_dir(spark)}/factloom/graph-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "conversations").schema).parquet(f"{sf}/conversations.parque[t]")
+    stream = stream.select(F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), "text")
+    tables = commits.BatchTables(spark, f"{folder}/tables")
+    commits.ingest_sessions(stream, tables, f"{folder}/state", lambda batch: commits.graph_tables(batch, "talks", lines))
+    t = commits.whole_graph(tables)
+    session = lambda c: F.regexp_extract(c, r"(?i)Session[ _](\d+)", 1).cast("long").alias("session_id")
+    facts = t["fact"].select(session("episode_name"), "fact_id")
+    edges = t["fact_involves"].join(facts, F.col("in_id") == F.col("fact_id")).join(t["entity"].select("entity_id", "name"), F.col("out_id") == F.col("entity_id"))
+    counts = edges.groupBy("session_id").agg(F.count("*").alias("n_edges"), F.count_distinct(F.substring("name", 1, 1)).alias("n_entities"))
+    n = facts.groupBy("session_id").agg(F.count("*").alias("n_facts"))
+    passages = t["passage"].groupBy(session("doc_id")).agg(F.count("*").alias("n_passages"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return passages.join(n, "session_id", "left").join(counts, "session_id", "left").select("session_id", "n_passages", zero("n_facts"), zero("n_edges"), zero("n_entities"))
 
 
 @add("cumulative_summary", """
@@ -236,17 +342,21 @@ def redistribute_facts(spark, sf):
     return redistribute(resolved, t).select("session_id", "turn", "position")
 
 
+def lines(body):
+    """Lines as facts, their first letters as entities."""
+    return F.transform(F.filter(F.split(body, "\n+"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.trim(x).alias("fact"), F.array(F.substring(F.trim(x), 1, 1)).alias("entities")))
+
+
 @add("ingest_graph", r"""
-WITH s AS (SELECT conv_id, turn, trim(x) AS fact FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n+')) AS x FROM conversations WHERE role = 'user')),
+WITH s AS (SELECT conv_id, turn, trim(x) AS fact FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n+')) AS x FROM conversations)),
 f AS (SELECT DISTINCT conv_id, turn, fact FROM s WHERE fact <> '')
 SELECT conv_id AS session_id, count(*) AS n_facts, count(DISTINCT substr(fact, 1, 1)) AS n_entities FROM f GROUP BY 1""")
 def ingest_graph(spark, sf):
     """Turns as episodes, lines as facts, first letters as entities: the whole chain of tables."""
-    rows = turns(spark, sf).where("speaker = 'user'")
+    rows = turns(spark, sf)
     name = F.concat(F.lit("Session "), F.col("session_id").cast("string"), F.lit(" Turn "), F.col("turn").cast("string"))
     group = "talks"
     episodes = sessions.episodes(rows, group, F.lit("2024-01-01").cast("timestamp"), name, F.col("text"), F.lit(None).cast("timestamp"))
-    lines = lambda body: F.transform(F.filter(F.split(body, "\n+"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.trim(x).alias("fact"), F.array(F.substring(F.trim(x), 1, 1)).alias("entities")))
     facts = sinks.facts_of_episodes(episodes, lines)
     session = F.regexp_extract("episode_name", r"Session (\d+) ", 1).cast("long")
     return facts.select(session.alias("session_id"), "fact_id", F.col("entity_names")[0].alias("e")).groupBy("session_id").agg(F.count("*").alias("n_facts"), F.count_distinct("e").alias("n_entities"))

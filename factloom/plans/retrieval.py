@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.config import DIRECT, FAIR
 from factloom.functions.text import classify_query, entity_candidates
-from factloom.operators import agent, fusion, search, vector_index
+from factloom.operators import agent, fusion, history, search, vector_index
 from factloom.operators.windows import utc
 from factloom.plans.registry import Registry, table
 
@@ -230,11 +230,11 @@ WITH q AS (SELECT conv_id, turn AS asked FROM conversations WHERE role = 'user')
 v AS (SELECT q.conv_id, q.asked, c.turn, row_number() OVER (PARTITION BY q.conv_id, q.asked ORDER BY length(c.text) DESC, c.turn) AS rank FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn <= q.asked)
 SELECT conv_id, asked, turn, rank FROM v WHERE rank <= 3""")
 def asof_visibility(spark, sf):
-    c = table(spark, sf, "conversations")
-    q = c.where("role = 'user'").select("conv_id", F.col("turn").alias("asked"))
-    seen = agent.visible(q.join(c, "conv_id"), F.col("asked"), F.col("turn")).withColumn("qid", F.struct("conv_id", "asked"))
-    out = search.best(seen.withColumn("size", F.length("text")), 3, F.desc("size"), F.col("turn"))
-    return out.select("conv_id", "asked", "turn", F.col("rank").cast("long").alias("rank"))
+    """The longest three turns that each user turn can see, itself included."""
+    c = table(spark, sf, "conversations").withColumn("size", F.length("text"))
+    seen = history.running_top(c, "conv_id", "turn", "size", 3)
+    asking = c.where("role = 'user'").select("conv_id", F.col("turn").alias("asked"))
+    return seen.join(asking, ["conv_id", "asked"], "left_semi").select("conv_id", "asked", "turn", "rank")
 
 
 @add("agent_retrieve", SCORED + """
@@ -273,6 +273,31 @@ def agent_report(spark, sf):
     return looped(spark, sf)[1].select("qid", "n_facts", "iterations", F.round("confidence", 6).alias("confidence"))
 
 
+@add("agent_expansion", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, 'Entity' || label AS name FROM embeddings),
+s AS (SELECT q.vec_id AS qid, q.name AS own, f.vec_id, f.name, list_cosine_similarity(q.v, f.v) AS score FROM e q, e f WHERE q.vec_id % 100 = 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s),
+h AS (SELECT * FROM c WHERE r <= 10 AND score >= 0.1),
+w AS (SELECT DISTINCT qid, own FROM s),
+n0 AS (SELECT qid, 'Kenapa' AS name, 0 AS place FROM w UNION ALL SELECT qid, own, 1 FROM w UNION ALL SELECT qid, name, 10 + min(r) FROM h GROUP BY qid, name),
+n1 AS (SELECT qid, name, row_number() OVER (PARTITION BY qid ORDER BY min(place), name) AS turn FROM n0 GROUP BY qid, name),
+f AS (SELECT name, vec_id, row_number() OVER (PARTITION BY name ORDER BY vec_id % 50 DESC, vec_id) AS newest FROM e),
+x AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY min((turn, newest)), vec_id) AS r FROM n1 JOIN f USING (name) WHERE turn <= 5 AND newest <= 20 GROUP BY qid, vec_id),
+a AS (SELECT qid, vec_id, score, 0 AS leg, r FROM h UNION ALL SELECT qid, vec_id, 1.0, 1, r FROM x),
+d AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY leg, r) AS once FROM a)
+SELECT qid, vec_id, round(score, 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY leg, r, vec_id) AS ord FROM d WHERE once = 1) WHERE ord <= 15""")
+def agent_expansion(spark, sf):
+    """The loop with its plan: names in the texts and in the facts found are expanded, five at most."""
+    name = F.concat(F.lit("Entity"), F.col("label").cast("string"))
+    f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", F.array(name).alias("entity_names"), F.timestamp_seconds(F.col("vec_id") % 50).alias("created_at"), "label")
+    edges = f.select(F.col("fact_id").alias("in_id"), F.col("label").alias("out_id"))
+    entities = f.select(F.col("label").alias("entity_id"), name.alias("name")).distinct()
+    q = agent.plan_queries(asked(spark, sf).withColumn("text", F.concat(F.lit("Kenapa "), name, F.lit(" pindah"))))
+    expand = agent.entity_expansion(f, edges, entities, q)
+    found, _ = agent.retrieve(q, lambda open_: search.top_k(f.select("fact_id", "embedding"), open_, 10, "fact_id"), expand, threshold=0.1)
+    return found.select("qid", F.col("fact_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
+
+
 @add("cached_hybrid", SCORED + """
 , r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s)
 SELECT qid, 'graph' AS source_type, '[FACT] fact ' || vec_id AS content, round(score, 6) AS score, r AS ord FROM r WHERE r <= 15

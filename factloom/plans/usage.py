@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.operators import reports, windows
 from factloom.plans.registry import Registry, table
 from factloom.shared import scratch_dir
+from factloom.streaming import state
 from factloom.streaming import windows as streams
 
 add = Registry()
@@ -106,6 +107,7 @@ def streamed(spark: SparkSession, sf: str, make, mode: str = "append") -> DataFr
     return spark.read.parquet(f"{folder}/out")
 
 
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 hour"
 
 
@@ -137,6 +139,41 @@ def stream_sessions(spark, sf):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+@add("stream_budget", f"""
+WITH c AS (SELECT event_id, event_type AS k, epoch_us(ts) AS t, CAST(floor(value) AS BIGINT) AS tokens, ts FROM events),
+w AS (SELECT *, count(*) OVER o AS requests_60s, CAST(sum(tokens) OVER o AS BIGINT) AS tokens_60s, count(*) OVER u AS place, CAST(sum(tokens) OVER u AS BIGINT) AS upto FROM c
+  WINDOW o AS (PARTITION BY k ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), u AS (PARTITION BY k ORDER BY t RANGE UNBOUNDED PRECEDING)),
+r AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS n FROM c),
+x AS (SELECT w.event_id, b.t AS leaving FROM w ASOF JOIN (SELECT k, upto, min(t) AS t FROM w GROUP BY k, upto) b ON w.k = b.k AND w.upto - 20 <= b.upto WHERE tokens_60s > 20),
+y AS (SELECT w.event_id, r.t AS leaving FROM w JOIN r ON r.k = w.k AND r.n = place - 1 WHERE requests_60s > 1)
+SELECT event_id, requests_60s, tokens_60s, requests_60s <= 1 AND tokens_60s <= 20 AS allowed, coalesce(greatest(x.leaving, y.leaving) + 60000000 - t, 0) / 1e6 AS wait_seconds
+FROM w LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id) WHERE time_bucket(INTERVAL 1 minute, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 minute <= {CLOSED}""")
+def stream_budget(spark, sf):
+    """Calls whose minute the watermark has closed, with the seconds each would have to wait."""
+    with state.state_store(spark):
+        return streamed(spark, sf, lambda s: state.budget_stream(s.withColumn("tokens", F.floor("value")), "event_type", "ts", "event_id", "tokens", 1, 20, "1 hour"))
+
+
+@add("stream_turns", """
+WITH c AS (SELECT conv_id AS session_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS expected FROM conversations),
+q AS (SELECT session_id, turn AS asked, text AS query, expected FROM c WHERE role = 'user' AND expected IS NOT NULL),
+k AS (SELECT q.session_id, asked, c.turn, c.text, coalesce(len(list_intersect({c}, {q}))::DOUBLE / nullif(len({q}), 0), 0.0) AS score FROM q JOIN c ON c.session_id = q.session_id AND c.turn < asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, asked ORDER BY score DESC, turn DESC) AS rank FROM k),
+g AS (SELECT session_id, asked, string_agg(text, chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 3 GROUP BY 1, 2)
+SELECT session_id, asked, query, expected, coalesce(lines, '') AS retrieved FROM q LEFT JOIN g USING (session_id, asked)""".replace("{c}", WORDS.format("c.text")).replace("{q}", WORDS.format("query")))
+def stream_turns(spark, sf):
+    """Each user turn is asked as soon as its answer comes, over what its session stored before it. Turns are
+    two minutes apart."""
+    folder = f"{scratch_dir(spark)}/factloom/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + 120 * F.col("turn"))
+    turns = turns.select(F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), "text", at.alias("ts"))
+    with state.state_store(spark):
+        streams.run_available(state.interleaved_stream(turns, "ts", "1 day"), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").withColumn("retrieved", F.array_join("retrieved", "\n"))
+
+
 @add("stream_ingest", "SELECT user_id, count(*) AS n_events, max(event_id) AS last_event FROM events GROUP BY 1")
 def stream_ingest(spark, sf):
     """Micro-batches appended under their number, so a batch given again replaces itself."""

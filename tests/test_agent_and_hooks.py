@@ -59,6 +59,29 @@ def test_a_models_replies_end_or_refine_the_search(spark, graph):
     assert found.where("qid = 2 AND fact_id = 'f11'").count() == 1
 
 
+def test_closed_queries_are_left_alone(spark):
+    """A reply of enough ends a query: it is not searched, asked or extended again, whatever a later reply says."""
+    q = spark.createDataFrame([(i, f"text {i}") for i in range(1, 4)], "qid long, text string")
+    searched, asked = [], []
+
+    def look(open_):
+        searched.append(sorted({r.qid for r in open_.collect()}))
+        base = spark.createDataFrame([(f"f{len(searched)}-{i}", 0.6, i + 1) for i in range(3)], "fact_id string, score double, rank int")
+        return open_.select("qid").distinct().crossJoin(base)
+
+    def say(state):
+        ids = sorted({r.qid for r in state.collect()})
+        asked.append(ids)
+        replies = [(i, "CUKUP: YA" if i == len(asked) else "CUKUP: TIDAK\nINFO_KURANG: more") for i in ids]
+        return spark.createDataFrame(replies, "qid long, reply string")
+
+    found, report = agent.retrieve(q, look, min_facts=3, max_facts=100, sufficiency=say, max_iterations=3)
+    assert asked == [[1, 2, 3], [2, 3], [3]]
+    assert [ids for ids in searched if 1 in ids] == [[1, 2, 3]] and all(1 not in ids for ids in searched[1:])
+    assert {r.qid: (r.n_facts, r.iterations, r.confidence) for r in report.collect()} == {1: (3, 1, 0.9), 2: (9, 2, 0.9), 3: (15, 3, 0.9)}
+    assert {r.qid: r["count"] for r in found.groupBy("qid").count().collect()} == {1: 3, 2: 9, 3: 15}
+
+
 def test_turns_carry_their_place(spark):
     turns = spark.createDataFrame([(1, 0, "user", "2024-01-01", "kapan Budi datang"), (1, 1, "bot", "2024-01-01", "besok")], "session_id long, turn int, speaker string, date string, text string")
     look = lambda asked: asked.select("qid", F.lit("f").alias("fact_id"), F.lit(0.9).alias("score"), F.lit(1).alias("rank"))

@@ -193,7 +193,7 @@ def test_generation_parts(spark):
     assert days == sorted(days, key=lambda r: r.date) and all(8 <= r.ts.hour <= 21 and r.ts.date() == r.date for r in days)
     assert days == generation.session_dates(spark, "2024-01-01", "2024-01-31", 10).collect()
     p = spark.sql("select named_struct('name','A','age',3,'occupation','','location','x','traits',array('a'),'hobbies',array(),'interests',array('b'),'conversation_topics',array('c'),'backstory',null) as user")
-    assert generation.persona_problems(p).first().problems == ["occupation", "hobbies", "backstory"]
+    assert generation.persona_problems(p).first().problems == ["occupation"]
 
 
 def test_results_without_sessions(spark):
