@@ -145,3 +145,8 @@ def parse_facts(reply: Column, body: Column, reference_time: Column) -> Column:
         ),
     )
     return F.filter(F.coalesce(named, raw), lambda f: F.trim(f["fact"]) != "")
+
+
+def first_entity(names: Column) -> Column:
+    """The first of a fact's entity names, null without any."""
+    return F.try_element_at(names, F.lit(1))

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from factloom.config import next_backoff
 from factloom.functions import metrics
-from factloom.functions.text import entity_candidates, overlap, strip_fence, tokens
+from factloom.functions.text import entity_candidates, once, overlap, strip_fence, tokens
+from factloom.functions.vectors import unit
 from factloom.schemas import JUDGE_JSON
 
 DIM = 64
@@ -153,9 +154,49 @@ def prefixed(embed: Callable[[Column], Column], prefix: str) -> Callable[[Column
     return lambda text: embed(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
 
 
-def generator(call: Callable[[list[str]], list[str]], retries: int = 3, delay: float = 1.0) -> Callable[[Column], Column]:
-    """A text model as a column function: Arrow batches, calls repeated after an error with a growing
-    pause; what still fails is null, so that the caller's fallback applies."""
+#: Words that models of some families want before a text, by task.
+TASKS = {"query": "query: ", "passage": "passage: "}
+
+
+def shortened(embed: Callable[[Column], Column], dim: int) -> Callable[[Column], Column]:
+    """An embedder whose vectors are cut to their first ``dim`` numbers and made unit vectors again, for models
+    that are trained to be cut; zero vectors stay."""
+    return lambda text: once(F.slice(embed(text), 1, dim), lambda v: F.transform(unit(v), lambda x: x.cast("float")))
+
+
+EMBEDDERS = {"hashing": hashing_embedder, "pandas": pandas_embedder}
+
+
+def create_embedder(name: str, task: str | None = None, output_dim: int | None = None, **settings) -> Callable[[Column], Column]:
+    """An embedder by name, for a task (``query`` or ``passage``: its word comes before each text) and with an
+    output dimension. Others are added to ``EMBEDDERS``."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"no embedder {name}: there are {', '.join(sorted(EMBEDDERS))}")
+    embed = EMBEDDERS[name](**settings)
+    embed = prefixed(embed, TASKS[task]) if task else embed
+    return shortened(embed, output_dim) if output_dim else embed
+
+
+def within(call: Callable[[list[str]], list[str]], seconds: float) -> Callable[[list[str]], list[str]]:
+    """A call that gives up after some seconds, with a TimeoutError; the thread it ran in is left behind."""
+
+    def limited(prompts: list[str]) -> list[str]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call, prompts).result(timeout=seconds)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return limited
+
+
+def generator(call: Callable[[list[str]], list[str]], retries: int = 3, delay: float = 1.0, timeout: float | None = None) -> Callable[[Column], Column]:
+    """A text model as a column function: Arrow batches, calls repeated after an error, or after ``timeout``
+    seconds without a reply, with a growing pause; what still fails is null, so that the caller's fallback
+    applies."""
+    call = within(call, timeout) if timeout else call
 
     @F.pandas_udf(T.StringType())
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from factloom import config
 from factloom.functions.metrics import heuristic_sufficiency
-from factloom.functions.text import MULTI_HOP, classify_query, entity_candidates, is_sufficient, missing_hint
+from factloom.functions.text import MULTI_HOP, classify_query, entity_candidates, first_entity, is_sufficient, missing_hint
 from factloom.operators.search import entity_facts
 from factloom.shared import saved
 
@@ -47,8 +47,7 @@ def entity_expansion(facts: DataFrame, edges: DataFrame, entities: DataFrame, pl
 
     def expand(state: DataFrame) -> DataFrame:
         named = wanted.select("qid", F.posexplode("entities").alias("place", "name")).withColumn("from_fact", F.lit(0))
-        first = F.try_element_at("entity_names", F.lit(1))
-        found = state.join(facts.select("fact_id", first.alias("name")), "fact_id").join(wanted.select("qid"), "qid", "left_semi").where("name IS NOT NULL AND name <> ''")
+        found = state.join(facts.select("fact_id", first_entity(F.col("entity_names")).alias("name")), "fact_id").join(wanted.select("qid"), "qid", "left_semi").where("name IS NOT NULL AND name <> ''")
         found = found.select("qid", (F.col("round") * 1_000_000 + F.col("leg") * 100_000 + F.col("rank")).cast("int").alias("place"), "name", F.lit(1).alias("from_fact"))
         order = F.struct("from_fact", "place", "name")
         names = named.unionByName(found).groupBy("qid", "name").agg(F.min(order).alias("first"))

@@ -143,3 +143,12 @@ def redistribute(resolved: DataFrame, turns: DataFrame) -> DataFrame:
 def latest_facts(facts: DataFrame, *key: str, order: str = "created_at") -> DataFrame:
     """Conflict resolution without a model: the newest fact of each key wins."""
     return facts.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order), F.desc("fact_id")))).where("__n = 1").drop("__n")
+
+
+def append_events(events: DataFrame, continuation: DataFrame) -> DataFrame:
+    """A timeline with the (validated) events of a continuation; an id that is there keeps its event. Of
+    repeated ids in the continuation the first by ``seq`` comes in."""
+    columns = [c for c in events.columns if c in continuation.columns]
+    first = continuation.groupBy("id").agg(F.min_by(F.struct(*[c for c in columns if c != "id"]), "seq").alias("__e")).select("id", "__e.*")
+    fresh = first.join(events.select("id"), "id", "left_anti")
+    return events.unionByName(fresh, allowMissingColumns=True)

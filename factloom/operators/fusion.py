@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,11 @@ def ordered_distinct(rows: DataFrame, by: str, item: str, position: Column | str
 
     first = rows.groupBy(by, item).agg(F.min(position).alias("__first"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy("__first", item))).drop("__first")
+
+
+def from_cache(queries: DataFrame, cache: DataFrame, fresh: Callable[[DataFrame], DataFrame], on: str = "qid") -> DataFrame:
+    """Results (``on``, ...) of queries: those of an earlier run where there are any, and fresh ones for the
+    rest, which alone are asked; adds origin. The two have the same columns."""
+    kept = cache.join(queries.select(on), on, "left_semi").withColumn("origin", F.lit("cached"))
+    asked = queries.join(cache.select(on).distinct(), on, "left_anti")
+    return kept.unionByName(fresh(asked).withColumn("origin", F.lit("fresh")))

@@ -362,6 +362,48 @@ def ingest_graph(spark, sf):
     return facts.select(session.alias("session_id"), "fact_id", F.col("entity_names")[0].alias("e")).groupBy("session_id").agg(F.count("*").alias("n_facts"), F.count_distinct("e").alias("n_entities"))
 
 
+@add("json_sessions", """
+SELECT conv_id AS session_id, turn, role AS speaker, text, CAST(epoch_us(TIMESTAMP '2024-01-01 08:30:00' + to_minutes(2 * turn)) // 1000000 AS BIGINT) AS seconds, turn % 2 = 0 AS needed, '[Session ' || conv_id || ' - 2024-01-01]' AS header FROM conversations""")
+def json_sessions(spark, sf):
+    """Conversations as a dataset document of sessions with turns and truth, read back with its header, times
+    and what each turn needs."""
+    from factloom.shared import scratch_dir
+    from factloom.sources.documents import read_sessions
+
+    folder = f"{scratch_dir(spark)}/factloom/json-{uuid.uuid4().hex}"
+    ordered = lambda r: F.transform(F.array_sort(F.collect_list(F.struct("turn", r.alias("r")))), lambda x: x["r"])
+    needs = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("fact").alias("info_type"), F.lit("x").alias("description")))).otherwise(F.from_json(F.lit("[]"), "array<struct<info_type:string,description:string>>"))
+    truth = F.struct(F.col("turn").alias("turn_id"), needs.alias("retrieval_required"))
+    s = turns(spark, sf).groupBy("session_id").agg(ordered(F.struct("speaker", "text")).alias("turns"), ordered(truth).alias("ground_truths"))
+    s = s.withColumns({"date": F.lit("2024-01-01"), "datetime": F.lit("1 January 2024, 08:30")})
+    # a document, in a file of its own, holds the sessions of a hundred numbers
+    part = F.floor(F.col("session_id") / 100).alias("part")
+    docs = s.groupBy(part).agg(F.to_json(F.struct(F.collect_list(F.struct(*s.columns)).alias("sessions"))).alias("doc"))
+    docs.write.partitionBy("part").text(folder)
+    read = read_sessions(spark, folder)
+    rows = sessions.with_ground_truth(sessions.turns_of_sessions(read), read).join(read.select("session_id", "date"), "session_id")
+    out = rows.select(F.col("session_id").cast("long").alias("session_id"), F.col("turn").cast("long").alias("turn"), "speaker", "text", F.unix_seconds("ts").alias("seconds"), sessions.needs_retrieval(F.col("ground_truth")).alias("needed"), sessions.session_header(F.col("session_id"), F.col("date")).alias("header"))
+    return out
+
+
+@add("usage_log", """
+SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(max(epoch_us(ts) // 1000000) AS BIGINT) AS last FROM events GROUP BY event_type""")
+def usage_log(spark, sf):
+    """Calls appended to a log of JSON lines in two runs, read back as one."""
+    from factloom.shared import scratch_dir
+    from factloom.sources.documents import read_cost_log
+
+    folder = f"{scratch_dir(spark)}/factloom/log-{uuid.uuid4().hex}"
+    log = table(spark, sf, "events").select(
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.lit("s").alias("setup"), F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
+        F.lit(0.0).alias("cost_usd"), F.lit("chat").alias("call_type"), "event_id",
+    )
+    for part in (0, 1):
+        sinks.append_log(log.where(F.col("event_id") % 2 == part).drop("event_id"), folder)
+    rows = read_cost_log(spark, folder)
+    return rows.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.max(F.unix_seconds("ts")).alias("last"))
+
+
 @add("latest_facts", """
 SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
 def latest_facts(spark, sf):

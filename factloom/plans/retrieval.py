@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.config import DIRECT, FAIR
-from factloom.functions.text import classify_query, entity_candidates
+from factloom.config import DIRECT, FAIR, NO_RERANK
+from factloom.functions.text import classify_query, entity_candidates, first_entity
 from factloom.operators import agent, fusion, history, search, vector_index
 from factloom.operators.windows import utc
 from factloom.plans.registry import Registry, table
@@ -213,9 +213,37 @@ def hybrid_union(spark, sf):
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'fresh' ELSE 'cached' END AS origin, CAST(coalesce(l.quality, d.n_chars % 2) AS BIGINT) AS score FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def hybrid_cached(spark, sf):
     """Results of an earlier run where there are any, else fresh ones."""
-    cache = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("cached"))
-    rows = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).alias("fresh")).join(cache, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("cached").isNull(), "fresh").otherwise("cached").alias("origin"), F.coalesce("cached", "fresh").alias("score"))
+    cache = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("score"))
+    d = table(spark, sf, "documents")
+    fresh = lambda asked: asked.join(d.select("doc_id", (F.col("n_chars") % 2).alias("score")), "doc_id")
+    return fusion.from_cache(d.select("doc_id"), cache, fresh, "doc_id").select("doc_id", "origin", "score")
+
+
+@add("topk_no_rerank", SCORED + """
+SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def topk_no_rerank(spark, sf):
+    """The preset without a second stage: no threshold, as many results as candidates."""
+    out = search.two_stage(facts(spark, sf), asked(spark, sf), "fact_id", NO_RERANK.embedding_top_k, NO_RERANK.similarity_threshold, NO_RERANK.num_results)
+    return _scores(out.withColumnRenamed("fact_id", "vec_id"), "vec_id")
+
+
+@add("first_entity", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS entity_name FROM orders")
+def first_entity_of_facts(spark, sf):
+    """Orders as facts with two names, or with none."""
+    o = table(spark, sf, "orders")
+    names = F.when(F.col("o_orderkey") % 3 > 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array().cast("array<string>"))
+    return o.select("o_orderkey", first_entity(names).alias("entity_name"))
+
+
+@add("embed_dimension", """
+WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, CAST(len(v) AS INTEGER) AS dim, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM e""")
+def embed_dimension(spark, sf):
+    """Stored vectors cut to eight numbers by the step that embedders with an output dimension take."""
+    from factloom.hooks import shortened
+
+    cut = shortened(lambda v: v, 8)(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.size(cut).alias("dim"), F.round(cut[0].cast("double"), 5).alias("first"))
 
 
 @add("ordered_distinct", """

@@ -106,3 +106,13 @@ def last5_events(spark, sf):
 
     out = best(table(spark, sf, "events").withColumn("at", utc("ts")), 5, F.desc("at"), F.desc("event_id"), by="user_id")
     return out.select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+@add("append_events", """
+WITH e AS (SELECT 'E' || event_id AS id, event_type AS description FROM events WHERE event_id % 4 > 0), n AS (SELECT 'E' || event_id AS id, 'new ' || event_type AS description FROM events WHERE event_id % 4 < 2)
+SELECT * FROM e UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM e)""")
+def append_events(spark, sf):
+    """A timeline of three quarters of the events and a continuation of half of them: ids that are there stay."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("description"))
+    more = e.where("seq % 4 < 2").withColumn("description", F.concat(F.lit("new "), "description"))
+    return ev.append_events(e.where("seq % 4 > 0").drop("seq"), more)
