@@ -13,10 +13,11 @@
    are fetched.
 4. Lists whose classes are in one component by now are settled, as are lists of two. The others form
    a neighbourhood around the component that has most of the list. Classes outside that component
-   meet all classes of the neighbourhood, in blocks of bounded size: collisions are counted over
-   signatures, pairs with ``MATCHES`` or more are confirmed on full sets, and only links that join two
-   components leave a task. So each pair of a kept list is confirmed, or is in one component anyway,
-   or falls short of ``MATCHES``; no list, candidate or partner is capped.
+   meet all classes of the neighbourhood, in blocks of bounded size: collisions are counted over the
+   inverted lists of the block, without texts; the classes of pairs with ``MATCHES`` or more come again
+   with their texts, are confirmed on full sets (products of incidence, not pair by pair), and only
+   links that join two components leave a task. So each pair of a kept list is confirmed, or is in one
+   component anyway, or falls short of ``MATCHES``; no list, candidate or partner is capped.
 
 At a similarity of exactly 0.8, two texts agree on a coordinate with chance 0.512; the chance that
 they agree on fewer than 9 of 48 is 7.5e-7, and it falls steeply above 0.8.
@@ -217,40 +218,96 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def block_links(rows: pa.Table, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
-    """Links of the rows of side 0 with those of side 1 that join two components."""
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Equal coordinates of each row of ``left`` with each of ``right``, counted over the inverted lists of
+    the two: only values that both sides hold are looked at."""
+    counts = np.zeros((len(left), len(right)), np.int16)
+    values = np.concatenate([left.ravel(), right.ravel()])
+    rows = np.concatenate([np.repeat(np.arange(len(left)), left.shape[1]), len(left) + np.repeat(np.arange(len(right)), right.shape[1])])
+    order = np.lexsort((rows, values))
+    values, rows = values[order], rows[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    ends = np.r_[starts[1:], len(values)]
+    both = (rows[starts] < len(left)) & (rows[ends - 1] >= len(left))
+    for low, high in zip(starts[both].tolist(), ends[both].tolist(), strict=True):
+        cut = low + int(np.searchsorted(rows[low:high], len(left)))
+        counts[rows[low:cut, None], rows[cut:high] - len(left)] += 1
+    return counts
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Size of the intersection of each set of ``left`` with each of ``right``: products of the incidence of
+    the shingles that both sides hold, some at a time."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for sets in (left, right):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        here = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[here], kind="stable")
+        places.append((owner[here][order], at[here][order], len(sets)))
+    for low in range(0, len(shared), columns):
+        sides = []
+        for owner, at, n in places:
+            i, j = np.searchsorted(at, low), np.searchsorted(at, low + columns)
+            side = np.zeros((n, min(columns, len(shared) - low)), np.float32)
+            side[owner[i:j], at[i:j] - low] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _sides(rows: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
+    """Rows of a block in order of side and node, how many are of side 0, sizes and signatures."""
     rows = rows.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
-    nodes, n, texts = rows["node"].to_pylist(), rows["n"].to_numpy(), rows["text"]
+    table = rows["signature"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    return rows, int((rows["side"].to_numpy() == 0).sum()), rows["n"].to_numpy(), table
+
+
+def block_candidates(rows: pa.Table, percent: int, matches: int) -> np.ndarray:
+    """Pairs (of side 0, of side 1) of a block in two components with ``matches`` collisions and sizes that
+    allow the similarity, as a table of truth values."""
+    rows, left, n, table = _sides(rows)
     label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
-    table = rows["signature"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
-    left = int((rows["side"].to_numpy() == 0).sum())
-    pairs = []
-    for i in range(left):
-        found = left + np.flatnonzero((label[left:] != label[i]) & (100 * np.minimum(n[left:], n[i]) >= percent * np.maximum(n[left:], n[i])))
-        found = found[(table[found] == table[i]).sum(axis=1) >= matches]
-        pairs += [(i, j) for j in found.tolist()]
-    busy = sorted({k for pair in pairs for k in pair})
-    sets = dict(zip(busy, shingle_sets([texts[k].as_py() for k in busy], words), strict=True))
+    a, b = n[:left, None], n[None, left:]
+    return (label[:left, None] != label[None, left:]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (collisions(table[:left], table[left:]) >= matches)
+
+
+def block_links(rows: pa.Table, words: int, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links of the rows of side 0 with those of side 1 that join two components; ``rows`` have their texts."""
+    pairs = block_candidates(rows, percent, matches)
+    if not pairs.any():
+        return []
+    rows, left, _, _ = _sides(rows)
+    nodes, label = rows["node"].to_pylist(), np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    sets = shingle_sets(rows["text"].to_pylist(), words)
+    one, two = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
+    common = common_counts([sets[i] for i in one], [sets[left + j] for j in two])
+    n = np.array([len(s) for s in sets])
+    union = n[one][:, None] + n[left + two][None, :] - common
     out = []
-    for i, j in pairs:
-        if label[i] == label[j]:
-            continue
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-            label[label == label[j]] = label[i]
-            out.append((nodes[i], nodes[j]))
+    for i, j in zip(*np.nonzero(pairs[np.ix_(one, two)] & (100 * common >= percent * union)), strict=True):
+        x, y = int(one[i]), left + int(two[j])
+        if label[x] != label[y]:
+            label[label == label[y]] = label[x]
+            out.append((nodes[x], nodes[y]))
     return out
 
 
 def neighbourhood_links(postings: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
-    """Links (a, b) between the components of lists that hold several."""
+    """Links (a, b) between the components of lists that hold several.
+
+    Blocks are met twice: first with signatures only, which tells the rows that collide with another
+    component ``matches`` times, then those rows alone with their texts."""
     rows = saved(labelled(postings, labels, "node", "component"), "members")
     counts = rows.groupBy("value", "component").agg(F.count("*").alias("n"))
     # the one pair of a list of two was its head's
     main = counts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("hood"), F.count("*").alias("parts"), F.sum("n").alias("length"))
     main = saved(main.where("parts > 1 AND length > 2").select("value", "hood"), "mixed")
     mixed = rows.join(main, "value").select("hood", "node", "component").distinct().join(classes.select("node", "n", "signature"), "node")
-    whole = saved(mixed.join(texts, "node"), "mixed-members")
+    whole = saved(mixed, "mixed-members")
     outside = F.col("component") != F.col("hood")
     parts = lambda count, shingles: F.ceil(F.greatest(F.lit(1), count / BLOCK, shingles / BLOCK_SHINGLES)).cast("long")
     sizes = whole.groupBy("hood").agg(
@@ -260,16 +317,25 @@ def neighbourhood_links(postings: DataFrame, labels: DataFrame, classes: DataFra
     mixed = whole.join(sizes, "hood")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    columns = ("hood", "node", "component", "n", "signature", "text")
+    by = ("hood", "outer", "block")
+    columns = ("hood", "node", "component", "n", "signature")
     left = mixed.where(outside).select(*columns, F.lit(0).alias("side"), spread("outer_blocks", 13).alias("outer"), every("blocks").alias("block"))
     right = mixed.select(*columns, F.lit(1).alias("side"), every("outer_blocks").alias("outer"), spread("blocks", 7).alias("block"))
 
+    def colliding(rows: pa.Table) -> pa.Table:
+        pairs = block_candidates(rows, percent, matches)
+        rows = _sides(rows)[0]
+        return rows.filter(pa.array(np.r_[pairs.any(axis=1), pairs.any(axis=0)])).select([*by, "node", "component", "n", "signature", "side"])
+
+    kinds = "hood long, outer long, block long, node long, component long, n long, signature array<long>, side int"
+    met = saved(left.unionByName(right).groupBy(*by).applyInArrow(colliding, kinds), "colliding")
+
     def run(rows: pa.Table) -> pa.Table:
         found = block_links(rows, words, percent, matches)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    links = saved(left.unionByName(right).groupBy("hood", "outer", "block").applyInArrow(run, "a long, b long"), "links")
-    forget(rows, main, whole, sizes)
+    links = saved(met.join(texts, "node").groupBy(*by).applyInArrow(run, "a long, b long"), "links")
+    forget(rows, main, whole, sizes, met)
     return links
 
 

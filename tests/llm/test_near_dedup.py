@@ -94,3 +94,26 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
+
+
+def test_counts_of_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(0, 6, (9, 12)) * 100 + np.arange(12), rng.integers(0, 6, (14, 12)) * 100 + np.arange(12)
+    assert (near_dedup.collisions(left, right) == (left[:, None] == right[None]).sum(axis=2)).all()
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(20)] + [np.array([10**12], np.uint64)]
+    for columns in (8192, 7):
+        got = near_dedup.common_counts(sets[:8], sets[8:], columns)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[8:]] for a in sets[:8]]
+    assert near_dedup.common_counts(sets[-1:], sets[:3]).sum() == 0
+
+
+def test_texts_alike_but_not_alike_enough(spark, monkeypatch):
+    """A shared frame of three quarters of the words: nearly every pair collides, none is linked but the copies."""
+    chance = random.Random(9)
+    frame = [f"f{i}" for i in range(90)]
+    rows = [(i, " ".join(frame + [f"o{chance.randrange(10**6)}" for _ in range(30)]), "en", "s") for i in range(250)]
+    rows += [(1000 + i, rows[i][1] + " end", "en", "s") for i in range(20)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    assert result(near_dedup.near_duplicates(table(spark, rows), words=2)) == brute(rows, 2)
