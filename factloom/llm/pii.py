@@ -28,6 +28,7 @@ along only if named.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -192,22 +193,62 @@ def disclosures(exposed: DataFrame, others: DataFrame, total: int, support: int
     return out
 
 
+def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """One evaluation of ``value``: it is the only element of an array."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _chunks(spans: Column) -> Column:
+    """An array in parts of ``CHUNK`` elements."""
+    last = F.floor((F.size(spans) - 1) / CHUNK).cast("int")
+    return F.when(F.size(spans) == 0, F.array(spans)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(spans, i * CHUNK + 1, F.lit(CHUNK))))
+
+
 def _outside(spans: Column, base: list[str]) -> Column:
-    """Spans that overlap no span of a pattern."""
-    taken = F.concat(*base)
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    """Spans that overlap no span of a pattern. Those are looked up in parts, by the part's bounds first."""
+    taken = F.array_sort(F.concat(*[F.transform(k, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in base]))
 
+    def bounded(part: Column) -> Column:
+        return F.struct(part[0]["start"].alias("start"), F.array_max(F.transform(part, lambda b: b["end"])).alias("end"), part.alias("spans"))
 
-def without(text: Column, spans: Column) -> Column:
-    """The text with each of the (overlapping) spans replaced by a blank."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    def free(parts: Column) -> Column:
+        meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+        return F.filter(spans, lambda s: ~F.exists(parts, lambda p: F.coalesce(meet(s, p), F.lit(False)) & F.exists(p["spans"], lambda b: meet(s, b))))
+
+    return _bind(_bind(taken, lambda t: F.transform(_chunks(t), bounded)), free)
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each span (start, end, label; sorted) replaced by its label; of overlapping spans the
+    first start gives the label.
+
+    A substring is found by walking from the start of its text. So the spans go in parts, and each part walks
+    its own piece of the text: the cost is the length times the root of the number of spans, or so."""
 
-    def step(state: Column, span: Column) -> Column:
-        piece = F.when(span["start"] >= state["at"], F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["parts"], piece).alias("parts"))
+    def part_of(state: Column, part: Column) -> Column:
+        until = F.greatest(state["at"], F.array_max(F.transform(part, lambda s: s["end"])))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(ordered, start, step, lambda s: F.array_join(F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), " "))
+        def within(piece: Column) -> Column:
+            def step(inner: Column, span: Column) -> Column:
+                fresh = span["start"] >= inner["at"]
+                more = F.array(F.substring(piece, inner["at"] - state["at"] + 1, span["start"] - inner["at"]), span["label"])
+                return F.struct(F.greatest(inner["at"], span["end"]).alias("at"), F.when(fresh, F.concat(inner["parts"], more)).otherwise(inner["parts"]).alias("parts"))
+
+            return F.aggregate(part, F.struct(state["at"].alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda s: F.array_join(s["parts"], ""))
+
+        done = _bind(F.substring(text, state["at"] + 1, until - state["at"]), within)
+        return F.struct(until.alias("at"), F.concat(state["parts"], F.array(done)).alias("parts"))
+
+    def whole(spans: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(_chunks(spans), start, part_of, lambda s: F.array_join(F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), ""))
+
+    return F.when(F.size(spans) > 0, _bind(spans, whole)).otherwise(text)
+
+
+def without(text: Column, spans: Column) -> Column:
+    """The text with each of the (overlapping) spans replaced by a blank."""
+    return replaced(text, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("label")))))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -261,16 +302,7 @@ def masked(text: Column) -> Column:
     def labelled(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(kind, s["value"]).alias("label")))
 
-    spans = F.array_sort(F.concat(*map(labelled, (*KINDS, "generalised", "removed"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        piece = F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]), span["label"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(fresh, F.concat(state["parts"], piece)).otherwise(state["parts"]).alias("parts"))
-
-    end = F.aggregate(spans, start, step, lambda s: F.array_join(F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), ""))
-    return F.when(F.size(spans) > 0, end).otherwise(text)
+    return replaced(text, F.array_sort(F.concat(*map(labelled, (*KINDS, "generalised", "removed")))))
 
 
 def span_digest(kinds: tuple[str, ...]) -> Column:
