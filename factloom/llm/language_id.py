@@ -8,7 +8,7 @@ labels spans. A document's language is the one with most letters in its spans.
 Training reads labelled rows only, each distinct text of a language once, at most about
 ``MAX_TRAINING_ROWS`` of them: each language has an equal share of that number, and beyond its share
 texts are kept by their hash. So small languages are learned whole, and a text that fills the corpus
-counts once. Of more than ``MAX_LANGUAGES`` labels those with most texts are learned. The model is a
+counts once. More than ``max_languages`` labels are refused, none is left out. The model is a
 table of ``BUCKETS`` rows for each language, so what is broadcast does not grow with the corpus.
 
 Cases: null texts and texts without letters are ``und`` with score 0 and have no spans; rows with a
@@ -31,6 +31,8 @@ from factloom.llm.common import map_texts
 
 #: Documented bounds of the training sample: texts, and languages.
 MAX_TRAINING_ROWS, MAX_LANGUAGES = 20_000, 100
+#: Values of the hash that chooses texts: far more than any corpus has texts.
+HASHES = 1 << 62
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 SWITCH_PENALTY = 12.0
@@ -153,17 +155,26 @@ def count_batches(batches):
 def training_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """(lang, text): distinct texts of each language up to its share of ``max_rows``, chosen by hash."""
     rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].cast("string").alias("text")).dropna()
-    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: pass max_languages, the model has {BUCKETS} rows for each")
     if not sizes:
         return rows
+    limits = hash_limits({r["lang"]: r["n"] for r in sizes}, max_rows)
+    known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(HASHES)) < F.try_element_at(known, "lang")).dropDuplicates(["lang", "text"])
+
+
+def hash_limits(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
+    """Texts of a language whose hash, of ``HASHES`` values, is below this are learned: its share of
+    ``max_rows``, or all."""
     share = max(1, max_rows // len(sizes))
-    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], (1 << 20) if r["n"] <= share else int((1 << 20) * share / r["n"]))])
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(limits, "lang"), F.lit(0))).dropDuplicates(["lang", "text"])
+    return {lang: HASHES if n <= share else HASHES * share // n for lang, n in sizes.items()}
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from rows with a text and a language; see the module for the bound ``max_rows``."""
-    rows = training_rows(labelled, text, lang, max_rows)
+    rows = training_rows(labelled, text, lang, max_rows, max_languages)
     sums = rows.mapInPandas(count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     table = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))

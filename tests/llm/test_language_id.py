@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from factloom.llm import language_id, queries
 from tests.llm.rows import table
@@ -68,14 +69,23 @@ def test_sample_bound(spark):
 
 
 def test_small_languages_and_hot_texts(spark):
-    """A language of few texts is learned whole, a text that fills the table counts once, rare labels beyond the bound go."""
+    """A language of few texts is learned whole, a text that fills the table counts once, more labels than the bound are refused."""
     rows = [(i, f"english text number {i} about nothing", "en", "s") for i in range(3000)] + [(9000 + i, "one hot text", "de", "s") for i in range(2000)]
     rows += [(5000 + i, t, "ru", "s") for i, t in enumerate(RUSSIAN)]
     got = [(r.lang, r.text) for r in language_id.training_rows(table(spark, rows), max_rows=300).collect()]
     count = {k: sum(lang == k for lang, _ in got) for k in ("en", "de", "ru")}
     assert count["ru"] == 2 and count["de"] == 1 and 50 < count["en"] < 160 and len(set(got)) == len(got)
-    most = language_id.training_rows(table(spark, rows), max_languages=2).select("lang").distinct().collect()
-    assert {r.lang for r in most} == {"en", "ru"}
+    with pytest.raises(ValueError, match="max_languages"):
+        language_id.training_rows(table(spark, rows), max_languages=2)
+
+
+def test_no_language_is_lost_by_its_size():
+    """Of ten thousand million texts some are learned, in about the share."""
+    limits = language_id.hash_limits({"en": 10**10, "de": 10**6, "fr": 3}, 20_000)
+    assert limits["fr"] == language_id.HASHES and all(0 < limits[x] < language_id.HASHES for x in ("en", "de"))
+    assert limits["en"] / language_id.HASHES * 10**10 == pytest.approx(6666, rel=1e-6)
+    bits = language_id.hash_limits({f"l{i}": 2 * 10**8 for i in range(100)}, 20_000)
+    assert all(v / language_id.HASHES * 2 * 10**8 == pytest.approx(200, rel=1e-6) for v in bits.values())
 
 
 def test_word_scores_and_scripts_equal_plain_python(spark):
