@@ -20,6 +20,7 @@ empty table.
 from __future__ import annotations
 
 import re
+from collections.abc import Container, Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def line_key(body: str) -> int:
     return xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _line_test(body: str, common: frozenset[int]) -> tuple[bool, bool]:
+def _line_test(body: str, common: Container[int]) -> tuple[bool, bool]:
     """Does a line pass the rules that look at it alone, and does it have to end like a sentence?"""
     n = len(body.encode("utf-8", "surrogatepass").split())
     if len(_SEPARATORS.findall(body)) >= MAX_SEPARATORS:
@@ -80,7 +81,7 @@ def _solid(text: str) -> int:
     return len(text) - sum(text.count(c) for c in _SPACE)
 
 
-def line_passes(line: str, last: bool = False, common: frozenset[int] = frozenset()) -> bool:
+def line_passes(line: str, last: bool = False, common: Container[int] = frozenset()) -> bool:
     """The rules for one line that holds a word; ``last``: no line with a word follows."""
     sound, must_end = _line_test(line.strip(_SPACE), common)
     return sound and (last or not must_end)
@@ -120,7 +121,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def judge(text: str, common: frozenset[int] = frozenset(), min_words: int = MIN_WORDS) -> tuple[int, int, int, int, int, bool, bool, str, int]:
+def judge(text: str, common: Container[int] = frozenset(), min_words: int = MIN_WORDS) -> tuple[int, int, int, int, int, bool, bool, str, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, the text
     without failed lines, and the number of lines removed."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -159,7 +160,24 @@ def short_lines(text: str) -> dict[int, int]:
     return out
 
 
-def common_lines(docs: DataFrame, text: str = "text") -> frozenset[int]:
+class Hashes(Set):
+    """A sorted array of 64-bit hashes as a set: eight bytes each, in the driver and in every worker."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.sort(values.astype(np.int64))
+
+    def __contains__(self, key: int) -> bool:
+        at = int(np.searchsorted(self.values, key))
+        return at < len(self.values) and int(self.values[at]) == key
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.values.tolist())
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+
+def common_lines(docs: DataFrame, text: str = "text") -> Hashes:
     """Hashes of the corpus's common lines; see the module for their bound."""
 
     def run(batches):
@@ -173,7 +191,7 @@ def common_lines(docs: DataFrame, text: str = "text") -> frozenset[int]:
     # a text has each line once, so its neighbours divide the texts of a line
     found = lines.groupBy("line", "beside").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("texts"), F.count("*").alias("places"))
     found = found.where((F.col("texts") >= COMMON_TEXTS) & (F.col("texts") >= COMMON_SHARE * n) & (2 * F.col("places") >= F.col("texts")))
-    return frozenset(r.line for r in found.select("line").collect())
+    return Hashes(found.select("line").toArrow()["line"].to_numpy())
 
 
 FIELDS = (
