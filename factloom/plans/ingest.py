@@ -386,6 +386,43 @@ def json_sessions(spark, sf):
     return out
 
 
+@add("edge_insert", """
+SELECT l_orderkey, count(*) AS n_edges, count(DISTINCT name) AS n_entities FROM (SELECT l_orderkey, unnest([l_linestatus, l_linestatus, l_returnflag]) AS name FROM lineitem) GROUP BY l_orderkey""")
+def edge_insert(spark, sf):
+    """Order lines as facts that name a status twice: edges are a multiset."""
+    names = F.array("l_linestatus", "l_linestatus", "l_returnflag")
+    facts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode_name"), F.col("l_orderkey").alias("fact_id"), F.lit("g").alias("group_id"), names.alias("entity_names"))
+    _, involves = sinks.edges_of_facts(facts)
+    return involves.groupBy(F.col("in_id").alias("l_orderkey")).agg(F.count("*").alias("n_edges"), F.count_distinct("out_id").alias("n_entities"))
+
+
+@add("json_queries", """
+SELECT 'q' || doc_id AS id, lang || ' ' || source AS query, 1 + doc_id % 3 AS n_sessions, doc_id % 3 > 0 AS is_cross_session FROM documents""")
+def json_queries(spark, sf):
+    """Evaluation queries as JSON documents, half as an object with a list, half bare under another id, read back."""
+    from factloom.shared import scratch_dir
+    from factloom.sources.documents import read_queries
+
+    folder, i = f"{scratch_dir(spark)}/factloom/json-{uuid.uuid4().hex}", F.col("doc_id")
+    some = F.sequence(F.lit(1), (1 + i % 3).cast("int")).alias("relevant_sessions")
+    q = table(spark, sf, "documents").select(i, (i % 64).alias("part"), F.concat(F.lit("q"), i.cast("string")).alias("id"), F.concat_ws(" ", "lang", "source").alias("query"), some)
+    nested = q.where("doc_id % 2 = 0").groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "query", "relevant_sessions")).alias("queries"))).alias("doc"))
+    bare = q.where("doc_id % 2 = 1").groupBy("part").agg(F.to_json(F.collect_list(F.struct(F.col("id").alias("query_id"), "query", "relevant_sessions"))).alias("doc"))
+    # one document a file; parts are even or odd, as the ids are
+    for docs in (nested, bare):
+        docs.write.mode("append").partitionBy("part").text(folder)
+    rows = read_queries(spark, folder)
+    return rows.select("id", "query", F.size("relevant_sessions").cast("long").alias("n_sessions"), "is_cross_session")
+
+
+@add("sample_texts", "SELECT left(text, 500) AS text FROM conversations ORDER BY conv_id, turn LIMIT 100")
+def sample_texts(spark, sf):
+    """The reference's sample for a benchmark of embedders: the first hundred turns, cut."""
+    from factloom.sources.documents import sample_texts as sample
+
+    return sample(turns(spark, sf))
+
+
 @add("usage_log", """
 SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(max(epoch_us(ts) // 1000000) AS BIGINT) AS last FROM events GROUP BY event_type""")
 def usage_log(spark, sf):

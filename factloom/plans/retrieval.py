@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import DIRECT, FAIR, NO_RERANK
-from factloom.functions.text import classify_query, entity_candidates, first_entity
+from factloom.functions.text import classify_query, entity_candidates, first_entity, is_sufficient, missing_hint, tokens
 from factloom.operators import agent, fusion, history, search, vector_index
 from factloom.operators.windows import utc
 from factloom.plans.registry import Registry, table
@@ -378,3 +378,47 @@ def classify(spark, sf):
 SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: regexp_matches(w, '^\p{Lu}') AND length(w) > 2), ' ') AS entities FROM conversations""")
 def candidates(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(entity_candidates(F.col("text")), " ").alias("entities"))
+
+
+CLASSED = add.sql["classify_query"].split("SELECT conv_id, turn, CASE")[1].split(" AS query_type")[0]
+
+
+@add("query_plan", f"""
+WITH t AS (SELECT doc_id, ['Kapan ', 'Kenapa ', 'Berapa kali ', 'Beda ', 'Siapa '][1 + doc_id % 5] || coalesce(lang, '') || ' Budi_' || doc_id || ' di Bandung' AS text FROM documents), l AS (SELECT *, lower(text) AS low FROM t),
+k AS (SELECT doc_id, text, CASE{CLASSED} AS query_type FROM l)
+SELECT doc_id, query_type, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}') AND length(w) > 2), ' ') AS entities, query_type IN ('causal', 'comparison') AS multi_hop FROM k""")
+def query_plan(spark, sf):
+    """Class, entities and hops of a question about each document."""
+    heads = F.array(*[F.lit(w) for w in ("Kapan ", "Kenapa ", "Berapa kali ", "Beda ", "Siapa ")])
+    head = F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.concat(head, F.coalesce("lang", F.lit("")), F.lit(" Budi_"), F.col("doc_id").cast("string"), F.lit(" di Bandung"))
+    plan = agent.plan_queries(table(spark, sf, "documents").select("doc_id", text.alias("text")))
+    return plan.select("doc_id", "query_type", F.array_join("entities", " ").alias("entities"), "multi_hop")
+
+
+@add("sufficiency_reply", """
+WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'CUKUP: YA' WHEN 1 THEN 'cukup: tidak' || chr(10) || 'INFO_KURANG: topic ' || conv_id || chr(10) || 'more' ELSE role END AS reply FROM conversations)
+SELECT conv_id, turn, turn % 3 = 0 AS enough, CASE WHEN turn % 3 = 1 THEN 'topic ' || conv_id ELSE '' END AS missing FROM r""")
+def sufficiency_reply(spark, sf):
+    """What a model says about the facts found: enough, or what is missing."""
+    kind = F.col("turn") % 3
+    lacking = F.concat(F.lit("cukup: tidak\nINFO_KURANG: topic "), F.col("conv_id").cast("string"), F.lit("\nmore"))
+    reply = F.when(kind == 0, "CUKUP: YA").when(kind == 1, lacking).otherwise(F.col("role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", is_sufficient(reply).alias("enough"), F.coalesce(missing_hint(reply), F.lit("")).alias("missing"))
+
+
+@add("turn_retrieval", """
+WITH q AS (SELECT conv_id, turn, role, text, {words} AS w FROM conversations),
+k AS (SELECT a.conv_id, a.turn, a.role, b.turn AS seen, coalesce(len(list_intersect(b.w, a.w))::DOUBLE / nullif(len(a.w), 0), 0.0) AS score FROM q a JOIN q b ON a.conv_id = b.conv_id AND b.turn < a.turn)
+SELECT conv_id AS session_id, turn, role AS speaker, seen, round(score, 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, seen DESC) AS ord FROM k) WHERE ord <= 4""".replace("{words}", "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))"))
+def turn_retrieval(spark, sf):
+    """Each turn as a query of the loop over the turns before it, with its place in both results."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), F.lit("2024-01-01").alias("date"), "text")
+    stored = c.select("session_id", "turn", tokens(F.col("text")).alias("words"))
+
+    def look(open_):
+        hits = history.history_search(stored, open_.select("session_id", F.col("turn").alias("asked"), tokens(F.col("text")).alias("words")), 4)
+        return hits.select(F.concat_ws("/", "session_id", "asked").alias("qid"), F.col("turn").alias("fact_id"), "score", "rank")
+
+    found, _ = agent.retrieve_for_turns(c, look, threshold=0.0, min_facts=1, max_facts=4)
+    return found.select("session_id", "turn", "speaker", F.col("fact_id").alias("seen"), F.round("score", 6).alias("score"), F.col("ord").cast("long").alias("ord"))
