@@ -30,7 +30,7 @@ looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import forget, saved
 
-PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
-#: Rows handed on at once.
-BATCH = 256
+PIECE_ROWS, PIECE_BYTES = 512, 1 << 20
+#: Rows handed on at once, and letters of text at most (or one row).
+BATCH, BATCH_LETTERS = 256, 8 << 20
 
 _BLANKS = " \t\n\x0b\x0c\r"
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
@@ -105,21 +105,23 @@ def trie_walk(signatures: Iterator[str]) -> Iterator[tuple[str, list[Layer]]]:
         yield signature, path[-1]
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema, letters: Callable[[tuple], int] = lambda _: 0) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) == BATCH:
+        size += letters(row)
+        if len(held) == BATCH or size > BATCH_LETTERS:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], step: int = BATCH) -> Iterator[tuple]:
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, BATCH).columns), strict=True)
+        for at in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def _pieces(rows: DataFrame, conv: str) -> DataFrame:
 
         def made(all_batches):
             now, size, seq, key, started = [], 0, 0, None, False
-            for row in _rows(all_batches):
+            for row in _rows(all_batches, 16):
                 if started and (row[0] != key or len(now) >= PIECE_ROWS or size >= PIECE_BYTES):
                     yield piece(key, seq, now)
                     now, size, seq = [], 0, seq + 1
@@ -172,7 +174,7 @@ def _pieces(rows: DataFrame, conv: str) -> DataFrame:
         batches = iter(batches)
         for batch in batches:
             first_schema = pa.schema([batch.schema.field(0), *(pa.field(n, form(t)) for n, t in zip(names, types, strict=True))])
-            yield from _batches(made(_chain(batch, batches)), first_schema)
+            yield from _batches(made(_chain(batch, batches)), first_schema, lambda row: sum(map(len, row[5])))
 
     schema = f"{conv} {rows.schema[conv].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
     return rows.mapInArrow(run, schema)
@@ -202,11 +204,11 @@ def _report(pieces: DataFrame, conv: str) -> DataFrame:
     names = ["part", "seq", "state", "part_edits", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
     types = ["long", "long", "long", "string", "long", "long", "long", "long", "long", "long", "string"]
 
-    def whole(key, now):
-        layer: Layer = inserted(((0, ""), None, None, None))
-        for r in now:
-            flat = [(c, a) if c is not None else None for c, a in zip(r[3], r[4], strict=True)]
-            layer = _joined(layer, [tuple(flat[4 * e : 4 * e + 4]) for e in range(4)])
+    def after(layer, r):
+        flat = [(c, a) if c is not None else None for c, a in zip(r[3], r[4], strict=True)]
+        return _joined(layer, [tuple(flat[4 * e : 4 * e + 4]) for e in range(4)])
+
+    def whole(key, now, layer):
         cost, audit = min(x for x in (layer[NOTHING], layer[ASSISTANT]) if x)
         totals = [sum(r[i] for r in now) for i in (6, 7, 8)]
         illegal = sum(r[9] for r in now) + sum(x[11] + y[10] not in ("su", "ua", "au") for x, y in zip(now, now[1:], strict=False))
@@ -232,15 +234,17 @@ def _report(pieces: DataFrame, conv: str) -> DataFrame:
 
     def run(batches):
         def made(all_batches):
-            now, key = [], None
+            start: Layer = inserted(((0, ""), None, None, None))
+            now, key, layer = [], None, start
             for row in _rows(all_batches):
                 if now and row[0] != key:
-                    yield from whole(key, now)
-                    now = []
-                key = row[0]
-                now.append(row)
+                    yield from whole(key, now, layer)
+                    now, layer = [], start
+                key, layer = row[0], after(layer, row)
+                # what stays of a piece is its signature and counts, not its layers
+                now.append((*row[:3], None, None, *row[5:]))
             if now:
-                yield from whole(key, now)
+                yield from whole(key, now, layer)
 
         batches = iter(batches)
         for batch in batches:
@@ -275,8 +279,8 @@ def _hashed(pieces: DataFrame, conv: str) -> DataFrame:
 
     def apply(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
                 columns = [part.column(i).to_pylist() for i in (3, 4, 5, 6)]
                 lines = [[f"{r}:{t}" for r, t in repaired_rows(*row)] for row in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(["\n".join(x) if x else None for x in lines], pa.string())], names=[*part.schema.names[:3], "body"])
@@ -284,7 +288,7 @@ def _hashed(pieces: DataFrame, conv: str) -> DataFrame:
     def digest(batches):
         def made(all_batches):
             key, started, state, any_ = None, False, hashlib.sha256(), False
-            for row in _rows(all_batches):
+            for row in _rows(all_batches, 8):
                 if started and row[0] != key:
                     yield key, state.hexdigest()
                     state, any_ = hashlib.sha256(), False

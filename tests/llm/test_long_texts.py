@@ -69,6 +69,6 @@ def test_searches_and_repairs_take_long_texts(spark):
     turns = [(1, i, ("user", "assistant")[i % 2], t) for i, (_, t, *_) in enumerate(LONG)] + [(2, 0, "user", LONG[2][1] + ".")]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in conversation_repair.repair_conversations(rows, rows).collect()}
-    assert got[1].truncated == 5 and got[1].audit == "KKKKKKKI" and got[2].audit == "KI"
+    assert got[1].truncated == 6 and got[1].audit == "KKKKKKKI" and got[2].audit == "KI"
     lines = [f"{r}:{t}" for _, _, r, t in turns[:-1]] + ["assistant:"]
     assert got[1].repaired_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest()
