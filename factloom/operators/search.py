@@ -8,6 +8,7 @@ moved is a few rows for each query and slice, not the scores of all facts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,10 @@ def rerank_scores(candidates: DataFrame, replies: DataFrame, batch: int = 10) ->
     return found.withColumn("rerank_score", score).drop("scores", "failed", "batch", "__place", "__alone")
 
 
+#: Sizes of the grams that names are joined by.
+GRAMS = (12, 6, 3, 2)
+
+
 def _grams(text: Column, size: int) -> Column:
     """Distinct character n-grams of a text; shorter texts have none."""
     starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
@@ -154,16 +159,16 @@ def _grams(text: Column, size: int) -> Column:
 def resolve_entities(queries: DataFrame, entities: DataFrame, text: str = "text", limit: int = 25) -> DataFrame:
     """Entities whose name, of two characters or more, is part of the query: (qid, entity_id, name).
 
-    Joined by a key: each name goes under its rarest 3-gram of those that the queries hold (names of
-    two characters under themselves), a name with a 3-gram that no query holds cannot match, and the
-    name is then looked for in the queries under its gram. At most ``limit`` names of a query stay, in
-    order of name.
+    Joined by a key: each name goes under the rarest of its grams that the queries hold, of the longest
+    size in ``GRAMS`` that fits it, so that names which begin alike still differ in their key; a name with
+    a gram that no query holds cannot match, and the name is then looked for in the queries under its
+    gram. At most ``limit`` names of a query stay, in order of name.
     """
     asked = queries.select("qid", F.lower(text).alias("__low"))
     named = entities.where(F.length("name") >= 2).select("entity_id", "name", F.lower("name").alias("__name"))
-    grams = asked.select("qid", "__low", F.explode(F.concat(_grams(F.col("__low"), 3), _grams(F.col("__low"), 2))).alias("gram"))
+    grams = asked.select("qid", "__low", F.explode(F.concat(*[_grams(F.col("__low"), n) for n in GRAMS])).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    own = F.when(F.length("__name") > 2, _grams(F.col("__name"), 3)).otherwise(F.array("__name"))
+    own = reduce(lambda rest, n: F.when(F.length("__name") >= n, _grams(F.col("__name"), n)).otherwise(rest), sorted(GRAMS), F.array("__name"))
     names = named.select("__name").distinct().select("__name", F.size(own).alias("size"), F.explode(own).alias("gram"))
     keyed = names.join(often, "gram").groupBy("__name").agg(F.first("size").alias("size"), F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest"))
     keyed = keyed.where("found = size").select("__name", F.col("rarest.gram").alias("gram"))

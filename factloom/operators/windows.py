@@ -49,9 +49,10 @@ def running_cap(rows: DataFrame, by: str, order: list[Column | str], cap: int) -
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("ord") <= cap)
 
 
-def cumulative_text(rows: DataFrame, by: str, order: str, text: str, separator: str = "\n") -> DataFrame:
-    """Adds cumulative: the texts of the group up to each row, in order."""
-    window = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def cumulative_text(rows: DataFrame, by: str, order: str, text: str, separator: str = "\n", last: int | None = None) -> DataFrame:
+    """Adds cumulative: the texts of the group up to each row, in order. All of them are as much text as the
+    square of the group; with ``last`` only that many are joined, and the result grows with the rows."""
+    window = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding if last is None else 1 - last, 0)
     return rows.withColumn("cumulative", F.array_join(F.collect_list(text).over(window), separator))
 
 

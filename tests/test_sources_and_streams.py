@@ -133,6 +133,19 @@ def test_entities_by_grams_equal_substrings(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_names_that_begin_alike_have_keys_of_their_own(spark):
+    """No key of the join holds more than a few of the names, although all share most of their grams."""
+    entities = spark.range(3000).select(F.col("id").cast("string").alias("entity_id"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
+    queries = spark.range(300).select(F.col("id").alias("qid"), F.concat(F.lit("ask customer#"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit(" now")).alias("text"))
+    assert {(r.qid, r.entity_id) for r in search.resolve_entities(queries, entities).collect()} == {(i, str(i)) for i in range(300)}
+
+
+def test_cumulative_text_of_the_last(spark):
+    rows = spark.createDataFrame([(1, i, str(i)) for i in range(5)], "k int, n int, t string")
+    got = [r.cumulative for r in windows.cumulative_text(rows, "k", "n", "t", ",", last=2).orderBy("n").collect()]
+    assert got == ["0", "0,1", "1,2", "2,3", "3,4"]
+
+
 def test_ancestry_of_long_chains_and_cycles(spark):
     chain = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(1000)]
     loops = [("x", ["y"]), ("y", ["x"]), ("z", ["z", "x"]), ("d", ["b", "e"]), ("b", ["a", "a"]), ("e", ["b"]), ("n", None), ("m", [None, "missing"])]
