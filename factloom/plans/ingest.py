@@ -281,8 +281,8 @@ def enough_turns(spark, sf):
     return generation.enough_turns(scripts.select("conv_id", tx.dialogue_turns(F.col("script")).alias("turns")), 6).select("conv_id", F.size("turns").cast("long").alias("n"))
 
 
-@add("opening_turns", "SELECT conv_id AS session_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters, max(turn) AS last FROM conversations WHERE turn < 10 GROUP BY conv_id")
-def opening_turns(spark, sf):
+@add("session_opening", "SELECT conv_id AS session_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters, max(turn) AS last FROM conversations WHERE turn < 10 GROUP BY conv_id")
+def session_opening(spark, sf):
     """What a summary hook is shown of each session: the first ten turns are the feature."""
     from factloom.operators import generation
 
@@ -293,9 +293,10 @@ def opening_turns(spark, sf):
 WITH s AS (SELECT conv_id, turn, trim(x) AS fact FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n+')) AS x FROM conversations)),
 f AS (SELECT DISTINCT conv_id, turn, fact FROM s WHERE fact <> ''),
 p AS (SELECT conv_id, count(*) AS n_passages FROM conversations GROUP BY 1)
-SELECT p.conv_id AS session_id, n_passages, count(fact) AS n_facts, count(fact) AS n_edges, count(DISTINCT substr(fact, 1, 1)) AS n_entities FROM p LEFT JOIN f USING (conv_id) GROUP BY ALL""")
+SELECT p.conv_id AS session_id, n_passages, count(fact) AS n_facts, count(fact) AS n_edges, count(DISTINCT regexp_replace(substr(fact, 1, 1), '[^a-zA-Z0-9_]', '_')) AS n_entities FROM p LEFT JOIN f USING (conv_id) GROUP BY ALL""")
 def stream_graph(spark, sf):
-    """Turns as a stream into all tables at once, a batch at a time; then read as one graph."""
+    """Turns as a stream into all tables at once, a batch at a time; then read as one graph. Letters that are
+    the same in an entity's key are one entity."""
     from factloom.shared import scratch_dir
     from factloom.streaming import commits
 

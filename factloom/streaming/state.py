@@ -19,8 +19,8 @@ from factloom.functions.text import tokens
 from factloom.operators.history import History
 
 MINUTE = 60_000_000
-#: Minutes of a cell: a busy model's calls are cut by time, as in the batch form.
-CELL_MINUTES = 16
+#: Minutes of a cell: a model's calls are cut by time, as in the batch form, so that old state goes with its cell.
+CELL_MINUTES = 1440
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -51,8 +51,9 @@ def waits(at: np.ndarray, amount: np.ndarray, rpm: int, tpm: int) -> tuple[np.nd
 
 
 class Budget(StatefulProcessor):
-    """Calls of one model and cell of time. A timer at the end of each minute tells its calls; calls of the
-    last minute stay as the look-back of the next."""
+    """Calls of one model and cell of time. One timer waits, for the end of the first minute that is not told;
+    it tells all minutes that the watermark has passed. Calls of the last minute stay as the look-back of the
+    next, until the watermark is a minute ahead of them."""
 
     def __init__(self, id_col: str, id_type: T.DataType, rpm: int, tpm: int) -> None:
         self.id_col, self.id_type, self.rpm, self.tpm = id_col, id_type, rpm, tpm
@@ -60,27 +61,38 @@ class Budget(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.calls = handle.getListState("calls", T.StructType([T.StructField("at", T.LongType()), T.StructField("id", self.id_type), T.StructField("amount", T.LongType()), T.StructField("own", T.BooleanType())]))
+        self.next = handle.getValueState("next", "minute long")
+
+    def _wait_for(self, minute: int) -> None:
+        """A timer for the end of a minute, unless one waits for an earlier one."""
+        if not self.next.exists() or minute < self.next.get()[0]:
+            self.next.update((minute,))
+            self.handle.registerTimer((minute + 1) * 60_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             self.calls.appendList(list(zip(frame["at"].tolist(), frame["id"].tolist(), frame["amount"].tolist(), frame["own"].tolist(), strict=True)))
-            # look-back calls have no minute here; theirs is to make room again
-            minutes = np.where(frame["own"], frame["at"] // MINUTE, frame["cell"] * CELL_MINUTES)
-            for minute in np.unique(minutes).tolist():
-                self.handle.registerTimer((int(minute) + 1) * 60_000)
+            # a look-back call has no minute here; it waits for the first one of the cell
+            self._wait_for(int(np.where(frame["own"], frame["at"] // MINUTE, frame["cell"] * CELL_MINUTES).min()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        calls = sorted(self.calls.get(), key=lambda c: c[0])
-        left = [c for c in calls if c[0] >= end - MINUTE]
+        if not self.next.exists() or (self.next.get()[0] + 1) * 60_000 > expiredTimerInfo.getExpiryTimeInMs():
+            return
+        told, due = self.next.get()[0] * MINUTE, timerValues.getCurrentWatermarkInMs() // 60_000 * MINUTE
+        calls = sorted(self.calls.get(), key=lambda c: c[0]) if self.calls.exists() else []
+        left = [c for c in calls if c[0] >= due - MINUTE]
         self.calls.put(left) if left else self.calls.clear()
+        self.next.clear()
+        pending = [c[0] // MINUTE for c in left if c[3] and c[0] >= due]
+        if left:
+            self._wait_for(min(pending) if pending else (left[-1][0] + MINUTE) // MINUTE)
         at, amount = (np.array([c[i] for c in calls], np.int64) for i in (0, 2))
         requests, used, wait = waits(at, amount, self.rpm, self.tpm)
-        told = [i for i, c in enumerate(calls) if c[3] and end - MINUTE <= c[0] < end]
-        if told:
+        rows = [i for i, c in enumerate(calls) if c[3] and told <= c[0] < due]
+        if rows:
             allowed = (requests <= self.rpm) & (used <= self.tpm)
-            yield pd.DataFrame({self.id_col: [calls[i][1] for i in told], "requests_60s": requests[told], "tokens_60s": used[told], "allowed": allowed[told], "wait_seconds": wait[told]})
+            yield pd.DataFrame({self.id_col: [calls[i][1] for i in rows], "requests_60s": requests[rows], "tokens_60s": used[rows], "allowed": allowed[rows], "wait_seconds": wait[rows]})
 
 
 def budget_stream(stream: DataFrame, key: str, ts: str, id_col: str, amount: str, rpm: int, tpm: int, late: str) -> DataFrame:
