@@ -7,8 +7,9 @@ by one to the least-loaded shard, found through a heap. A unit is a group of at
 shards have nearly equal bytes, as far as the largest groups allow.
 
 Slots are numbered within a shard without gaps: the driver gives each unit a base, and rows are
-numbered within their unit; a large group is numbered in parts of about a 1/``UNITS`` of the bytes,
-so no task gets a hot group whole.
+numbered within their unit; a large group is numbered in parts of about a 1/``UNITS`` of the bytes, by
+the hash of the id, or of the row where rows of one id (or of none) are that many themselves. So no task
+gets a hot group whole, and only rows that are equal anyway depend on where they were read.
 
 Cases: a null text counts as empty; a null id is a valid id; equal rows are numbered in any order,
 which gives the same rows; an empty table gives an empty table; other columns are not looked at.
@@ -39,13 +40,30 @@ def schedule(units: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return placed
 
 
+def in_parts(rows: DataFrame, named: DataFrame, group: list[str], least: int, units: int) -> DataFrame:
+    """Rows (__id, ``group``, row) with their unit and part. ``named``: the large groups, with unit and parts."""
+    # at most `units` ids have `least` bytes in one group
+    heavy = rows.join(F.broadcast(named.where("parts > 1")), group).groupBy(*group, "__id").agg(F.sum("size").alias("bytes")).where(F.col("bytes") >= least)
+    heavy = heavy.select(*[F.col(c).alias(f"h_{c}") for c in group], F.col("__id").alias("h_id"))
+    same = F.col("__id").eqNullSafe(F.col("h_id"))
+    for c in group:
+        same = same & (F.col(c) == F.col(f"h_{c}"))
+    rows = rows.join(F.broadcast(named), group, "left").join(F.broadcast(heavy), same, "left")
+    spread = F.when(F.col("h_hash").isNotNull(), F.xxhash64("row")).otherwise(F.xxhash64("__id"))
+    return rows.select(
+        "__id", *group,
+        F.coalesce("unit", F.pmod("hash", F.lit(units)).cast("int")).alias("unit"),
+        F.when(F.col("parts") > 1, F.pmod(spread, "parts").cast("int")).otherwise(0).alias("part"),
+    )
+
+
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, units: int = UNITS) -> DataFrame:
     """One row for each document: id, size (bytes of the text plus 1), text_crc32, law, shard, slot
     and grown_shard (null under this law)."""
     spark = docs.sparkSession
     body = text_of(docs, text)
     rows = saved(
-        docs.select(docs[id_col].alias("__id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("hash")),
+        docs.select(docs[id_col].alias("__id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("hash")).withColumn("row", F.monotonically_increasing_id()),
         "shard-rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -55,11 +73,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     large = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") >= unit).orderBy(F.desc("bytes"), *group).collect()
     large = [(r["hash"], r["text_crc32"], r["size"], units + i, math.ceil(r["bytes"] / unit)) for i, r in enumerate(large)]
     named = spark.createDataFrame(large, "hash long, text_crc32 long, size long, unit int, parts int")
-    rows = rows.join(F.broadcast(named), group, "left").select(
-        "__id", *group,
-        F.coalesce("unit", F.pmod("hash", F.lit(units)).cast("int")).alias("unit"),
-        F.when(F.col("parts") > 1, F.pmod(F.xxhash64("__id"), "parts").cast("int")).otherwise(0).alias("part"),
-    )
+    rows = in_parts(rows, named, group, unit, units)
     # at most 2 * units units and 4 * units parts
     sums = rows.groupBy("unit", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     load: dict[int, int] = {}

@@ -57,6 +57,19 @@ def test_hot_group_is_numbered_in_parts(spark):
     assert sum(x > 0 for x in load) > 1
 
 
+def test_a_hot_group_without_ids_is_numbered_in_parts(spark, monkeypatch):
+    """Rows that share text and id, or have none, are split by where they are, not left to one task."""
+    seen = []
+    plain = sharding.in_parts
+    monkeypatch.setattr(sharding, "in_parts", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rows = [(None, "hot " * 50, "en", "s")] * 500 + [(7, "hot " * 50, "en", "s")] * 300 + [(1000 + i, f"cold {i}", "en", "s") for i in range(100)]
+    got = sharding.assign_shards(table(spark, rows).repartition(3), units=64).collect()
+    check(got, {i: t for i, t, *_ in rows})
+    assert len(got) == 900 and len({r.shard for r in got if r["size"] == 201}) == 1
+    sizes = [r["count"] for r in seen[0].where("size = 201").groupBy("unit", "part").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) < 60
+
+
 def test_empty_table(spark):
     assert sharding.assign_shards(table(spark, [])).count() == 0
 
