@@ -24,11 +24,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 FEW = 4096
 #: Rows of a block and of a slice: 100 MB each with 768 doubles.
 CELL = 16384
-#: Scores held at once by a task: 32 MB, and as much again to find the best.
-SCORES = 4 << 20
+#: Scores held at once by a task: 4 MB, and as much again to find the best.
+SCORES = 1 << 19
+#: Facts whose vectors are held as doubles at once: 12 MB with 768 of them.
+PART = 2048
 
-#: What counts as equal among scores that were rounded apart.
-EQUAL = 1e-11
+#: What counts as equal among scores that were rounded apart, and what rounding may move two scores by.
+EQUAL, MOVED = 1e-11, 1e-12
 
 Units = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -51,8 +53,11 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> Units:
         block = values.reshape(-1, size) if len(places) * size == len(values) else values[starts[places][:, None] + np.arange(size)]
         lengths = np.linalg.norm(block, axis=1)
         good = lengths > 0
-        if good.any():
-            out[size] = places[good], block[good] / lengths[good][:, None]
+        if not good.all():
+            places, block, lengths = places[good], block[good], lengths[good]
+        if len(places):
+            block /= lengths[:, None]
+            out[size] = places, block
     return out
 
 
@@ -65,15 +70,16 @@ class Kernel:
         self.qids = whole(asked["qid"])
 
     def scored(self, facts: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of queries, places of facts and their scores, a part at a time; with ``others`` a query
-        has no score with the fact of its own id."""
-        for size, (places, block) in unit_rows(facts[self.vector]).items():
+        """Places of queries, places of facts and their scores, not yet rounded, a part at a time; with
+        ``others`` a query has no score with the fact of its own id."""
+        parts = ((at, rows) for at in range(0, facts.num_rows, PART) for rows in unit_rows(facts[self.vector].slice(at, PART)).items())
+        for start, (size, (places, block)) in parts:
             if size not in self.units:
                 continue
             asking, unit = self.units[size]
             step = max(1, self.most // len(asking))
             for i in range(0, len(block), step):
-                scores, at = np.round(unit @ block[i : i + step].T, 12), places[i : i + step]
+                scores, at = unit @ block[i : i + step].T, start + places[i : i + step]
                 if self.others:
                     own = whole(pc.index_in(self.qids.take(pa.array(asking)), value_set=whole(facts[self.key]).take(pa.array(at)))).to_numpy(zero_copy_only=False)
                     q = np.flatnonzero(~np.isnan(own.astype(float)))
@@ -95,23 +101,31 @@ class Best(Kernel):
         self.k, self.order = k, [("q", "ascending"), ("score", "descending"), ("key", "descending" if later_first else "ascending")]
         self.held: list[pa.Table] = []
         self.n = 0
+        #: Of each query, a score that k facts are known to reach.
+        self.bar = np.full(len(self.asked), -np.inf)
 
     def feed(self, facts: pa.Table) -> None:
         keys = whole(facts[self.key])
         for asking, at, scores in self.scored(facts):
-            n = min(self.k, scores.shape[1])
-            # all rows that tie with the k-th stay, ties are settled by key
-            bar = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-            q, f = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
-            self.held.append(pa.table({"q": asking[q], "key": keys.take(pa.array(at[f])), "score": scores[q, f]}))
+            n = scores.shape[1]
+            bar = self.bar[asking]
+            many = np.flatnonzero((scores >= bar[:, None] - MOVED).sum(axis=1) > self.k)
+            if len(many):
+                bar[many] = np.maximum(bar[many], np.partition(scores[many], n - self.k, axis=1)[:, n - self.k])
+                self.bar[asking] = bar
+            # all rows that tie with the k-th once rounded stay, ties are settled by key
+            q, f = np.nonzero((scores >= bar[:, None] - MOVED) & (scores > -np.inf))
+            self.held.append(pa.table({"q": asking[q], "key": keys.take(pa.array(at[f])), "score": np.round(scores[q, f], 12)}))
             self.n += len(q)
-        if self.n > 4 * self.k * len(self.asked) + 1000:
-            self._cut()
+            if self.n > 4 * self.k * len(self.asked) + 1000:
+                self._cut()
 
     def _cut(self) -> None:
         rows = pa.concat_tables(self.held).sort_by(self.order)
         q = rows["q"].to_numpy()
         rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.bar[q[last]] = rows["score"].to_numpy()[last]
         self.held = [rows.filter(pa.array(rank < self.k))]
         self.n = len(self.held[0])
 
@@ -136,6 +150,7 @@ class Above(Kernel):
     def feed(self, facts: pa.Table) -> None:
         keys = whole(facts[self.key])
         for asking, at, scores in self.scored(facts):
+            scores = np.round(scores, 12)
             marks = self.marks[asking][:, None]
             self.above[asking] += (scores > marks + EQUAL).sum(axis=1)
             q, f = np.nonzero(np.abs(scores - marks) <= EQUAL)

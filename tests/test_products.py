@@ -86,3 +86,21 @@ def test_empty_sides(spark, vectors, asked):
         assert search.top_k_blocks(vectors.limit(0), asked, 3, "fact_id", **way).isEmpty()
         assert search.top_k_blocks(vectors, asked.limit(0), 3, "fact_id", **way).isEmpty()
     assert products.unit_rows(asked.where("qid >= 2000 AND qid <> 2002").toArrow()["embedding"]) == {}
+
+
+def test_a_cell_holds_few_scores_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    asked, facts = (pa.table({c: np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 8)), 8).cast(pa.list_(pa.float64()))}) for c, n in (("qid", 3000), ("fact_id", 9000)))
+    tracemalloc.start()
+    made = products.Best(asked, "fact_id", "embedding", products.SCORES, False, k=5)
+    made.feed(facts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    q, f = (np.stack(t["embedding"].to_numpy()) for t in (asked.slice(0, 50), facts))
+    want = np.argsort(-np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (f / np.linalg.norm(f, axis=1)[:, None]).T, 12), axis=1, kind="stable")[:, :5]
+    assert np.array_equal(made.result()["fact_id"].to_numpy()[:250].reshape(50, 5), want)
