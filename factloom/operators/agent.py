@@ -96,6 +96,8 @@ def retrieve(
             hits = hits.unionByName(leg(found(refined), i, 1))
         merged = _merge(state if state is not None else hits.limit(0), hits, max_facts)
         if expand is not None:
+            # read twice below
+            merged = save(merged.select(*columns))
             more = leg(expand(merged), i, 2)
             merged = _merge(merged.select(*columns), more.join(open_.select("qid"), "qid", "left_semi"), max_facts)
         state = save(merged.select(*columns))

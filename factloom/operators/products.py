@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from factloom.shared import saved
+
 #: Queries that go to the tasks whole: 4096 vectors of 768 floats are 12 MB.
 FEW = 4096
 #: Rows of a block and of a slice: 100 MB each with 768 doubles.
 CELL = 16384
+#: The same where queries meet only the facts of their own groups.
+LINKED_CELL = 4096
 #: Scores held at once by a task: 4 MB, and as much again to find the best.
 SCORES = 1 << 19
 #: Facts whose vectors are held as doubles at once: 12 MB with 768 of them.
@@ -208,5 +212,47 @@ def product(
     return left.groupBy("__slice", "__block").cogroup(right.groupBy("__slice", "__block")).applyInArrow(run_cell, schema)
 
 
+def linked_product(
+    facts: DataFrame,
+    queries: DataFrame,
+    key: str,
+    vector: str,
+    group: str,
+    kernel: Callable[[pa.Table], Kernel],
+    schema: T.StructType,
+    cell: int,
+) -> DataFrame:
+    """Results of a kernel over the queries and facts of each group. ``facts`` (``group``, ``key``, ``vector``)
+    and ``queries`` (``group``, qid, ``vector``) have a row for each group they are in. Small groups share a
+    cell, a large one is cut into blocks by slices; no pair is a row. ``group`` of null is no group."""
+    rows, queries = (df.select(*[F.col(c).alias(c) for c in df.columns]).where(F.col(group).isNotNull()) for df in (facts.select(group, key, vector), queries.select(group, "qid", vector)))
+    counted = [df.groupBy(group).agg(F.count("*").alias(n)) for df, n in ((rows, "__nf"), (queries, "__nq"))]
+    sizes = saved(counted[0].join(counted[1], group), "groups")
+    total = sizes.agg(F.sum("__nf"), F.sum("__nq")).first()
+    buckets = max(1, *(-(-2 * (n or 0) // cell) for n in total))
+    parts = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(1)) / cell).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    # of these there are at most rows / cell
+    large = F.broadcast(sizes.where((F.col("__nf") > cell) | (F.col("__nq") > cell)))
+    bucket = F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int").alias("__bucket")
+    of = lambda c, n: F.pmod(F.xxhash64(c), parts(n)).cast("int")
+    left = rows.join(sizes.select(group), group, "left_semi").join(large, group, "left").select(group, key, vector, bucket, of(key, "__nf").alias("__slice"), every("__nq").alias("__block"))
+    right = queries.join(large, group, "left").select(group, "qid", vector, bucket, every("__nf").alias("__slice"), of("qid", "__nq").alias("__block"))
+
+    def run_cell(some_facts: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        for value in pc.unique(asked[group]):
+            one, those = (t.filter(pc.equal(t[group], value)) for t in (asked, some_facts))
+            if len(those):
+                made = kernel(one)
+                made.feed(those)
+                found.append(made.result())
+        columns = [[out[f.name].cast(to_arrow_type(f.dataType)) for out in found] for f in schema]
+        return pa.table([pa.chunked_array([c for part in cs for c in part.chunks], to_arrow_type(f.dataType)) for f, cs in zip(schema, columns, strict=True)], names=schema.names)
+
+    by = ("__bucket", "__slice", "__block")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run_cell, schema)
+
+
 def fields(*named: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in named])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions.vectors import cosine, norm
-from factloom.operators.products import CELL, FEW, SCORES, Above, Best, fields, product
+from factloom.operators.products import CELL, FEW, LINKED_CELL, SCORES, Above, Best, fields, linked_product, product
 
 #: Queries that go to the tasks whole.
 QUERY_BLOCK = FEW
@@ -83,6 +83,23 @@ def top_k_blocks(facts: DataFrame, queries: DataFrame, k: int, key: str, vector:
     return best(hits, k, F.desc("score"), F.desc(key) if later_first else F.col(key))
 
 
+def top_k_linked(facts: DataFrame, edges: DataFrame, asked: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", cell: int = LINKED_CELL) -> DataFrame:
+    """qid, ``key``, score and rank of the exact top-k among the facts that share a group with the query.
+
+    ``edges``: in_id (a fact's key), out_id (its group); ``asked``: qid, out_id; rows given twice count once.
+    Facts and queries meet in cells of their groups (:func:`factloom.operators.products.linked_product`), each
+    of which keeps its best ``k`` for each query, so what moves grows with the edges and links, not with
+    the pairs they make. Ties by ``key``."""
+    asked = asked.select("qid", "out_id").distinct()
+    edges = edges.select(F.col("in_id").alias(key), "out_id").distinct()
+    kinds = fields(("qid", queries.schema["qid"].dataType), (key, facts.schema[key].dataType), ("score", T.DoubleType()))
+    known = edges.join(facts.select(key, vector), key)
+    wanted = asked.join(queries.select("qid", vector), "qid")
+    hits = linked_product(known, wanted, key, vector, "out_id", lambda rows: Best(rows, key, vector, SCORES, False, k=k), kinds, cell)
+    # a fact may be met in several groups of a query
+    return best(hits.groupBy("qid", key).agg(F.max("score").alias("score")), k, F.desc("score"), F.col(key))
+
+
 def rank_counts(facts: DataFrame, queries: DataFrame, marks: DataFrame, key: str, vector: str = "embedding", later_first: bool = False, others: bool = False, few: int = QUERY_BLOCK, cell: int = CELL) -> DataFrame:
     """The rank among all facts of marked rows: qid, ``key``, rank. ``marks``: qid, ``key``, score.
 

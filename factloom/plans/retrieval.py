@@ -32,6 +32,11 @@ def asked(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").where(ASKING).select(F.col("vec_id").alias("qid"), "embedding", "label")
 
 
+def by_label(facts: DataFrame) -> DataFrame:
+    """Labels as groups of facts."""
+    return facts.select(F.col("fact_id").alias("in_id"), F.col("label").alias("out_id"))
+
+
 def _scores(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("qid", *columns, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -203,8 +208,7 @@ SELECT qid, 'graph' AS source_type, '[FACT] ' || text AS content, round(score, 6
 UNION ALL SELECT p.qid, 'passage', '[DETAIL] ' || text, round(score, 6), coalesce(n, 0) + r FROM p LEFT JOIN n USING (qid) WHERE r <= 5""")
 def hybrid_union(spark, sf):
     f, q = facts(spark, sf), asked(spark, sf)
-    linked = q.select("qid", "label").join(f.select("fact_id", "label"), "label").select("qid", "fact_id")
-    graph = search.best(search.score_pairs(linked, f, q, "fact_id").where("score IS NOT NULL"), 15, F.desc("score"), F.col("fact_id")).join(f.select("fact_id", F.col("fact_text").alias("text")), "fact_id")
+    graph = search.top_k_linked(f, by_label(f), q.select("qid", F.col("label").alias("out_id")), q, 15, "fact_id").join(f.select("fact_id", F.col("fact_text").alias("text")), "fact_id")
     passages = search.top_k(f.select("fact_id", "embedding"), q, DIRECT.rerank_top_k, "fact_id").withColumn("text", F.concat(F.lit("passage "), F.col("fact_id").cast("string")))
     return fusion.hybrid(graph, passages).withColumn("score", F.round("score", 6))
 
@@ -286,8 +290,7 @@ def looped(spark, sf):
 
     def expand(state):
         labels = state.where("leg = 0 AND rank <= 3").join(f.select("fact_id", "label"), "fact_id").select("qid", "label").distinct()
-        linked = labels.join(f.select("fact_id", "label"), "label").select("qid", "fact_id")
-        return search.best(search.score_pairs(linked, f, q, "fact_id").where("score IS NOT NULL"), 20, F.desc("score"), F.col("fact_id"))
+        return search.top_k_linked(f, by_label(f), labels.withColumnRenamed("label", "out_id"), q, 20, "fact_id")
 
     return agent.retrieve(q, look, expand, threshold=0.1)
 

@@ -104,3 +104,25 @@ def test_a_cell_holds_few_scores_at_once():
     q, f = (np.stack(t["embedding"].to_numpy()) for t in (asked.slice(0, 50), facts))
     want = np.argsort(-np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (f / np.linalg.norm(f, axis=1)[:, None]).T, 12), axis=1, kind="stable")[:, :5]
     assert np.array_equal(made.result()["fact_id"].to_numpy()[:250].reshape(50, 5), want)
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_top_k_of_linked_facts(spark, vectors, asked, cell):
+    edges = vectors.select(F.col("fact_id").alias("in_id"), F.explode(F.array(F.col("label"), F.col("fact_id").cast("int") % 3, F.lit(None).cast("int"))).alias("out_id"))
+    links = asked.select("qid", F.explode(F.array(F.col("wanted"), F.lit(1), F.lit(99), F.lit(None).cast("int"))).alias("out_id"))
+    links = links.unionByName(links)
+    groups, mine = {}, {}
+    for r in edges.collect():
+        groups.setdefault(r.in_id, set()).add(r.out_id)
+    for r in links.collect():
+        mine.setdefault(r.qid, set()).add(r.out_id)
+    want = {}
+    for q, pairs in scores(vectors, asked).items():
+        rows = sorted((-s, k) for s, k in pairs if (groups[k] & mine[q]) - {None})[:7]
+        if rows:
+            want[q] = [(i, k) for i, (_, k) in enumerate(rows, 1)]
+    found = search.top_k_linked(vectors, edges, links, asked, 7, "fact_id", cell=cell)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.fact_id))
+    assert {q: sorted(v) for q, v in got.items()} == want
