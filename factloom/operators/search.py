@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.vectors import cosine, norm
 from factloom.operators.products import CELL, FEW, LINKED_CELL, SCORES, Above, Best, fields, linked_product, product
+from factloom.shared import saved
 
 #: Queries that go to the tasks whole.
 QUERY_BLOCK = FEW
@@ -199,11 +200,6 @@ def facts_of_entities(facts: DataFrame, edges: DataFrame, matched: DataFrame, ke
     return facts.join(linked, facts[key] == linked["in_id"], "left_semi")
 
 
-def query_entity_facts(edges: DataFrame, matched: DataFrame) -> DataFrame:
-    """(qid, in_id) of each query's matched entities, each fact once a query."""
-    return edges.join(matched.select("qid", F.col("entity_id").alias("out_id")), "out_id").select("qid", "in_id").distinct()
-
-
 def entity_facts(facts: DataFrame, edges: DataFrame, entities: DataFrame, names: DataFrame, limit: int = 20, key: str = "fact_id", created: str = "created_at", fallback: str | None = None) -> DataFrame:
     """Newest facts of each name in ``names`` (name): by edges, names compared without case.
 
@@ -224,15 +220,14 @@ def entity_facts(facts: DataFrame, edges: DataFrame, entities: DataFrame, names:
 def graph_search(facts: DataFrame, edges: DataFrame, entities: DataFrame, queries: DataFrame, limit: int, key: str = "fact_id", vector: str = "embedding") -> DataFrame:
     """Vector leg, entity leg and their fusion: qid, fact_text, score, source and rank.
 
-    The entity leg scores only the facts that are linked to an entity of the query.
+    The entity leg scores only the facts that are linked to an entity of the query, by entity.
     """
     from factloom.operators import fusion
 
-    matched = resolve_entities(queries, entities)
+    matched = saved(resolve_entities(queries, entities), "matched")
     near = top_k(facts, queries, fusion.vector_fetch(limit), key, vector)
-    linked = query_entity_facts(edges, matched).select("qid", F.col("in_id").alias(key))
-    graph = score_pairs(linked, facts, queries, key, vector).where("score IS NOT NULL")
-    graph = best(graph, fusion.graph_fetch(limit), F.desc("score"), F.col(key)).join(facts.select(key, "fact_text", "entity_names"), key)
+    graph = top_k_linked(facts, edges, matched.select("qid", F.col("entity_id").alias("out_id")), queries, fusion.graph_fetch(limit), key, vector)
+    graph = graph.join(facts.select(key, "fact_text", "entity_names"), key)
     return fusion.fuse(near, graph, matched.select("qid", "name"), limit)
 
 

@@ -126,3 +126,11 @@ def test_top_k_of_linked_facts(spark, vectors, asked, cell):
     for r in found.collect():
         got.setdefault(r.qid, []).append((r["rank"], r.fact_id))
     assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_linked_pairs_are_no_rows(spark, sf):
+    from factloom.plans import retrieval
+
+    for name in ("fused_search", "hybrid_union"):
+        plan = retrieval.add.queries[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan
