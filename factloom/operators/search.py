@@ -177,21 +177,32 @@ def _grams(text: Column, size: int) -> Column:
 def resolve_entities(queries: DataFrame, entities: DataFrame, text: str = "text", limit: int = 25) -> DataFrame:
     """Entities whose name, of two characters or more, is part of the query: (qid, entity_id, name).
 
-    Joined by a key: each name goes under the rarest of its grams that the queries hold, of the longest
-    size in ``GRAMS`` that fits it, so that names which begin alike still differ in their key; a name with
-    a gram that no query holds cannot match, and the name is then looked for in the queries under its
-    gram. At most ``limit`` names of a query stay, in order of name.
+    Equal texts are looked up once. Joined by a key: each name goes under the rarest of its grams that the
+    texts hold, of the longest size in ``GRAMS`` that fits it, so that names which begin alike still differ
+    in their key; a name with a gram that no text holds cannot match, and the name is then looked for in the
+    texts under its gram. At most ``limit`` names of a query stay, in order of name; so of the entities with
+    one name no more are needed, however many bear it.
     """
-    asked = queries.select("qid", F.lower(text).alias("__low"))
+    asked = queries.select("qid", F.lower(text).alias("__low")).where("__low IS NOT NULL")
+    # written, so that the numbers of the texts stay
+    texts = saved(asked.select("__low").distinct().withColumn("__text", F.monotonically_increasing_id()), "texts")
     named = entities.where(F.length("name") >= 2).select("entity_id", "name", F.lower("name").alias("__name"))
-    grams = asked.select("qid", "__low", F.explode(F.concat(*[_grams(F.col("__low"), n) for n in GRAMS])).alias("gram"))
+    grams = texts.select("__text", F.explode(F.concat(*[_grams(F.col("__low"), n) for n in GRAMS])).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     own = reduce(lambda rest, n: F.when(F.length("__name") >= n, _grams(F.col("__name"), n)).otherwise(rest), sorted(GRAMS), F.array("__name"))
     names = named.select("__name").distinct().select("__name", F.size(own).alias("size"), F.explode(own).alias("gram"))
     keyed = names.join(often, "gram").groupBy("__name").agg(F.first("size").alias("size"), F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest"))
     keyed = keyed.where("found = size").select("__name", F.col("rarest.gram").alias("gram"))
-    pairs = grams.join(keyed, "gram").where(F.contains("__low", F.col("__name"))).select("qid", "__name")
-    return best(pairs.join(named, "__name").select("qid", "entity_id", "name"), limit, F.col("name"), F.col("entity_id")).drop("rank")
+    pairs = grams.join(keyed, "gram").join(texts, "__text").where(F.contains("__low", F.col("__name"))).select("__text", "__name")
+    pairs = saved(pairs, "names")
+    first = best(named.join(pairs.select("__name").distinct(), "__name", "left_semi"), limit, F.col("name"), F.col("entity_id"), by="__name").drop("rank")
+    found = best(pairs.join(first, "__name").select("__text", "entity_id", "name"), limit, F.col("name"), F.col("entity_id"), by="__text")
+    lists = saved(found.groupBy("__text").agg(F.collect_list(F.struct("entity_id", "name")).alias("__names")), "lists")
+    # a query with several texts has its first names among those of each
+    owners = asked.join(texts, "__low").groupBy("qid").agg(F.collect_list("__text").alias("__texts"))
+    rows = owners.select("qid", (F.size("__texts") == 1).alias("__one"), F.explode("__texts").alias("__text")).join(lists, "__text").select("qid", "__one", F.inline("__names"))
+    several = best(rows.where("NOT __one").drop("__one"), limit, F.col("name"), F.col("entity_id")).drop("rank")
+    return rows.where("__one").drop("__one").unionByName(several)
 
 
 def facts_of_entities(facts: DataFrame, edges: DataFrame, matched: DataFrame, key: str = "fact_id") -> DataFrame:

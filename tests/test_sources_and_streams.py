@@ -140,6 +140,22 @@ def test_names_that_begin_alike_have_keys_of_their_own(spark):
     assert {(r.qid, r.entity_id) for r in search.resolve_entities(queries, entities).collect()} == {(i, str(i)) for i in range(300)}
 
 
+def test_equal_texts_and_names_are_met_once(spark, monkeypatch):
+    seen, save = {}, search.saved
+    monkeypatch.setattr(search, "saved", lambda df, label: seen.setdefault(label, save(df, label)))
+    entities = spark.range(200).select(F.format_string("e%03d", "id").alias("entity_id"), F.lit("Budi").alias("name")).unionByName(spark.createDataFrame([("x", "Ani")], "entity_id string, name string"))
+    queries = spark.range(400).select(F.col("id").alias("qid"), F.lit("ani dan budi").alias("text"))
+    # the same id asks twice, with two texts
+    queries = queries.unionByName(spark.createDataFrame([(7, "ani dan budi"), (9, "Budi?"), (500, "Budi?"), (501, None)], "qid long, text string"))
+    got = {}
+    for r in search.resolve_entities(queries, entities, limit=3).collect():
+        got.setdefault(r.qid, []).append((r.name, r.entity_id))
+    both = [("Ani", "x"), ("Budi", "e000"), ("Budi", "e001")]
+    want = {i: both for i in range(400)} | {7: [both[0], both[0], both[1]], 9: [both[0], both[1], both[1]], 500: [*both[1:], ("Budi", "e002")]}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert seen["names"].count() == 3 and seen["lists"].count() == 2
+
+
 def test_cumulative_text_of_the_last(spark):
     rows = spark.createDataFrame([(1, i, str(i)) for i in range(5)], "k int, n int, t string")
     got = [r.cumulative for r in windows.cumulative_text(rows, "k", "n", "t", ",", last=2).orderBy("n").collect()]
