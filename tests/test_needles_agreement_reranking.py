@@ -37,6 +37,32 @@ def test_inversions():
         assert agreement.inversions(a) == sum(a[i] > a[j] for i in range(n) for j in range(i + 1, n))
 
 
+def test_inversions_of_many_lists():
+    rng = random.Random(2)
+    sizes = [rng.choice([1, 2, 5, 17]) for _ in range(60)]
+    lists, values = np.repeat(np.arange(60), sizes), np.array([rng.randrange(9) for _ in range(sum(sizes))])
+    want = [sum(a[i] > a[j] for i in range(len(a)) for j in range(i + 1, len(a))) for a in (values[lists == k] for k in range(60))]
+    assert agreement.inversions_by_list(lists, values).tolist() == want
+
+
+def test_short_lists_share_batches(spark):
+    """Lists that end anywhere in a batch or go on over several, and no call for each list."""
+    rows = spark.range(3000).select(F.concat(F.lit("q"), F.floor(F.sqrt("id"))).alias("qid"), F.col("id").alias("item"), F.col("id").alias("place"), F.pmod(F.xxhash64("id"), F.lit(1000003)).alias("other"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = agreement.rank_agreement(rows, rows.select("qid", "item", F.col("other").alias("place")), "qid", "item", "place")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r.qid: round(r.agreement, 9) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lists = {}
+    for r in rows.orderBy("id").collect():
+        lists.setdefault(r.qid, []).append(r.other)
+    wrong = {q: sum(a[i] > a[j] for i in range(len(a)) for j in range(i + 1, len(a))) for q, a in lists.items()}
+    assert got == {q: round(1 - wrong[q] / (len(a) * (len(a) - 1) / 2), 9) if len(a) > 1 else 1.0 for q, a in lists.items()}
+    assert plan.count("MapInArrow") == 2 and plan.count("FlatMapGroupsInArrow") == 1
+
+
 @pytest.mark.parametrize("settings", [{}, {"bin_items": 8}, {"bin_items": 1, "bins": 6}])
 def test_agreement_equals_the_expression_on_lists(spark, settings):
     rng = random.Random(3)
