@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.shared import saved
 
 
+#: Pairs of the largest depth whose ids are broadcast in :func:`ancestry`, if all pairs are at least so many times more.
+FEW, FEW_OF = 1 << 21, 32
+
+
 def causes(events: DataFrame, id_col: str = "id", caused_by: str = "caused_by") -> DataFrame:
     """Edge rows (id, position, cause), in the order of the list."""
     return events.select(id_col, F.posexplode(caused_by).alias("position", "cause"))
@@ -94,16 +99,26 @@ def ancestry(events: DataFrame, id_col: str = "id") -> DataFrame:
     a round without pairs of its largest depth ends the search. Rounds are written tables.
     """
     edges = causes(events.select(id_col, "caused_by"), id_col).where("cause IS NOT NULL")
-    known = saved(edges.select(F.col(id_col).cast("string").alias("id"), F.col("cause").cast("string").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestry")
-    reach = 1
-    while not (last := known.where(F.col("depth") == reach)).isEmpty():
+    # numbers stay numbers until the end: half of the bytes that strings take
+    kinds = {edges.schema[c].dataType for c in (id_col, "cause")}
+    as_is = len(kinds) == 1 and isinstance(next(iter(kinds)), T.IntegralType)
+    key = lambda c: F.col(c) if as_is else F.col(c).cast("string")
+    known = saved(edges.select(key(id_col).alias("id"), key("cause").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestry")
+    reach, last = 1, known
+    while n := last.count():
         first = last.select("id", F.col("ancestor").alias("middle"))
-        then = known.select(F.col("id").alias("middle"), "ancestor", "depth")
+        then, there = known.select(F.col("id").alias("middle"), "ancestor", "depth"), known.select("id", "ancestor")
+        if n <= FEW and n * FEW_OF <= known.count():
+            # only a small part goes on: what cannot meet it is not moved
+            then = then.join(F.broadcast(first.select("middle")), "middle", "left_semi")
+            there = there.join(F.broadcast(first.select("id")), "id", "left_semi")
         new = first.join(then, "middle").groupBy("id", "ancestor").agg((F.min("depth") + reach).alias("depth"))
-        new = saved(new.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "ancestry")
+        new = saved(new.join(there, ["id", "ancestor"], "left_anti"), "ancestry")
         known = known.unionByName(new)
         reach *= 2
-    return known
+        # pairs of the largest depth are among the new ones only
+        last = new.where(F.col("depth") == reach)
+    return known.select(F.col("id").cast("string").alias("id"), F.col("ancestor").cast("string").alias("ancestor"), "depth")
 
 
 def density(events: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -162,6 +162,23 @@ def test_cumulative_text_of_the_last(spark):
     assert got == ["0", "0,1", "1,2", "2,3", "3,4"]
 
 
+@pytest.mark.parametrize("share", [0, 1 << 40])
+def test_ancestry_moves_numbers_and_only_what_goes_on(spark, monkeypatch, share):
+    """With ids as numbers, whether or not the ids of the last pairs are broadcast; no table holds strings."""
+    monkeypatch.setattr(events, "FEW_OF", share)
+    seen, save = [], events.saved
+    monkeypatch.setattr(events, "saved", lambda df, label: seen.append(df) or save(df, label))
+    rows = [(i, [i - 1] if i % 40 else []) for i in range(120)] + [(1000, [1001, 39]), (1001, [1000])]
+    got = {(r.id, r.ancestor): r.depth for r in events.ancestry(spark.createDataFrame(rows, "id long, caused_by array<long>")).collect()}
+    want, causes = {}, dict(rows)
+    for i in causes:
+        level, depth = {i}, 0
+        while level:
+            level, depth = {c for x in level for c in causes[x] if (str(i), str(c)) not in want}, depth + 1
+            want |= {(str(i), str(c)): depth for c in level}
+    assert got == want and all(dict(df.dtypes)["id"] == "bigint" for df in seen)
+
+
 def test_ancestry_of_long_chains_and_cycles(spark):
     chain = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(1000)]
     loops = [("x", ["y"]), ("y", ["x"]), ("z", ["z", "x"]), ("d", ["b", "e"]), ("b", ["a", "a"]), ("e", ["b"]), ("n", None), ("m", [None, "missing"])]
