@@ -32,6 +32,8 @@ LINKED_CELL = 4096
 SCORES = 1 << 19
 #: Facts whose vectors are held as doubles at once: 12 MB with 768 of them.
 PART = 2048
+#: Queries that a kernel takes: its rows for each query are sorted for so many queries at once.
+ASKED = 2048
 
 #: What counts as equal among scores that were rounded apart, and what rounding may move two scores by.
 EQUAL, MOVED = 1e-11, 1e-12
@@ -186,14 +188,19 @@ def product(
         out = made.result()
         return pa.table([out[f.name].cast(to_arrow_type(f.dataType)) for f in schema], names=schema.names)
 
+    def kernels(asked: pa.Table) -> Iterator[Kernel]:
+        return (kernel(asked.slice(at, ASKED)) for at in range(0, max(1, asked.num_rows), ASKED))
+
     if n <= few:
         held = facts.sparkSession.sparkContext.broadcast(queries.toArrow())
 
         def run(batches):
-            made = kernel(held.value)
+            made = list(kernels(held.value))
             for batch in batches:
-                made.feed(pa.Table.from_batches([batch]))
-            yield from finish(made).to_batches()
+                for one in made:
+                    one.feed(pa.Table.from_batches([batch]))
+            for one in made:
+                yield from finish(one).to_batches()
 
         return rows.mapInArrow(run, schema)
 
@@ -205,9 +212,11 @@ def product(
     right = queries.withColumns({"__slice": every(slices), "__block": F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")})
 
     def run_cell(some_facts: pa.Table, asked: pa.Table) -> pa.Table:
-        made = kernel(asked)
-        made.feed(some_facts)
-        return finish(made)
+        found = []
+        for one in kernels(asked):
+            one.feed(some_facts)
+            found.append(finish(one))
+        return pa.concat_tables(found)
 
     return left.groupBy("__slice", "__block").cogroup(right.groupBy("__slice", "__block")).applyInArrow(run_cell, schema)
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.operators import products, reports, search
 
@@ -106,6 +107,26 @@ def test_a_cell_holds_few_scores_at_once():
     assert np.array_equal(made.result()["fact_id"].to_numpy()[:250].reshape(50, 5), want)
 
 
+@pytest.mark.parametrize("way", WAYS)
+def test_a_kernel_takes_few_queries(vectors, asked, way, monkeypatch):
+    import pyarrow as pa
+
+    class Taken(products.Kernel):
+        def feed(self, facts):
+            pass
+
+        def result(self):
+            return pa.table({"qid": self.qids, "n": [len(self.asked)] * len(self.asked)})
+
+    rows = lambda: sorted(map(tuple, search.top_k_blocks(vectors, asked, 7, "fact_id", **way).collect()))
+    want = rows()
+    monkeypatch.setattr(products, "ASKED", 5, raising=False)
+    kinds = products.fields(("qid", T.LongType()), ("n", T.LongType()))
+    taken = products.product(vectors, asked.select("qid", "embedding"), "fact_id", "embedding", lambda some: Taken(some, "fact_id", "embedding", 100, False), kinds, **way).collect()
+    assert max(r.n for r in taken) <= 5 and {r.qid for r in taken} == {r.qid for r in asked.collect()}
+    assert rows() == want
+
+
 @pytest.mark.parametrize("cell", [3, 4096])
 def test_top_k_of_linked_facts(spark, vectors, asked, cell):
     edges = vectors.select(F.col("fact_id").alias("in_id"), F.explode(F.array(F.col("label"), F.col("fact_id").cast("int") % 3, F.lit(None).cast("int"))).alias("out_id"))
